@@ -106,6 +106,7 @@ class Settings:
     orders: tuple[int, ...] = (3, 4)
     epochs: int = 3
     rate: float = 1.0
+    least_steps: int = 300
     batch: int = 32
     windows: tuple[int, ...] = (2, 8, 40, 160)
     precision: float = 0.98
@@ -145,8 +146,9 @@ def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> Langu
     table = (rng.standard_normal((s.buckets, s.dim)) / s.dim).astype(np.float32)
     w_out, bias = np.zeros((s.dim, len(names))), np.zeros(len(names))
     learn = np.flatnonzero(~calib & (begin[1:] > begin[:-1]))
-    steps, step = max(1, s.epochs * -(-len(learn) // s.batch)), 0
-    for _ in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps * s.batch // max(1, len(learn))))
+    steps, step = max(1, epochs * -(-len(learn) // s.batch)), 0
+    for _ in range(epochs):
         rng.shuffle(learn)
         for lo in range(0, len(learn), s.batch):
             b = learn[lo : lo + s.batch]
