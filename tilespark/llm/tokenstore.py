@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilespark.llm.bpe import byte_letters
 from tilespark.llm.common import chunked, text_buffer
 from tilespark.llm.textvec import U, mix, powers
 from tilespark.llm.units import UnitCache
@@ -52,6 +53,10 @@ class Layout:
 TANGLED = re.compile(rb"[.,](?![a-z0-9 \t\n\r\x0b\x0c]|\Z|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])|(?<!\A)(?<![a-z0-9 \t\n\r\x0b\x0c])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]")
 
 
+#: Words of a to z and the letters of Latin-1, and what ASCII punctuation (but no apostrophe) may follow.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class LibraryEncoder:
     """The tokenizers library over unique words: for a tokenizer that lower-cases and parts texts at white
     space, ids of a text are those of its words. A dot or comma between letters, digits and white space is
@@ -64,20 +69,34 @@ class LibraryEncoder:
         mark = self.lib.encode("\0", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.special = [t["content"].encode() for t in json.loads(content).get("added_tokens", [])]
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.cache = UnitCache(self.encode_units, most)
 
     def encode_units(self, units: list[bytes]) -> list[list[int]]:
-        plain = [u for u in units if b"\0" not in u] if self.mark is not None else []
-        ids = np.array(self.lib.encode(b" \0 ".join(plain).decode(), add_special_tokens=False).ids if plain else [], np.int64)
-        at = np.flatnonzero(ids == self.mark) if plain else []
-        got = iter(np.split(ids, at))
-        out = []
+        """Plain letters are one piece that normalising only lower-cases, and punctuation after them is
+        another, so these go to the library's model at once; other words go through the whole library,
+        together."""
+        token, plain = self.lib.model.tokenize, PLAIN.fullmatch
+        out: list[list[int] | None] = []
         for u in units:
-            if self.mark is None or b"\0" in u:
-                out.append(self.lib.encode(u.decode(), add_special_tokens=False).ids)
-            else:
-                x = next(got).tolist()
-                out.append(x[1:] if x and x[0] == self.mark else x)
+            m = plain(u)
+            if m is None or m[2] and any(s in u for s in self.special):
+                out.append(None)
+                continue
+            w = m[1] if m[1].isascii() else m[1].decode().lower().encode()
+            ids = [t.id for t in token(w.decode("latin-1").translate(self.letters))]
+            if m[2]:
+                ids += [t.id for t in token(m[2].decode())]
+            out.append(ids)
+        rest = [k for k, x in enumerate(out) if x is None]
+        joint = [k for k in rest if b"\0" not in units[k]] if self.mark is not None else []
+        ids = np.array(self.lib.encode(b" \0 ".join(units[k] for k in joint).decode(), add_special_tokens=False).ids if joint else [], np.int64)
+        for k, x in zip(joint, np.split(ids, np.flatnonzero(ids == self.mark)) if joint else [], strict=True):
+            x = x.tolist()
+            out[k] = x[1:] if x and x[0] == self.mark else x
+        for k in rest:
+            if out[k] is None:
+                out[k] = self.lib.encode(units[k].decode(), add_special_tokens=False).ids
         return out
 
     def words(self, raw: bytes) -> list[bytes]:
