@@ -4,8 +4,9 @@ express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilespark.llm import bpe, langid, tokenstore, toxicity
+from tilespark.llm import bpe, dedup, flac, langid, mixing, sharding, tokenstore, toxicity, urlfilter
 from tilespark.llm.common import scratch
 
 
@@ -38,6 +39,57 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op8_toxicity": op8_toxicity, "op9_token_store": op9_token_store, "op10_bpe": op10_bpe}
+RULES = [
+    urlfilter.Rule("allow", "com", "/"),
+    urlfilter.Rule("block", "example.com", "/en/"),
+    urlfilter.Rule("allow", "www.example.com", "/en/"),
+    urlfilter.Rule("block", "net", "/es/"),
+    urlfilter.Rule("block", "net", "/fr/"),
+]
 
-ORACLE: dict[str, str] = {}
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_media(flac.text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24, map_path=scratch(spark, "slot-map"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+def plan() -> mixing.Plan:
+    """Domain (web for sources src0 to src9, else books), language, source."""
+    number = F.try_to_number(F.regexp_extract("source", r"^src(\d+)$", 1), F.lit("999999"))
+    domain = F.when(number < 10, "web").otherwise("books")
+    return mixing.Plan(
+        levels=[("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))],
+        weights={"web": 0.55, "books": 0.45, "web/en": 0.5, "books/en": 0.5},
+        total=0.9, epochs=2, seed=17,
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), plan())
+    return mixed.select("doc_id", F.col("_path").alias("leaf"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_exact_dedup": op3_exact_dedup,
+    "op4_flac": op4_flac, "op5_sharding": op5_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity,
+    "op9_token_store": op9_token_store, "op10_bpe": op10_bpe,
+}
+
+ORACLE: dict[str, str] = {
+    "op2_url_filter": urlfilter.oracle(RULES),
+    "op3_exact_dedup": """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
+g as (select norm, max(doc_id) as keep_id, count(*) as n from d group by norm)
+select d.doc_id, g.keep_id, g.n as group_size, d.doc_id = g.keep_id as kept, sha256(d.norm) as text_sha256 from d join g using (norm)""",
+}
