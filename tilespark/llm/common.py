@@ -120,3 +120,13 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with a table that has one row for each value of keys and, in `size`, how many rows have
+    it. Values that more than a thousandth of all rows have (fewer than 1000, so they can be broadcast)
+    don't shuffle; no other value can burden a task."""
+    heavy = table.where(F.col(size) * 1000 > total)
+    light = table.where(F.col(size) * 1000 <= total)
+    plain = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(plain)

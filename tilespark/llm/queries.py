@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import bpe, dedup, flac, langid, mixing, sharding, tokenstore, toxicity, urlfilter
+from tilespark.llm import bpe, dedup, flac, langid, mixing, sharding, simjoin, tokenstore, toxicity, urlfilter
 from tilespark.llm.common import scratch
 
 
@@ -65,6 +65,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def plan() -> mixing.Plan:
     """Domain (web for sources src0 to src9, else books), language, source."""
     number = F.try_to_number(F.regexp_extract("source", r"^src(\d+)$", 1), F.lit("999999"))
@@ -83,7 +87,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_exact_dedup": op3_exact_dedup,
-    "op4_flac": op4_flac, "op5_sharding": op5_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity,
+    "op4_flac": op4_flac, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store, "op10_bpe": op10_bpe,
 }
 
