@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tilespark.llm.common import chunked, text_buffer
-from tilespark.llm.units import WHITE, UnitCache
+from tilespark.llm.units import WHITE, UnitCache, no_cycle_search
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -228,7 +228,8 @@ def roundtrip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
             sizes, ids_sha, text_sha, kept = [], [], [], []
             for _, _, data, offs in chunked(*text_buffer(b.column("text"))):
                 raw = data.tobytes()
-                ids, at = bpe.encode_batch([raw[offs[i] : offs[i + 1]].decode("utf-8", "replace") for i in range(len(offs) - 1)])
+                with no_cycle_search():
+                    ids, at = bpe.encode_batch([raw[offs[i] : offs[i + 1]].decode("utf-8", "replace") for i in range(len(offs) - 1)])
                 back = bpe.decode(ids)
                 ends = np.r_[0, np.cumsum(bpe.len_of[ids.astype(np.int64)])][at]
                 whole, text = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B"), memoryview(np.ascontiguousarray(back)).cast("B")

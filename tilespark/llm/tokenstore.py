@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from tilespark.llm.bpe import byte_letters
 from tilespark.llm.common import chunked, text_buffer
 from tilespark.llm.textvec import U, mix, powers
-from tilespark.llm.units import UnitCache
+from tilespark.llm.units import UnitCache, no_cycle_search
 
 WINDOW = 8
 BLOCK = 1024
@@ -49,8 +49,23 @@ class Layout:
     end_id: int = 1
 
 
-#: A dot or comma that may share a piece with a neighbour: one that is neither letter, digit nor white space.
-TANGLED = re.compile(rb"[.,](?![a-z0-9 \t\n\r\x0b\x0c]|\Z|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])|(?<!\A)(?<![a-z0-9 \t\n\r\x0b\x0c])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]")
+#: Bytes beside which a dot or comma is a piece of its own: ASCII letters, digits and white space.
+BESIDE = np.zeros(256, bool)
+BESIDE[[*b"abcdefghijklmnopqrstuvwxyz0123456789 \t\n\r\x0b\x0c"]] = True
+#: Second bytes (after C3) of the letters of Latin-1.
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
+
+
+def tangled(low: bytes) -> bool:
+    """Whether a dot or comma of the text may share a piece with a neighbour: one that is neither letter,
+    digit nor white space."""
+    x = np.frombuffer(b"  " + low + b"  ", np.uint8)
+    at = np.flatnonzero((x == 44) | (x == 46))
+    before, after = x[at - 1], x[at + 1]
+    fine = (BESIDE[before] | (LATIN[before] & (x[at - 2] == 0xC3))) & (BESIDE[after] | ((after == 0xC3) & LATIN[x[at + 2]]))
+    return not fine.all()
 
 
 #: Words of a to z and the letters of Latin-1, and what ASCII punctuation (but no apostrophe) may follow.
@@ -80,14 +95,17 @@ class LibraryEncoder:
         out: list[list[int] | None] = []
         for u in units:
             m = plain(u)
-            if m is None or m[2] and any(s in u for s in self.special):
+            if m is None:
                 out.append(None)
                 continue
-            w = m[1] if m[1].isascii() else m[1].decode().lower().encode()
-            ids = [t.id for t in token(w.decode("latin-1").translate(self.letters))]
-            if m[2]:
-                ids += [t.id for t in token(m[2].decode())]
-            out.append(ids)
+            w, marks = m.groups()
+            w = w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.letters)
+            if not marks:
+                out.append([t.id for t in token(w)])
+            elif b"<" in marks and any(s in u for s in self.special):
+                out.append(None)
+            else:
+                out.append([t.id for t in token(w)] + [t.id for t in token(marks.decode())])
         rest = [k for k, x in enumerate(out) if x is None]
         joint = [k for k in rest if b"\0" not in units[k]] if self.mark is not None else []
         ids = np.array(self.lib.encode(b" \0 ".join(units[k] for k in joint).decode(), add_special_tokens=False).ids if joint else [], np.int64)
@@ -103,7 +121,7 @@ class LibraryEncoder:
         if any(s in raw for s in self.special):
             return raw.split()
         low = raw.lower()
-        if TANGLED.search(low):
+        if tangled(low):
             return low.split()
         return low.replace(b",", b" , ").replace(b".", b" . ").split()
 
@@ -220,7 +238,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
         for b in batches:
             for lo, hi, data, offs in chunked(*text_buffer(b.column("text"))):
                 raw = data.tobytes()
-                body, at = enc.encode_batch([raw[offs[i] : offs[i + 1]] for i in range(hi - lo)])
+                with no_cycle_search():
+                    body, at = enc.encode_batch([raw[offs[i] : offs[i + 1]] for i in range(hi - lo)])
                 ids = np.insert(body, at[1:], lay.end_id).astype(f"<u{lay.width}")
                 at = at + np.arange(len(at))
                 flat = ids.tobytes()
