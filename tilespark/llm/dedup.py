@@ -76,7 +76,13 @@ def run_stream(stream: DataFrame, path: str) -> DataFrame:
     def emit(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")  # the same again on a retry
 
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # many small stores: files that are made large in advance would outweigh the state itself
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    }
     with settings(spark, **conf):
         q = keyed_state(stream).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(emit).trigger(availableNow=True).start()
         q.awaitTermination()
