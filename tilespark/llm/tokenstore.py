@@ -42,9 +42,9 @@ BLOCK = 1024
 
 @dataclass
 class Layout:
-    least: int = 128
-    bits: int = 9
-    most: int = 4096
+    least: int = 256
+    bits: int = 10
+    most: int = 8192
     width: int = 2
     end_id: int = 1
 
@@ -258,7 +258,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
                         begin = e
                     recipes.append(own)
                     roots.append(merkle(own))
-                if len(seen) > 1_000_000:
+                if len(seen) > 400_000:
                     seen.clear()
                 n, m = hi - lo, len(digests)
                 yield pa.RecordBatch.from_arrays(
