@@ -44,6 +44,8 @@ from tilespark.llm.textvec import LOWER, Hasher, U, mix, words
 _MUL = mix(np.arange(1, 65, dtype=U)) | U(1)
 #: Tables of so many rows at most are broadcast, after counting them.
 BROADCAST_ROWS = 1_000_000
+#: Sets of texts of so many words in all are kept while pairs are checked.
+HELD_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -219,7 +221,7 @@ def signatures(docs: DataFrame, made: Signatures) -> DataFrame:
                     sigs.append(x)
                     who.append((ids[lo + i], len(x)))
                     size.append(len(s))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 times = [c for _, c in who]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array([w for w, _ in who], np.int64), times)), pa.array(np.repeat(np.array(size, np.int32), times))], names=["sig", "id", "n"])
@@ -240,16 +242,17 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
 
     def sets(cache: dict, key: int, raw: bytes) -> frozenset:
         if key not in cache:
-            if len(cache) >= 256:
-                cache.clear()
             w = raw.lower().split()
             k = t.words
+            if cache.get("held", 0) + len(w) > HELD_WORDS:
+                cache.clear()
+            cache["held"] = cache.get("held", 0) + len(w)
             cache[key] = frozenset(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])
         return cache[key]
 
     def check(batches):
         one: dict = {}
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             keep = []
             cols = [b.column(c).to_pylist() for c in ("a", "b")] + [b.column(c).cast(pa.large_binary()).to_pylist() for c in ("ta", "tb")]
             for x, y, tx, ty in zip(*cols, strict=True):
