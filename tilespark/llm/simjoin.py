@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import chunked, components, lookup, stored, text_buffer
+from tilespark.llm.common import chunked, components, lookup, small_batches, stored, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, mix, words
 
 #: Odd multipliers of a shingle's words.
@@ -46,6 +46,8 @@ _MUL = mix(np.arange(1, 65, dtype=U)) | U(1)
 BROADCAST_ROWS = 1_000_000
 #: Sets of texts of so many words in all are kept while pairs are checked.
 HELD_WORDS = 200_000
+#: Frequent shingles are counted over runs of sets with so many shingles.
+HELD_SHINGLES = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -176,29 +178,42 @@ class Signatures:
 
 def scan(docs: DataFrame, t: Threshold) -> DataFrame:
     """One row a document (is_doc; id, n: size of its set, f1 and f2: fingerprint of the set), and counts of
-    shingles that many of a batch's different sets hold (id: the shingle's hash, n: how many)."""
+    shingles that many of a run of different sets hold (id: the shingle's hash, n: how many)."""
+
+    def rows_of(is_doc: bool, ids: pa.Array, n: list, f1: list, f2: list) -> pa.RecordBatch:
+        arrays = [pa.array([is_doc] * len(n), pa.bool_()), ids, *(pa.array(v, pa.int64()) for v in (n, f1, f2))]
+        return pa.RecordBatch.from_arrays(arrays, names=["is_doc", "id", "n", "f1", "f2"])
+
+    def frequent(pool: list[np.ndarray]) -> pa.RecordBatch:
+        all_of = np.sort(np.concatenate(pool))
+        cut = np.flatnonzero(np.r_[True, all_of[1:] != all_of[:-1]])
+        size = np.diff(np.r_[cut, len(all_of)])
+        many = size >= max(3, len(pool) // 500)
+        hot, size = all_of[cut[many]].view(np.int64), size[many].tolist()
+        return rows_of(False, pa.array(hot), size, [0] * len(size), [0] * len(size))
 
     def look(batches):
+        seen: set = set()
+        pool: list[np.ndarray] = []
+        held = 0
         for b in batches:
-            ids, n, f1, f2, counts, seen = b.column("doc_id"), [], [], [], [], set()
-            pool: list[np.ndarray] = []
+            n, f1, f2 = [], [], []
             for _, _, data, offs in chunked(*text_buffer(b.column("text"))):
                 for s in shingle_sets(data, offs, t.words):
                     f = fingerprint(s)
                     n.append(len(s))
                     f1.append(f[0])
                     f2.append(f[1])
-                    if f not in seen:
+                    if len(s) and f not in seen:
                         seen.add(f)
                         pool.append(s)
-            all_of = np.sort(np.concatenate([np.zeros(0, U), *pool]))
-            cut = np.flatnonzero(np.r_[True, all_of[1:] != all_of[:-1]]) if len(all_of) else np.zeros(0, int)
-            size = np.diff(np.r_[cut, len(all_of)])
-            many = size >= max(3, len(seen) // 500)
-            hot, size = all_of[cut[many]].view(np.int64), size[many]
-            k = len(hot)
-            counts = [pa.array([True] * len(n) + [False] * k), pa.concat_arrays([ids.cast(pa.int64()), pa.array(hot)]), pa.array(n + size.tolist(), pa.int64()), pa.array(f1 + [0] * k, pa.int64()), pa.array(f2 + [0] * k, pa.int64())]
-            yield pa.RecordBatch.from_arrays(counts, names=["is_doc", "id", "n", "f1", "f2"])
+                        held += len(s)
+            yield rows_of(True, b.column("doc_id").cast(pa.int64()), n, f1, f2)
+            if held > HELD_SHINGLES:
+                yield frequent(pool)
+                pool, seen, held = [], set(), 0
+        if pool:
+            yield frequent(pool)
 
     return docs.select("doc_id", "text").mapInArrow(look, "is_doc boolean, id long, n long, f1 long, f2 long")
 
@@ -267,6 +282,7 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
 def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the component of the graph of links, named by its
     smallest doc_id."""
+    small_batches(docs.sparkSession)
     rows = stored(scan(docs, t), "shingle-scan")
     sets = rows.where("is_doc").select(F.col("id").alias("doc_id"), "n", "f1", "f2")
     kinds = stored(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "set-classes")
