@@ -21,6 +21,11 @@ PTS = "array<struct<x:double,y:double>>"
 RINGS = f"array<struct<ext:boolean,pts:{PTS}>>"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_point(t: Column) -> Column:
     return t.isin(POINT, MULTIPOINT)
 
@@ -68,8 +73,7 @@ def clip_ring_axis(pts: Column, lo: Column, hi: Column, axis: str) -> Column:
     its start if inside, then where it leaves, enters or crosses the slab."""
     none = F.array().cast(PTS)
 
-    def edge(i: Column) -> Column:
-        a, b = F.get(pts, i), F.get(pts, i + 1)
+    def edge(a: Column, b: Column) -> Column:
         va, vb = a[axis], b[axis]
         inside, after = (va >= lo) & (va <= hi), (vb >= lo) & (vb <= hi)
         leave = _cut(a, b, F.when(vb < lo, lo).otherwise(hi), axis)
@@ -80,32 +84,41 @@ def clip_ring_axis(pts: Column, lo: Column, hi: Column, axis: str) -> Column:
             .when(across, F.array(enter, leave)).otherwise(none)
         )
 
-    n = F.size(pts)
-    last = F.element_at(pts, -1)
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), edge))
-    kept = F.concat(kept, F.when((last[axis] >= lo) & (last[axis] <= hi), F.array(last)).otherwise(none))
-    first, end = F.get(kept, F.lit(0)), F.element_at(kept, -1)
-    closed = F.when((F.size(kept) >= 3) & ((first["x"] != end["x"]) | (first["y"] != end["y"])), F.concat(kept, F.array(first))).otherwise(kept)
-    return F.when(n < 2, none).otherwise(F.when(F.size(closed) >= 2, closed).otherwise(none))
+    def closed(k: Column) -> Column:
+        first, end = F.get(k, F.lit(0)), F.element_at(k, -1)
+        ring = F.when((F.size(k) >= 3) & ((first["x"] != end["x"]) | (first["y"] != end["y"])), F.concat(k, F.array(first))).otherwise(k)
+        return let(ring, lambda r: F.when(F.size(r) >= 2, r).otherwise(none))
+
+    def cut(p: Column) -> Column:
+        n = F.size(p)
+        last = F.element_at(p, -1)
+        tail = F.when((last[axis] >= lo) & (last[axis] <= hi), F.array(last)).otherwise(none)
+        edges = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), edge)
+        return F.when(n < 2, none).otherwise(let(F.concat(F.flatten(edges), tail), closed))
+
+    return let(pts, cut)
 
 
 def signed_area(pts: Column) -> Column:
     """Sum of (xi - xj)(yi + yj) over vertices and their predecessors, the last one before the first:
     minus twice the surveyor's area."""
-    n = F.size(pts)
 
-    def term(i: Column) -> Column:
-        p, q = F.get(pts, i), F.get(pts, F.pmod(i - 1 + n, n))
-        return (p["x"] - q["x"]) * (p["y"] + q["y"])
+    def area(p: Column) -> Column:
+        before = F.concat(F.slice(p, -1, 1), F.slice(p, F.lit(1), F.size(p) - 1))
+        terms = F.zip_with(p, before, lambda v, w: ((v["x"] - w["x"]) * (v["y"] + w["y"])).cast("double"))
+        return F.when(F.size(p) > 0, F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)).otherwise(F.lit(0.0))
 
-    return F.when(n > 0, F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), term), F.lit(0).cast("double"), lambda acc, v: acc + v.cast("double"))).otherwise(F.lit(0.0))
+    return let(pts, area)
 
 
 def wound(pts: Column, ext: Column, winding: str = "reference") -> Column:
     """The ring in the direction that its role asks for."""
-    area = signed_area(pts)
-    right = area > 0 if winding == "reference" else area < 0
-    return F.when(right != ext, F.reverse(pts)).otherwise(pts)
+
+    def turned(p: Column) -> Column:
+        area = signed_area(p)
+        return F.when((area > 0 if winding == "reference" else area < 0) != ext, F.reverse(p)).otherwise(p)
+
+    return let(pts, turned)
 
 
 def ring_too_small(pts: Column, sq_tol: Column) -> Column:
@@ -132,32 +145,39 @@ def command(kind: int, count) -> Column:
     return F.lit(kind & 7).cast("long").bitwiseOR(F.shiftleft(tm._c(count).cast("long"), 3))
 
 
-def _deltas(pts: Column, first_x: Column, first_y: Column) -> Column:
-    """x and y of each point as zigzag differences from the point before."""
+def _deltas(pts: Column, start: Column) -> Column:
+    """x and y of each point as zigzag differences from the point before; start is before the first."""
+    before = F.concat(F.array(start), F.slice(pts, F.lit(1), F.size(pts) - 1))
+    return F.flatten(F.zip_with(pts, before, lambda p, q: F.array(zigzag(p["x"] - q["x"]), zigzag(p["y"] - q["y"]))))
 
-    def one(p: Column, i: Column) -> Column:
-        q = F.get(pts, i - 1)
-        return F.array(zigzag(p["x"] - F.when(i > 0, q["x"]).otherwise(first_x)), zigzag(p["y"] - F.when(i > 0, q["y"]).otherwise(first_y)))
 
-    return F.flatten(F.transform(pts, one))
+def _origin() -> Column:
+    zero = F.lit(0).cast("long")
+    return F.struct(zero.alias("x"), zero.alias("y"))
 
 
 def encode_points(pts: Column) -> Column:
     """All points of a feature under one MoveTo."""
-    zero = F.lit(0).cast("long")
-    return F.when(F.size(pts) > 0, F.concat(F.array(command(MOVE_TO, F.size(pts))), _deltas(pts, zero, zero))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    return let(pts, lambda p: F.when(F.size(p) > 0, F.concat(F.array(command(MOVE_TO, F.size(p))), _deltas(p, _origin()))).otherwise(none))
 
 
 def _encode_parts(parts: Column, close: bool) -> Column:
     """Commands of parts (arrays of points) in a row; the cursor stays at each part's last point."""
 
-    def one(pts: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(F.get(parts, i - 1), -1))
-        d = _deltas(pts, F.coalesce(before["x"], F.lit(0).cast("long")), F.coalesce(before["y"], F.lit(0).cast("long")))
-        out = F.concat(F.array(command(MOVE_TO, 1)), F.slice(d, 1, 2), F.array(command(LINE_TO, F.size(pts) - 1)), F.slice(d, F.lit(3), F.greatest(F.size(d) - 2, F.lit(0))))
-        return F.concat(out, F.array(command(CLOSE_PATH, 1))) if close else out
+    def one(pts: Column, start: Column) -> Column:
+        def commands(d: Column) -> Column:
+            out = F.concat(F.array(command(MOVE_TO, 1)), F.slice(d, 1, 2), F.array(command(LINE_TO, F.size(pts) - 1)), F.slice(d, F.lit(3), F.greatest(F.size(d) - 2, F.lit(0))))
+            return F.concat(out, F.array(command(CLOSE_PATH, 1))) if close else out
+
+        return let(_deltas(pts, start), commands)
+
+    def all_parts(ps: Column) -> Column:
+        ends = F.transform(ps, lambda p: F.element_at(p, -1))
+        starts = F.concat(F.array(_origin()), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
+        return F.when(F.size(ps) > 0, F.flatten(F.zip_with(ps, starts, one))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.flatten(F.transform(parts, one))
+    return let(parts, all_parts)
 
 
 def encode_lines(parts: Column) -> Column:

@@ -81,9 +81,9 @@ def dictionary(layers: DataFrame) -> DataFrame:
     with features. In the JVM; a look-up is linear in the dictionary, so the tile encoder has its own."""
     keys = F.array_distinct(F.flatten(F.transform("features", lambda f: F.transform(f["props"], lambda p: p["k"]))))
     values = F.array_distinct(F.flatten(F.transform("features", lambda f: F.transform(f["props"], lambda p: p["v"]))))
-    out = layers.withColumn("keys", keys).withColumn("values", values)
-    tags = F.transform("features", lambda f: F.flatten(F.transform(f["props"], lambda p: F.array((F.array_position("keys", p["k"]) - 1).cast("int"), (F.array_position("values", p["v"]) - 1).cast("int")))))
-    return out.withColumn("tags", tags)
+    place = lambda found, x: (F.array_position(found, x) - 1).cast("int")
+    pairs = lambda ks, vs: F.transform("features", lambda f: F.flatten(F.transform(f["props"], lambda p: F.array(place(ks, p["k"]), place(vs, p["v"])))))
+    return layers.withColumns({"keys": keys, "values": values, "tags": g.let(keys, lambda ks: g.let(values, lambda vs: pairs(ks, vs)))})
 
 
 def _lists(a: pa.Array) -> np.ndarray:

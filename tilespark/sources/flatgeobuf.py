@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from tilespark.functions import geometry as g
-from tilespark.sources.ranges import merge, reader_for
+from tilespark.sources.ranges import GAP, reader_for
 
 #: Fixed values of the format: first bytes, column types in order, and fields of its tables.
 MAGIC = b"fgb\x03fgb"
@@ -188,15 +188,21 @@ def properties(raw: bytes, columns: list[tuple[str, str]]) -> list:
 
 
 @dataclass
-class Range(InputPartition):
-    """A run of bytes, the number of the first feature there, how many may come, and leaf boxes."""
+class Run:
+    """A run of bytes: where, how long (-1: to the end), the number of the first feature there, the numbers
+    wanted and the boxes of all features of the run by the index (None: all, no boxes)."""
 
-    path: str
     offset: int
     length: int
     first: int
-    wanted: list[int] | None
-    boxes: list[tuple[float, ...]] | None
+    wanted: list[int] | None = None
+    boxes: list[tuple[float, ...]] | None = None
+
+
+@dataclass
+class Part(InputPartition):
+    path: str
+    runs: list[Run]
 
 
 class Reader(DataSourceReader):
@@ -225,73 +231,71 @@ class Reader(DataSourceReader):
                     self.box[k] = min(self.box[k], v)
             yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Part]:
         h, r = self.header, reader_for(self.path)
         if not h.node_size or not h.count:
-            return [] if self.strict or not h.count and h.node_size else [Range(self.path, h.features_at, -1, 0, None, None)]
+            return [] if self.strict or not h.count and h.node_size else [Part(self.path, [Run(h.features_at, -1, 0)])]
         nodes = np.frombuffer(r.read(self.path, h.index_at, h.features_at - h.index_at), NODE)
         leaves = nodes[levels(h.count, h.node_size, h.single_root)[0][0] :]
-        offsets = leaves["offset"].astype(np.int64)
         # the index may list features in another order than the file does
+        offsets = leaves["offset"].astype(np.int64)
         by_place = np.argsort(offsets, kind="stable")
-        sorted_offsets = offsets[by_place]
-        ends = np.r_[sorted_offsets[1:], -1]
+        begins = offsets[by_place]
+        ends = np.r_[begins[1:], begins[-1] + 1]  # the last one reaches to the end of the file
         rank = np.empty(len(by_place), np.int64)
         rank[by_place] = np.arange(len(by_place))
-        everything = all(np.isinf(self.box))
-        hit = search(nodes, h, None if everything else tuple(self.box))
-        hit = np.sort(rank[hit])
+        everything = bool(np.isinf(self.box).all())
+        hit = np.sort(rank[search(nodes, h, None if everything else tuple(self.box))])
         if self.limit:
             hit = hit[: self.limit]
-        out: list[Range] = []
-        i = 0
-        while i < len(hit):
-            j = i
-            begin = int(sorted_offsets[hit[i]])
-            while j + 1 < len(hit) and ends[hit[j + 1]] != -1 and ends[hit[j + 1]] - begin <= self.per_partition and sorted_offsets[hit[j + 1]] - ends[hit[j]] <= 1 << 20:
-                j += 1
-            own = hit[i : j + 1]
-            end = int(ends[own[-1]])
-            runs = [(int(sorted_offsets[k]), (int(ends[k]) if ends[k] != -1 else int(sorted_offsets[k]) + 1) - int(sorted_offsets[k])) for k in own]
-            at = 0
-            for o, n in merge(runs):
-                inside = [k for k in own[at:] if sorted_offsets[k] < o + n]
-                at += len(inside)
-                size = -1 if end == -1 and inside[-1] == own[-1] else n
-                boxes = [tuple(leaves[by_place[k]][c].item() for c in ("minx", "miny", "maxx", "maxy")) for k in range(int(inside[0]), int(inside[-1]) + 1)]
-                out.append(Range(self.path, h.features_at + o, size, int(inside[0]), [int(k) for k in inside], boxes))
-            i = j + 1
-        return out
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if not len(hit):
+            return []
+        # features near each other are one run; runs fill partitions of about per_partition bytes
+        fresh = np.r_[True, (begins[hit[1:]] > ends[hit[:-1]] + GAP) | (begins[hit[1:]] // self.per_partition != begins[hit[:-1]] // self.per_partition)]
+        parts: list[Part] = []
+        size = self.per_partition
+        for own in np.split(hit, np.flatnonzero(fresh)[1:]):
+            lo, hi = int(own[0]), int(own[-1])
+            length = int(ends[hi] - begins[lo]) if hi < len(begins) - 1 else -1
+            boxes = [tuple(v) for v in np.stack([leaves[c][by_place[lo : hi + 1]] for c in ("minx", "miny", "maxx", "maxy")], 1).tolist()]
+            run = Run(h.features_at + int(begins[lo]), length, lo, own.tolist(), boxes)
+            if size >= self.per_partition:
+                parts.append(Part(self.path, []))
+                size = 0
+            parts[-1].runs.append(run)
+            size += max(length, 0)
+        return parts
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         r = reader_for(part.path)
-        raw = r.read(part.path, part.offset, part.length if part.length >= 0 else 1 << 40)
-        wanted = None if part.wanted is None else set(part.wanted)
-        last = None if part.wanted is None else part.wanted[-1]
         rows: list[tuple] = []
-        at, fid = 0, part.first
-        while at + 4 <= len(raw) and (last is None or fid <= last):
-            size = struct.unpack_from("<I", raw, at)[0]
-            if size == 0 or at + 4 + size > len(raw):
-                break
-            if wanted is None or fid in wanted:
-                try:
-                    row = self.feature(raw[at + 4 : at + 4 + size], fid, part)
-                except (ValueError, struct.error, UnicodeDecodeError, IndexError):
-                    if self.failfast:
-                        raise
+        for run in part.runs:
+            raw = r.read(part.path, run.offset, run.length)
+            wanted = None if run.wanted is None else set(run.wanted)
+            last = None if run.wanted is None else run.wanted[-1]
+            at, fid = 0, run.first
+            while at + 4 <= len(raw) and (last is None or fid <= last):
+                size = struct.unpack_from("<I", raw, at)[0]
+                if size == 0 or at + 4 + size > len(raw):
                     break
-                if row is not None:
-                    rows.append(row)
-            at += 4 + size
-            fid += 1
-            if len(rows) >= 4096:
-                yield self.batch(rows)
-                rows = []
+                if wanted is None or fid in wanted:
+                    try:
+                        row = self.feature(raw[at + 4 : at + 4 + size], fid, run)
+                    except (ValueError, struct.error, UnicodeDecodeError, IndexError):
+                        if self.failfast:
+                            raise
+                        break
+                    if row is not None:
+                        rows.append(row)
+                at += 4 + size
+                fid += 1
+                if len(rows) >= 4096:
+                    yield self.batch(rows)
+                    rows = []
         if rows:
             yield self.batch(rows)
 
-    def feature(self, raw: bytes, fid: int, part: Range) -> tuple | None:
+    def feature(self, raw: bytes, fid: int, run: Run) -> tuple | None:
         t = Table.root(raw)
         p = t.place(0)
         if not p:
@@ -299,8 +303,8 @@ class Reader(DataSourceReader):
         kind, rings = rings_of(Table(raw, t._follow(p)), self.header.geometry_type)
         if not rings:
             return None
-        if part.boxes is not None:
-            box = part.boxes[fid - part.first]
+        if run.boxes is not None:
+            box = run.boxes[fid - run.first]
         else:
             pts = np.concatenate([q for _, q in rings])
             box = (*np.nanmin(pts, 0).tolist(), *np.nanmax(pts, 0).tolist())

@@ -25,7 +25,7 @@ class RangeReader(ABC):
 
     @abstractmethod
     def read(self, path: str, offset: int, length: int) -> bytes:
-        """The bytes there; fewer at the end of the file."""
+        """The bytes there, fewer at the end of the file; a length of -1 reads to the end."""
 
     def read_ranges(self, path: str, ranges: list[tuple[int, int]]) -> list[bytes]:
         """Several ranges, in their order, `concurrency` at a time."""
@@ -38,6 +38,10 @@ class RangeReader(ABC):
         return None
 
 
+def header(offset: int, length: int) -> str:
+    return f"bytes={offset}-{'' if length < 0 else offset + length - 1}"
+
+
 class LocalReader(RangeReader):
     def read(self, path: str, offset: int, length: int) -> bytes:
         with open(path.removeprefix("file://"), "rb") as f:
@@ -61,12 +65,13 @@ class HttpReader(RangeReader):
     backoff: float = 0.2
 
     def read(self, path: str, offset: int, length: int) -> bytes:
-        request = urllib.request.Request(path, headers={**self.headers, "Range": f"bytes={offset}-{offset + length - 1}"})
+        request = urllib.request.Request(path, headers={**self.headers, "Range": header(offset, length)})
         for attempt in range(self.retries + 1):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
                     body = r.read()
-                    return body[offset : offset + length] if r.status == 200 else body[:length]
+                    body = body[offset:] if r.status == 200 else body
+                    return body if length < 0 else body[:length]
             except urllib.error.HTTPError as e:
                 if e.code == 416:  # beyond the end
                     return b""
@@ -97,7 +102,7 @@ class S3Reader(RangeReader):
 
     def read(self, path: str, offset: int, length: int) -> bytes:
         bucket, key = s3_location(path)
-        body = self.client.get_object(Bucket=bucket, Key=key, Range=f"bytes={offset}-{offset + length - 1}")["Body"]
+        body = self.client.get_object(Bucket=bucket, Key=key, Range=header(offset, length))["Body"]
         if isinstance(body, bytes | bytearray):
             return bytes(body)
         return body.read() if hasattr(body, "read") else b"".join(body)
