@@ -1,13 +1,14 @@
 """Exact Jaccard join of documents on word n-grams, by universe partition and the pigeonhole principle.
 
-A document is the set of its distinct word shingles. Sizes fall in bands that double. Two sets that link
+A document is the set of its distinct word shingles. Sizes fall in bands, each starting at the square
+root of 2 times the one before. Two sets that link
 (Jaccard at least num / den) differ in at most H = floor((den - num)(|r| + |s|) / (den + num)) elements. In each
 band all shingles are dealt by a hash to m segments, so at most H segments of the two sets differ, and a
 budget of H + 1 spent on segments finds every pair:
 
-* exact segments cost one signature and cover one difference. With more segments than H + 1, both sides
-  list theirs in one common order and index only their first H + 1: two sets that agree on m - H segments
-  share one of these. The order puts segments last that hold nothing but shingles of many documents, which
+* exact segments cost one signature and cover one difference. Where a set's own H is less than m - 1,
+  both sides list their segments in one common order and index only their first H + 1: two sets that
+  agree on m - H segments share one of these. The order puts segments last that hold nothing but shingles of many documents, which
   are the ones that would bring unrelated documents together;
 * one-deletion segments also index the segment without each one of its elements; they cover two
   differences and stay selective when segments are small.
@@ -29,6 +30,7 @@ fingerprint.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,8 @@ _MUL = mix(np.arange(1, 65, dtype=U)) | U(1)
 BROADCAST_ROWS = 1_000_000
 #: Sets of texts of so many words in all are kept while pairs are checked.
 HELD_WORDS = 200_000
+#: Neighbours in a signature's group that a class is compared with: at first, and in later rounds.
+NEAR, REACH = 8, (24, 64)
 #: Frequent shingles are counted over runs of sets with so many shingles.
 HELD_SHINGLES = 1_500_000
 
@@ -68,7 +72,8 @@ class Threshold:
 class Band:
     """exact segments of which a set indexes its first H + 1 (if prefix) or all, then deletion segments."""
 
-    number: int
+    low: int
+    high: int
     exact: int
     deletions: int
     prefix: bool
@@ -78,19 +83,23 @@ class Band:
         return self.exact + self.deletions
 
 
-def allocate(number: int, t: Threshold, frequent: float) -> Band:
-    """The cheapest allocation for sets of 2**number to 2**(number + 1) - 1 shingles. frequent: the share
-    of frequent shingles."""
-    lo, hi = 1 << number, (2 << number) - 1
-    h = t.differences(hi, hi)
-    size, crowd = 1.5 * lo, 50.0
-    m = 1 if h == 0 else -(-3 * (h + 1) // 2)
-    best = (h + 1 + crowd * (h + 1) * (h + 1) / m * frequent ** (size / m), Band(number, m, 0, True))
-    for d in range(0, (h + 1) // 2 + 1) if hi < 64 else ():
+#: First sizes of the bands, in steps of the square root of 2.
+EDGES = sorted({int(np.ceil(2 ** (k / 2))) for k in range(0, 126)})
+
+
+def allocate(low: int, high: int, t: Threshold, frequent: float) -> Band:
+    """The cheapest allocation for sets of low to high shingles. frequent: the share of frequent shingles.
+    Segments as few, and so as large, as the band's greatest H allows: unrelated documents that share a
+    passage agree on a segment only if all of it lies in the passage."""
+    h = t.differences(high, high)
+    size, crowd = (low + high) / 2, 50.0
+    m = h + 1
+    best = (m + crowd * m * frequent ** (size / m), Band(low, high, m, 0, True))
+    for d in range(1, (h + 1) // 2 + 1) if high < 64 else ():
         e = h + 1 - 2 * d
         c = size / (e + d)
         cost = e + d * (1 + c) + crowd * (e * frequent**c + d * (1 + c) * frequent ** max(c - 1, 0.0))
-        best = min(best, (cost, Band(number, e, d, False)), key=lambda x: x[0])
+        best = min(best, (cost, Band(low, high, e, d, False)), key=lambda x: x[0])
     return best[1]
 
 
@@ -134,7 +143,7 @@ class Signatures:
 
     def band(self, number: int) -> Band:
         if number not in self.bands:
-            self.bands[number] = allocate(number, self.t, self.share)
+            self.bands[number] = allocate(EDGES[number], EDGES[number + 1] - 1, self.t, self.share)
         return self.bands[number]
 
     def rare(self, s: np.ndarray) -> np.ndarray:
@@ -147,11 +156,9 @@ class Signatures:
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n, t = len(s), self.t
-        own = n.bit_length() - 1
-        rare, out = self.rare(s), []
-        for number in (own, own + 1):
-            if number > own and t.den * n < t.num * (1 << number):
-                break
+        number = bisect_right(EDGES, n) - 1
+        rare, out, first = self.rare(s), [], True
+        while first or t.den * n >= t.num * EDGES[number]:  # its own band, and those that its partners reach
             b = self.band(number)
             m = b.segments
             seg = (mix(s ^ U((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % U(m)).astype(np.int64)
@@ -161,7 +168,7 @@ class Signatures:
             salt = mix(np.arange(m, dtype=U) + U((number + 1) << 32))
             full = mix(sums + salt)
             if b.prefix:
-                take = t.differences(n, min(n * t.den // t.num, (2 << number) - 1)) + 1
+                take = t.differences(n, min(n * t.den // t.num, b.high)) + 1
                 if take < m:
                     some_rare = np.zeros(m, bool)
                     some_rare[seg[rare]] = True
@@ -173,6 +180,7 @@ class Signatures:
                 if b.deletions:
                     d = seg >= b.exact
                     out.append(mix(sums[seg[d]] - v[d] + salt[seg[d]]))
+            number, first = number + 1, False
         return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
@@ -303,23 +311,50 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     rep_of = stored(rep_of.join(kinds.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("id"), "rep", "n"), "set-reps")
     members = met.join(F.broadcast(rep_of) if rep_of.count() <= BROADCAST_ROWS else rep_of, "id").select("sig", "rep", "n").distinct()
     by_rep = Window.partitionBy("sig").orderBy("rep")
-    members = members.select("sig", "rep", "n", F.first("rep").over(by_rep).alias("a"), F.first("n").over(by_rep).alias("an"), F.lead("rep").over(by_rep).alias("next"))
-    members = stored(members.where("a <> rep or next is not null"), "signature-members")
+    members = members.select("sig", "rep", "n", F.first("rep").over(by_rep).alias("head"), F.first("n").over(by_rep).alias("head_n"), F.lead("rep").over(by_rep).alias("next"))
+    members = stored(members.where("head <> rep or next is not null"), "signature-members")
     near = lambda x, y: (F.greatest(x, y) * t.num <= F.least(x, y) * t.den)
 
-    stars = members.where("a <> rep").where(near(F.col("an"), F.col("n"))).select("a", F.col("rep").alias("b")).distinct()
-    tried = stored(stars, "star-pairs")
+    def neighbours(rows: DataFrame, reach: int, seed: int) -> DataFrame:
+        """Pairs of a signature that stand up to `reach` places apart in a seeded order and are in different
+        components (c), as far as known. rows: sig, rep, n, c."""
+        w = Window.partitionBy("sig").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
+        before = F.array(*[F.struct(*(F.lag(v, k).over(w).alias(v) for v in ("rep", "n", "c"))) for k in range(1, reach + 1)])
+        seen = rows.select("rep", F.filter(before, lambda e: e["rep"].isNotNull() & (e["c"] != F.col("c")) & near(e["n"], F.col("n"))).alias("before")).where(F.size("before") > 0)
+        return seen.select("rep", F.explode("before.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+
+    # Each class is compared with the head of its groups and with its neighbours in them; groups of up to
+    # NEAR + 1 are done then. In the larger ones, classes that are still apart meet more neighbours, in other
+    # orders, so that a large group of near copies soon is one component; what is apart after that
+    # is compared in full.
+    stars = members.where("head <> rep").where(near(F.col("head_n"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    tried = stored(stars.union(neighbours(members.select("sig", "rep", "n", F.col("rep").alias("c")), NEAR, 0)).distinct(), "tried-pairs")
     links = verified(tried, docs, t)
-    comp = stored(components(links), "components-1")
-    # pairs of one signature that are still in different components
-    comp = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
-    now = members.select("sig", "rep", "n").join(comp, members["rep"] == comp["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    now = stored(now.join(apart, "sig", "left_semi"), "open-members")
-    one, two = now.select("sig", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")), now.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    cross = one.join(two, "sig").where("ac < bc").where(near(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(cross.join(tried, ["a", "b"], "left_anti"), docs, t)
-    final = components(links.unionByName(more)) if not more.isEmpty() else comp
+    comp = stored(components(links), "components-0")
+
+    def still_open(comp: DataFrame) -> DataFrame:
+        known = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
+        now = members.select("sig", "rep", "n").join(known, members["rep"] == known["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").where(F.col("k") > NEAR + 1).select("sig")
+        return stored(now.join(apart, "sig", "left_semi"), "open-members")
+
+    now = still_open(comp)
+    for seed, reach in enumerate(REACH, 1):
+        if now.isEmpty():
+            break
+        fresh = stored(neighbours(now, reach, seed).distinct().join(tried, ["a", "b"], "left_anti"), "tried-pairs")
+        tried = tried.unionByName(fresh)
+        more = verified(fresh, docs, t)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = stored(components(links), f"components-{seed}")
+            now = still_open(comp)
+    final = comp
+    if not now.isEmpty():
+        one, two = now.select("sig", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")), now.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
+        cross = one.join(two, "sig").where("ac < bc").where(near(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = verified(cross.join(tried, ["a", "b"], "left_anti"), docs, t)
+        final = components(links.unionByName(more)) if not more.isEmpty() else comp
     named = kinds.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", "size", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named, "named-classes")
     full = lookup(sets.where("n > 0"), named, ["n", "f1", "f2"], "size", total)
