@@ -558,7 +558,7 @@ def scratch_file(spark: SparkSession, name: str) -> str:
     return os.path.join(at, f"{name}-{uuid.uuid4().hex}.fgb")
 
 
-@query("fgb_roundtrip_scan", f"with {G} select fid-1 as fid, cast(count(*) as bigint) as vertices, count(distinct ring) as rings, count(distinct case when ext then ring end) as exteriors, round(sum(lon),6) as sx, round(sum(lat),6) as sy, any_value(p_brand) as brand, any_value(p_size) as size from g join part on fid=p_partkey where lon is not null group by fid having max(lon)>=-60.5 and min(lon)<=45.25 and max(lat)>=-30 and min(lat)<=41.5")
+@query("fgb_roundtrip_scan", f"with {G} select fid, cast(count(*) as bigint) as vertices, count(distinct ring) as rings, count(distinct case when ext then ring end) as exteriors, round(sum(lon),6) as sx, round(sum(lat),6) as sy, any_value(p_brand) as brand, any_value(p_size) as size from g join part on fid=p_partkey where lon is not null group by fid having max(lon)>=-60.5 and min(lon)<=45.25 and max(lat)>=-30 and min(lat)<=41.5")
 def fgb_roundtrip_scan(spark, d):
     """Polygons written to a file and read back through its index."""
     path = scratch_file(spark, "parts")

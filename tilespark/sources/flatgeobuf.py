@@ -234,7 +234,7 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Part]:
         h, r = self.header, reader_for(self.path)
         if not h.node_size or not h.count:
-            return [] if self.strict or not h.count and h.node_size else [Part(self.path, [Run(h.features_at, -1, 0)])]
+            return [Part(self.path, [])] if self.strict or not h.count and h.node_size else [Part(self.path, [Run(h.features_at, -1, 0)])]
         nodes = np.frombuffer(r.read(self.path, h.index_at, h.features_at - h.index_at), NODE)
         leaves = nodes[levels(h.count, h.node_size, h.single_root)[0][0] :]
         # the index may list features in another order than the file does
@@ -249,7 +249,7 @@ class Reader(DataSourceReader):
         if self.limit:
             hit = hit[: self.limit]
         if not len(hit):
-            return []
+            return [Part(self.path, [])]
         # features near each other are one run; runs fill partitions of about per_partition bytes
         fresh = np.r_[True, (begins[hit[1:]] > ends[hit[:-1]] + GAP) | (begins[hit[1:]] // self.per_partition != begins[hit[:-1]] // self.per_partition)]
         parts: list[Part] = []
