@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tilespark.llm.common import chunked, text_buffer
+from tilespark.llm.common import chunked, small_batches, text_buffer
 from tilespark.llm.units import WHITE, UnitCache, no_cycle_search
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -246,5 +246,6 @@ def roundtrip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(code, schema)

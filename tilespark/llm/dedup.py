@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import ascii_lower, remove, scratch, text_buffer
+from tilespark.llm.common import ascii_lower, remove, scratch, small_batches, text_buffer
 
 #: Tables of so many rows at most are broadcast, after counting them.
 BROADCAST_ROWS = 1_000_000
@@ -60,6 +60,7 @@ def digests(docs: DataFrame) -> DataFrame:
             made = [hashlib.sha256(raw[offs[i] : offs[i + 1]]).digest() for i in range(len(offs) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary()), pa.array(np.diff(offs)), b.column("locator")], names=["doc_id", "digest", "n_bytes", "locator"])
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(look, "doc_id long, digest binary, n_bytes long, locator string")
 
 

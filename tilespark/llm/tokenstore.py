@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilespark.llm.bpe import byte_letters
-from tilespark.llm.common import chunked, text_buffer
+from tilespark.llm.common import chunked, small_batches, text_buffer
 from tilespark.llm.textvec import U, mix, powers
 from tilespark.llm.units import UnitCache, no_cycle_search
 
@@ -273,6 +273,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
                     names=["is_doc", "doc_id", "n", "digest", "digests", "payload"],
                 )
 
+    small_batches(spark)
     made = docs.select("doc_id", "text").mapInArrow(encode, "is_doc boolean, doc_id long, n long, digest binary, digests array<binary>, payload binary")
     made.write.option("compression", "zstd").parquet(f"{path}/incoming")
     made = spark.read.schema(made.schema).parquet(f"{path}/incoming")
