@@ -49,7 +49,7 @@ BROADCAST_ROWS = 1_000_000
 #: Sets of texts of so many words in all are kept while pairs are checked.
 HELD_WORDS = 200_000
 #: Neighbours in a signature's group that a class is compared with: at first, and in later rounds.
-NEAR, REACH = 8, (24, 64)
+NEAR, REACH = 8, (24,)
 #: Frequent shingles are counted over runs of sets with so many shingles.
 HELD_SHINGLES = 1_500_000
 
@@ -252,6 +252,29 @@ def signatures(docs: DataFrame, made: Signatures) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "sig long, id long, n int")
 
 
+def sketches(docs: DataFrame, ids: DataFrame, t: Threshold) -> DataFrame:
+    """rep, sketch of the documents with these ids (column rep): bit j of a sketch is the parity of the number
+    of shingles that hash to j. Two sketches of a width differ in no more bits than the sets in
+    elements, so pairs that differ in more bits than a link allows need no comparison."""
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for _, _, data, offs in chunked(*text_buffer(b.column("text"))):
+                for s in shingle_sets(data, offs, t.words):
+                    n = max(1, len(s))
+                    width = 1 << max(8, int(8 * t.differences(n, n)).bit_length())
+                    bits = np.bincount((mix(s ^ U(0x5BF03635)) & U(width - 1)).astype(np.int64), minlength=width) & 1
+                    out.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["rep", "sketch"])
+
+    known = docs.select("doc_id", "text")
+    few = ids.select(F.col("rep").alias("doc_id")).distinct()
+    known = known.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return known.mapInArrow(draw, "rep long, sketch array<bigint>")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
     """Those of the pairs (a, b: ids) that link, decided on the words of their texts."""
     pairs = stored(pairs, "pairs")
@@ -315,18 +338,25 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     members = stored(members.where("head <> rep or next is not null"), "signature-members")
     near = lambda x, y: (F.greatest(x, y) * t.num <= F.least(x, y) * t.den)
 
+    def alike(p, q, n, m):
+        """Whether sketches allow a link; sketches of different widths don't tell."""
+        bits = F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda acc, v: acc + v)
+        return (F.size(p) != F.size(q)) | (bits <= F.floor((n + m) * (t.den - t.num) / (t.den + t.num)))
+
     def neighbours(rows: DataFrame, reach: int, seed: int) -> DataFrame:
         """Pairs of a signature that stand up to `reach` places apart in a seeded order and are in different
         components (c), as far as known. rows: sig, rep, n, c."""
         w = Window.partitionBy("sig").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
-        before = F.array(*[F.struct(*(F.lag(v, k).over(w).alias(v) for v in ("rep", "n", "c"))) for k in range(1, reach + 1)])
-        seen = rows.select("rep", F.filter(before, lambda e: e["rep"].isNotNull() & (e["c"] != F.col("c")) & near(e["n"], F.col("n"))).alias("before")).where(F.size("before") > 0)
+        values = [v for v in ("rep", "n", "c", "sketch") if v in rows.columns]
+        before = F.array(*[F.struct(*(F.lag(v, k).over(w).alias(v) for v in values)) for k in range(1, reach + 1)])
+        may = lambda e: alike(e["sketch"], F.col("sketch"), e["n"], F.col("n")) if "sketch" in values else F.lit(True)
+        seen = rows.select("rep", F.filter(before, lambda e: e["rep"].isNotNull() & (e["c"] != F.col("c")) & near(e["n"], F.col("n")) & may(e)).alias("before")).where(F.size("before") > 0)
         return seen.select("rep", F.explode("before.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
     # Each class is compared with the head of its groups and with its neighbours in them; groups of up to
     # NEAR + 1 are done then. In the larger ones, classes that are still apart meet more neighbours, in other
-    # orders, so that a large group of near copies soon is one component; what is apart after that
-    # is compared in full.
+    # orders, so that a large group of near copies soon is one component; all that is apart after that
+    # is compared by sketches, and on the words where these allow a link.
     stars = members.where("head <> rep").where(near(F.col("head_n"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     tried = stored(stars.union(neighbours(members.select("sig", "rep", "n", F.col("rep").alias("c")), NEAR, 0)).distinct(), "tried-pairs")
     links = verified(tried, docs, t)
@@ -336,7 +366,9 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
         known = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
         now = members.select("sig", "rep", "n").join(known, members["rep"] == known["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
         apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").where(F.col("k") > NEAR + 1).select("sig")
-        return stored(now.join(apart, "sig", "left_semi"), "open-members")
+        now = stored(now.join(apart, "sig", "left_semi"), "open-members")
+        drawn = stored(sketches(docs, now, t), "sketches")
+        return stored(now.join(F.broadcast(drawn) if drawn.count() <= 50_000 else drawn, "rep"), "open-sketches")
 
     now = still_open(comp)
     for seed, reach in enumerate(REACH, 1):
@@ -351,8 +383,9 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
             now = still_open(comp)
     final = comp
     if not now.isEmpty():
-        one, two = now.select("sig", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")), now.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-        cross = one.join(two, "sig").where("ac < bc").where(near(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one, two = now.select("sig", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("sketch").alias("p")), now.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("sketch").alias("q"))
+        meet = (one["sig"] == two["sig"]) & (F.col("ac") < F.col("bc")) & near(F.col("an"), F.col("bn")) & alike(F.col("p"), F.col("q"), F.col("an"), F.col("bn"))
+        cross = one.join(two, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(cross.join(tried, ["a", "b"], "left_anti"), docs, t)
         final = components(links.unionByName(more)) if not more.isEmpty() else comp
     named = kinds.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", "size", F.coalesce("component", "rep").alias("component_id"))
