@@ -96,4 +96,12 @@ ORACLE: dict[str, str] = {
     "op3_exact_dedup": """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
 g as (select norm, max(doc_id) as keep_id, count(*) as n from d group by norm)
 select d.doc_id, g.keep_id, g.n as group_size, d.doc_id = g.keep_id as kept, sha256(d.norm) as text_sha256 from d join g using (norm)""",
+    "op6_ngram_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+d as (select distinct doc_id, g from s), n as (select doc_id, count(*) as n from d group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from d a join d b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * p.i >= 85 * (x.n + y.n - p.i)),
+e as (select a, b from l union all select b, a from l),
+r(id, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.id)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from documents t left join n on t.doc_id = n.doc_id join (select id, min(root) as component_id from r group by id) c on t.doc_id = c.id""",
 }
