@@ -261,3 +261,14 @@ def test_catalogue_equals_sql(spark):
         cols = sorted(a.columns)
         key = lambda df: sorted(tuple(str(float(v)) if isinstance(v, int | float | np.number) else str(v) for v in r) for r in df[cols].itertuples(index=False))  # noqa: E731, B023
         assert key(a) == key(b), name
+
+
+def test_tile_files(spark, tmp_path):
+    from tilespark.sources import tilefiles
+
+    tilefiles.register(spark)
+    e = TileEngine(spark, Source("all", some_features(spark)))
+    e.pyramid(0, 1).select("z", "x", "y", "pbf").write.format("tilefiles").mode("append").option("path", str(tmp_path / "t")).save()
+    found = sorted(str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("*.pbf"))
+    assert found == ["0/0/0.pbf", "1/0/0.pbf", "1/0/1.pbf", "1/1/0.pbf", "1/1/1.pbf"]
+    assert (tmp_path / "t/1/1/0.pbf").read_bytes() == e.tile(1, 1, 0)
