@@ -103,7 +103,7 @@ class Bpe:
                 bound, left = left, split[left][1]
             else:
                 bound, right = right + 1, split[right][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[key] = out
         return out
