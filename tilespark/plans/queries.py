@@ -520,7 +520,19 @@ e as (select *, max(off+len) over (partition by path order by off, len rows betw
 i as (select *, sum(case when e is null or off>e+6000 then 1 else 0 end) over (partition by path order by off, len rows unbounded preceding) as isle from e)
 select path, min(off) as "offset", max(off+len)-min(off) as length from i group by path, isle""")
 def index_range_merge(spark, d):
-    o = fx.table(spark, d, "orders").where("o_orderkey%3<>1")
+    return merged_orders(fx.table(spark, d, "orders").where("o_orderkey%3<>1"))
+
+
+@query("index_range_merge_all", """with r as (select o_custkey%16 as path, o_orderkey*700 as off, 100+o_orderkey%150 as len from orders),
+e as (select *, max(off+len) over (partition by path order by off, len rows between unbounded preceding and 1 preceding) as e from r),
+i as (select *, sum(case when e is null or off>e+6000 then 1 else 0 end) over (partition by path order by off, len rows unbounded preceding) as isle from e)
+select path, min(off) as "offset", max(off+len)-min(off) as length from i group by path, isle""")
+def index_range_merge_all(spark, d):
+    """A range of every order; orders of other paths make the gaps."""
+    return merged_orders(fx.table(spark, d, "orders"))
+
+
+def merged_orders(o: DataFrame) -> DataFrame:
     r = o.select((F.col("o_custkey") % 16).alias("path"), (F.col("o_orderkey") * 700).alias("offset"), (F.lit(100) + F.col("o_orderkey") % 150).alias("length"))
     return ranges.merge_ranges(r, 6000)
 
