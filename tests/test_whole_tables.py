@@ -5,7 +5,7 @@ import os
 import pyarrow.parquet as pq
 import pytest
 
-from tilespark.plans.queries import ORACLE, QUERIES
+from tilespark.plans.queries import ORACLE, QUERIES, level_bounds
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no tables here")
@@ -32,3 +32,18 @@ def test_ranges_of_all_orders(spark):
     assert got == want == from_sql("index_range_merge_all")
     assert 16 < len(got) < len(rows)  # some meet, some stay apart
     assert sum(a <= r["o_orderkey"] * 700 < a + n for r in rows for p, a, n in got if p == r["o_custkey"] % 16) == len(rows)
+
+
+def test_levels_of_all_trees(spark):
+    want, keys = [], pq.read_table(f"{D}/part.parquet").column("p_partkey").to_pylist()
+    keys += [4096, 4097, 20_000, 65_537]  # beyond the smallest table: four, five and six levels
+    for n in keys:
+        sizes = [n]
+        while sizes[-1] > 1 or len(sizes) == 1:
+            sizes.append(sizes[-1] // 16 + (sizes[-1] % 16 > 0))
+        want += [(n, i, sum(sizes[i + 1 :]), sum(sizes[i:])) for i in range(len(sizes))]
+    of_table = {n for n in keys[:-4]}
+    got = sorted(map(tuple, QUERIES["rtree_level_bounds_all"](spark, D).collect()))
+    assert got == sorted(w for w in want if w[0] in of_table) == from_sql("rtree_level_bounds_all")
+    large = level_bounds(spark.createDataFrame([(n,) for n in keys[-4:]], "p_partkey long"))
+    assert sorted(map(tuple, large.collect())) == sorted(w for w in want if w[0] not in of_table)

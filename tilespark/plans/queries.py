@@ -540,8 +540,17 @@ def merged_orders(o: DataFrame) -> DataFrame:
 @query("rtree_level_bounds", """with recursive s as (select p_partkey as n from part where p_partkey<=400), l(n, level, nodes) as (select n, 0, n from s union all select n, level+1, (nodes+15)//16 from l where nodes>1 or level=0)
 select n, level, cast(coalesce(sum(nodes) over (partition by n order by level desc rows between unbounded preceding and 1 preceding),0) as bigint) as first, cast(sum(nodes) over (partition by n order by level desc rows unbounded preceding) as bigint) as last from l""")
 def rtree_level_bounds(spark, d):
-    keys = fx.table(spark, d, "part").where("p_partkey<=400").select("p_partkey")
+    return level_bounds(fx.table(spark, d, "part").where("p_partkey<=400").select("p_partkey"))
 
+
+@query("rtree_level_bounds_all", """with recursive s as (select p_partkey as n from part), l(n, level, nodes) as (select n, 0, n from s union all select n, level+1, (nodes+15)//16 from l where nodes>1 or level=0)
+select n, level, cast(coalesce(sum(nodes) over (partition by n order by level desc rows between unbounded preceding and 1 preceding),0) as bigint) as first, cast(sum(nodes) over (partition by n order by level desc rows unbounded preceding) as bigint) as last from l""")
+def rtree_level_bounds_all(spark, d):
+    """Trees of as many features as each key of part says."""
+    return level_bounds(fx.table(spark, d, "part").select("p_partkey"))
+
+
+def level_bounds(keys: DataFrame) -> DataFrame:
     @F.arrow_udf("array<struct<level:int,first:bigint,last:bigint>>")
     def bounds(n: pa.Array) -> pa.Array:
         return pa.array([[{"level": i, "first": a, "last": b} for i, (a, b) in enumerate(flatgeobuf.levels(v, 16))] for v in n.to_pylist()], pa.list_(pa.struct([("level", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])))
