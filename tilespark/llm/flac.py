@@ -1,14 +1,15 @@
 """Media columns: FLAC encoding and decoding on numpy arrays, many streams at once.
 
 Encoding cuts a stream of 8-bit mono samples into blocks; each block takes the cheapest of constant, the
-fixed predictors of order 0 to 4 and a quantised linear predictor, and writes Rice-coded residuals.
+fixed predictors of order 0 to 2 and a quantised linear predictor, and writes Rice-coded residuals.
 Every frame stands in the seek table. Decoding reads the frames that the seek table names side by side:
 each step takes one Rice code from every frame, then predictors are undone for all frames; header (CRC-8)
-and frame (CRC-16) checksums and the MD5 of the samples are verified, a mismatch raises.
+and frame (CRC-16) checksums and the MD5 of the samples are verified, a mismatch raises. So does a stream
+that isn't 8-bit mono, or that has frames outside its seek table.
 
 As a column: a text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples.
 Null counts as empty; equal texts give equal streams whatever else is in their batch. Long texts are cut
-into blocks like short ones.
+into blocks like short ones. The column and its PCM blocks are stored, and payloads are read from the blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tilespark.llm.common import chunked, text_buffer
+from tilespark.llm.common import chunked, scratch, stored, text_buffer
 
 BLOCK = 2048
 LPC_ORDER = 6
@@ -534,15 +537,89 @@ def read_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+BLOCKS = "row long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, samples long, block long, sample_offset long, n long, pcm binary"
+PAYLOADS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """On the driver: the text is read by the session."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def record_batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(target)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+
+
 def pcm_blocks(media: DataFrame, samples: int = BLOCK) -> DataFrame:
-    """PCM blocks of a media column with their sample offsets: doc_id, block, sample_offset, n, pcm."""
+    """PCM blocks of a media column with their sample offsets: block, sample_offset, n, pcm, beside what is
+    known of the whole stream. `row` tells rows of media apart once the blocks are stored."""
+    target = arrow_schema(BLOCKS)
 
     def cut(batches):
         for b in batches:
-            ids, col = b.column("doc_id").to_pylist(), b.column("media").to_pylist()
+            of = [b.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes")]
+            col = b.column("media").to_pylist()
             for i, pcm, offs in _decoded(col):
-                rows = [(ids[i + k], s // samples, s, pcm[offs[k] + s : min(offs[k] + s + samples, offs[k + 1])].tobytes()) for k in range(len(offs) - 1) for s in range(0, int(offs[k + 1] - offs[k]), samples)]
-                a, c, d, e = zip(*rows, strict=True) if rows else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(map(len, e), pa.int64()), pa.array(e, pa.binary())], names=["doc_id", "block", "sample_offset", "n", "pcm"])
+                rows = []
+                for k in range(len(offs) - 1):
+                    m, own = col[i + k], pcm[offs[k] : offs[k + 1]]
+                    known = (*(c[i + k] for c in of), len(m), hashlib.sha256(m).hexdigest(), len(own))
+                    rows += [(*known, s // samples, s, len(own[s : s + samples]), own[s : s + samples].tobytes()) for s in range(0, len(own), samples)]
+                yield record_batch(rows, target)
+
+    rows = media.where(F.col("media").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "media")
+    return rows.mapInArrow(cut, BLOCKS)
+
+
+def joined(blocks: DataFrame, whole: bool) -> DataFrame:
+    """Payloads of streams all of whose blocks stand together in a task. Other streams come back as longer
+    blocks, with the columns of payloads empty; with whole=True they raise."""
+    schema = f"{PAYLOADS}, piece struct<{BLOCKS}>"
+    target, names = arrow_schema(schema), arrow_schema(BLOCKS).names
 
-    return media.select("doc_id", "media").where(F.col("media").isNotNull()).mapInArrow(cut, "doc_id long, block long, sample_offset long, n long, pcm binary")
+    def look(batches):
+        head: dict | None = None
+        parts: list[bytes] = []
+
+        def result() -> tuple:
+            own = b"".join(parts)
+            if head["sample_offset"] == 0 and len(own) == head["samples"]:
+                return (head["doc_id"], head["n_bytes"], len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), head["media_bytes"], head["media_sha256"], features(np.frombuffer(own, np.uint8)), None)
+            if whole:
+                raise ValueError("blocks are missing")
+            return (*(None,) * 8, head | {"n": len(own), "pcm": own})
+
+        size = 0
+        for b in batches:
+            rows: list[tuple] = []
+            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                r = dict(zip(names, r, strict=True))
+                if head is None or r["row"] != head["row"] or r["sample_offset"] != head["sample_offset"] + size:
+                    if head is not None:
+                        rows.append(result())
+                    head, parts, size = r, [], 0
+                parts.append(r["pcm"])
+                size += len(r["pcm"])
+            yield record_batch(rows, target)
+        if head is not None:
+            yield record_batch([result()], target)
+
+    return blocks.select(*names).mapInArrow(look, schema)
+
+
+def payloads(blocks: DataFrame) -> DataFrame:
+    """The columns of read_media, from stored PCM blocks. Only streams whose blocks are read by more than
+    one task are dealt out again."""
+    read = stored(joined(blocks, whole=False), "media-payloads")
+    pieces = read.where("piece is not null").select("piece.*").repartition("row").sortWithinPartitions("row", "sample_offset")
+    return read.where("piece is null").drop("piece").unionByName(joined(pieces, whole=True).drop("piece"))
+
+
+def through_store(docs: DataFrame) -> DataFrame:
+    """The columns of read_media, by way of the stored media column and its stored PCM blocks."""
+    spark = docs.sparkSession
+    media, blocks = scratch(spark, "media"), scratch(spark, "pcm-blocks")
+    text_media(docs).write.option("compression", "zstd").parquet(media)
+    pcm_blocks(spark.read.parquet(media)).write.option("compression", "zstd").parquet(blocks)
+    return payloads(spark.read.parquet(blocks))

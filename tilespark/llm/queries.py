@@ -57,7 +57,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_media(flac.text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return flac.through_store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
