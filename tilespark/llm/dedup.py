@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import ascii_lower, remove, scratch, small_batches, text_buffer
+from tilespark.llm.common import ascii_lower, remove, scratch, small_batches, stored, text_buffer
 
 #: Tables of so many rows at most are broadcast, after counting them.
 BROADCAST_ROWS = 1_000_000
@@ -128,11 +128,26 @@ def judge(docs: DataFrame, files_at_once: int = 1000) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the rows of which an equal text with a larger id stays."""
-    dropped = judge(docs).where("not kept").select("doc_id").distinct()
-    path = scratch(docs.sparkSession, "dedup-dropped")
-    dropped.write.parquet(path)
-    dropped = docs.sparkSession.read.parquet(path)
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti")
+    """One row of each text stays: of the rows with the largest id (null ids only where no id is known) the
+    first by file and row. A text is told by its id and digest together, so where an id stands for several
+    texts each has a fate of its own."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        rows = docs.withColumn("_at", at)
+    except AnalysisException:
+        rows = stored(docs, "dedup-rows").withColumn("_at", at)
+    rows = rows.withColumn("_digest", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    same = lambda t: rows["doc_id"].eqNullSafe(t["doc_id"]) & (rows["_digest"] == t["text_sha256"])
+    light = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    copies = judge(docs).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n"))
+    copies = stored(copies.where("not kept or n > 1"), "dedup-dropped")
+    dropped = light(copies.where("not kept").select("doc_id", "text_sha256"))
+    left = rows.join(dropped, same(dropped), "left_anti")
+    repeated = copies.where("kept").select("doc_id", "text_sha256")
+    if not repeated.isEmpty():
+        found = light(repeated)
+        first = rows.join(found, same(found), "left_semi").groupBy("doc_id", F.col("_digest").alias("text_sha256")).agg(F.min("_at").alias("_first"))
+        first = stored(first.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "_first"), "dedup-first")
+        first = light(first)
+        left = left.join(first, left["doc_id"].eqNullSafe(first["_id"]) & (left["_digest"] == first["_text"]), "left").where("_first is null or _first = _at")
+    return left.select(*docs.columns)

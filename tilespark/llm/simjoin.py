@@ -396,8 +396,21 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    dropped = stored(classes(docs, t).where("doc_id <> component_id").select("doc_id"), "near-copies")
+    """One row of each component stays, one with the smallest id (null ids only where no id is known). Where
+    ids repeat or are null, rows are numbered in the order of their ids and take part under their numbers, so
+    texts that share an id aren't taken for one another. Without words a row has no near copies, and one of
+    those with its id stays."""
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        key = "_row"
+        rows = stored(docs.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
+    found = stored(classes(rows.select(F.col(key).alias("doc_id"), "text"), t), "row-classes") if key == "_row" else classes(docs, t)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    if key == "_row":
+        bare = found.where("n_shingles = 0").select(F.col("doc_id").alias(key))
+        bare = rows.select(key, "doc_id").join(bare, key, "left_semi")
+        dropped = dropped.union(bare.join(bare.groupBy("doc_id").agg(F.min(key).alias("first")).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).where(F.col(key) > F.col("first")).select(key))
+    dropped = stored(dropped, "near-copies")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti")
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
