@@ -8,6 +8,7 @@ Mixing takes a document once for each epoch that holds it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilespark.llm import bpe, dedup, mixing, simjoin, toxicity
 from tilespark.llm.common import scratch
@@ -27,7 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, plan()).select(*docs.columns)
+    aside = {c: f"{c}__in" for c in ("_path", "_tokens", "_epoch", "_b", "_h", "_e") if c in docs.columns}  # names that give way
+    return mixing.mix(docs.withColumnsRenamed(aside), plan()).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
