@@ -44,7 +44,8 @@ class Plan:
 
 
 def tokens(text: Column) -> Column:
-    """An estimate that costs no tokenizer: a token for each four bytes, one at least."""
+    """The unit of budgets: four bytes of text, one at least. It is not a tokenizer's count, which is larger
+    and differs by language (README)."""
     return F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4)).cast("long")
 
 
