@@ -47,3 +47,13 @@ def test_levels_of_all_trees(spark):
     assert got == sorted(w for w in want if w[0] in of_table) == from_sql("rtree_level_bounds_all")
     large = level_bounds(spark.createDataFrame([(n,) for n in keys[-4:]], "p_partkey long"))
     assert sorted(map(tuple, large.collect())) == sorted(w for w in want if w[0] not in of_table)
+
+
+@pytest.mark.parametrize("name", ["multi_source_layers_all", "mvt_roundtrip_points_all"])
+def test_every_tile_of_the_grid(spark, name):
+    df = QUERIES[name](spark, D)
+    con = pytest.importorskip("duckdb").connect()
+    for t in os.listdir(D):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{D}/{t}'")
+    want = sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE[name]})").fetchall())
+    assert sorted(map(tuple, df.collect())) == want and {w[0] for w in want} == {0, 1, 2, 3}

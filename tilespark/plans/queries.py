@@ -444,6 +444,13 @@ def multi_source_layers(spark, d):
     return counted(e.layers(fx.view(spark, d, fx.TILES).where("z=3 and x<2"), few=True, zooms=[3]), ["points", "polys"])
 
 
+@query("multi_source_layers_all", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer")
+def multi_source_layers_all(spark, d):
+    """The same on every tile of the grid."""
+    e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
+    return counted(e.layers(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
+
+
 CASCADE = """src(ordinal, extent, buffer, tolerance, min_zoom, max_zoom) as (values (0, null, null, 5, null, null), (1, 512, 0, null, 3, 9), (2, null, 128, 0, 2, null))"""
 
 
@@ -497,11 +504,21 @@ select z,x,y,m.fid, cast(floor(4096*(mx*power(2,z)-x)+0.5) as bigint) as px, cas
 from m join b on m.fid=b.fid join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 where z=2""")
 def mvt_roundtrip_points(spark, d):
     made = engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES).where("z=2"), few=True, zooms=[2])
+    return decoded_points(made)
+
+
+def decoded_points(made: DataFrame) -> DataFrame:
     return decoded(made, "z int, x long, y long, fid long, px long, py long, status string, priority string, cents long, cust long", lambda z, x, y, ls: [
         (z, x, y, f["id"], *f["paths"][0][0], f["properties"]["status"], f["properties"]["priority"], int(f["properties"]["price"] * 100 + 0.5), f["properties"]["cust"]) for lay in ls for f in lay["features"]
     ])
 
 
+@query("mvt_roundtrip_points_all", ORACLE["mvt_roundtrip_points"].removesuffix(" where z=2"))
+def mvt_roundtrip_points_all(spark, d):
+    """The same on every tile of the grid."""
+    return decoded_points(engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]))
+
+
 @query("mvt_roundtrip_polys", f"""with {T}, {BOXES}, {FEATURE_BOXES['polys']}, k as (select b.fid, z, x, y from b join tb on minx>=w0 and maxx<=w2 and miny>=w1 and maxy<=w3 where z=2),
 q as (select k.z,k.x,k.y,g.fid,g.ring, cast(floor(4096*({PX}*4-k.x)+0.5) as bigint) as qx, cast(floor(4096*({PY}*4-k.y)+0.5) as bigint) as qy from g join k on g.fid=k.fid)
 select z,x,y,fid,count(distinct ring) as rings, cast(sum(qx) as bigint) as sx, cast(sum(qy) as bigint) as sy from q group by z,x,y,fid""")
