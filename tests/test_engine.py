@@ -34,9 +34,9 @@ def test_tile_numbers(spark):
     assert one(spark, tm.tile_id(F.lit(2), F.lit(3), F.lit(1))) == 226
     b = tm.tile_box(F.lit(0), F.lit(0), F.lit(0))
     assert [one(spark, c) for c in b.values()] == pytest.approx([-180, -85.0511287798, 180, 85.0511287798])
-    ids = grid.pyramid(spark, 0, 5).select(tm.tile_id("z", "x", "y").alias("i")).distinct().count()
-    assert ids == 1365
-    assert one(spark, tm.quantize(F.lit(0.45), F.lit(1), F.lit(1), F.lit(4096))) == -410
+    ids = grid.pyramid(spark, 1, 4).select(tm.tile_id("z", "x", "y").alias("i")).distinct().count()
+    assert ids == sum(4**z for z in range(1, 5))
+    assert one(spark, tm.quantize(F.lit(0.3), F.lit(2), F.lit(2), F.lit(1000))) == -800
     assert one(spark, tm.sq_tolerance(F.lit(3), F.lit(0), F.lit(4096))) == pytest.approx((3 / 4096) ** 2)
     for bad in ((31, 0, 0), (1, 2, 0), (1, 0, -1)):
         with pytest.raises(ValueError):
@@ -47,19 +47,35 @@ def pts(*p):
     return F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in p])
 
 
-def test_commands(spark):
-    assert [one(spark, g.zigzag(F.lit(v))) for v in (0, -1, 1, -2, 100000, -100000)] == [0, 1, 2, 3, 200000, 199999]
-    assert one(spark, g.encode_points(pts((25, 17)))) == [9, 50, 34]
-    assert one(spark, g.encode_points(pts((5, 7), (3, 2)))) == [17, 10, 14, 3, 9]
-    assert one(spark, g.encode_points(pts((-100, -50)))) == [9, 199, 99]
-    assert one(spark, g.encode_lines(F.array(pts((2, 1), (4, 4), (10, 8))))) == [9, 4, 2, 18, 4, 6, 12, 8]
-    assert one(spark, g.encode_polygons(F.array(pts((0, 0), (10, 0), (10, 10), (0, 0))))) == [9, 0, 0, 18, 20, 0, 0, 20, 15]
-    assert one(spark, g.encode_lines(F.array(pts((1, 1))))) == []
+def brute_zigzag(n):
+    return 2 * n if n >= 0 else -2 * n - 1
 
 
-def test_signed_area(spark):
-    square = pts((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))
-    assert one(spark, g.signed_area(square)) == -20000
+def brute_point_commands(points):
+    out, x, y = [], 0, 0
+    for a, b in points:
+        out += [brute_zigzag(a - x), brute_zigzag(b - y)]
+        x, y = a, b
+    return [1 + 8 * len(points), *out] if points else []
+
+
+def test_point_commands(spark):
+    rng = np.random.default_rng(4)
+    numbers = [0, 7, -7, 2**31, -(2**31) - 1, 2**40]
+    assert [one(spark, g.zigzag(F.lit(v))) for v in numbers] == [brute_zigzag(v) for v in numbers]
+    for n in (1, 2, 9):
+        points = [tuple(map(int, p)) for p in rng.integers(-5000, 5000, (n, 2))]
+        assert one(spark, g.encode_points(pts(*points))) == brute_point_commands(points)
+
+
+def test_value_texts(spark):
+    df = spark.createDataFrame([(1, -2, 2.0, 2.5, float("nan"), -0.0, True, "s", None, 1e300, b"x"), (None,) * 11], "a int, b bigint, c double, d double, e double, f float, g boolean, h string, i string, j double, k binary")
+    got = [r["p"] for r in df.select(g.value_texts(df.dtypes[:-1]).alias("p")).collect()]
+    assert [t and t[0] for t in got[0]] == ["u", "i", "u", "d", "d", "u", "b", "s", None, "d"] and got[1] == [None] * 10
+    from tilespark.functions.layers import value_message
+
+    read = [pbf.decode_value(value_message(t)) for t in got[0] if t]
+    assert read[:4] == [("uint", 1), ("int", -2), ("uint", 2), ("double", 2.5)] and np.isnan(read[4][1]) and read[5:] == [("uint", 0), ("bool", True), ("string", "s"), ("double", 1e300)]
 
 
 def test_value_kinds(spark):

@@ -1,8 +1,7 @@
 """Geometry as column expressions over rings: array<struct<ext: boolean, pts: array<struct<x, y>>>>.
 
-Higher-order functions keep these steps in the JVM. Points go through them from projection to commands;
-clipping and simplifying lines and polygons is done by the array kernels, whose results these
-expressions reproduce where they overlap.
+Higher-order functions keep these steps in the JVM. Points go through them from projection to commands; lines
+and polygons are projected here and go on in the array kernels.
 """
 
 from __future__ import annotations
@@ -60,72 +59,6 @@ def clip_points(pts: Column, box: dict[str, Column]) -> Column:
     return F.filter(pts, lambda p: (p["x"] >= box["c_minx"]) & (p["x"] <= box["c_maxx"]) & (p["y"] >= box["c_miny"]) & (p["y"] <= box["c_maxy"]))
 
 
-def _cut(a: Column, b: Column, k: Column, axis: str) -> Column:
-    """Where an edge meets a line of the grid; the clipped coordinate is exactly k."""
-    o = "y" if axis == "x" else "x"
-    t = (k - a[axis]) / (b[axis] - a[axis])
-    other = a[o] + (b[o] - a[o]) * t
-    return F.struct(k.alias("x"), other.alias("y")) if axis == "x" else F.struct(other.alias("x"), k.alias("y"))
-
-
-def clip_ring_axis(pts: Column, lo: Column, hi: Column, axis: str) -> Column:
-    """A polygon's ring cut to lo <= axis <= hi. What an edge contributes depends on its two ends only:
-    its start if inside, then where it leaves, enters or crosses the slab."""
-    none = F.array().cast(PTS)
-
-    def edge(a: Column, b: Column) -> Column:
-        va, vb = a[axis], b[axis]
-        inside, after = (va >= lo) & (va <= hi), (vb >= lo) & (vb <= hi)
-        leave = _cut(a, b, F.when(vb < lo, lo).otherwise(hi), axis)
-        enter = _cut(a, b, F.when(va < lo, lo).otherwise(hi), axis)
-        across = ((va < lo) & (vb > hi)) | ((va > hi) & (vb < lo))
-        return (
-            F.when(inside & after, F.array(a)).when(inside, F.array(a, leave)).when(after, F.array(enter))
-            .when(across, F.array(enter, leave)).otherwise(none)
-        )
-
-    def closed(k: Column) -> Column:
-        first, end = F.get(k, F.lit(0)), F.element_at(k, -1)
-        ring = F.when((F.size(k) >= 3) & ((first["x"] != end["x"]) | (first["y"] != end["y"])), F.concat(k, F.array(first))).otherwise(k)
-        return let(ring, lambda r: F.when(F.size(r) >= 2, r).otherwise(none))
-
-    def cut(p: Column) -> Column:
-        n = F.size(p)
-        last = F.element_at(p, -1)
-        tail = F.when((last[axis] >= lo) & (last[axis] <= hi), F.array(last)).otherwise(none)
-        edges = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), edge)
-        return F.when(n < 2, none).otherwise(let(F.concat(F.flatten(edges), tail), closed))
-
-    return let(pts, cut)
-
-
-def signed_area(pts: Column) -> Column:
-    """Sum of (xi - xj)(yi + yj) over vertices and their predecessors, the last one before the first:
-    minus twice the surveyor's area."""
-
-    def area(p: Column) -> Column:
-        before = F.concat(F.slice(p, -1, 1), F.slice(p, F.lit(1), F.size(p) - 1))
-        terms = F.zip_with(p, before, lambda v, w: ((v["x"] - w["x"]) * (v["y"] + w["y"])).cast("double"))
-        return F.when(F.size(p) > 0, F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)).otherwise(F.lit(0.0))
-
-    return let(pts, area)
-
-
-def wound(pts: Column, ext: Column, winding: str = "reference") -> Column:
-    """The ring in the direction that its role asks for."""
-
-    def turned(p: Column) -> Column:
-        area = signed_area(p)
-        return F.when((area > 0 if winding == "reference" else area < 0) != ext, F.reverse(p)).otherwise(p)
-
-    return let(pts, turned)
-
-
-def ring_too_small(pts: Column, sq_tol: Column) -> Column:
-    b = bounds(pts)
-    return (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"]) < sq_tol
-
-
 def sq_segment_distance(px, py, ax, ay, bx, by) -> Column:
     """Squared distance of a point from a segment; a segment without length is a point."""
     px, py, ax, ay, bx, by = (tm._c(v) for v in (px, py, ax, ay, bx, by))
@@ -162,40 +95,6 @@ def encode_points(pts: Column) -> Column:
     return let(pts, lambda p: F.when(F.size(p) > 0, F.concat(F.array(command(MOVE_TO, F.size(p))), _deltas(p, _origin()))).otherwise(none))
 
 
-def _encode_parts(parts: Column, close: bool) -> Column:
-    """Commands of parts (arrays of points) in a row; the cursor stays at each part's last point."""
-
-    def one(pts: Column, start: Column) -> Column:
-        def commands(d: Column) -> Column:
-            out = F.concat(F.array(command(MOVE_TO, 1)), F.slice(d, 1, 2), F.array(command(LINE_TO, F.size(pts) - 1)), F.slice(d, F.lit(3), F.greatest(F.size(d) - 2, F.lit(0))))
-            return F.concat(out, F.array(command(CLOSE_PATH, 1))) if close else out
-
-        return let(_deltas(pts, start), commands)
-
-    def all_parts(ps: Column) -> Column:
-        ends = F.transform(ps, lambda p: F.element_at(p, -1))
-        starts = F.concat(F.array(_origin()), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
-        return F.when(F.size(ps) > 0, F.flatten(F.zip_with(ps, starts, one))).otherwise(F.array().cast("array<bigint>"))
-
-    return let(parts, all_parts)
-
-
-def encode_lines(parts: Column) -> Column:
-    """Lines of two points at least."""
-    return _encode_parts(F.filter(parts, lambda p: F.size(p) >= 2), False)
-
-
-def encode_polygons(parts: Column) -> Column:
-    """Rings without their closing point; rings that would keep fewer than three points vanish."""
-
-    def opened(p: Column) -> Column:
-        a, b = F.get(p, F.lit(0)), F.element_at(p, -1)
-        return F.when((a["x"] == b["x"]) & (a["y"] == b["y"]), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
-
-    rings = F.filter(F.transform(F.filter(parts, lambda p: F.size(p) >= 3), opened), lambda p: F.size(p) >= 3)
-    return _encode_parts(rings, True)
-
-
 def tagged(value: Column, dtype: str) -> Column:
     """A property value with its kind in the tile: string, bool, uint, int or double. Whole numbers, also
     those of floating types, are uint from 0 on and int below."""
@@ -226,3 +125,20 @@ def tags_of(columns: list[tuple[str, str]]) -> Column:
     if not kept:
         return F.array().cast("array<struct<k:string,v:struct<t:string,s:string,d:double,i:bigint,b:boolean>>>")
     return F.filter(F.array(*kept), lambda e: e["v"].isNotNull())
+
+
+def value_text(value: Column, dtype: str) -> Column:
+    """A property value as a text: the first letter of its kind in the tile, then the value."""
+    if dtype == "boolean":
+        return F.when(value, "b1").when(~value, "b0")
+    v = tagged(value, dtype)
+    if dtype in ("tinyint", "smallint", "int", "bigint"):
+        return F.concat(F.when(value >= 0, "u").otherwise("i"), value.cast("string"))
+    if dtype in ("float", "double") or dtype.startswith("decimal"):
+        return let(v, lambda t: F.concat(F.substring(t["t"], 1, 1), F.coalesce(t["i"].cast("string"), t["d"].cast("string"))))
+    return F.concat(F.lit("s"), value.cast("string"))
+
+
+def value_texts(columns: list[tuple[str, str]]) -> Column:
+    """array<string>: the texts of the given (name, type) columns in order, null where there is no value."""
+    return F.array(*[value_text(F.col(f"`{n}`"), t) for n, t in columns]) if columns else F.array().cast("array<string>")

@@ -59,12 +59,34 @@ def bounds(r: Rings, features: int) -> tuple[np.ndarray, ...]:
 
 
 def clip_axis(r: Rings, lo: np.ndarray, hi: np.ndarray, poly: np.ndarray, axis: int) -> Rings:
-    """Cuts rings to a slab (lo, hi and poly by ring). Each vertex contributes up to two points: itself if
-    inside, and where the edge after it leaves, enters or crosses the slab. Lines are cut where they leave;
-    polygons' rings are closed again."""
-    n = len(r.x)
-    if not n:
+    """Cuts rings to a slab (lo, hi and poly by ring). Rings within the slab pass, rings beside it vanish; only
+    those that leave it are cut."""
+    if not len(r.x):
         return r
+    v = r.x if axis == 0 else r.y
+    least, most = extremes(v, r.ring, np.minimum, np.nan), extremes(v, r.ring, np.maximum, np.nan)  # NaN counts
+    within = (least >= lo) & (most <= hi)
+    beside = (most < lo) | (least > hi)
+    if within.any():  # open polygons' rings are closed, rings of one vertex vanish: left to the cut
+        first, last = r.ring[:-1], np.maximum(r.ring[1:] - 1, 0)
+        f = np.minimum(first, len(v) - 1)
+        within &= (r.sizes >= 2) & (~poly | (r.sizes < 3) | (r.x[f] == r.x[last]) & (r.y[f] == r.y[last]))
+    cutting = ~within & ~beside
+    if cutting.all():
+        return cut_axis(r, lo, hi, poly, axis)
+    # rings take part as features of their own, so that they come back in their order
+    number = np.arange(len(r.feat))
+    own = Rings(r.x, r.y, r.ring, number, r.ext)
+    out, part = own.take(within), own.take(cutting)
+    if len(part.feat):
+        out = merge(out, cut_axis(part, lo[cutting], hi[cutting], poly[cutting], axis))
+    return Rings(out.x, out.y, out.ring, r.feat[out.feat], out.ext)
+
+
+def cut_axis(r: Rings, lo: np.ndarray, hi: np.ndarray, poly: np.ndarray, axis: int) -> Rings:
+    """Each vertex contributes up to two points: itself if inside, and where the edge after it leaves, enters or
+    crosses the slab. Lines are cut where they leave; polygons' rings are closed again."""
+    n = len(r.x)
     size, of = r.sizes, r.of_vertex()
     v, w = (r.x, r.y) if axis == 0 else (r.y, r.x)
     k1, k2 = lo[of], hi[of]
@@ -155,30 +177,67 @@ def importance(r: Rings) -> np.ndarray:
     out[r.ring[:-1][full]] = out[r.ring[1:][full] - 1] = np.inf
     long = r.sizes > 2
     first, last = r.ring[:-1][long], r.ring[1:][long] - 1
+    if len(first):
+        split_all(r.x, r.y, first, last, out)
+    return out
+
+
+def split_all(px: np.ndarray, py: np.ndarray, first: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+    """Splits segments (first, last: numbers of vertices) level by level and writes each vertex's importance."""
     while len(first):
         inner = last - first - 1
         begin = np.cumsum(inner) - inner
         seg = np.repeat(np.arange(len(first)), inner)
-        v = np.arange(int(inner.sum())) - begin[seg] + first[seg] + 1
-        d = sq_distance(r.x[v], r.y[v], r.x[first[seg]], r.y[first[seg]], r.x[last[seg]], r.y[last[seg]])
-        d = np.where(np.isnan(d), 0.0, d)
+        v = np.arange(len(seg)) + np.repeat(first + 1 - begin, inner)
+        ax, ay = px[first], py[first]
+        dx, dy = px[last] - ax, py[last] - ay
+        d = distances(px[v], py[v], ax, ay, px[last], py[last], dx, dy, seg)
         most = np.maximum.reduceat(d, begin)
-        top = d == most[seg]
+        top = np.flatnonzero(d == most[seg])
+        of = seg[top]
         split = np.full(len(first), -1, I)
-        at = np.flatnonzero(top)[::-1]
-        split[seg[at]] = v[at]  # the first one, as later writes win
+        split[of[::-1]] = v[top[::-1]]  # the first one, as later writes win
         live = most > 0
-        for s in np.flatnonzero(live & (np.add.reduceat(top.astype(I), begin) > 1)):
-            lo, base = int(begin[s]), int(first[s])
-            split[s] = base + tied_split(d[lo : lo + int(inner[s])], 0, int(last[s]) - base)
+        if len(top) > len(first):  # somewhere several vertices are equally far
+            for s in np.flatnonzero(live & (np.bincount(of, minlength=len(first)) > 1)):
+                lo, base = int(begin[s]), int(first[s])
+                split[s] = base + tied_split(d[lo : lo + int(inner[s])], 0, int(last[s]) - base)
         first, last, split, most = first[live], last[live], split[live], most[live]
         out[split] = most
-        f, e = np.r_[first, split], np.r_[split, last]
-        more = e - f > 1
-        first, last = f[more], e[more]
-        o = np.argsort(first, kind="stable")
-        first, last = first[o], last[o]
-    return out
+        ends = np.stack([first, split, split, last], 1).reshape(-1, 2)
+        ends = ends[ends[:, 1] - ends[:, 0] > 1]
+        first, last = ends[:, 0], ends[:, 1]
+
+
+def distances(x, y, ax, ay, bx, by, dx, dy, seg) -> np.ndarray:
+    """Squared distances of vertices (x, y) from their segments (seg: numbers of segments; the rest by segment),
+    as sq_distance gives them; NaN counts as 0."""
+    d2 = dx * dx + dy * dy
+    x0, y0 = ax[seg], ay[seg]
+    sx, sy = dx[seg], dy[seg]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((x - x0) * sx + (y - y0) * sy) / d2[seg]
+        ex, ey = x - (x0 + sx * t), y - (y0 + sy * t)
+    before = np.flatnonzero(~(t > 0))
+    ex[before], ey[before] = x[before] - x0[before], y[before] - y0[before]
+    beyond = np.flatnonzero(t > 1)
+    if len(beyond):
+        # segments without length are points
+        k = seg[beyond]
+        line = (dx[k] != 0) | (dy[k] != 0)
+        ex[beyond] = x[beyond] - np.where(line, bx[k], ax[k])
+        ey[beyond] = y[beyond] - np.where(line, by[k], ay[k])
+    ex *= ex
+    ey *= ey
+    ex += ey
+    ex[np.isnan(ex)] = 0.0
+    return ex
+
+
+def box_areas(r: Rings) -> np.ndarray:
+    """Area of each ring's box."""
+    with np.errstate(invalid="ignore"):
+        return (extremes(r.x, r.ring, np.fmax, -np.inf) - extremes(r.x, r.ring, np.fmin, np.inf)) * (extremes(r.y, r.ring, np.fmax, -np.inf) - extremes(r.y, r.ring, np.fmin, np.inf))
 
 
 def simplify(r: Rings, sq_tol: np.ndarray, drop_flat: bool = True) -> Rings:
@@ -190,9 +249,7 @@ def simplify(r: Rings, sq_tol: np.ndarray, drop_flat: bool = True) -> Rings:
         return r
     if drop_flat:
         several = np.bincount(r.feat, minlength=len(sq_tol))[r.feat] > 1
-        with np.errstate(invalid="ignore"):
-            area = (extremes(r.x, r.ring, np.fmax, -np.inf) - extremes(r.x, r.ring, np.fmin, np.inf)) * (extremes(r.y, r.ring, np.fmax, -np.inf) - extremes(r.y, r.ring, np.fmin, np.inf))
-        small = on & several & (area < tol)
+        small = on & several & (box_areas(r) < tol)
         if small.any():
             r = r.take(~small)
             tol, on = sq_tol[r.feat], sq_tol[r.feat] > 0
@@ -213,17 +270,24 @@ def fix_exteriors(before: Rings, after: Rings, several_ext: np.ndarray) -> Rings
     return Rings(after.x, after.y, after.ring, after.feat, np.where(many, after.ext, lead))
 
 
+def signed_areas(r: Rings) -> np.ndarray:
+    """Sum of (xi - xj)(yi + yj) over each ring's vertices and their predecessors, the last one before the first."""
+    prev = np.arange(len(r.x)) - 1
+    full = r.sizes > 0
+    prev[r.ring[:-1][full]] = r.ring[1:][full] - 1
+    return sums((r.x - r.x[prev]) * (r.y + r.y[prev]), r.ring)
+
+
 def wind(r: Rings, poly: np.ndarray, winding: str = "reference") -> Rings:
     """Turns polygons' rings in the direction of their role."""
     if not len(r.x):
         return r
-    size, of = r.sizes, r.of_vertex()
-    prev = np.arange(len(r.x)) - 1
-    full = size > 0
-    prev[r.ring[:-1][full]] = r.ring[1:][full] - 1
-    area = sums((r.x - r.x[prev]) * (r.y + r.y[prev]), r.ring)
+    area = signed_areas(r)
     right = area > 0 if winding == "reference" else area < 0
     turn = (right != r.ext) & poly[r.feat]
+    if not turn.any():
+        return r
+    of = r.of_vertex()
     at = np.where(turn[of], (r.ring[:-1] + r.ring[1:] - 1)[of] - np.arange(len(r.x)), np.arange(len(r.x)))
     return Rings(r.x[at], r.y[at], r.ring, r.feat, r.ext)
 
@@ -248,15 +312,20 @@ def encode(r: Rings, poly: np.ndarray, features: int) -> tuple[np.ndarray, np.nd
     count = np.diff(ring)
     length = 2 * count + 2 + p
     at = np.r_[0, np.cumsum(length)]
-    out = np.zeros(int(at[-1]), I)
+    out = np.empty(int(at[-1]), I)
     if len(x):
-        dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+        delta = np.empty((len(x), 2), I)
+        delta[0] = x[0], y[0]
+        np.subtract(x[1:], x[:-1], out=delta[1:, 0])
+        np.subtract(y[1:], y[:-1], out=delta[1:, 1])
         lead = ring[:-1][np.r_[True, feat[1:] != feat[:-1]]]
-        dx[lead], dy[lead] = x[lead], y[lead]
-        of = np.repeat(np.arange(len(count)), count)
-        k = np.arange(len(x)) - ring[:-1][of]
-        place = at[:-1][of] + 1 + 2 * k + (k > 0)
-        out[place], out[place + 1] = dx << 1 ^ dx >> 63, dy << 1 ^ dy >> 63
+        delta[lead, 0], delta[lead, 1] = x[lead], y[lead]
+        np.bitwise_xor(delta << 1, delta >> 63, out=delta)
+        # commands stand before each ring's first and second point and after a polygon's last; all else are points
+        number = np.zeros(len(out), bool)
+        number[at[:-1]] = number[at[:-1] + 3] = True
+        number[at[1:][p] - 1] = True
+        out[~number] = delta.ravel()
         out[at[:-1]] = MOVE_TO | 1 << 3
         out[at[:-1] + 3] = LINE_TO | count - 1 << 3
         out[at[1:][p] - 1] = CLOSE_PATH | 1 << 3

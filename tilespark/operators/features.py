@@ -13,6 +13,8 @@ from tilespark.functions import geometry as g
 
 BOX = ("minx", "miny", "maxx", "maxy")
 CORE = ("fid", "geom_type", "rings", *BOX)
+#: What the builder of points says of the column geom_type.
+ONLY_POINTS = {"only": "points"}
 
 
 def from_points(df: DataFrame, fid: str, lon: str, lat: str) -> DataFrame:
@@ -20,7 +22,7 @@ def from_points(df: DataFrame, fid: str, lon: str, lat: str) -> DataFrame:
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     rings = F.array(F.struct(F.lit(True).alias("ext"), F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pts")))
     rest = [c for c in df.columns if c not in (fid, lon, lat)]
-    return df.select(F.col(fid).cast("long").alias("fid"), F.lit(g.POINT).alias("geom_type"), rings.alias("rings"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"), *rest)
+    return df.select(F.col(fid).cast("long").alias("fid"), F.lit(g.POINT).alias("geom_type", metadata=ONLY_POINTS), rings.alias("rings"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"), *rest)
 
 
 def from_vertices(df: DataFrame, geom_type: Column | int, ring: str | None = None, ext: str | None = None, vtx: str = "vtx", lon: str = "lon", lat: str = "lat", fid: str = "fid") -> DataFrame:
@@ -51,8 +53,19 @@ def property_columns(df: DataFrame, columns: tuple[str, ...] | None) -> list[tup
     return [(c, kinds[c]) for c in (columns if columns is not None else [c for c in df.columns if c not in CORE])]
 
 
+def only_points(df: DataFrame) -> bool:
+    """Whether the builder of these features says so."""
+    return df.schema["geom_type"].metadata == ONLY_POINTS
+
+
+def keys_of(df: DataFrame, columns: tuple[str, ...] | None) -> list[tuple[str, str]]:
+    """(name, type) of the properties that tiles carry: binary ones don't."""
+    return [(n, t) for n, t in property_columns(df, columns) if t != "binary"]
+
+
 def prepared(df: DataFrame, columns: tuple[str, ...] | None = None, id_col: str | None = None) -> DataFrame:
-    """fid, geom_type, the box, Mercator rings, props and id: all that tiles need, once a feature."""
+    """fid, geom_type, the box, Mercator rings, vals (texts of the properties) and id: all that tiles need, once
+    a feature."""
     df = with_box(df)
-    props = g.tags_of(property_columns(df, columns))
-    return df.select("fid", "geom_type", *BOX, g.project(F.col("rings")).alias("rings"), props.alias("props"), (F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("id"))
+    vals = g.value_texts(keys_of(df, columns))
+    return df.select("fid", "geom_type", *BOX, g.project(F.col("rings")).alias("rings"), vals.alias("vals"), (F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("id"))

@@ -109,3 +109,55 @@ def cover_join(features: DataFrame, tiles: DataFrame, buffer: int, extent: int,
         return theta_join(features, boxed, predicate)
     zooms = zooms or sorted(r[0] for r in tiles.select("z").distinct().collect())  # 31 at most
     return cell_join(features, boxed, zooms, predicate, F.lit(buffer / extent) if candidates == "buffered" else None)
+
+
+def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Features with the tiles of some zooms (of a box in degrees, or all) that they may appear in, without a
+    table of tiles: each feature names the tiles that its box meets. Rows are those of the result, and a few
+    beside tiles' edges, which the exact predicate removes."""
+    pad = F.lit(buffer / extent if candidates == "buffered" else 0.0) + F.lit(1e-6)
+    ranges = [_column_range(z, box) for z in zooms]
+    level = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), *(F.lit(v).cast("long").alias(c) for v, c in zip(r, ("x0", "y0", "x1", "y1"), strict=True))) for z, r in zip(zooms, ranges, strict=True)]))
+    ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
+    f = features.where(ok).withColumn("_l", level).withColumn("z", F.col("_l.z"))
+    n = tm.tiles_across("z").cast("double")
+
+    def run(low: Column, high: Column, first: str, last: str) -> Column:
+        a = F.greatest(F.floor(low * n - pad), F.col(f"_l.{first}"))
+        b = F.least(F.floor(high * n + pad), F.col(f"_l.{last}"))
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+    f = f.withColumn("x", F.explode(run(tm.project_x("minx"), tm.project_x("maxx"), "x0", "x1")))
+    f = f.withColumn("y", F.explode(run(tm.project_y("maxy"), tm.project_y("miny"), "y0", "y1"))).drop("_l")
+    return with_boxes(f, buffer, extent).where(meets() if candidates == "tile" else meets_buffered())
+
+
+def degrees_of(tiles: list[tuple[int, int, int]], pad: float = 0.0) -> tuple[float, float, float, float]:
+    """The box in degrees around some tiles, each widened by `pad` tiles, and a little for rounding."""
+
+    def lat(y: float, n: int) -> float:
+        return math.degrees(math.atan(math.sinh(min(max(math.pi - 2 * math.pi * y / n, -700.0), 700.0))))
+
+    boxes = [((x - pad) / n * 360 - 180, lat(y + 1 + pad, n), (x + 1 + pad) / n * 360 - 180, lat(y - pad, n)) for z, x, y in tiles for n in (1 << z,)]
+    return tuple(f(b[k] for b in boxes) + d for k, (f, d) in enumerate(((min, -1e-9), (min, -1e-9), (max, 1e-9), (max, 1e-9))))
+
+
+def widened(box: tuple[float, float, float, float], z: int, pad: float) -> tuple[float, float, float, float]:
+    """A box in degrees, wider by `pad` tiles of a zoom on each side (in latitude by as much as at the equator)."""
+    d = pad * 360 / (1 << z)
+    return box[0] - d, box[1] - d, box[2] + d, box[3] + d
+
+
+def around(zooms: list[int], box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """The box in degrees of all tiles of these zooms that a box meets: those of the lowest zoom hold the others."""
+    z = min(zooms)
+    x0, y0, x1, y1 = _column_range(z, box)
+    return degrees_of([(z, x0, y0), (z, x1, y1)])
+
+
+def within(features: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Features whose box meets a box in degrees, told by literals on the box columns, which sources can push
+    into their indexes and statistics."""
+    if box is None:
+        return features
+    return features.where((F.col("minx") <= box[2]) & (F.col("maxx") >= box[0]) & (F.col("miny") <= box[3]) & (F.col("maxy") >= box[1]))

@@ -1,7 +1,14 @@
-"""From features and tiles to encoded features, layers and tiles."""
+"""From features and tiles to encoded features, layers and tiles.
+
+Features become bytes where they are: their geometry is clipped, simplified, wound and encoded by the task that
+holds them. Only these bytes are dealt by tile and sorted, and a tile's task puts them in a row while they
+stream by. A tile is one binary value, of 2 GB at most, which bounds what such a task can meet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +17,14 @@ from pyspark.sql import functions as F
 from tilespark.functions import geometry as g
 from tilespark.functions import kernels, pbf
 from tilespark.functions import tilemath as tm
+from tilespark.functions.layers import Assembler
 from tilespark.options import Behaviour, Options
 
-FEATURE = "struct<fid:bigint,type:int,geometry:array<bigint>,props:array<struct<k:string,v:struct<t:string,s:string,d:double,i:bigint,b:boolean>>>,id:bigint>"
+#: Encoded features: geometry is commands (points) or their varints (lines and polygons); vals holds a text for
+#: each property of the layer, or null.
+ENCODED = "z int, x bigint, y bigint, ord int, fid bigint, kind int, cmds array<bigint>, geom binary, vals array<string>, id bigint"
+LAYERS = "z int, x bigint, y bigint, ord int, name string, extent int, keys array<string>, values array<struct<t:string,s:string,d:double,i:bigint,b:boolean>>, tags array<array<int>>, features array<struct<id:bigint,type:int,geometry:array<bigint>>>"
+TILES = "z int, x bigint, y bigint, pbf binary"
 
 
 def _flat(rings: pa.Array) -> kernels.Rings:
@@ -28,25 +40,18 @@ def _flat(rings: pa.Array) -> kernels.Rings:
     return kernels.Rings(get("x"), get("y"), at - at[0], feat, parts.field("ext").to_numpy(zero_copy_only=False).astype(bool))
 
 
-def command_udf(o: Options, b: Behaviour):
-    """Column of geometry commands of lines and polygons: clipped, simplified, quantised, wound and encoded
-    in one Arrow batch after another."""
+def commands_of(b: pa.RecordBatch, o: Options, behaviour: Behaviour) -> tuple[np.ndarray, np.ndarray]:
+    """Geometry commands of a batch of lines and polygons with their tiles, one after another, and where each
+    feature's begin: clipped, simplified, quantised, wound and encoded."""
     extent, buffer, tolerance = int(o.extent), float(o.buffer), float(o.tolerance)
-
-    @F.arrow_udf("array<bigint>")
-    def commands(rings: pa.Array, kind: pa.Array, z: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        r = _flat(rings)
-        kind, z, x, y = (np.asarray(v).astype(np.int64) for v in (kind, z, x, y))
-        n = (np.ones(len(z), np.int64) << z).astype(float)
-        k = buffer / extent
-        box = ((x - k) / n, (y - k) / n, (x + 1 + k) / n, (y + 1 + k) / n)
-        tol = (tolerance / (n * extent)) ** 2 if tolerance > 0 else np.zeros(len(z))
-        t = kernels.Tiles(z, x, y, np.full(len(z), float(extent)), box, tol)
-        poly = (kind == g.POLYGON) | (kind == g.MULTIPOLYGON)
-        values, begins = kernels.to_commands(r, poly, t, b.winding, b.drop_flat_parts)
-        return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values))
-
-    return commands
+    kind, z, x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("geom_type", "z", "x", "y"))
+    n = (np.ones(len(z), np.int64) << z).astype(float)
+    k = buffer / extent
+    box = ((x - k) / n, (y - k) / n, (x + 1 + k) / n, (y + 1 + k) / n)
+    tol = (tolerance / (n * extent)) ** 2 if tolerance > 0 else np.zeros(len(z))
+    t = kernels.Tiles(z, x, y, np.full(len(z), float(extent)), box, tol)
+    poly = (kind == g.POLYGON) | (kind == g.MULTIPOLYGON)
+    return kernels.to_commands(_flat(b.column("rings")), poly, t, behaviour.winding, behaviour.drop_flat_parts)
 
 
 def point_commands(rings: Column, o: Options) -> Column:
@@ -57,91 +62,85 @@ def point_commands(rings: Column, o: Options) -> Column:
     return g.encode_points(q)
 
 
-def encoded(pairs: DataFrame, o: Options, b: Behaviour = Behaviour(), kinds: set[int] | None = None) -> DataFrame:
-    """pairs (prepared features with their tile z, x, y) -> z, x, y, feature; features that leave nothing
-    in the tile are dropped. kinds: geometry types that occur, if known; points alone need no Python."""
+def encoded(pairs: DataFrame, o: Options, b: Behaviour = Behaviour(), ord_: int = 0, points_only: bool = False) -> DataFrame:
+    """pairs (prepared features with their tile z, x, y) -> ENCODED; features that leave nothing in the tile are
+    dropped. Points alone need no Python here."""
     kind = F.col("geom_type")
-    points, others = point_commands(F.col("rings"), o), None
-    if kinds is None or kinds - {g.POINT, g.MULTIPOINT}:
-        others = command_udf(o, b)(F.when(g.is_point(kind), F.array().cast(g.RINGS)).otherwise(F.col("rings")), kind, F.col("z"), F.col("x"), F.col("y"))
-    made = pairs.withColumn("geometry", points if others is None else F.when(g.is_point(kind), points).otherwise(others))
-    made = made.where(F.size("geometry") > 0)
-    return made.select("z", "x", "y", F.struct("fid", g.tile_type(kind).alias("type"), "geometry", "props", "id").alias("feature"))
-
-
-def grouped(rows: DataFrame) -> DataFrame:
-    """rows (z, x, y, ord, feature; a null feature stands for an empty layer) -> features of each layer in
-    their order. Dealt by tile, so that layers of a tile are neighbours and assembling it shuffles nothing."""
-    g1 = rows.repartition("z", "x", "y").groupBy("z", "x", "y", "ord")
-    return g1.agg(F.array_sort(F.collect_list("feature")).alias("features"))
-
-
-def dictionary(layers: DataFrame) -> DataFrame:
-    """Adds keys, values (in order of first appearance) and tags (pairs of indices, by feature) to layers
-    with features. In the JVM; a look-up is linear in the dictionary, so the tile encoder has its own."""
-    keys = F.array_distinct(F.flatten(F.transform("features", lambda f: F.transform(f["props"], lambda p: p["k"]))))
-    values = F.array_distinct(F.flatten(F.transform("features", lambda f: F.transform(f["props"], lambda p: p["v"]))))
-    place = lambda found, x: (F.array_position(found, x) - 1).cast("int")
-    pairs = lambda ks, vs: F.transform("features", lambda f: F.flatten(F.transform(f["props"], lambda p: F.array(place(ks, p["k"]), place(vs, p["v"])))))
-    return layers.withColumns({"keys": keys, "values": values, "tags": g.let(keys, lambda ks: g.let(values, lambda vs: pairs(ks, vs)))})
-
-
-def _lists(a: pa.Array) -> np.ndarray:
-    o = np.asarray(a.offsets).astype(np.int64)
-    return o - o[0]
-
-
-def layer_bytes(features: pa.Array, names: list[str], extents: list[int]) -> list[bytes]:
-    """Layer messages of a batch of layers. Varints of all geometry and the distinct values are made once for
-    the batch; a layer's dictionary is then a renumbering of the batch's."""
-    at = _lists(features)
-    f = features.flatten()
-    geom, props = f.field("geometry"), f.field("props")
-    raw, size = pbf.varints(geom.flatten().to_numpy(zero_copy_only=False))
-    ends = np.r_[0, np.cumsum(size)][_lists(geom)]
-    raw = raw.tobytes()
-    p_at, pairs = _lists(props), props.flatten()
-    v = pairs.field("v")
-    cols = {n: v.field(n).to_pylist() for n in "tsdib"}
+    none = F.array().cast("array<bigint>")
+    if points_only:
+        made = pairs.withColumn("cmds", point_commands(F.col("rings"), o)).where(F.size("cmds") > 0)
+        return made.select("z", "x", "y", F.lit(ord_).alias("ord"), "fid", F.lit(g.TILE_POINT).alias("kind"), "cmds", F.lit(b"").alias("geom"), "vals", "id")
+    points = F.when(g.is_point(kind), point_commands(F.col("rings"), o)).otherwise(none)
+    rings = F.when(g.is_point(kind), F.array().cast(g.RINGS)).otherwise(F.col("rings"))
+    rows = pairs.select("z", "x", "y", "fid", "geom_type", g.tile_type(kind).alias("kind"), points.alias("cmds"), rings.alias("rings"), "vals", "id")
+
+    def encode(batches):
+        for batch in batches:
+            values, at = commands_of(batch, o, b)
+            raw, size = pbf.varints(values)
+            ends = np.r_[0, np.cumsum(size)][at]
+            geom = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+            cmds = batch.column("cmds")
+            keep = pa.array((np.diff(at) > 0) | (np.diff(np.asarray(cmds.offsets)) > 0))
+            own = [batch.column(c) for c in ("z", "x", "y")]
+            out = [*own, pa.array(np.full(batch.num_rows, ord_, np.int32)), *(batch.column(c) for c in ("fid", "kind")), cmds, geom.cast(pa.binary()), batch.column("vals"), batch.column("id")]
+            yield pa.RecordBatch.from_arrays(out, names=["z", "x", "y", "ord", "fid", "kind", "cmds", "geom", "vals", "id"]).filter(keep)
+
+    return rows.mapInArrow(encode, ENCODED)
+
+
+def wanted(tiles: DataFrame) -> DataFrame:
+    """Rows that say that these tiles are wanted, whether or not there are features in them."""
+    null = lambda t: F.lit(None).cast(t)
+    none = F.array().cast("array<bigint>")
+    return tiles.select(F.col("z").cast("int"), "x", "y", F.lit(-1).alias("ord"), null("bigint").alias("fid"), null("int").alias("kind"), none.alias("cmds"), F.lit(b"").alias("geom"), F.array().cast("array<string>").alias("vals"), null("bigint").alias("id"))
+
+
+def assembled(rows: DataFrame, layers: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """ENCODED rows of all sources -> z, x, y, pbf. layers: (name, extent, keys) by ord; every tile has them all.
+    Features stand in the order of fid."""
+
+    def put(batches) -> Iterator[pa.RecordBatch]:
+        a = Assembler(layers)
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["z", "x", "y", "pbf"])
+
+        found: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for t in a.feed(batch):
+                found.append(t)
+                held += len(t[3])
+                if held > 1 << 24:
+                    yield out(found)
+                    found, held = [], 0
+        found += a.finish()
+        if found:
+            yield out(found)
+
+    dealt = rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "ord", "fid", "kind", "geom", "cmds")
+    return dealt.select("z", "x", "y", "ord", "kind", "cmds", "geom", "vals", "id").mapInArrow(put, TILES)
+
+
+def layers_of(tiles: DataFrame) -> DataFrame:
+    """The layers of tiles, read from their bytes: LAYERS."""
     pick = {"string": "s", "double": "d", "uint": "i", "int": "i", "bool": "b"}
-    codes: dict[tuple, int] = {}
-    made: list[bytes] = []
-    value_no = []
-    for k, t in enumerate(cols["t"]):
-        x = cols[pick[t]][k]
-        c = codes.get((t, x))
-        if c is None:
-            c = codes[t, x] = len(made)
-            made.append(pbf.value(t, x))
-        value_no.append(c)
-    key_list = pairs.field("k").to_pylist()
-    kinds, ids = f.field("type").to_pylist(), f.field("id").to_pylist()
-    out = []
-    for row in range(len(at) - 1):
-        keys: dict[str, int] = {}
-        values: dict[int, int] = {}
-        rows = []
-        for i in range(int(at[row]), int(at[row + 1])):
-            tags: list[int] = []
-            for q in range(int(p_at[i]), int(p_at[i + 1])):
-                tags += keys.setdefault(key_list[q], len(keys)), values.setdefault(value_no[q], len(values))
-            tag_bytes = bytes(tags) if not tags or max(tags) < 128 else b"".join(map(pbf.varint, tags))
-            rows.append(pbf.feature(raw[ends[i] : ends[i + 1]], kinds[i], tag_bytes, ids[i]))
-        out.append(pbf.layer(names[row], extents[row], keys, [made[c] for c in values], rows))
-    return out
-
-
-def layer_pbf(features: Column | str, name: Column | str, extent: Column | str) -> Column:
-    """A layer's message from its features."""
-
-    @F.arrow_udf("binary")
-    def encode(features: pa.Array, names: pa.Array, extents: pa.Array) -> pa.Array:
-        return pa.array(layer_bytes(features, names.to_pylist(), extents.to_pylist()), pa.binary())
-
-    return encode(features, name, extent)
-
-
-def assembled(layers: DataFrame) -> DataFrame:
-    """layers (z, x, y, ord, pbf) -> tiles: the layers' bytes in order of their sources."""
-    t = layers.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ord", "pbf"))).alias("parts"))
-    return t.select("z", "x", "y", F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["pbf"])).alias("pbf"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(LAYERS))
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for z, x, y, raw in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "pbf")), strict=True):
+                for ord_, lay in enumerate(pbf.decode(raw)):
+                    values = [{"t": t, "s": None, "d": None, "i": None, "b": None} | {pick[t]: v} for t, v in lay["values"]]
+                    features = [{"id": f["id"], "type": f["type"], "geometry": f["commands"]} for f in lay["features"]]
+                    rows.append((z, x, y, ord_, lay["name"], lay["extent"], lay["keys"], values, [f["tags"] for f in lay["features"]], features))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+
+    return tiles.mapInArrow(read, LAYERS)

@@ -38,6 +38,11 @@ class Source:
     columns: tuple[str, ...] | None = field(default=None)
     #: A column that gives features their id in the tile.
     id_col: str | None = None
+    #: Options of the reader of a file: connector, headers, retries and others (see sources.ranges.reader_for).
+    reading: dict[str, Any] | None = None
+    #: Whether features are dealt to all tasks before tiles are made: needed where a source has few files or
+    #: few tasks, a shuffle to spare where it has many.
+    deal: bool = True
 
 
 @dataclass(frozen=True)

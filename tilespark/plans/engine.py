@@ -7,12 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.functions import geometry as g
 from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
 from tilespark.operators import grid, tiles
 from tilespark.options import Behaviour, Options, Source, resolve
 
+Box = tuple[float, float, float, float]
 #: Fixed value: bounds where no source knows its own.
 WORLD = (-180.0, -85.0511, 180.0, 85.0511)
 
@@ -37,80 +37,93 @@ class TileEngine:
         return resolve(s.options, self.request)
 
     def features(self, s: Source) -> DataFrame:
-        """A source's features; files are read through the flatgeobuf reader."""
+        """A source's features; files are read through the flatgeobuf reader, with the source's connector."""
         if s.name not in self._frames:
             df = s.data
             if isinstance(df, str):
                 from tilespark.sources.flatgeobuf import read
 
-                df = read(self.spark, df, strict_index=self.behaviour.strict_index)
+                df = read(self.spark, df, strict_index=self.behaviour.strict_index, **(s.reading or {}))
             self._frames[s.name] = df
         return self._frames[s.name]
 
-    def encoded(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
-        """z, x, y, ord, feature of all sources. Sources outside their zooms aren't read at all where zooms
-        are known."""
+    def prepared(self, s: Source, box: Box | None, deal: bool) -> DataFrame:
+        """A source's features in or around a box, ready for tiles. The box reaches the source's index. deal: all
+        tasks get features, however few files there are."""
+        f = grid.within(ft.with_box(self.features(s)), box)
+        f = ft.prepared(f, s.columns, s.id_col)
+        return f.repartition("fid") if deal and s.deal else f
+
+    def encoded(self, grid_tiles: DataFrame | None, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None, box: Box | None = None) -> DataFrame:
+        """Encoded features of all sources with their tiles (tiles.ENCODED). Without a table of tiles: all tiles of
+        the zooms, or those that a box meets, in which there are features. around: a box in degrees with all these
+        tiles, if known. Sources outside their zooms aren't read at all where zooms are known."""
         out = None
         for ord_, s in enumerate(self.sources):
             o = self.options(s)
             own = [z for z in zooms if o.min_zoom <= z <= o.max_zoom] if zooms is not None else None
             if own == []:
                 continue
-            t = grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom))
-            f = ft.prepared(self.features(s), s.columns, s.id_col)
-            pairs = grid.cover_join(f, t, o.buffer, o.extent, self.behaviour.candidates, own, few)
-            rows = tiles.encoded(pairs, o, self.behaviour, self.kinds(s)).withColumn("ord", F.lit(ord_))
+            buffered = self.behaviour.candidates == "buffered"
+            # a tile's buffer widens the box by as much as a tile of the lowest zoom
+            near = around if around is None or not buffered else grid.widened(around, min(own or [0]), o.buffer / o.extent)
+            f = self.prepared(s, near, not few)
+            if grid_tiles is None:
+                pairs = grid.own_tiles(f, own, self.behaviour.candidates, o.buffer, o.extent, box)
+            else:
+                pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, self.behaviour.candidates, own, few)
+            rows = tiles.encoded(pairs, o, self.behaviour, ord_, ft.only_points(self.features(s)))
             out = rows if out is None else out.unionByName(rows)
-        return out if out is not None else self.spark.createDataFrame([], f"z int, x long, y long, feature {tiles.FEATURE}, ord int")
+        return out if out is not None else self.spark.createDataFrame([], tiles.ENCODED)
 
-    def kinds(self, s: Source) -> set[int] | None:
-        """Geometry types of a source where the plan tells them: a constant column."""
-        df = self.features(s)
-        project = df.select("geom_type").limit(0)._jdf.queryExecution().optimizedPlan().toString()
-        return {g.POINT} if project.startswith("LocalRelation") and _constant(df) == g.POINT else None
+    def named(self) -> list[tuple[str, int, list[str]]]:
+        """Name, extent and keys of each layer."""
+        return [(s.name, self.options(s).extent, [n for n, _ in ft.keys_of(self.features(s), s.columns)]) for s in self.sources]
 
-    def layers(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
-        """z, x, y, ord, features of each tile and source, empty layers included."""
+    def counts(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
+        """z, x, y, ord, n: how many features each layer of each tile has, empty layers included. Features that leave
+        nothing in a tile don't count, so geometry is built, but not gathered."""
         ords = F.array(*[F.lit(i) for i in range(len(self.sources))])
-        bare = grid_tiles.select("z", "x", "y").distinct().select("z", "x", "y", F.lit(None).cast(tiles.FEATURE).alias("feature"), F.explode(ords).alias("ord"))
-        return tiles.grouped(self.encoded(grid_tiles, few, zooms).unionByName(bare))
+        bare = grid_tiles.select("z", "x", "y", F.explode(ords).alias("ord"), F.lit(0).alias("one"))
+        found = self.encoded(grid_tiles, few, zooms).select("z", "x", "y", "ord", F.lit(1).alias("one"))
+        return found.unionByName(bare).groupBy("z", "x", "y", "ord").agg(F.sum("one").alias("n"))
 
     def layer_structs(self, grid_tiles: DataFrame) -> DataFrame:
-        """Layers for inspection, before they become bytes: name, extent, features, keys, values, tags."""
-        return tiles.dictionary(self.named(self.layers(grid_tiles)))
+        """Layers for inspection, read from the tiles' bytes: name, extent, features, keys, values, tags."""
+        return tiles.layers_of(self.tiles(grid_tiles))
 
-    def named(self, layers: DataFrame) -> DataFrame:
-        at = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("ord") + 1)
-        return layers.withColumn("name", at([s.name for s in self.sources])).withColumn("extent", at([self.options(s).extent for s in self.sources]))
-
-    def tiles(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
+    def tiles(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None) -> DataFrame:
         """z, x, y, pbf of each tile; a layer for each source, in their order."""
-        named = self.named(self.layers(grid_tiles, few, zooms))
-        blobs = named.select("z", "x", "y", "ord", tiles.layer_pbf("features", "name", "extent").alias("pbf"))
-        return tiles.assembled(blobs)
+        return tiles.assembled(self.encoded(grid_tiles, few, zooms, around).unionByName(tiles.wanted(grid_tiles)), self.named())
 
     def tile(self, z: int, x: int, y: int) -> bytes:
-        """One tile, now."""
+        """One tile, now. Sources read what its box meets."""
         tm.check_tile(z, x, y)
-        rows = self.tiles(grid.tiles_frame(self.spark, [(z, x, y)]), few=True, zooms=[z]).collect()
+        rows = self.tile_list([(z, x, y)]).collect()
         return bytes(rows[0]["pbf"]) if rows else b""
 
     def tile_list(self, wanted: list[tuple[int, int, int]]) -> DataFrame:
-        return self.tiles(grid.tiles_frame(self.spark, wanted), few=len(wanted) <= grid.FEW_TILES, zooms=sorted({t[0] for t in wanted}))
+        found = grid.tiles_frame(self.spark, wanted)
+        return self.tiles(found, few=len(wanted) <= grid.FEW_TILES, zooms=sorted({t[0] for t in wanted}), around=grid.degrees_of(wanted) if wanted else None)
 
-    def pyramid(self, min_zoom: int, max_zoom: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-        """All tiles of some zooms in one job."""
-        return self.tiles(grid.pyramid(self.spark, min_zoom, max_zoom, box), few=False, zooms=list(range(min_zoom, max_zoom + 1)))
+    def pyramid(self, min_zoom: int, max_zoom: int, box: Box | None = None, empty: bool = True) -> DataFrame:
+        """All tiles of some zooms in one job; with empty=False those alone in which there are features, which is
+        what deep zooms need: the work then follows the features and not the number of tiles."""
+        zooms = list(range(min_zoom, max_zoom + 1))
+        every = grid.pyramid(self.spark, min_zoom, max_zoom, box)
+        rows = self.encoded(None, False, zooms, None if box is None else grid.around(zooms, box), box)
+        return tiles.assembled(rows.unionByName(tiles.wanted(every)) if empty else rows, self.named())
 
     def tilejson_frame(self) -> DataFrame:
-        """Metadata in one row: tilejson, bounds, minzoom, maxzoom, vector_layers. Bounds are aggregated by the
-        executors; fields come from schemas."""
+        """Metadata in one row: tilejson, bounds, minzoom, maxzoom, vector_layers. Bounds of files come from their
+        headers; those of other sources are aggregated by the executors. Fields come from schemas."""
         boxes, layers = None, []
         for s in self.sources:
             df, o = self.features(s), self.options(s)
             fields = {n: type_label(t) for n, t in ft.property_columns(df, s.columns)}
             layers.append({"id": s.name, "fields": fields, "minzoom": o.min_zoom, "maxzoom": o.max_zoom})
-            b = ft.with_box(df).select(*ft.BOX)
+            known = self.header_box(s)
+            b = ft.with_box(df).select(*ft.BOX) if known is None else self.spark.createDataFrame([known], ", ".join(f"{c} double" for c in ft.BOX))
             boxes = b if boxes is None else boxes.unionByName(b)
         low, high = min((v["minzoom"] for v in layers), default=0), max((v["maxzoom"] for v in layers), default=0)
         agg = boxes.agg(*[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in ft.BOX])
@@ -118,6 +131,14 @@ class TileEngine:
         # a greatest zoom of 0 is reported as 24
         return agg.select(F.lit("3.0.0").alias("tilejson"), F.array(*bounds).alias("bounds"), F.lit(low).alias("minzoom"), F.lit(high or 24).alias("maxzoom"), F.lit(json.dumps(layers)).alias("vector_layers"))
 
+    def header_box(self, s: Source) -> Box | None:
+        """The box that a file's header gives, or None."""
+        if not isinstance(s.data, str):
+            return None
+        from tilespark.sources.flatgeobuf import header_of
+
+        return header_of(s.data, s.reading or {}).box
+
     def tilejson(self) -> dict:
         if not self.sources:
             return {"tilejson": "3.0.0", "bounds": list(WORLD), "minzoom": 0, "maxzoom": 24, "vector_layers": []}
@@ -125,11 +146,8 @@ class TileEngine:
         return {"tilejson": r["tilejson"], "bounds": list(r["bounds"]), "minzoom": r["minzoom"], "maxzoom": r["maxzoom"], "vector_layers": json.loads(r["vector_layers"])}
 
     def close(self) -> None:
-        """Forgets what was read; the engine can be used again."""
-        self._frames.clear()
-
+        """Forgets what was read, headers too; the engine can be used again."""
+        from tilespark.sources.flatgeobuf import forget
 
-def _constant(df: DataFrame) -> int | None:
-    """The value of geom_type if the analysed plan makes it a literal."""
-    plan = df.select("geom_type")._jdf.queryExecution().analyzed().toString()
-    return g.POINT if f"{g.POINT} AS geom_type#" in plan and plan.count("AS geom_type#") == 1 else None
+        self._frames.clear()
+        forget()

@@ -225,33 +225,12 @@ def exploded(df: DataFrame, rings: str = "rings") -> DataFrame:
     return r.select("fid", "ring", "vtx", r9(F.col("p.x")).alias("x"), r9(F.col("p.y")).alias("y"))
 
 
-def clipped_natively(spark, d, axes: str) -> DataFrame:
-    """Polygons' vertices after clipping in the JVM; ring numbers are those before."""
-    rings = F.expr("transform(rings, (r, i) -> struct(i as ring, r.pts as pts))")
-    df = polys(spark, d).select("fid", F.explode(rings).alias("r")).select("fid", "r.ring", "r.pts")
-    for axis in axes:
-        lo, hi = (CLIP[0], CLIP[2]) if axis == "x" else (CLIP[1], CLIP[3])
-        df = df.withColumn("pts", g.clip_ring_axis(F.col("pts"), F.lit(lo), F.lit(hi), axis)).where(F.size("pts") > 0)
-    v = df.select("fid", "ring", F.posexplode("pts").alias("vtx", "p"))
-    return v.select("fid", "ring", "vtx", r9(F.col("p.x")).alias("x"), r9(F.col("p.y")).alias("y"))
-
-
 #: Rings renumbered without gaps, as arrays have them.
 GR = "gr as (select fid, dense_rank() over (partition by fid order by ring)-1 as ring, vtx, lon as x, lat as y, ext from g)"
 
 
-@query("clip_polygon_slab_x", f"with {G}, {GR}, {slab('gr', 'c1', CLIP[0], CLIP[2], 'x', True)} {VERTEX} c1")
-def clip_polygon_slab_x(spark, d):
-    return clipped_natively(spark, d, "x")
-
-
-@query("clip_polygon_box", f"with {G}, {GR}, {slab('gr', 'c1', CLIP[0], CLIP[2], 'x', True)}, {slab('c1', 'c2', CLIP[1], CLIP[3], 'y', True)} {VERTEX} c2")
-def clip_polygon_box(spark, d):
-    return clipped_natively(spark, d, "xy")
-
-
-def by_kernel(df: DataFrame, work) -> DataFrame:
-    """fid and rings through an array kernel (Rings, number of features) -> Rings."""
+def by_kernel(df: DataFrame, work, keys: tuple[str, ...] = ("fid",)) -> DataFrame:
+    """The keys and rings through an array kernel (Rings, number of features) -> Rings."""
 
     def run(batches):
         for b in batches:
@@ -261,9 +240,48 @@ def by_kernel(df: DataFrame, work) -> DataFrame:
             pts = pa.ListArray.from_arrays(pa.array(out.ring.astype(np.int32)), xy)
             at = np.searchsorted(out.feat, np.arange(b.num_rows + 1)).astype(np.int32)
             rings = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(out.ext.astype(bool)), pts], ["ext", "pts"]))
-            yield pa.RecordBatch.from_arrays([b.column("fid"), rings], names=["fid", "rings"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), rings], names=[*keys, "rings"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keys, "rings").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"rings {g.RINGS}"]))
+
+
+def a_ring_a_row(df: DataFrame) -> DataFrame:
+    """fid, ring (its number) and rings, which holds this ring alone."""
+    return df.select("fid", F.posexplode("rings").alias("ring", "r")).select("fid", "ring", F.array("r").alias("rings"))
+
+
+def ring_values(df: DataFrame, work) -> DataFrame:
+    """fid, ring, v: a number for each ring from a kernel."""
+
+    def put(r, n):
+        return kernels.Rings(work(r).astype(float), np.zeros(n), np.arange(n + 1), np.arange(n), np.ones(n, bool))
+
+    return by_kernel(a_ring_a_row(df), put, ("fid", "ring")).select("fid", "ring", F.col("rings")[0]["pts"][0]["x"].alias("v"))
+
+
+def clipped_polys(spark, d, axes: str) -> DataFrame:
+    """Polygons' vertices after clipping; ring numbers are those before."""
+
+    def cut(r, n):
+        for k, axis in enumerate("xy"):
+            if axis in axes:
+                r = kernels.clip_axis(r, np.full(len(r.feat), CLIP[k]), np.full(len(r.feat), CLIP[k + 2]), np.ones(len(r.feat), bool), k)
+        return r
+
+    v = by_kernel(a_ring_a_row(polys(spark, d)), cut, ("fid", "ring")).select("fid", "ring", F.explode("rings").alias("r"))
+    v = v.select("fid", "ring", F.posexplode("r.pts").alias("vtx", "p"))
+    return v.select("fid", "ring", "vtx", r9(F.col("p.x")).alias("x"), r9(F.col("p.y")).alias("y"))
 
-    return df.select("fid", "rings").mapInArrow(run, f"fid bigint, rings {g.RINGS}")
+
+@query("clip_polygon_slab_x", f"with {G}, {GR}, {slab('gr', 'c1', CLIP[0], CLIP[2], 'x', True)} {VERTEX} c1")
+def clip_polygon_slab_x(spark, d):
+    return clipped_polys(spark, d, "x")
+
+
+@query("clip_polygon_box", f"with {G}, {GR}, {slab('gr', 'c1', CLIP[0], CLIP[2], 'x', True)}, {slab('c1', 'c2', CLIP[1], CLIP[3], 'y', True)} {VERTEX} c2")
+def clip_polygon_box(spark, d):
+    return clipped_polys(spark, d, "xy")
 
 
 #: The same lines, each beside its own origin, so that one box cuts all of them.
@@ -318,8 +336,7 @@ for _z in (2, 6, 8):
 
 @query("ring_too_small", f"with {G}, {GR} select fid, cast(ring as int) as ring, (max(x)-min(x))*(max(y)-min(y))<0.04e0 as small from gr group by fid, ring")
 def ring_too_small(spark, d):
-    r = polys(spark, d).select("fid", F.posexplode("rings").alias("ring", "r"))
-    return r.select("fid", "ring", g.ring_too_small(F.col("r.pts"), F.lit(0.04)).alias("small"))
+    return ring_values(polys(spark, d), lambda r: kernels.box_areas(r) < 0.04).select("fid", "ring", (F.col("v") == 1).alias("small"))
 
 
 #: Vertices in whole thousandths of a degree, y down, and the signed area of rings.
@@ -328,13 +345,13 @@ AREA = "ga as (select *, count(*) over (partition by fid,ring) as n, coalesce(la
 
 
 def whole_polys(spark, d) -> DataFrame:
-    pt = lambda p: F.struct(F.floor(p["x"] * 1000 + 0.5).cast("long").alias("x"), F.floor(-p["y"] * 1000 + 0.5).cast("long").alias("y"))
+    pt = lambda p: F.struct(F.floor(p["x"] * 1000 + 0.5).cast("double").alias("x"), F.floor(-p["y"] * 1000 + 0.5).cast("double").alias("y"))
     return polys(spark, d).select("fid", F.transform("rings", lambda r: F.struct(r["ext"].alias("ext"), F.transform(r["pts"], pt).alias("pts"))).alias("rings"))
 
 
 @query("signed_area_rings", f"with {G}, {GR}, {WHOLE}, {AREA} select fid, cast(ring as int) as ring, area from gs")
 def signed_area_rings(spark, d):
-    return whole_polys(spark, d).select("fid", F.posexplode("rings").alias("ring", "r")).select("fid", "ring", g.signed_area(F.col("r.pts")).alias("area"))
+    return ring_values(whole_polys(spark, d), kernels.signed_areas).withColumnRenamed("v", "area")
 
 
 WOUND = "gw as (select i.fid, i.ring, case when (s.area>0)<>s.ext then count(*) over (partition by i.fid,i.ring)-1-i.vtx else i.vtx end as vtx, i.x, i.y from gi i join gs s on i.fid=s.fid and i.ring=s.ring)"
@@ -342,8 +359,23 @@ WOUND = "gw as (select i.fid, i.ring, case when (s.area>0)<>s.ext then count(*)
 
 @query("correct_winding", f"with {G}, {GR}, {WHOLE}, {AREA}, {WOUND} select fid, cast(ring as int) as ring, cast(vtx as int) as vtx, x, y from gw")
 def correct_winding(spark, d):
-    r = whole_polys(spark, d).select("fid", F.posexplode("rings").alias("ring", "r"))
-    return r.select("fid", "ring", F.posexplode(g.wound(F.col("r.pts"), F.col("r.ext"))).alias("vtx", "p")).select("fid", "ring", "vtx", "p.x", "p.y")
+    turned = by_kernel(whole_polys(spark, d), lambda r, n: kernels.wind(r, np.ones(n, bool)))
+    v = turned.select("fid", F.posexplode("rings").alias("ring", "r")).select("fid", "ring", F.posexplode("r.pts").alias("vtx", "p"))
+    return v.select("fid", "ring", "vtx", F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
+
+
+def commands(df: DataFrame, poly: bool) -> DataFrame:
+    """fid and the commands of whole-numbered rings, as a text; features without commands vanish."""
+
+    def run(batches):
+        for b in batches:
+            r = _flat(b.column("rings"))
+            whole = kernels.Rings(r.x.astype(np.int64), r.y.astype(np.int64), r.ring, r.feat, r.ext)
+            values, at = kernels.encode(whole, np.full(b.num_rows, poly), b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("fid"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))], names=["fid", "c"])
+
+    found = df.select("fid", F.col("rings").cast(g.RINGS).alias("rings")).mapInArrow(run, "fid bigint, c array<bigint>")
+    return found.where(F.size("c") > 0).select("fid", F.array_join(F.col("c").cast("array<string>"), ",").alias("commands"))
 
 
 def zig(e: str) -> str:
@@ -354,17 +386,15 @@ def zig(e: str) -> str:
 ld as (select fid, vtx, x-lag(x,1,0) over w as dx, y-lag(y,1,0) over w as dy, count(*) over (partition by fid) as n from li window w as (partition by fid order by vtx))
 select fid, string_agg(case vtx when 0 then '9,' when 1 then cast((n-1)*8+2 as varchar)||',' else '' end||{zig('dx')}||','||{zig('dy')}, ',' order by vtx) as commands from ld where n>=2 group by fid""")
 def encode_line_commands(spark, d):
-    pt = lambda p: F.struct(F.floor(p["x"] * 1000 + 0.5).cast("long").alias("x"), F.floor(p["y"] * 1000 + 0.5).cast("long").alias("y"))
-    parts = F.transform("rings", lambda r: F.transform(r["pts"], pt))
-    return lines(spark, d).select("fid", F.array_join(g.encode_lines(parts).cast("array<string>"), ",").alias("commands")).where("commands <> ''")
+    pt = lambda p: F.struct(F.floor(p["x"] * 1000 + 0.5).alias("x"), F.floor(p["y"] * 1000 + 0.5).alias("y"))
+    return commands(lines(spark, d).select("fid", F.transform("rings", lambda r: F.struct(r["ext"].alias("ext"), F.transform(r["pts"], pt).alias("pts"))).alias("rings")), False)
 
 
 @query("encode_polygon_commands", f"""with {G}, {GR}, {WHOLE}, gn as (select *, count(*) over (partition by fid,ring) as n from gi),
 gd as (select fid, ring, vtx, n, x-lag(x,1,0) over w as dx, y-lag(y,1,0) over w as dy from gn where vtx<n-1 window w as (partition by fid order by ring,vtx))
 select fid, string_agg(case vtx when 0 then '9,' when 1 then cast((n-2)*8+2 as varchar)||',' else '' end||{zig('dx')}||','||{zig('dy')}||case when vtx=n-2 then ',15' else '' end, ',' order by ring,vtx) as commands from gd group by fid""")
 def encode_polygon_commands(spark, d):
-    parts = F.transform("rings", lambda r: r["pts"])
-    return whole_polys(spark, d).select("fid", F.array_join(g.encode_polygons(parts).cast("array<string>"), ",").alias("commands"))
+    return commands(whole_polys(spark, d), True)
 
 
 # dictionaries: one layer of all orders, properties in the order status, priority, flag, cost, level
@@ -379,20 +409,29 @@ ks as (select k, row_number() over (order by min(fid*8+po))-1 as i from kv1 grou
 vs as (select t, v, row_number() over (order by min(fid*8+po))-1 as i from kv1 group by t, v)"""
 
 
-def property_layer(spark, d) -> DataFrame:
-    o = fx.table(spark, d, "orders").select(
+def property_rows(spark, d) -> DataFrame:
+    return fx.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("fid"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority"),
         (F.col("o_totalprice") > 2e5).alias("flag"), F.floor(F.col("o_totalprice") / 5e3).cast("double").alias("cost"), (-(F.col("o_custkey") % 50)).alias("level"),
     )
+
+
+def property_layer(spark, d) -> DataFrame:
+    o = property_rows(spark, d)
     return o.select("fid", g.tags_of([(n, t) for n, t in o.dtypes if n != "fid"]).alias("props"))
 
 
 def one_layer(spark, d) -> DataFrame:
-    return tiles.dictionary(property_layer(spark, d).agg(F.array_sort(F.collect_list(F.struct("fid", "props"))).alias("features")))
+    """All orders as one layer of one tile, encoded as tiles are and read from its bytes."""
+    o = property_rows(spark, d)
+    keys = [(n, t) for n, t in o.dtypes if n != "fid"]
+    at = [F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("ord")]
+    rows = o.select(*at, "fid", F.lit(1).alias("kind"), F.array(F.lit(9), F.lit(0), F.lit(0)).cast("array<bigint>").alias("cmds"), F.lit(b"").alias("geom"), g.value_texts(keys).alias("vals"), F.col("fid").alias("id"))
+    return tiles.layers_of(tiles.assembled(rows, [("orders", 4096, [n for n, _ in keys])]))
 
 
-def value_text():
-    return F.coalesce("v.s", F.col("v.i").cast("string"), F.col("v.b").cast("string"))
+def value_text(v: str = "v"):
+    return F.coalesce(f"{v}.s", F.col(f"{v}.i").cast("string"), F.col(f"{v}.b").cast("string"))
 
 
 @query("layer_keys", f"with {PROPS} select cast(i as int) as i, k from ks")
@@ -408,7 +447,7 @@ def layer_values(spark, d):
 @query("feature_tags", f"with {PROPS} select a.fid, string_agg(ks.i||','||vs.i, ',' order by a.po) as tags from kv1 a join ks using (k) join vs on a.t=vs.t and a.v=vs.v group by a.fid")
 def feature_tags(spark, d):
     z = one_layer(spark, d).select(F.explode(F.arrays_zip("features", "tags")).alias("e"))
-    return z.select("e.features.fid", F.array_join(F.col("e.tags").cast("array<string>"), ",").alias("tags"))
+    return z.select(F.col("e.features.id").alias("fid"), F.array_join(F.col("e.tags").cast("array<string>"), ",").alias("tags"))
 
 
 @query("value_type_histogram", f"with {PROPS} select k, t, count(*) as n, count(distinct v) as distinct_values from kv1 group by k, t")
@@ -428,27 +467,27 @@ names as (select 0 as ord, 'points' as layer union all select 1, 'polys')"""
 
 def counted(layers: DataFrame, names: list[str]) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, names)), F.col("ord") + 1)
-    return layers.select("z", "x", "y", name.alias("layer"), F.size("features").cast("long").alias("n"))
+    return layers.select("z", "x", "y", name.alias("layer"), F.col("n").cast("long").alias("n"))
 
 
 @query("tile_layer_counts", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 group by z,x,y,names.layer")
 def tile_layer_counts(spark, d):
     e = engine(spark, d, tolerance=0)
-    return counted(e.layers(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
+    return counted(e.counts(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
 
 
 @query("multi_source_layers", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from (select * from tb where z=3 and x<2) tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer")
 def multi_source_layers(spark, d):
     """Polygons only from zoom 4 on: their layer is there, and empty."""
     e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
-    return counted(e.layers(fx.view(spark, d, fx.TILES).where("z=3 and x<2"), few=True, zooms=[3]), ["points", "polys"])
+    return counted(e.counts(fx.view(spark, d, fx.TILES).where("z=3 and x<2"), few=True, zooms=[3]), ["points", "polys"])
 
 
 @query("multi_source_layers_all", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer")
 def multi_source_layers_all(spark, d):
     """The same on every tile of the grid."""
     e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
-    return counted(e.layers(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
+    return counted(e.counts(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
 
 
 CASCADE = """src(ordinal, extent, buffer, tolerance, min_zoom, max_zoom) as (values (0, null, null, 5, null, null), (1, 512, 0, null, 3, 9), (2, null, 128, 0, 2, null))"""

@@ -10,9 +10,11 @@ end of the file. Malformed features end their range (PERMISSIVE) or raise (FAILF
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from tilespark.functions import geometry as g
-from tilespark.sources.ranges import GAP, reader_for
+from tilespark.sources.ranges import GAP, packed_options, reader_for
 
 #: Fixed values of the format: first bytes, column types in order, and fields of its tables.
 MAGIC = b"fgb\x03fgb"
@@ -107,8 +109,28 @@ class Header:
         return f"fid bigint, geom_type int, rings {g.RINGS}, minx double, miny double, maxx double, maxy double{props}"
 
 
-def read_header(path: str, single_root: bool = True, **options) -> Header:
-    r = reader_for(path, **options)
+#: Headers that this process has read, by path and options.
+_headers: dict[tuple, Header] = {}
+
+
+def header_of(path: str, options: dict | None = None) -> Header:
+    """The header of a file, read once in a process for each path (while a local file doesn't change) and options."""
+    packed = packed_options(path, options or {})
+    local = path.removeprefix("file://")
+    state = (os.stat(local).st_mtime_ns, os.path.getsize(local)) if os.path.exists(local) else None
+    key = (path, state, tuple(sorted(packed.items())))
+    if key not in _headers:
+        _headers[key] = read_header(path, packed.get("single_root", "true") == "true", packed)
+    return _headers[key]
+
+
+def forget() -> None:
+    """Files are looked at anew."""
+    _headers.clear()
+
+
+def read_header(path: str, single_root: bool = True, options: dict[str, str] | None = None) -> Header:
+    r = reader_for(path, options)
     head = r.read(path, 0, 12)
     if len(head) < 8 or head[:7] != MAGIC:
         raise ValueError(f"{path} isn't a FlatGeobuf file")
@@ -187,16 +209,26 @@ def properties(raw: bytes, columns: list[tuple[str, str]]) -> list:
     return out
 
 
+def rings_array(features: tuple[list[tuple[bool, np.ndarray]], ...]) -> pa.Array:
+    """Rings of many features as one nested column."""
+    parts = [r for rings in features for r in rings]
+    xy = np.concatenate([np.zeros((0, 2)), *(p for _, p in parts)])
+    pts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], ["x", "y"])
+    ends = np.r_[0, np.cumsum([len(p) for _, p in parts])].astype(np.int32)
+    rings = pa.StructArray.from_arrays([pa.array([e for e, _ in parts], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pts)], ["ext", "pts"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(f) for f in features])].astype(np.int32)), rings)
+
+
 @dataclass
 class Run:
     """A run of bytes: where, how long (-1: to the end), the number of the first feature there, the numbers
-    wanted and the boxes of all features of the run by the index (None: all, no boxes)."""
+    wanted and the boxes of all features of the run by the index (a row each; None: all, no boxes)."""
 
     offset: int
     length: int
     first: int
-    wanted: list[int] | None = None
-    boxes: list[tuple[float, ...]] | None = None
+    wanted: np.ndarray | None = None
+    boxes: np.ndarray | None = None
 
 
 @dataclass
@@ -214,7 +246,8 @@ class Reader(DataSourceReader):
         self.per_partition = int(options.get("partition_bytes", 32 << 20))
         self.limit = int(options.get("max_features", 0))
         self.names = [f.name for f in schema.fields]
-        self.header = read_header(self.path, self.single_root)
+        self.options = options
+        self.header = Header(**json.loads(options["header"])) if "header" in options else read_header(self.path, self.single_root, options)
         self.box = [-np.inf, -np.inf, np.inf, np.inf]
         self.schema = schema
 
@@ -232,7 +265,7 @@ class Reader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Part]:
-        h, r = self.header, reader_for(self.path)
+        h, r = self.header, reader_for(self.path, self.options)
         if not h.node_size or not h.count:
             return [Part(self.path, [])] if self.strict or not h.count and h.node_size else [Part(self.path, [Run(h.features_at, -1, 0)])]
         nodes = np.frombuffer(r.read(self.path, h.index_at, h.features_at - h.index_at), NODE)
@@ -257,8 +290,8 @@ class Reader(DataSourceReader):
         for own in np.split(hit, np.flatnonzero(fresh)[1:]):
             lo, hi = int(own[0]), int(own[-1])
             length = int(ends[hi] - begins[lo]) if hi < len(begins) - 1 else -1
-            boxes = [tuple(v) for v in np.stack([leaves[c][by_place[lo : hi + 1]] for c in ("minx", "miny", "maxx", "maxy")], 1).tolist()]
-            run = Run(h.features_at + int(begins[lo]), length, lo, own.tolist(), boxes)
+            boxes = np.stack([leaves[c][by_place[lo : hi + 1]] for c in ("minx", "miny", "maxx", "maxy")], 1)
+            run = Run(h.features_at + int(begins[lo]), length, lo, own, boxes)
             if size >= self.per_partition:
                 parts.append(Part(self.path, []))
                 size = 0
@@ -267,33 +300,49 @@ class Reader(DataSourceReader):
         return parts
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        r = reader_for(part.path)
+        r = reader_for(part.path, self.options)
         rows: list[tuple] = []
-        for run in part.runs:
-            raw = r.read(part.path, run.offset, run.length)
-            wanted = None if run.wanted is None else set(run.wanted)
-            last = None if run.wanted is None else run.wanted[-1]
-            at, fid = 0, run.first
-            while at + 4 <= len(raw) and (last is None or fid <= last):
-                size = struct.unpack_from("<I", raw, at)[0]
-                if size == 0 or at + 4 + size > len(raw):
-                    break
-                if wanted is None or fid in wanted:
-                    try:
-                        row = self.feature(raw[at + 4 : at + 4 + size], fid, run)
-                    except (ValueError, struct.error, UnicodeDecodeError, IndexError):
-                        if self.failfast:
-                            raise
+        left = self.limit if self.limit and not self.header.node_size else -1  # with an index the plan has cut already
+        for runs in self.together(part.runs):
+            for run, raw in zip(runs, r.read_ranges(part.path, [(x.offset, x.length) for x in runs]), strict=True):
+                wanted = None if run.wanted is None else set(run.wanted.tolist())
+                last = None if run.wanted is None else int(run.wanted[-1])
+                at, fid = 0, run.first
+                while at + 4 <= len(raw) and (last is None or fid <= last) and left:
+                    size = struct.unpack_from("<I", raw, at)[0]
+                    if size == 0 or at + 4 + size > len(raw):
                         break
-                    if row is not None:
-                        rows.append(row)
-                at += 4 + size
-                fid += 1
-                if len(rows) >= 4096:
-                    yield self.batch(rows)
-                    rows = []
+                    if wanted is None or fid in wanted:
+                        try:
+                            row = self.feature(raw[at + 4 : at + 4 + size], fid, run)
+                        except (ValueError, struct.error, UnicodeDecodeError, IndexError):
+                            if self.failfast:
+                                raise
+                            break
+                        if row is not None:
+                            rows.append(row)
+                            left -= 1
+                    at += 4 + size
+                    fid += 1
+                    if len(rows) >= 4096:
+                        yield self.batch(rows)
+                        rows = []
         if rows:
             yield self.batch(rows)
+        r.close()
+
+    def together(self, runs: list[Run], most: int = 1 << 24) -> Iterator[list[Run]]:
+        """Runs to fetch at once: of about `most` bytes in all."""
+        own: list[Run] = []
+        size = 0
+        for run in runs:
+            own.append(run)
+            size += max(run.length, 0)
+            if size >= most:
+                yield own
+                own, size = [], 0
+        if own:
+            yield own
 
     def feature(self, raw: bytes, fid: int, run: Run) -> tuple | None:
         t = Table.root(raw)
@@ -304,13 +353,13 @@ class Reader(DataSourceReader):
         if not rings:
             return None
         if run.boxes is not None:
-            box = run.boxes[fid - run.first]
+            box = run.boxes[fid - run.first].tolist()
         else:
             pts = np.concatenate([q for _, q in rings])
             box = (*np.nanmin(pts, 0).tolist(), *np.nanmax(pts, 0).tolist())
         props = t.vector(1, "u1")
         values = properties(props.tobytes() if props is not None else b"", self.header.columns)
-        return (fid, kind, [{"ext": e, "pts": [{"x": a, "y": b} for a, b in q.tolist()]} for e, q in rings], *box, *values)
+        return (fid, kind, rings, *box, *values)
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -319,6 +368,9 @@ class Reader(DataSourceReader):
         cols = list(zip(*rows, strict=True))
         arrays = []
         for f, c in zip(schema, cols, strict=True):
+            if f.name == "rings":
+                arrays.append(rings_array(c).cast(f.type))
+                continue
             if pa.types.is_decimal(f.type):
                 import decimal
 
@@ -333,7 +385,7 @@ class FlatGeobuf(DataSource):
         return "flatgeobuf"
 
     def schema(self) -> str:
-        return read_header(self.options["path"], self.options.get("single_root", "true").lower() == "true").spark_schema()
+        return read_header(self.options["path"], self.options.get("single_root", "true").lower() == "true", dict(self.options)).spark_schema()
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return Reader(schema, dict(self.options))
@@ -345,8 +397,12 @@ def register(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, path: str, strict_index: bool = False, **options) -> DataFrame:
+    """A file as features. options: those of the reader of byte ranges (sources.ranges.packed_options), and
+    single_root, mode, partition_bytes, max_features. The header is read once, on the driver."""
     register(spark)
-    return spark.read.format("flatgeobuf").options(strict_index=str(strict_index).lower(), **options).load(path)
+    h = header_of(path, options)
+    packed = packed_options(path, options) | {"strict_index": str(strict_index).lower(), "header": json.dumps(asdict(h))}
+    return spark.read.format("flatgeobuf").schema(h.spark_schema()).options(**packed).load(path)
 
 
 # ---- writing

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import time
 import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,12 +119,64 @@ def s3a_settings(endpoint: str | None = None, region: str | None = None, path_st
     return {f"spark.hadoop.fs.s3a.{k}": v for k, v in found.items() if v is not None}
 
 
-def reader_for(path: str, **options) -> RangeReader:
-    if path.startswith(("http://", "https://")):
-        return HttpReader(**options)
+#: Readers that users add, by scheme.
+_registered: dict[str, Callable[[], RangeReader]] = {}
+
+
+def register_reader(scheme: str, make: Callable[[], RangeReader]) -> None:
+    """From now on paths of this scheme (such as `gs`) are read by what make() returns; make is sent to the tasks
+    that read."""
+    _registered[scheme] = make
+
+
+def scheme_of(path: str) -> str:
+    head, found, _ = path.partition("://")
+    return head.lower() if found else ""
+
+
+def packed_options(path: str, options: dict[str, Any]) -> dict[str, str]:
+    """Reader options as the texts that a data source takes. connector: a function without arguments, or a ready
+    reader; headers: a dict. Registered readers travel with the options."""
+    options = dict(options)
+    connector = options.pop("connector", None) or _registered.get(scheme_of(path))
+    out = {k: json.dumps(v) if isinstance(v, dict) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+    if connector is not None:
+        out["connector"] = base64.b64encode(cloudpickle.dumps(connector)).decode()
+    return out
+
+
+def reader_for(path: str, options: dict[str, str] | None = None) -> RangeReader:
+    """The reader of a path, by its scheme: local files, http(s), s3 or s3a (with the options region, endpoint and
+    path_style, where the boto3 package is installed), registered schemes; or the connector of the options
+    (see packed_options). Options of http: headers, timeout, concurrency, retries, backoff."""
+    o = options or {}
+    scheme = scheme_of(path)
+    if "connector" in o:
+        made = cloudpickle.loads(base64.b64decode(o["connector"]))
+        return made if isinstance(made, RangeReader) else made()
+    if scheme in _registered:
+        return _registered[scheme]()
+    if scheme in ("http", "https"):
+        kinds = {"timeout": float, "concurrency": int, "retries": int, "backoff": float}
+        return HttpReader(headers=json.loads(o.get("headers", "{}")), **{k: f(o[k]) for k, f in kinds.items() if k in o})
+    if scheme in ("s3", "s3a"):
+        return S3Reader(s3_client(o), **({"concurrency": int(o["concurrency"])} if "concurrency" in o else {}))
+    if scheme not in ("", "file"):
+        raise ValueError(f"no reader for {scheme}:// paths: bring a connector or register one")
     return LocalReader()
 
 
+def s3_client(o: dict[str, str]) -> object:
+    """A client of the boto3 package, if that is installed."""
+    try:
+        import boto3
+        from botocore.config import Config
+    except ImportError:
+        raise ValueError("reading s3:// needs boto3, or a connector: S3Reader with a client of your own") from None
+    style = Config(s3={"addressing_style": "path"}) if o.get("path_style") == "true" else None
+    return boto3.client("s3", region_name=o.get("region"), endpoint_url=o.get("endpoint"), config=style)
+
+
 def merge(ranges: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]]:
     """Sorted (offset, length) ranges with those at most `gap` bytes apart made one."""
     out: list[tuple[int, int]] = []
