@@ -172,10 +172,10 @@ def test_exact_dedup(spark, odd, empty):
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     log = str(tmp_path / "log")
-    dedup.digests(make(spark, [(1, "a"), (2, "b")])).write.parquet(log)
+    dedup.digests(dedup.located(make(spark, [(1, "a"), (2, "b")]))).write.parquet(log)
     stream = lambda: spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
     dedup.run_stream(stream(), str(tmp_path / "s"))
-    dedup.digests(make(spark, [(9, "A"), (3, "c")])).write.mode("append").parquet(log)
+    dedup.digests(dedup.located(make(spark, [(9, "A"), (3, "c")]))).write.mode("append").parquet(log)
     state = dedup.run_stream(stream(), str(tmp_path / "s"))
     assert sorted((r["keep"]["doc_id"], r["n"]) for r in state.collect()) == [(2, 1), (3, 1), (9, 2)]
 

@@ -3,6 +3,9 @@ connected components."""
 
 from __future__ import annotations
 
+import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Upper and lower case of the ASCII letters, for lower-casing that leaves all other letters alone.
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,12 +51,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts are large rows: fewer of them go to Python at once than the default of 10,000. A smaller
-    setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Whole texts are large rows: fewer of them go to Python at once than the defaults of 10,000 rows and 64 MB.
+    This lowers the session's settings, as plans read them when they run; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.sub(r"\D", "", spark.conf.get(key))
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
+def frugal(work):
+    """The function of a mapInArrow, which gives memory back when its partition ends: Python workers live
+    through all stages of a job, beside whatever comes next."""
+
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def ascii_lower(c: Column) -> Column:
@@ -66,16 +84,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_ids(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
-    """At most n ids of df (columns doc_id and by), or n for each value of `by`, in the order of a seeded
-    hash. Narrow rows only; a heap of n rows a task, so nothing unbounded meets."""
+    """At most n ids of df (columns doc_id and by), or n for each value of `by`, however many values there
+    are, in the order of a seeded hash. Narrow rows only. Rows of each value are first ranked by task, n of
+    them at most are ranked together, so a value with a third of all rows burdens no task."""
     key = F.xxhash64("doc_id", F.lit(7))
     if by is None:
         return df.orderBy(key, "doc_id").limit(n)
-    parts = None
-    for v in [r[0] for r in df.select(by).distinct().orderBy(by).limit(1000).collect()]:
-        one = df.where(F.col(by) == F.lit(v)).orderBy(key, "doc_id").limit(n)
-        parts = one if parts is None else parts.union(one)
-    return df.limit(0) if parts is None else parts
+    ranked = df.select("doc_id", by, key.alias("_key"), F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(64)).alias("_part"))
+    order = [F.col("_key"), F.col("doc_id")]
+    own = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_k") <= n)
+    return own.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).select("doc_id", by)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +116,21 @@ def chunked(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 20) -> Iterato
         i = j
 
 
+#: Tables of so many rows at most are broadcast, after counting them.
+BROADCAST_ROWS = 300_000
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, component), component being the smallest
     node. Alternates large-star and small-star rounds; each round's edges are written to the shared
-    folder, minima are pre-aggregated, so a hub with a third of all nodes stays harmless. Nodes without
-    an edge to another node aren't returned."""
-    spark = edges.sparkSession
+    folder. Minima are pre-aggregated; they are broadcast while edges are few, and beyond that the minima of
+    hubs are broadcast and their edges stay where they are, so no task meets all edges of a hub. Nodes
+    without an edge to another node aren't returned."""
 
-    def minima(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+    def beside_minimum(e: DataFrame, most: int) -> DataFrame:
+        """The edges (u, v) with the least of u and its neighbours (m)."""
+        m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
+        return e.join(F.broadcast(m), "u") if most <= BROADCAST_ROWS else lookup(e, m, ["u"], "degree", most)
 
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stored(e, name)
@@ -115,10 +139,9 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if not state[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = minima(both).select("u", F.least("m", "u").alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        m = minima(large)
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        large = beside_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = beside_minimum(large, 2 * state[0])
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         e = stored(small, name)
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == tuple(state):
@@ -130,11 +153,11 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows joined with a table that has one row for each value of keys and, in `size`, how many rows have
-    it. Values that more than a thousandth of all rows have (fewer than 1000, so they can be broadcast)
-    don't shuffle; no other value can burden a task."""
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a table that has one row for each value of keys and, in `size`, how
+    many rows have it. Values that more than a thousandth of all rows have (fewer than 1000, so they can be
+    broadcast) don't shuffle; no other value can burden a task."""
     heavy = table.where(F.col(size) * 1000 > total)
     light = table.where(F.col(size) * 1000 <= total)
-    plain = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    plain = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return rows.join(F.broadcast(heavy), keys).unionByName(plain)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import chunked, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 #: Everything but ASCII letters and bytes of longer UTF-8 sequences parts words.
@@ -213,7 +213,7 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(frugal(judge), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -13,45 +13,56 @@ budget of H + 1 spent on segments finds every pair:
 * one-deletion segments also index the segment without each one of its elements; they cover two
   differences and stay selective when segments are small.
 
-The allocation (how many of which) is chosen for each band by cost: signatures emitted plus expected
-crowding, from the share of frequent shingles in the corpus. A set whose partners can reach into the next
-band is indexed there, too.
-
-Documents with equal sets are one class, so copies are never compared. Among classes with a signature in
-common, first each is compared with the smallest id of its group; once components are known, remaining
-pairs of different components are compared. Links are verified on the words themselves. Groups are
-streamed in sorted order, never gathered.
+The allocation (how many of which) is chosen for each band by cost: signatures emitted plus what frequent
+segments cost, from the share of frequent shingles in the corpus and the number of its sets: each further set
+in a group costs comparisons, so larger corpora favour deletions. A set whose partners can reach into the
+next band is indexed there, too.
+
+Documents with equal word sequences (by 128 bits of SHA-256) are one class, so copies are never compared.
+Among classes with a signature in common, first each is compared with the smallest id of its group and
+with its neighbours there; once components are known, remaining pairs of different components are
+compared. Links are verified on the words themselves. Groups are streamed in sorted order, never
+gathered, and those of many members are dealt as runs or as pairs of blocks of bounded size, so no
+task meets a whole large group.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing. Fewer words than a
-shingle has make one shingle. A null doc_id gets its class's component. doc_id identifies a text: of rows
-that repeat an id with other texts, each has its own class, and links are sought for the row with the least
-fingerprint.
+shingle has make one shingle. Set sizes count 64-bit hashes of shingles. Where ids repeat or are null each
+row takes part for itself: it gets the smallest doc_id of its component (null where no id is known). An empty
+table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import chunked, components, lookup, small_batches, stored, text_buffer
+from tilespark.llm.common import BROADCAST_ROWS, chunked, components, frugal, lookup, small_batches, stored, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, mix, words
 
 #: Odd multipliers of a shingle's words.
 _MUL = mix(np.arange(1, 65, dtype=U)) | U(1)
-#: Tables of so many rows at most are broadcast, after counting them.
-BROADCAST_ROWS = 1_000_000
-#: Sets of texts of so many words in all are kept while pairs are checked.
-HELD_WORDS = 200_000
+#: Sets of texts of so many words in all are kept while pairs are checked, and texts of so many bytes.
+HELD_WORDS, HELD_BYTES = 200_000, 1 << 22
 #: Neighbours in a signature's group that a class is compared with: at first, and in later rounds.
 NEAR, REACH = 8, (24,)
+#: Groups are compared in runs of about so many classes; all pairs of a group in blocks of so many.
+RUN, PAIR_BLOCK = 1000, 256
+#: Pairs of one class are dealt with copies of its text from so many on.
+MANY_PAIRS = 1000
 #: Frequent shingles are counted over runs of sets with so many shingles.
-HELD_SHINGLES = 1_500_000
+HELD_SHINGLES = 1_000_000
+#: Sketches of so many bytes at most are broadcast, after adding them up.
+BROADCAST_BYTES = 1 << 24
+#: Sets of a batch with one signature from which on the group counts as met.
+CROWD = 16
 
 
 @dataclass(frozen=True)
@@ -87,15 +98,21 @@ class Band:
 EDGES = sorted({int(np.ceil(2 ** (k / 2))) for k in range(0, 126)})
 
 
-def allocate(low: int, high: int, t: Threshold, frequent: float) -> Band:
-    """The cheapest allocation for sets of low to high shingles. frequent: the share of frequent shingles.
+def crowding(sets: int) -> float:
+    """What a signature made of frequent shingles costs, in signatures: its set is compared with NEAR
+    neighbours on the words, and by sketches with what else is frequent (a 500th of all sets)."""
+    return 6.0 * NEAR + sets / 10_000
+
+
+def allocate(low: int, high: int, t: Threshold, frequent: float, crowd: float = crowding(0)) -> Band:
+    """The cheapest allocation for sets of low to high shingles. frequent: the share of frequent shingles;
+    crowd: what a signature of frequent shingles costs.
     Segments as few, and so as large, as the band's greatest H allows: unrelated documents that share a
     passage agree on a segment only if all of it lies in the passage."""
     h = t.differences(high, high)
-    size, crowd = (low + high) / 2, 50.0
-    m = h + 1
+    size, m = (low + high) / 2, h + 1
     best = (m + crowd * m * frequent ** (size / m), Band(low, high, m, 0, True))
-    for d in range(1, (h + 1) // 2 + 1) if high < 64 else ():
+    for d in range(1, (h + 1) // 2 + 1):
         e = h + 1 - 2 * d
         c = size / (e + d)
         cost = e + d * (1 + c) + crowd * (e * frequent**c + d * (1 + c) * frequent ** max(c - 1, 0.0))
@@ -128,22 +145,25 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    return tuple(int(v) for v in np.array([mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U), mix(s + U(0x1234567890ABCDEF)).sum(dtype=U)], U).view(np.int64)) if len(s) else (0, 0)
+def fingerprints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each text 128 bits of the SHA-256 of its words in their order, as two numbers."""
+    raw = data.tobytes().lower()
+    made = [hashlib.sha256(b" ".join(raw[offs[i] : offs[i + 1]].split())).digest()[:16] for i in range(len(offs) - 1)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 class Signatures:
     """Signatures of sets under the allocation of each band."""
 
-    def __init__(self, t: Threshold, frequent: np.ndarray, share: float):
-        self.t, self.frequent, self.share = t, frequent, share
+    def __init__(self, t: Threshold, frequent: np.ndarray, share: float, crowd: float = crowding(0)):
+        self.t, self.frequent, self.share, self.crowd = t, frequent, share, crowd
         self.bands: dict[int, Band] = {}
         self.bloom = np.zeros(1 << 20, bool)
         self.bloom[(frequent & U((1 << 20) - 1)).astype(np.int64)] = True
 
     def band(self, number: int) -> Band:
         if number not in self.bands:
-            self.bands[number] = allocate(EDGES[number], EDGES[number + 1] - 1, self.t, self.share)
+            self.bands[number] = allocate(EDGES[number], EDGES[number + 1] - 1, self.t, self.share, self.crowd)
         return self.bands[number]
 
     def rare(self, s: np.ndarray) -> np.ndarray:
@@ -185,7 +205,7 @@ class Signatures:
 
 
 def scan(docs: DataFrame, t: Threshold) -> DataFrame:
-    """One row a document (is_doc; id, n: size of its set, f1 and f2: fingerprint of the set), and counts of
+    """One row a document (is_doc; id, n: size of its set, f1 and f2: fingerprint of its words), and counts of
     shingles that many of a run of different sets hold (id: the shingle's hash, n: how many)."""
 
     def rows_of(is_doc: bool, ids: pa.Array, n: list, f1: list, f2: list) -> pa.RecordBatch:
@@ -205,51 +225,65 @@ def scan(docs: DataFrame, t: Threshold) -> DataFrame:
         pool: list[np.ndarray] = []
         held = 0
         for b in batches:
-            n, f1, f2 = [], [], []
+            n, prints = [], [np.zeros((0, 2), np.int64)]
             for _, _, data, offs in chunked(*text_buffer(b.column("text"))):
-                for s in shingle_sets(data, offs, t.words):
-                    f = fingerprint(s)
+                f = fingerprints(data, offs)
+                prints.append(f)
+                for s, key in zip(shingle_sets(data, offs, t.words), map(bytes, f), strict=True):
                     n.append(len(s))
-                    f1.append(f[0])
-                    f2.append(f[1])
-                    if len(s) and f not in seen:
-                        seen.add(f)
+                    if len(s) and key not in seen:
+                        seen.add(key)
                         pool.append(s)
                         held += len(s)
-            yield rows_of(True, b.column("doc_id").cast(pa.int64()), n, f1, f2)
-            if held > HELD_SHINGLES:
-                yield frequent(pool)
-                pool, seen, held = [], set(), 0
+                        if held > HELD_SHINGLES:
+                            yield frequent(pool)
+                            pool, seen, held = [], set(), 0
+            f = np.concatenate(prints)
+            yield rows_of(True, b.column("doc_id").cast(pa.int64()), n, f[:, 0], f[:, 1])
         if pool:
             yield frequent(pool)
 
-    return docs.select("doc_id", "text").mapInArrow(look, "is_doc boolean, id long, n long, f1 long, f2 long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(look), "is_doc boolean, id long, n long, f1 long, f2 long")
 
 
 def signatures(docs: DataFrame, made: Signatures) -> DataFrame:
-    """sig, id, n: signatures of each set, once a task for sets that repeat there."""
+    """sig, salt, id, n: signatures of each set, once a task for word sequences that repeat there. Where CROWD
+    sets of a batch share a signature the group is known to be met: all but the first of them get a
+    salt of their own (from 1), so that a group with much of the corpus isn't dealt to one task."""
     shared = docs.sparkSession.sparkContext.broadcast(made)
 
+    def salted(sig: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        order = np.argsort(sig, kind="stable")
+        x = sig[order]
+        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[cut, len(x)])
+        salt = np.zeros(len(sig), np.int32)
+        for lo, k in zip(cut[size >= CROWD].tolist(), size[size >= CROWD].tolist(), strict=True):
+            rest = order[lo + 1 : lo + k]
+            salt[rest] = 1 + (mix(ids[rest].astype(U)) % U(1 << 20)).astype(np.int32)
+        return salt
+
     def emit(batches):
         g, seen = shared.value, set()
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, _, data, offs in chunked(*text_buffer(b.column("text"))):
-                sigs, who, size = [np.zeros(0, U)], [], []
-                for i, s in enumerate(shingle_sets(data, offs, g.t.words)):
-                    if not len(s) or (f := fingerprint(s)) in seen:
+                sigs, who, size, times = [np.zeros(0, U)], [], [], []
+                for i, (s, key) in enumerate(zip(shingle_sets(data, offs, g.t.words), map(bytes, fingerprints(data, offs)), strict=True)):
+                    if not len(s) or key in seen:
                         continue
-                    seen.add(f)
+                    seen.add(key)
                     x = g.of(s)
                     sigs.append(x)
-                    who.append((ids[lo + i], len(x)))
+                    times.append(len(x))
+                    who.append(ids[lo + i])
                     size.append(len(s))
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
-                times = [c for _, c in who]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array([w for w, _ in who], np.int64), times)), pa.array(np.repeat(np.array(size, np.int32), times))], names=["sig", "id", "n"])
+                sig, ident = np.concatenate(sigs).view(np.int64), np.repeat(np.array(who, np.int64), times)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salted(sig, ident)), pa.array(ident), pa.array(np.repeat(np.array(size, np.int32), times))], names=["sig", "salt", "id", "n"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "sig long, id long, n int")
+    return docs.select("doc_id", "text").mapInArrow(frugal(emit), "sig long, salt int, id long, n int")
 
 
 def sketches(docs: DataFrame, ids: DataFrame, t: Threshold) -> DataFrame:
@@ -271,8 +305,74 @@ def sketches(docs: DataFrame, ids: DataFrame, t: Threshold) -> DataFrame:
     known = docs.select("doc_id", "text")
     few = ids.select(F.col("rep").alias("doc_id")).distinct()
     known = known.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
-    known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    return known.mapInArrow(draw, "rep long, sketch array<bigint>")
+    return known.mapInArrow(frugal(draw), "rep long, sketch array<bigint>")
+
+
+def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
+    """Pairs (a, b) of classes that may link, of those that stand up to `reach` places apart in a cell. rows:
+    sig, cell, side, place, rep, n, c, and sketch or not. Classes of one component (c) or too different in size
+    aren't paired, nor those of one side (but side 2), nor those whose sketches exclude a link."""
+    sketched = "sketch" in rows.columns
+
+    def alike(col: pa.ListArray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether sketches allow a link; sketches of different widths don't tell."""
+        offs = col.offsets.to_numpy()
+        values = col.values.to_numpy(zero_copy_only=False).view(U)
+        width = np.diff(offs)
+        ok = np.ones(len(i), bool)
+        for w in np.unique(width[i]):
+            both = np.flatnonzero((width[i] == w) & (width[j] == w))
+            for lo in range(0, len(both), max(1, (1 << 17) // max(1, int(w)))):
+                k = both[lo : lo + max(1, (1 << 17) // max(1, int(w)))]
+                x = values[offs[i[k]][:, None] + np.arange(w)] ^ values[offs[j[k]][:, None] + np.arange(w)]
+                ok[k] = np.bitwise_count(x).sum(1) <= most[k]
+        return ok
+
+    def pair(batches):
+        before = None
+        for b in batches:
+            old = 0 if before is None else before.num_rows
+            now = pa.Table.from_batches([b])
+            if old:
+                now = pa.concat_tables([before, now])
+            if not now.num_rows:
+                continue
+            now = now.combine_chunks()
+            sig, cell, side, rep, n, c = (now.column(x).to_numpy().astype(np.int64) for x in ("sig", "cell", "side", "rep", "n", "c"))
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(1, min(reach, len(sig) - 1) + 1):
+                i = np.arange(max(k, old), len(sig))
+                j = i - k
+                same = (sig[i] == sig[j]) & (cell[i] == cell[j])
+                if not same.any():
+                    break
+                i, j = i[same], j[same]
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                ok = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (large * t.num <= small * t.den)
+                i, j = i[ok], j[ok]
+                if sketched and len(i):
+                    ok = alike(now.column("sketch").chunk(0), i, j, t.differences(n[i], n[j]))
+                    i, j = i[ok], j[ok]
+                one.append(rep[i])
+                two.append(rep[j])
+            x, y = np.concatenate(one), np.concatenate(two)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            before = now.slice(max(0, len(sig) - reach))
+
+    kept = [c for c in ("sig", "cell", "side", "rep", "n", "c", "sketch") if c in rows.columns]
+    dealt = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "place", "rep").select(*kept)
+    return dealt.mapInArrow(frugal(pair), "a long, b long").distinct()
+
+
+def dealt_texts(rows: DataFrame, texts: DataFrame, many: DataFrame, key: str, other: str) -> DataFrame:
+    """rows (pairs) with the text of `key` as t<key>. many (key, parts): classes with very many pairs; their
+    text is copied, so that their pairs don't meet in one task."""
+    parts = F.coalesce("parts", F.lit(1))
+    salted = rows.join(F.broadcast(many), key, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    copies = texts.select(F.col("doc_id").alias(key), F.col("text").alias(f"t{key}")).join(F.broadcast(many), key, "left")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(copies, [key, "salt"]).drop("salt")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
@@ -280,11 +380,7 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     known = docs.select("doc_id", "text")
-    texts = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    # a repeated id stands for its least text here, as it does for signatures
-    texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    texts = stored(known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi"), "pair-texts")
 
     def sets(cache: dict, key: int, raw: bytes) -> frozenset:
         if key not in cache:
@@ -296,9 +392,18 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
             cache[key] = frozenset(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])
         return cache[key]
 
+    def runs(b: pa.RecordBatch):
+        """Parts of a batch with about HELD_BYTES of text each."""
+        size = np.cumsum(pc.binary_length(b.column("ta")).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(b.column("tb")).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + HELD_BYTES, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
     def check(batches):
         one: dict = {}
-        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+        for b in (part for whole in batches for part in runs(whole)):
             keep = []
             cols = [b.column(c).to_pylist() for c in ("a", "b")] + [b.column(c).cast(pa.large_binary()).to_pylist() for c in ("ta", "tb")]
             for x, y, tx, ty in zip(*cols, strict=True):
@@ -307,12 +412,15 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(bool(small) and t.linked(small, len(r), len(s)) and t.linked(len(r & s), len(r), len(s)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    unit = max(MANY_PAIRS, pairs.count() // 100_000)  # so there are 100,000 with more pairs at most
+    many = lambda key: pairs.groupBy(key).agg(F.ceil(F.count("*") / unit).cast("int").alias("parts")).where("parts > 1")
+    both = dealt_texts(dealt_texts(pairs, texts, many("b"), "b", "a"), texts, many("a"), "a", "b")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(frugal(check), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the component of the graph of links, named by its
-    smallest doc_id."""
+def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:
+    """doc_id, n_shingles, component (its smallest doc_id) of every row, for docs whose ids are unique and not
+    null."""
     small_batches(docs.sparkSession)
     rows = stored(scan(docs, t), "shingle-scan")
     sets = rows.where("is_doc").select(F.col("id").alias("doc_id"), "n", "f1", "f2")
@@ -321,60 +429,61 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     # shingles of a 500th of all sets at least: not more than 500 times the mean set size; they only order
     # segments, so leaving some out would cost time but no link
     often = rows.where("not is_doc").groupBy("id").agg(F.sum("n").alias("k")).where(F.col("k") >= max(8, different // 500))
-    hot = often.orderBy(F.desc("k"), "id").limit(200_000).collect()
-    frequent = np.sort(np.array([r["id"] for r in hot], np.int64).view(U))
-    made = Signatures(t, frequent, min(0.9, sum(r["k"] for r in hot) / max(1, elements)))
-
-    by_sig = Window.partitionBy("sig").orderBy("id")
-    met = signatures(docs, made).select("sig", "id", F.lag("id").over(by_sig).alias("p"), F.lead("id").over(by_sig).alias("q")).where("p is not null or q is not null").select("sig", "id")
-    met = stored(met, "shared-signatures")
-    # ids that stand for a set in a task -> the set's class
+    hot = often.orderBy(F.desc("k"), "id").limit(200_000).toPandas()
+    frequent = np.sort(hot["id"].to_numpy(np.int64).view(U))
+    made = Signatures(t, frequent, min(0.9, float(hot["k"].sum()) / max(1, elements)), crowding(different))
+
+    by_sig = Window.partitionBy("sig", "salt").orderBy("id")
+    met = signatures(docs, made).select("sig", "salt", "id", F.lag("id").over(by_sig).alias("p"), F.lead("id").over(by_sig).alias("q"))
+    met = stored(met.where("p is not null or q is not null or salt > 0").select("sig", "id"), "shared-signatures")
+    # ids that stand for a word sequence in a task -> its class
     seen = met.select(F.col("id").alias("doc_id")).distinct()
-    rep_of = sets.join(seen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "f1", "f2")).alias("s")).select("doc_id", "s.*")
+    rep_of = sets.join(seen, "doc_id", "left_semi")
     rep_of = stored(rep_of.join(kinds.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("id"), "rep", "n"), "set-reps")
-    members = met.join(F.broadcast(rep_of) if rep_of.count() <= BROADCAST_ROWS else rep_of, "id").select("sig", "rep", "n").distinct()
-    by_rep = Window.partitionBy("sig").orderBy("rep")
-    members = members.select("sig", "rep", "n", F.first("rep").over(by_rep).alias("head"), F.first("n").over(by_rep).alias("head_n"), F.lead("rep").over(by_rep).alias("next"))
-    members = stored(members.where("head <> rep or next is not null"), "signature-members")
+    members = stored(met.join(F.broadcast(rep_of) if rep_of.count() <= BROADCAST_ROWS else rep_of, "id").select("sig", "rep", "n").distinct(), "class-signatures")
+    groups = members.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    groups = stored(groups.select("sig", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"), "k"), "signature-groups")
+    n_members = int(groups.agg(F.sum("k")).first()[0] or 0)
+    members = stored(lookup(members, groups, ["sig"], "k", n_members), "signature-members")
     near = lambda x, y: (F.greatest(x, y) * t.num <= F.least(x, y) * t.den)
 
-    def alike(p, q, n, m):
-        """Whether sketches allow a link; sketches of different widths don't tell."""
-        bits = F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda acc, v: acc + v)
-        return (F.size(p) != F.size(q)) | (bits <= F.floor((n + m) * (t.den - t.num) / (t.den + t.num)))
-
-    def neighbours(rows: DataFrame, reach: int, seed: int) -> DataFrame:
-        """Pairs of a signature that stand up to `reach` places apart in a seeded order and are in different
-        components (c), as far as known. rows: sig, rep, n, c."""
-        w = Window.partitionBy("sig").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
-        values = [v for v in ("rep", "n", "c", "sketch") if v in rows.columns]
-        before = F.array(*[F.struct(*(F.lag(v, k).over(w).alias(v) for v in values)) for k in range(1, reach + 1)])
-        may = lambda e: alike(e["sketch"], F.col("sketch"), e["n"], F.col("n")) if "sketch" in values else F.lit(True)
-        seen = rows.select("rep", F.filter(before, lambda e: e["rep"].isNotNull() & (e["c"] != F.col("c")) & near(e["n"], F.col("n")) & may(e)).alias("before")).where(F.size("before") > 0)
-        return seen.select("rep", F.explode("before.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    def place(seed: int) -> Column:
+        return F.xxhash64("rep", F.lit(seed))
+
+    def runs(rows: DataFrame, seed: int) -> DataFrame:
+        """Groups as runs of about RUN classes in a seeded order."""
+        return rows.withColumn("cell", F.pmod(place(seed + 100), F.ceil(F.col("k") / RUN))).withColumn("side", F.lit(2)).withColumn("place", place(seed))
+
+    def block_pairs(rows: DataFrame) -> DataFrame:
+        """Groups as pairs of blocks of about PAIR_BLOCK classes."""
+        of = rows.withColumn("blocks", F.ceil(F.col("k") / PAIR_BLOCK)).withColumn("own", F.pmod(place(200), F.col("blocks")))
+        of = of.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+        return of.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("side", side).withColumn("place", F.col("own"))
 
     # Each class is compared with the head of its groups and with its neighbours in them; groups of up to
     # NEAR + 1 are done then. In the larger ones, classes that are still apart meet more neighbours, in other
     # orders, so that a large group of near copies soon is one component; all that is apart after that
     # is compared by sketches, and on the words where these allow a link.
     stars = members.where("head <> rep").where(near(F.col("head_n"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    tried = stored(stars.union(neighbours(members.select("sig", "rep", "n", F.col("rep").alias("c")), NEAR, 0)).distinct(), "tried-pairs")
+    tried = stored(stars.union(meet(runs(members.withColumn("c", F.col("rep")), 0), t, NEAR)).distinct(), "tried-pairs")
     links = verified(tried, docs, t)
     comp = stored(components(links), "components-0")
 
     def still_open(comp: DataFrame) -> DataFrame:
         known = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
-        now = members.select("sig", "rep", "n").join(known, members["rep"] == known["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").where(F.col("k") > NEAR + 1).select("sig")
-        now = stored(now.join(apart, "sig", "left_semi"), "open-members")
+        now = members.where(F.col("k") > NEAR + 1).join(known, members["rep"] == known["node"], "left").select("sig", "rep", "n", "k", F.coalesce("component", "rep").alias("c"))
+        apart = stored(now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m"), "open-groups")
+        now = stored(lookup(now, apart, ["sig"], "m", n_members), "open-members")
         drawn = stored(sketches(docs, now, t), "sketches")
-        return stored(now.join(F.broadcast(drawn) if drawn.count() <= 50_000 else drawn, "rep"), "open-sketches")
+        light = (drawn.agg(F.sum(F.size("sketch") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES
+        return stored(now.join(F.broadcast(drawn) if light else drawn, "rep"), "open-sketches")
 
     now = still_open(comp)
     for seed, reach in enumerate(REACH, 1):
         if now.isEmpty():
             break
-        fresh = stored(neighbours(now, reach, seed).distinct().join(tried, ["a", "b"], "left_anti"), "tried-pairs")
+        fresh = stored(meet(runs(now, seed), t, reach).join(tried, ["a", "b"], "left_anti"), "tried-pairs")
         tried = tried.unionByName(fresh)
         more = verified(fresh, docs, t)
         if not more.isEmpty():
@@ -383,16 +492,37 @@ def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
             now = still_open(comp)
     final = comp
     if not now.isEmpty():
-        one, two = now.select("sig", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("sketch").alias("p")), now.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("sketch").alias("q"))
-        meet = (one["sig"] == two["sig"]) & (F.col("ac") < F.col("bc")) & near(F.col("an"), F.col("bn")) & alike(F.col("p"), F.col("q"), F.col("an"), F.col("bn"))
-        cross = one.join(two, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(cross.join(tried, ["a", "b"], "left_anti"), docs, t)
+        # a block may be several times its mean size: every pair of a cell is met whatever its size
+        most = int(block_pairs(now.select("sig", "rep", "k")).groupBy("sig", "cell").count().agg(F.max("count")).first()[0])
+        more = verified(meet(block_pairs(now), t, most).join(tried, ["a", "b"], "left_anti"), docs, t)
         final = components(links.unionByName(more)) if not more.isEmpty() else comp
-    named = kinds.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", "size", F.coalesce("component", "rep").alias("component_id"))
+    named = kinds.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named-classes")
     full = lookup(sets.where("n > 0"), named, ["n", "f1", "f2"], "size", total)
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component").unionByName(empty)
+
+
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """Where ids repeat or are null: doc_id, text and all other columns with _row, a number that ascends with
+    doc_id (nulls last). None where ids are unique."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return None
+    ordered = docs.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return stored(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def classes(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the component of the graph of links, named by its
+    smallest doc_id."""
+    rows = numbered(docs.select("doc_id", "text"))
+    if rows is None:
+        return distinct_classes(docs, t).withColumnRenamed("component", "component_id")
+    found = stored(distinct_classes(rows.select(F.col("_row").alias("doc_id"), "text"), t), "row-classes").withColumnRenamed("doc_id", "_row")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    names = sizes.join(rows.select(F.col("_row").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    named = lookup(found, stored(names, "row-names"), ["component"], "size", found.count())
+    return named.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
@@ -400,12 +530,12 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     ids repeat or are null, rows are numbered in the order of their ids and take part under their numbers, so
     texts that share an id aren't taken for one another. Without words a row has no near copies, and one of
     those with its id stays."""
-    key, rows = "doc_id", docs
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        key = "_row"
-        rows = stored(docs.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
-    found = stored(classes(rows.select(F.col(key).alias("doc_id"), "text"), t), "row-classes") if key == "_row" else classes(docs, t)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    aside = {"_row": "_row__in"} if "_row" in docs.columns else {}
+    rows, key = numbered(docs.withColumnsRenamed(aside)), "_row"
+    if rows is None:
+        rows, key = docs, "doc_id"
+    found = stored(distinct_classes(rows.select(F.col(key).alias("doc_id"), "text"), t), "row-classes")
+    dropped = found.where("doc_id <> component").select(F.col("doc_id").alias(key))
     if key == "_row":
         bare = found.where("n_shingles = 0").select(F.col("doc_id").alias(key))
         bare = rows.select(key, "doc_id").join(bare, key, "left_semi")
@@ -413,4 +543,4 @@ def keep_one(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     dropped = stored(dropped, "near-copies")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, key, "left_anti").select(*docs.columns)
+    return rows.join(dropped, key, "left_anti").select(*(F.col(f"`{aside.get(c, c)}`").alias(c) if key == "_row" else F.col(f"`{c}`") for c in docs.columns))

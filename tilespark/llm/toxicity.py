@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm import langid
-from tilespark.llm.common import chunked, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 
@@ -263,7 +263,7 @@ def apply(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(z), pa.array((z >= m.settings.cut).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     small_batches(docs.sparkSession)
-    return kept.mapInArrow(judge, ", ".join([*wanted, "score double", "predicted int"]))
+    return kept.mapInArrow(frugal(judge), ", ".join([*wanted, "score double", "predicted int"]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
