@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tilespark.llm.common import chunked, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, small_batches, text_buffer
 from tilespark.llm.units import WHITE, UnitCache, no_cycle_search
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -32,6 +33,11 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+#: Bounds of the caches of a worker: pieces and units of text, and slots for compatible pairs.
+MOST_PIECES, MOST_UNITS, FITS_BITS = 100_000, 250_000, 19
+FITS_MASK = (1 << FITS_BITS) - 1
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: printable bytes
     stand for themselves, the others take the characters from 256 on."""
@@ -66,7 +72,9 @@ class Bpe:
         self.rank, self.outer = rank, [outer[t] for t in self.token]
         self.shorter = [next((rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in rank), -1) for t in self.token]
         self.size = [len(t) for t in self.token]
-        self.fits: dict[int, bool] = {}
+        # what is known of pairs: a slot for each remainder of the key, the latest pair stays
+        self.fits_key, self.fits_value = array("Q", bytes(8 << FITS_BITS)), bytearray(1 << FITS_BITS)
+        self.inside: dict[int, bool] = {}
         scan = ahocorasick.Automaton()
         for t, i in rank.items():
             scan.add_word(t[::-1].decode("latin-1"), i)
@@ -80,16 +88,16 @@ class Bpe:
         self.at_of = np.cumsum(self.len_of) - self.len_of
         self.all_bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(top)), np.uint8)
         self.parts = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cache = UnitCache(self.encode_units)
+        self.cache = UnitCache(self.encode_units, MOST_UNITS)
         self.pieces: dict[str, list[int]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b can stand right after token a: no merge of lower rank joins what lies at their
         border. Walks down the two tokens' merge trees along the border, later merge first."""
-        key = a << 32 | b
-        known = self.fits.get(key)
-        if known is not None:
-            return known
+        key = (a << 32 | b) + 1
+        slot = (a * 0x9E3779B1 ^ b * 0x85EBCA6B) & FITS_MASK
+        if self.fits_key[slot] == key:
+            return self.fits_value[slot] == 1
         left, right, bound, split, out = a, b, 1 << 62, self.split, True
         while True:
             joined = self.pair.get((left, right))
@@ -103,9 +111,7 @@ class Bpe:
                 bound, left = left, split[left][1]
             else:
                 bound, right = right + 1, split[right][0]
-        if len(self.fits) > 500_000:
-            self.fits.clear()
-        self.fits[key] = out
+        self.fits_key[slot], self.fits_value[slot] = key, out
         return out
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
@@ -130,10 +136,9 @@ class Bpe:
         return t < 256 or self.compatible_inside(a, b, t)
 
     def compatible_inside(self, a: int, b: int, t: int) -> bool:
-        key = -t - 1
-        known = self.fits.get(key)
+        known = self.inside.get(t)
         if known is None:
-            known = self.fits[key] = self.backtrack(self.size[t], *self.scan_one(self.token[t])) == [t]
+            known = self.inside[t] = self.backtrack(self.size[t], *self.scan_one(self.token[t])) == [t]
         return known
 
     def scan_one(self, r: bytes) -> tuple[dict[int, int], int]:
@@ -167,7 +172,7 @@ class Bpe:
     def encode_units(self, units: list[str]) -> list[list[int]]:
         split = [PIECES.findall(u) for u in units]
         new = list({p for ps in split for p in ps if p not in self.pieces})
-        if len(self.pieces) > 300_000:
+        if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
             new = list({p for ps in split for p in ps})
         self.pieces.update(zip(new, self.encode_pieces(new), strict=True))
@@ -248,4 +253,4 @@ def roundtrip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
 
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(code, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(code), schema)
