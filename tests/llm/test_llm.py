@@ -325,7 +325,7 @@ def test_mixing(spark, empty):
     rng = random.Random(6)
     rows = [(i, "t" * rng.randint(1, 200) if i % 50 else None, rng.choice(["en", "en", "fr", None]), rng.choice(["s1", "s1", "s2", "s3"])) for i in range(3000)]
     docs = make(spark, rows)
-    plan = mixing.Plan([("lang", F.col("lang")), ("source", F.col("source"))], {"fr": 0.8, "en": 0.15}, total=0.7, epochs=2, buckets=64)
+    plan = mixing.Plan([("lang", F.col("lang")), ("source", F.col("source"))], {"fr": 0.8, "en": 0.15}, total=0.7, epochs=2, bits=3)
     got = mixing.mix(docs, plan).collect()
     size = lambda t: max(1, -(-len(t or "") // 4))
     leaf = defaultdict(int)

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: hierarchical budgeting, in DataFrame operations only.
+r"""Mixing sources to target weights: hierarchical budgeting, in DataFrame operations only.
 
 A tree of levels (domain, language, source) is given by columns; weights may be set for any node by its
 path, other children of a node share what is left equally. The budget flows from the root: each
@@ -9,14 +9,18 @@ that is water filling at each node: the level at which shares, cut off at capaci
 budget. Each leaf then takes a token prefix of its stream: epoch 0, 1, ... each in an order of its
 own, given by a seeded hash.
 
-Prefixes don't sort a leaf: rows are put into hash buckets, sums of buckets are accumulated, and only rows
-of the bucket in which the budget ends are numbered. The node tables are as large as the number of
-distinct paths; they are joined as tables, never collected.
-
-Null levels are a node of their own (`?`), null or empty texts count one token. A document is taken whole as
-long as the tokens before it are fewer than the budget, so a leaf exceeds it by less than one document.
-Rows that repeat an id and text count like others; ties of the hash are broken by the id. An empty table or
-budget gives an empty mix.
+Prefixes don't sort a leaf. Rows of ids, token counts and hashes alone are summed in 256 buckets of the hash; in
+the bucket in which the budget ends they are summed in 256 again, and so on; only what is left of the last
+one is sorted, to find the row with which the prefix ends. All rows up to that one in the order are taken, so no
+text passes a shuffle. The node tables are as large as the number of distinct paths; they are joined as tables,
+never collected.
+
+A path is its levels' values with `/` between them; `/` and `\` in a value are preceded by `\`, a null level is
+`?`, a value `?` is `\?`, so different values never share a node. Null or empty texts count one token. A
+document is taken whole as long as the tokens before it are fewer than the budget, so a leaf exceeds it by less
+than one document. Ties of the hash are broken by the id; rows that repeat an id and a number of tokens in a leaf
+are taken together, as one document. An empty table or budget gives an empty mix. Columns of docs may have any
+names; those called _path, _tokens or _epoch give way to the results.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import stored
+from tilespark.llm.common import lookup, stored
 
 
 @dataclass
@@ -40,7 +44,9 @@ class Plan:
     total: float = 1.0
     epochs: int = 3
     seed: int = 17
-    buckets: int = 1 << 12
+    #: Bits of the hash by which each round narrows the bucket that a prefix ends in, and how many rounds.
+    bits: int = 8
+    rounds: int = 3
 
 
 def tokens(text: Column) -> Column:
@@ -49,8 +55,19 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4)).cast("long")
 
 
+#: Tables of so many paths at most are broadcast, after counting them.
+BROADCAST_PATHS = 100_000
+
+
+def step(value: Column) -> Column:
+    """A level's value as a part of a path."""
+    v = value.cast("string")
+    escaped = F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/"))
+    return F.when(v.isNull(), "?").when(v == "?", "\\?").otherwise(escaped)
+
+
 def path_of(plan: Plan, depth: int) -> Column:
-    parts = [F.coalesce(c.cast("string"), F.lit("?")) for _, c in plan.levels[:depth]]
+    parts = [step(c) for _, c in plan.levels[:depth]]
     return F.concat_ws("/", *parts) if parts else F.lit("")
 
 
@@ -98,30 +115,52 @@ def budgets(sums: DataFrame, plan: Plan) -> DataFrame:
     return leaf.join(above.withColumnRenamed("parent", "path"), "path").select("path", "tokens", F.round(F.col("parent_budget")).cast("long").alias("budget"))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A beginning that no column's name has."""
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the mix: _path, _tokens, _epoch and all columns of docs, once for each epoch in which
-    the row is taken. Columns of docs with these names give way."""
-    depth = len(plan.levels)
-    docs = docs.drop("_path", "_tokens", "_epoch", "_b", "_h", "_e")
-    rows = docs.withColumn("_path", path_of(plan, depth)).withColumn("_tokens", tokens(F.col(text_col)))
-    sums = rows.groupBy(*[path_of(plan, d).alias(f"p{d}") for d in range(1, depth + 1)]).agg(F.sum("_tokens").alias("tokens"))
-    goal = stored(budgets(stored(sums, "leaf-tokens"), plan), "leaf-budgets")
+    """The rows of the mix: _path, _tokens, _epoch and all other columns of docs, once for each epoch in which the
+    row is taken."""
+    depth, p = len(plan.levels), free_prefix(docs.columns)
+    own = [c for c in docs.columns if c.lower() not in ("_path", "_tokens", "_epoch")]
+    path, tok, epochs, rest, place, ends, n = (f"{p}_{x}" for x in ("path", "tokens", "epochs", "rest", "place", "ends", "n"))
+    rows = docs.withColumn(path, path_of(plan, depth)).withColumn(tok, tokens(F.col(text_col)))
+    sums = stored(rows.groupBy(*[path_of(plan, d).alias(f"p{d}") for d in range(1, depth + 1)]).agg(F.sum(tok).alias("tokens"), F.count("*").alias("n")), "leaf-tokens")
+    size = sums.select(F.col(f"p{depth}").alias("path"), "n")
     # whole epochs, and the rest that a prefix of one more epoch gives
-    goal = goal.select(F.col("path").alias("_path"), F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("_e"), (F.col("budget") % F.col("tokens")).alias("rest"))
-    order = lambda e: F.xxhash64(F.lit(plan.seed), e, F.col(id_col), F.col("_tokens"))
-    bucket = lambda h: F.shiftrightunsigned(h, 64 - plan.buckets.bit_length() + 1).cast("int")
-    small = F.broadcast(goal) if goal.count() <= 100_000 else goal
-    rows = rows.join(small, "_path").withColumn("_h", order(F.col("_e"))).withColumn("_b", bucket(F.col("_h")))
-    cells = rows.where("rest > 0").groupBy("_path", "_b").agg(F.sum("_tokens").alias("t"), F.max("rest").alias("rest"))
-    upto = F.sum("t").over(Window.partitionBy("_path").orderBy("_b"))
-    ends = stored(cells.select("_path", "_b", (upto - F.col("t")).alias("before"), "t", "rest").where("before < rest and before + t >= rest").select("_path", F.col("_b").alias("end"), "before"), "bucket-ends")
-    ends = F.broadcast(ends) if ends.count() <= 100_000 else ends
-    # at most one row a leaf: the bucket in which its rest is reached
-    rows = rows.join(ends, "_path", "left")
-    inside = rows.where("rest > 0 and _b = end")
-    at = F.sum("_tokens").over(Window.partitionBy("_path", "_b").orderBy("_h", id_col, "_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    last = inside.withColumn("_at", F.col("before") + F.coalesce(at, F.lit(0))).where("_at < rest")
-    extra = rows.where("rest > 0 and _b < end").select(*docs.columns, "_path", "_tokens", F.col("_e").alias("_epoch"))
-    edge = last.select(*docs.columns, "_path", "_tokens", F.col("_e").alias("_epoch"))
-    whole = rows.where("_e > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_e") - 1))).select(*docs.columns, "_path", "_tokens", "_epoch")
-    return whole.unionByName(extra).unionByName(edge)
+    goal = budgets(sums, plan).join(size, "path").select(F.col("path").alias(path), F.floor(F.col("budget") / F.col("tokens")).cast("int").alias(epochs), (F.col("budget") % F.col("tokens")).alias(rest), F.col("n").alias(n))
+    goal = stored(goal, "leaf-budgets")
+    total = int(goal.agg(F.sum(n)).first()[0] or 0)
+    few = goal.count() <= BROADCAST_PATHS
+    beside = lambda t, leaves: t.join(F.broadcast(leaves), path) if few else lookup(t, leaves, [path], n, total)
+    # the order of a leaf: a hash of 63 bits, seeded by the epoch, then id and tokens
+    order = F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), epochs, F.col(id_col), F.col(tok)), 1).alias("h"), F.col(id_col).alias("id"), F.col(tok).alias("t"))
+    rows = beside(rows, goal).withColumn(place, order)
+    last = prefix_ends(rows.where(F.col(rest) > 0).select(F.col(path).alias("path"), F.col(rest).alias("rest"), F.col(n).alias("n"), F.col(place).alias("place")), plan, few)
+    last = last.select(F.col("path").alias(path), F.col("last").alias(ends), F.col("n").alias(n))
+    result = [F.col(f"`{c}`") for c in own] + [F.col(path).alias("_path"), F.col(tok).alias("_tokens")]
+    extra = beside(rows.drop(n), last).where(F.col(place) <= F.col(ends)).select(*result, F.col(epochs).alias("_epoch"))
+    whole = rows.where(F.col(epochs) > 0).withColumn(ends, F.explode(F.sequence(F.lit(0), F.col(epochs) - 1))).select(*result, F.col(ends).alias("_epoch"))
+    return whole.unionByName(extra)
+
+
+def prefix_ends(rows: DataFrame, plan: Plan, few: bool) -> DataFrame:
+    """rows (path, rest: the prefix's tokens, n: rows of the leaf, place: struct of h, id, t) -> path, n, last: the
+    place of the row with which each leaf's prefix ends."""
+    left = stored(rows, "leaf-places")
+    for k in range(1, plan.rounds + 1):
+        bucket = F.shiftright(F.col("place.h"), 63 - plan.bits * k).alias("b")
+        cells = left.groupBy("path", bucket).agg(F.sum("place.t").alias("t"), F.max("rest").alias("rest"))
+        before = F.sum("t").over(Window.partitionBy("path").orderBy("b")) - F.col("t")
+        # a bucket for each leaf: the one in which its rest is reached
+        end = stored(cells.withColumn("before", before).where("before < rest and before + t >= rest").select("path", F.col("b").alias("end"), "before"), "prefix-buckets")
+        end = F.broadcast(end) if few else end
+        left = left.withColumn("b", bucket).join(end, "path").where("b = end").select("path", (F.col("rest") - F.col("before")).alias("rest"), "n", "place")
+    at = F.sum("place.t").over(Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    found = left.withColumn("at", F.coalesce(at, F.lit(0))).where("at < rest")
+    return stored(found.groupBy("path").agg(F.max("n").alias("n"), F.max("place").alias("last")), "prefix-ends")
