@@ -1,14 +1,16 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed by their id into thousands of slots, once and for all; bytes are summed by slot; and a
-table says which shard owns each slot. That table is small and of fixed size (one row a slot), is kept in
-versions, and rebalancing edits it: only the slots it moves change shards. A record's place is looked up by
-its slot, its position within the shard comes from counts of (slot, part) groups, so no shard ever meets
-in one task.
-
-A record counts as the UTF-8 bytes of its text (null: none) plus `overhead`. Null ids are hashed by their
-text. Rows that repeat an id share its slot and get positions of their own. An empty table gives a map
-without bytes.
+Records are hashed by their id and text into thousands of slots, once and for all; bytes are summed by slot; and
+a table says which shard owns each slot. That table is small and of fixed size (one row a slot), is kept in
+versions with the edits that led from one to the next, and rebalancing edits it: only the slots it moves change
+shards. A record's place is looked up by its slot, its position within the shard comes from counts of (slot,
+part) groups, so no shard ever meets in one task.
+
+A record counts as the UTF-8 bytes of its text (null: none) plus `overhead`, whole texts however long. Null ids are
+hashed by their text and their place in the table, so that many of them don't share a slot. Rows that repeat id
+and text share a slot and get positions of their own. Shards are near equal in bytes (law `bytes`); equal
+texts of different ids aren't kept together, as one text may have more rows than a shard holds. An empty table
+gives a map without bytes. Other columns of docs, also ones called slot or shard, don't matter.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import stored
+from tilespark.llm.common import scratch, stored
 
 SLOTS = 8192
 #: Rows of a slot are numbered in parts of about so many rows.
 PART_ROWS = 50_000
 
 
-def vslot(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.crc32(text.cast("binary")), F.lit(0))), F.lit(slots)).cast("int")
+def vslot(doc_id: Column, text_crc32: Column, size: Column, row: Column, slots: int = SLOTS) -> Column:
+    """The slot of a record; row, its place in the table, only counts where there is no id."""
+    hashed = F.xxhash64(doc_id, text_crc32, size, F.when(doc_id.isNull(), row))
+    return F.pmod(hashed, F.lit(slots)).cast("int")
 
 
 @dataclass
@@ -42,17 +46,14 @@ class SlotMap:
 
     @staticmethod
     def planned(sizes: list[int], shards: int) -> SlotMap:
-        """Largest slot first, each to the shard with the fewest bytes so far; then slots are exchanged
-        while that narrows the gap between the fullest and the emptiest shard."""
+        """Largest slot first, each to the shard with the fewest bytes so far."""
         heap = [(0, s) for s in range(shards)]
         owner = [0] * len(sizes)
         for slot in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
             load, s = heapq.heappop(heap)
             owner[slot] = s
             heapq.heappush(heap, (load + sizes[slot], s))
-        m = SlotMap(owner, shards)
-        m.edits = []
-        return m
+        return SlotMap(owner, shards)
 
     def loads(self, sizes: list[int]) -> list[int]:
         out = [0] * self.shards
@@ -96,29 +97,37 @@ class SlotMap:
         return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, k, s) for k, s in enumerate(self.owner)], "version int, vslot int, shard int")
+        return spark.createDataFrame([(k, s, self.shards) for k, s in enumerate(self.owner)], "vslot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at path."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Stores this version at path: owners of slots, and the edits that made it from the one before. Saving a
+        version again replaces it."""
+        edits = [e[1:] for e in self.edits if e[0] == self.version]
+        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/owners/version={self.version}")
+        spark.createDataFrame(edits, "vslot int, from int, to int").coalesce(1).write.mode("overwrite").parquet(f"{path}/edits/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        t = spark.read.schema("vslot int, shard int, version int").parquet(path)
+        """A stored version, the latest one if none is given, with all edits up to it."""
+        t = spark.read.schema("vslot int, shard int, shards int, version int").parquet(f"{path}/owners")
         if version is None:
             version = t.agg(F.max("version")).first()[0]
         rows = t.where(F.col("version") == version).orderBy("vslot").collect()  # a row a slot: fixed size
-        return SlotMap([r["shard"] for r in rows], max(r["shard"] for r in rows) + 1, version)
+        edits = spark.read.schema("vslot int, from int, to int, version int").parquet(f"{path}/edits").where(F.col("version") <= version)
+        # a move is a row: at most two for each slot and version
+        moves = sorted((r["version"], r["vslot"], r["from"], r["to"]) for r in edits.collect())
+        return SlotMap([r["shard"] for r in rows], rows[0]["shards"], version, moves)
 
 
 def records(docs: DataFrame, slots: int = SLOTS, overhead: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of every row."""
-    return docs.select(
+    """doc_id, size, text_crc32, row (a number of its own), vslot of every row."""
+    rec = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        vslot(F.col("doc_id"), F.coalesce("text", F.lit("")), slots).alias("vslot"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return rec.withColumn("vslot", vslot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("row"), slots))
 
 
 def slot_bytes(rec: DataFrame, slots: int = SLOTS) -> tuple[list[int], int]:
@@ -131,23 +140,30 @@ def slot_bytes(rec: DataFrame, slots: int = SLOTS) -> tuple[list[int], int]:
     return sizes, rows
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, overhead: int = 8, slot_map: SlotMap | None = None, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (position within the shard, gapless from 0), vslot. Sizes of
-    shards are near equal. With a map, records go where it says; else one is planned from the bytes of the
-    slots, and saved as version 0 if a path is given."""
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, overhead: int = 8, map_path: str | None = None, grow: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (position within the shard, gapless from 0), vslot. Sizes of shards
+    are near equal. The map is planned from the bytes of the slots as version 0, stored at map_path, and read from
+    there. With grow=True the latest map at map_path is taken: where its shards have become unequal, or their
+    number is another, it is edited, and the next version stored."""
     spark = docs.sparkSession
     rec = stored(records(docs, slots, overhead), "records")
     sizes, rows = slot_bytes(rec, slots)
-    m = slot_map or SlotMap.planned(sizes, shards)
-    if map_path:
-        m.save(spark, map_path)
+    path = map_path or scratch(spark, "slot-map")
+    if grow:
+        m = SlotMap.load(spark, path)
+        edited = m.rebalance(sizes, shards)
+        if len(edited.edits) > len(m.edits) or edited.shards != m.shards:
+            edited.save(spark, path)
+    else:
+        SlotMap.planned(sizes, shards).save(spark, path)
+    m = SlotMap.load(spark, path)
     parts = max(1, -(-rows // (slots * PART_ROWS)))
-    rec = rec.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int"))
+    rec = rec.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     owner = F.broadcast(m.frame(spark).select("vslot", "shard"))  # a row a slot
     counts = rec.groupBy("vslot", "part").agg(F.count("*").alias("n")).join(owner, "vslot")
     # a row for each slot and part: at most slots + rows / PART_ROWS; one shard's are numbered in one task
     offsets = counts.select("vslot", "part", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("vslot", "part")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")) - 1
+    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     placed = rec.withColumn("within", within)
     if rows <= 1_000_000_000:  # then offsets have at most slots + 20,000 rows
         offsets = F.broadcast(offsets)
