@@ -10,6 +10,8 @@ that isn't 8-bit mono, or that has frames outside its seek table.
 As a column: a text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples.
 Null counts as empty; equal texts give equal streams whatever else is in their batch. Long texts are cut
 into blocks like short ones. The column and its PCM blocks are stored, and payloads are read from the blocks.
+Rows that repeat id and text each have a stream of their own, null ids too. An empty table gives an empty
+result; other columns of docs, also ones called media or pcm, don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tilespark.llm.common import chunked, scratch, stored, text_buffer
+from tilespark.llm.common import chunked, frugal, remove, scratch, small_batches, stored, text_buffer
 
 BLOCK = 2048
 LPC_ORDER = 6
@@ -502,7 +504,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 media = encode(*pad(data, offs))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(make), "doc_id long, n_bytes long, media binary")
 
 
 def _decoded(media: list[bytes]):
@@ -569,7 +571,7 @@ def pcm_blocks(media: DataFrame, samples: int = BLOCK) -> DataFrame:
                 yield record_batch(rows, target)
 
     rows = media.where(F.col("media").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "media")
-    return rows.mapInArrow(cut, BLOCKS)
+    return rows.mapInArrow(frugal(cut), BLOCKS)
 
 
 def joined(blocks: DataFrame, whole: bool) -> DataFrame:
@@ -605,7 +607,7 @@ def joined(blocks: DataFrame, whole: bool) -> DataFrame:
         if head is not None:
             yield record_batch([result()], target)
 
-    return blocks.select(*names).mapInArrow(look, schema)
+    return blocks.select(*names).mapInArrow(frugal(look), schema)
 
 
 def payloads(blocks: DataFrame) -> DataFrame:
@@ -616,10 +618,22 @@ def payloads(blocks: DataFrame) -> DataFrame:
     return read.where("piece is null").drop("piece").unionByName(joined(pieces, whole=True).drop("piece"))
 
 
-def through_store(docs: DataFrame) -> DataFrame:
-    """The columns of read_media, by way of the stored media column and its stored PCM blocks."""
+def through_store(docs: DataFrame, waves: int = 4, one_wave_bytes: int = 1 << 26) -> DataFrame:
+    """The columns of read_media, by way of stored media and stored PCM blocks. All rows are dealt to `waves` by
+    their texts (to one if there are at most one_wave_bytes of text); each wave's media are stored, read back
+    and decoded to blocks, which are stored for good. Media are incompressible and nearly as large as the texts,
+    so those of one wave stay at a time, until the next wave's take their place."""
     spark = docs.sparkSession
-    media, blocks = scratch(spark, "media"), scratch(spark, "pcm-blocks")
-    text_media(docs).write.option("compression", "zstd").parquet(media)
-    pcm_blocks(spark.read.parquet(media)).write.option("compression", "zstd").parquet(blocks)
+    small_batches(spark)
+    blocks, media = scratch(spark, "pcm-blocks"), None
+    if (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= one_wave_bytes:
+        waves = 1
+    dealt = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(waves))
+    for wave in range(waves):
+        if media:
+            remove(spark, media)
+        media = scratch(spark, "media")
+        text_media(docs.select("doc_id", "text").where(dealt == wave)).write.option("compression", "zstd").parquet(media)
+        own = pcm_blocks(spark.read.parquet(media)).withColumn("row", F.col("row") * waves + wave)
+        own.write.mode("append").option("compression", "zstd").parquet(blocks)
     return payloads(spark.read.parquet(blocks))
