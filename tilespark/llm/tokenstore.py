@@ -1,20 +1,26 @@
 """Token ids in a content-addressed store.
 
-A store is a folder with three Parquet tables:
+A store is a folder with four Parquet tables:
 
 * chunks   (digest, n_ids, payload): each unique chunk once; the payload is its ids as little-endian
            unsigned integers of `width` bytes, the digest BLAKE2b (16 bytes) of that payload;
 * recipes  (doc_id, start, n_tokens, root, digests, part, row): in ascending doc_id order; start counts the
            ids of all documents before, digests lists the document's chunks, root is their Merkle root;
-* manifest (part, block, docs, tokens, root): a root for every 1024 recipes, over the roots of these.
+* manifest (part, block, docs, tokens, root): a root for every 1024 recipes, over all that they say but their
+           digests, for which their own roots stand;
+* top      (docs, tokens, root): one row, over the roots of all blocks.
 
 Chunks end where a rolling hash of the last 8 ids has its low bits zero, so equal passages give equal
 chunks wherever they stand; least and greatest lengths bound them. Writing emits each chunk's payload once
 a task, brings equal digests together and keeps one. Reading back checks every chunk against its
-digest, every recipe against its root and every block against the manifest.
+digest, every recipe against its root, every block against the manifest and all blocks against the top.
 
-Null and empty texts hold the end id alone. A null doc_id comes first; rows with equal doc_id each keep a
-recipe of their own, in the order of their roots. An empty table gives an empty store.
+Texts go through the tokenizers library: for the tokenizer file whose steps are known (KNOWN_STEPS) as unique
+words, for any other as whole texts.
+
+Null and empty texts hold the end id alone; very long ones are cut into chunks like all others. A null doc_id
+comes first; rows with equal doc_id, also wholly repeated ones, each keep a recipe of their own, in the order of
+their roots. An empty table gives an empty store. Other columns of docs don't matter.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import json
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilespark.llm.bpe import byte_letters
-from tilespark.llm.common import chunked, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, lookup, remove, scratch, small_batches, text_buffer
 from tilespark.llm.textvec import U, mix, powers
 from tilespark.llm.units import UnitCache, no_cycle_search
 
@@ -81,6 +88,9 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(content)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.by_word = word_by_word(content)
         mark = self.lib.encode("\0", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.special = [t["content"].encode() for t in json.loads(content).get("added_tokens", [])]
@@ -127,17 +137,30 @@ class LibraryEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 texts, one after another, and where each text's begin."""
+        if not self.by_word:
+            found = [e.ids for e in self.lib.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
         per = [self.words(t) for t in texts]
         return self.cache.ids([u for p in per for u in p], np.fromiter(map(len, per), np.int64, len(per)))
 
 
-def splits_at_white_space(content: str) -> bool:
-    """Whether a tokenizer file lower-cases texts and parts them at white space before all else."""
+#: Fixed value: the steps before the model of the tokenizer file that can be taken word by word.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def word_by_word(content: str) -> bool:
+    """Whether a tokenizer file takes exactly the steps that this module takes apart: then a text's ids are those
+    of its words. Special tokens must be words without white space that aren't looked for in normalised text."""
     spec = json.loads(content)
-    pre = spec.get("pre_tokenizer") or {}
-    kinds = [p for p in pre.get("pretokenizers", [pre]) if p.get("type") == "Split"]
-    lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-    return lower and bool(kinds) and kinds[0].get("behavior") == "Removed" and kinds[0].get("invert") is True
+    steps = all(spec.get(k) == v for k, v in KNOWN_STEPS.items()) and not spec.get("truncation") and not spec.get("post_processor")
+    plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+    return steps and plain and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -227,8 +250,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         content = f.read()
-    if not splits_at_white_space(content):
-        raise ValueError("this store's encoder needs a tokenizer that parts texts at white space")
     if max(json.loads(content)["model"]["vocab"].values(), default=0) >= 1 << 8 * lay.width:
         raise ValueError("ids are wider than the layout's width")
     shared = spark.sparkContext.broadcast(content)
@@ -274,7 +295,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
                 )
 
     small_batches(spark)
-    made = docs.select("doc_id", "text").mapInArrow(encode, "is_doc boolean, doc_id long, n long, digest binary, digests array<binary>, payload binary")
+    made = docs.select("doc_id", "text").mapInArrow(frugal(encode), "is_doc boolean, doc_id long, n long, digest binary, digests array<binary>, payload binary")
     made.write.option("compression", "zstd").parquet(f"{path}/incoming")
     made = spark.read.schema(made.schema).parquet(f"{path}/incoming")
 
@@ -287,7 +308,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
             yield b.filter(pa.array(keep, pa.bool_()))
 
     chunks = made.where("not is_doc").select("digest", F.col("n").alias("n_ids"), "payload").repartition("digest").sortWithinPartitions("digest")
-    chunks.mapInArrow(first, "digest binary, n_ids long, payload binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks.mapInArrow(frugal(first), "digest binary, n_ids long, payload binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def place(batches):
         at = row = 0
@@ -307,12 +328,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
     recipes = placed.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "root", "digests", "part", "row")
     recipes.write.parquet(f"{path}/recipes")
     blocks(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    top(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
+    remove(spark, f"{path}/incoming")
+    remove(spark, f"{path}/placed")
+
+
+def joined_roots(*order: str):
+    """One root over a group's roots in their order."""
+    return F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(*order, "root"))), lambda s: s["root"])), 256).alias("root")
 
 
 def blocks(recipes: DataFrame) -> DataFrame:
-    """The manifest of recipes: at most BLOCK roots meet in a group."""
-    g = recipes.groupBy("part", F.floor(F.col("row") / BLOCK).alias("block"))
-    return g.agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("row", F.hex("root").alias("x")))), lambda s: s["x"])), 256).alias("root"))
+    """The manifest of recipes: at most BLOCK of them meet in a group."""
+    said = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    g = recipes.select("part", "row", "n_tokens", said.alias("root")).groupBy("part", F.floor(F.col("row") / BLOCK).alias("block"))
+    return g.agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), joined_roots("row"))
+
+
+def top(manifest: DataFrame) -> DataFrame:
+    """One row over all blocks: BLOCK of a part's blocks at a time become one, until each part is one; parts are a
+    fixed number."""
+    level = manifest.select("part", "block", "docs", "tokens", "root")
+    most = manifest.agg(F.max("block")).first()[0] or 0
+    while most:
+        level = level.withColumn("above", F.floor(F.col("block") / BLOCK)).groupBy("part", "above").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), joined_roots("block")).withColumnRenamed("above", "block")
+        most //= BLOCK
+    return level.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), joined_roots("part"))
 
 
 def chunk_facts(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -338,13 +379,20 @@ def verify_manifest(spark: SparkSession, path: str) -> int:
 
 def read_back(spark: SparkSession, path: str, lay: Layout = Layout()) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from the store's files. The crc is
-    joined from those of the chunks as read; a missing chunk, a wrong length or root, or a block that
-    doesn't match the manifest raises."""
+    joined from those of the chunks as read; a missing chunk, a wrong length or root, a block that doesn't match
+    the manifest, or blocks that don't match the top raise."""
     if bad := verify_manifest(spark, path):
         raise ValueError(f"{bad} blocks of recipes don't match the manifest")
+    if top(spark.read.parquet(f"{path}/manifest")).collect() != spark.read.parquet(f"{path}/top").collect():
+        raise ValueError("the manifest doesn't match its top root")
     recipes = spark.read.parquet(f"{path}/recipes")
     uses = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
-    facts = uses.join(chunk_facts(spark, path, lay.width), "digest", "left")
+    # chunks with the number of their uses; those that very many documents share don't meet in one task
+    at = scratch(spark, "chunk-facts")
+    found = chunk_facts(spark, path, lay.width)
+    uses.groupBy("digest").agg(F.count("*").alias("uses")).join(found, "digest", "left").write.parquet(at)
+    known = spark.read.parquet(at)
+    facts = lookup(uses, known, ["digest"], "uses", int(known.agg(F.sum("uses")).first()[0] or 0))
     lists = facts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n_ids", "crc"))).alias("parts"))
 
     def combine(batches):
@@ -363,7 +411,7 @@ def read_back(spark: SparkSession, path: str, lay: Layout = Layout()) -> DataFra
                 counts.append(len(parts))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
 
-    return recipes.select("doc_id", "start", "n_tokens", "root").join(lists, "start").mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
+    return recipes.select("doc_id", "start", "n_tokens", "root").join(lists, "start").mapInArrow(frugal(combine), "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
 
 
 def reconstruct(spark: SparkSession, path: str, lay: Layout = Layout()) -> DataFrame:
