@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    aside = {c: f"{c}__in" for c in ("_path", "_tokens", "_epoch", "_b", "_h", "_e") if c in docs.columns}  # names that give way
+    aside = {c: f"{c}__in" for c in docs.columns if c.lower() in ("_path", "_tokens", "_epoch")}  # names that give way
     return mixing.mix(docs.withColumnsRenamed(aside), plan()).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
