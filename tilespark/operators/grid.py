@@ -11,7 +11,7 @@ from tilespark.functions import tilemath as tm
 from tilespark.operators.features import BOX
 
 #: Up to so many tiles are broadcast and compared with every feature; more are joined by cells.
-FEW_TILES = 64
+FEW_TILES = 128
 #: A feature is dealt to cells of a zoom at which it spans about so many.
 SPAN = 4
 

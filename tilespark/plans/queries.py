@@ -1,6 +1,7 @@
 """The catalogue: one query for each operator of the engine, and the same in SQL where SQL can say it.
 
-All run over whole tables. Doubles are rounded to 9 places, as transcendental functions differ between
+Queries over features, vertices and ranges take whole tables, and all tiles of the grid of zooms 0 to 3 where it
+isn't said otherwise; sq_tolerance_by_zoom and the option queries are tables of constants. Doubles are rounded to 9 places, as transcendental functions differ between
 engines in the last one.
 """
 
@@ -476,16 +477,13 @@ def tile_layer_counts(spark, d):
     return counted(e.counts(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
 
 
-@query("multi_source_layers", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from (select * from tb where z=3 and x<2) tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer")
-def multi_source_layers(spark, d):
-    """Polygons only from zoom 4 on: their layer is there, and empty."""
-    e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
-    return counted(e.counts(fx.view(spark, d, fx.TILES).where("z=3 and x<2"), few=True, zooms=[3]), ["points", "polys"])
+MULTI = f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer"
 
 
-@query("multi_source_layers_all", f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross join names left join src on src.ord=names.ord and minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 and names.layer='points' group by z,x,y,names.layer")
-def multi_source_layers_all(spark, d):
-    """The same on every tile of the grid."""
+@query("multi_source_layers", MULTI)
+@query("multi_source_layers_all", MULTI)
+def multi_source_layers(spark, d):
+    """Polygons only from zoom 4 on: their layer is there, and empty."""
     e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
     return counted(e.counts(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
 
@@ -538,31 +536,26 @@ def decoded(tiles_df: DataFrame, schema: str, rows_of) -> DataFrame:
     return tiles_df.mapInArrow(run, schema)
 
 
-@query("mvt_roundtrip_points", f"""with {T}, {BOXES}, {FEATURE_BOXES['points']}, m as (select p.*, {PX} as mx, {PY} as my from p)
+ROUNDTRIP = f"""with {T}, {BOXES}, {FEATURE_BOXES['points']}, m as (select p.*, {PX} as mx, {PY} as my from p)
 select z,x,y,m.fid, cast(floor(4096*(mx*power(2,z)-x)+0.5) as bigint) as px, cast(floor(4096*(my*power(2,z)-y)+0.5) as bigint) as py, status, priority, cast(round(price*100) as bigint) as cents, cast(cust as bigint) as cust
-from m join b on m.fid=b.fid join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 where z=2""")
-def mvt_roundtrip_points(spark, d):
-    made = engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES).where("z=2"), few=True, zooms=[2])
-    return decoded_points(made)
+from m join b on m.fid=b.fid join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1"""
 
 
-def decoded_points(made: DataFrame) -> DataFrame:
+@query("mvt_roundtrip_points", ROUNDTRIP)
+@query("mvt_roundtrip_points_all", ROUNDTRIP)
+def mvt_roundtrip_points(spark, d):
+    made = engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
     return decoded(made, "z int, x long, y long, fid long, px long, py long, status string, priority string, cents long, cust long", lambda z, x, y, ls: [
         (z, x, y, f["id"], *f["paths"][0][0], f["properties"]["status"], f["properties"]["priority"], int(f["properties"]["price"] * 100 + 0.5), f["properties"]["cust"]) for lay in ls for f in lay["features"]
     ])
 
 
-@query("mvt_roundtrip_points_all", ORACLE["mvt_roundtrip_points"].removesuffix(" where z=2"))
-def mvt_roundtrip_points_all(spark, d):
-    """The same on every tile of the grid."""
-    return decoded_points(engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]))
-
-
 @query("mvt_roundtrip_polys", f"""with {T}, {BOXES}, {FEATURE_BOXES['polys']}, k as (select b.fid, z, x, y from b join tb on minx>=w0 and maxx<=w2 and miny>=w1 and maxy<=w3 where z=2),
 q as (select k.z,k.x,k.y,g.fid,g.ring, cast(floor(4096*({PX}*4-k.x)+0.5) as bigint) as qx, cast(floor(4096*({PY}*4-k.y)+0.5) as bigint) as qy from g join k on g.fid=k.fid)
 select z,x,y,fid,count(distinct ring) as rings, cast(sum(qx) as bigint) as sx, cast(sum(qy) as bigint) as sy from q group by z,x,y,fid""")
 def mvt_roundtrip_polys(spark, d):
-    """Polygons that lie within their tile: rings and sums of coordinates as decoded."""
+    """Polygons that lie within a tile of zoom 2: rings and sums of coordinates as decoded. All tiles and all
+    polygons: mvt_polygon_paths."""
     zooms = fx.view(spark, d, fx.TILES).where("z=2")
     made = decoded(engine(spark, d, ("polys",), tolerance=0).tiles(zooms, few=True, zooms=[2]), "z int, x long, y long, fid long, rings long, sx long, sy long", lambda z, x, y, ls: [
         (z, x, y, f["id"], len(f["paths"]), sum(p[0] for r in f["paths"] for p in r), sum(p[1] for r in f["paths"] for p in r)) for lay in ls for f in lay["features"]
@@ -571,19 +564,41 @@ def mvt_roundtrip_polys(spark, d):
     return made.join(inside.select("z", "x", "y", "fid"), ["z", "x", "y", "fid"], "left_semi")
 
 
-@query("index_range_merge", """with r as (select o_custkey%16 as path, o_orderkey*700 as off, 100+o_orderkey%150 as len from orders where o_orderkey%3<>1),
-e as (select *, max(off+len) over (partition by path order by off, len rows between unbounded preceding and 1 preceding) as e from r),
-i as (select *, sum(case when e is null or off>e+6000 then 1 else 0 end) over (partition by path order by off, len rows unbounded preceding) as isle from e)
-select path, min(off) as "offset", max(off+len)-min(off) as length from i group by path, isle""")
-def index_range_merge(spark, d):
-    return merged_orders(fx.table(spark, d, "orders").where("o_orderkey%3<>1"))
+#: Polygons in units of their tile, cut to its box with the buffer, quantised, with the role and direction of each
+#: ring that is left; pid stands for a feature in a tile.
+CUT = f"""k as (select b.fid, z, x as tx, y as ty from b join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
+src as (select ((g.fid*4+z)*8+tx)*8+ty as fid, g.ring, g.vtx, {PX}*power(2,z)-tx as x, {PY}*power(2,z)-ty as y from g join k on g.fid=k.fid),
+{slab('src', 'c1', -0.015625, 1.015625, 'x', True)}, {slab('c1', 'c2', -0.015625, 1.015625, 'y', True)},
+q as (select fid, ring, vtx, cast(floor(4096*x+0.5) as bigint) as x, cast(floor(4096*y+0.5) as bigint) as y, count(*) over (partition by fid,ring) as n from c2),
+parts as (select fid, ring, any_value(ext) as ext from g group by fid, ring), roles as (select fid, count(*) filter (ext)>1 as several from parts group by fid),
+kept as (select distinct q.fid, q.ring, parts.ext from q join parts on parts.fid=q.fid//256 and parts.ring=q.ring),
+role as (select k1.fid, k1.ring, case when r.several and count(*) filter (k1.ext) over (partition by k1.fid)>1 then k1.ext else k1.ring=min(k1.ring) over (partition by k1.fid) end as ext from kept k1 join roles r on r.fid=k1.fid//256),
+ends as (select fid, ring, max(n) as n, arg_max(x,vtx) as lx, arg_max(y,vtx) as ly, arg_min(x,vtx) as fx, arg_min(y,vtx) as fy from q group by fid, ring),
+areas as (select q.fid, q.ring, sum((q.x-coalesce(p.x,e.lx))*(q.y+coalesce(p.y,e.ly))) as area from q join ends e on e.fid=q.fid and e.ring=q.ring left join q p on p.fid=q.fid and p.ring=q.ring and p.vtx=q.vtx-1 group by q.fid, q.ring),
+turned as (select q.fid, q.ring, case when (a.area>0)<>r.ext then q.n-1-q.vtx else q.vtx end as vtx, q.x, q.y, q.n-case when q.n>=3 and e.fx=e.lx and e.fy=e.ly then 1 else 0 end as w
+  from q join areas a on a.fid=q.fid and a.ring=q.ring join role r on r.fid=q.fid and r.ring=q.ring join ends e on e.fid=q.fid and e.ring=q.ring),
+out as (select *, dense_rank() over (partition by fid order by ring)-1 as k from turned where w>=3 and vtx<w)"""
+
+
+@query("mvt_polygon_paths", f"""with {T}, {BOXES}, {FEATURE_BOXES['polys']}, {CUT}
+select cast((fid//64)%4 as int) as z, (fid//8)%8 as x, fid%8 as y, fid//256 as fid, 3 as kind, cast(k as int) as ring, cast(vtx as int) as vtx, x as px, y as py from out""")
+def mvt_polygon_paths(spark, d):
+    """Every vertex of every polygon in every tile of the grid, as decoded: clipped, wound and encoded, in order."""
+    made = engine(spark, d, ("polys",), tolerance=0).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
+    return decoded(made, "z int, x long, y long, fid long, kind int, ring int, vtx int, px long, py long", lambda z, x, y, ls: [
+        (z, x, y, f["id"], f["type"], k, i, *p) for lay in ls for f in lay["features"] for k, path in enumerate(f["paths"]) for i, p in enumerate(path[:-1])
+    ])
 
 
-@query("index_range_merge_all", """with r as (select o_custkey%16 as path, o_orderkey*700 as off, 100+o_orderkey%150 as len from orders),
+MERGE = """with r as (select o_custkey%16 as path, o_orderkey*700 as off, 100+o_orderkey%150 as len from orders),
 e as (select *, max(off+len) over (partition by path order by off, len rows between unbounded preceding and 1 preceding) as e from r),
 i as (select *, sum(case when e is null or off>e+6000 then 1 else 0 end) over (partition by path order by off, len rows unbounded preceding) as isle from e)
-select path, min(off) as "offset", max(off+len)-min(off) as length from i group by path, isle""")
-def index_range_merge_all(spark, d):
+select path, min(off) as "offset", max(off+len)-min(off) as length from i group by path, isle"""
+
+
+@query("index_range_merge", MERGE)
+@query("index_range_merge_all", MERGE)
+def index_range_merge(spark, d):
     """A range of every order; orders of other paths make the gaps."""
     return merged_orders(fx.table(spark, d, "orders"))
 
@@ -593,15 +608,13 @@ def merged_orders(o: DataFrame) -> DataFrame:
     return ranges.merge_ranges(r, 6000)
 
 
-@query("rtree_level_bounds", """with recursive s as (select p_partkey as n from part where p_partkey<=400), l(n, level, nodes) as (select n, 0, n from s union all select n, level+1, (nodes+15)//16 from l where nodes>1 or level=0)
-select n, level, cast(coalesce(sum(nodes) over (partition by n order by level desc rows between unbounded preceding and 1 preceding),0) as bigint) as first, cast(sum(nodes) over (partition by n order by level desc rows unbounded preceding) as bigint) as last from l""")
-def rtree_level_bounds(spark, d):
-    return level_bounds(fx.table(spark, d, "part").where("p_partkey<=400").select("p_partkey"))
+LEVELS = """with recursive s as (select p_partkey as n from part), l(n, level, nodes) as (select n, 0, n from s union all select n, level+1, (nodes+15)//16 from l where nodes>1 or level=0)
+select n, level, cast(coalesce(sum(nodes) over (partition by n order by level desc rows between unbounded preceding and 1 preceding),0) as bigint) as first, cast(sum(nodes) over (partition by n order by level desc rows unbounded preceding) as bigint) as last from l"""
 
 
-@query("rtree_level_bounds_all", """with recursive s as (select p_partkey as n from part), l(n, level, nodes) as (select n, 0, n from s union all select n, level+1, (nodes+15)//16 from l where nodes>1 or level=0)
-select n, level, cast(coalesce(sum(nodes) over (partition by n order by level desc rows between unbounded preceding and 1 preceding),0) as bigint) as first, cast(sum(nodes) over (partition by n order by level desc rows unbounded preceding) as bigint) as last from l""")
-def rtree_level_bounds_all(spark, d):
+@query("rtree_level_bounds", LEVELS)
+@query("rtree_level_bounds_all", LEVELS)
+def rtree_level_bounds(spark, d):
     """Trees of as many features as each key of part says."""
     return level_bounds(fx.table(spark, d, "part").select("p_partkey"))
 
@@ -635,17 +648,29 @@ def scratch_file(spark: SparkSession, name: str) -> str:
     return os.path.join(at, f"{name}-{uuid.uuid4().hex}.fgb")
 
 
+def parts_file(spark, d) -> str:
+    """Polygons written to a file with an index: by one writer, as the format is one stream."""
+    path = scratch_file(spark, "parts")
+    base = polys(spark, d).join(fx.table(spark, d, "part").select(F.col("p_partkey").alias("fid"), "p_brand", "p_size"), "fid").orderBy("fid")
+    rows = ((r["geom_type"], [(q["ext"], np.array([(p["x"], p["y"]) for p in q["pts"]])) for q in r["rings"]], {"pk": r["fid"], "brand": r["p_brand"], "size": r["p_size"]}) for r in base.toLocalIterator())
+    flatgeobuf.write(path, rows, [("pk", "long"), ("brand", "string"), ("size", "int")])
+    return path
+
+
 @query("fgb_roundtrip_scan", f"with {G} select fid, cast(count(*) as bigint) as vertices, count(distinct ring) as rings, count(distinct case when ext then ring end) as exteriors, round(sum(lon),6) as sx, round(sum(lat),6) as sy, any_value(p_brand) as brand, any_value(p_size) as size from g join part on fid=p_partkey where lon is not null group by fid having max(lon)>=-60.5 and min(lon)<=45.25 and max(lat)>=-30 and min(lat)<=41.5")
 def fgb_roundtrip_scan(spark, d):
     """Polygons written to a file and read back through its index."""
-    path = scratch_file(spark, "parts")
-    base = polys(spark, d).join(fx.table(spark, d, "part").select(F.col("p_partkey").alias("fid"), "p_brand", "p_size"), "fid").orderBy("fid")
-    rows = [(r["geom_type"], [(q["ext"], np.array([(p["x"], p["y"]) for p in q["pts"]])) for q in r["rings"]], {"brand": r["p_brand"], "size": r["p_size"]}) for r in base.toLocalIterator()]
-    flatgeobuf.write(path, rows, [("brand", "string"), ("size", "int")])
-    back = flatgeobuf.read(spark, path).where("maxx >= -60.5 and minx <= 45.25 and maxy >= -30 and miny <= 41.5")
+    back = flatgeobuf.read(spark, parts_file(spark, d)).where("maxx >= -60.5 and minx <= 45.25 and maxy >= -30 and miny <= 41.5")
     v = g.all_points(F.col("rings"))
     add = lambda c: F.aggregate(F.transform(v, lambda p: p[c]), F.lit(0.0), lambda a, b: a + b)
-    return back.select("fid", F.size(v).cast("long").alias("vertices"), F.size("rings").cast("long").alias("rings"), F.size(F.filter("rings", lambda r: r["ext"])).cast("long").alias("exteriors"), F.round(add("x"), 6).alias("sx"), F.round(add("y"), 6).alias("sy"), "brand", "size")
+    return back.select(F.col("pk").alias("fid"), F.size(v).cast("long").alias("vertices"), F.size("rings").cast("long").alias("rings"), F.size(F.filter("rings", lambda r: r["ext"])).cast("long").alias("exteriors"), F.round(add("x"), 6).alias("sx"), F.round(add("y"), 6).alias("sy"), "brand", "size")
+
+
+@query("tile_from_fgb_index", f"with {FEATURE_BOXES['polys']}, t as (select 3 as z, 4 as x, 3 as y), {BOXES} select fid, p_brand as brand, p_size as size from b join part on fid=p_partkey join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1")
+def tile_from_fgb_index(spark, d):
+    """One tile from a file: its box goes to the file's index, and features come from the tile's bytes."""
+    e = TileEngine(spark, Source("parts", parts_file(spark, d), Options(tolerance=0), id_col="pk"))
+    return decoded(e.tile_list([(3, 4, 3)]), "fid long, brand string, size int", lambda z, x, y, ls: [(f["id"], f["properties"]["brand"], f["properties"]["size"]) for f in ls[0]["features"]])
 
 
 @query("streaming_tile_density", """with e as (select ts, ((user_id*3571)%300)-150 as lon, ((user_id*2309)%120)-60 as lat, value from events)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -483,7 +483,7 @@ def _geometry(b: Builder, kind: int, rings: list[tuple[bool, np.ndarray]], root:
     return b.table(fields)
 
 
-def write(path: str, features: list[tuple[int, list[tuple[bool, np.ndarray]], dict]], columns: list[tuple[str, str]], node_size: int = 16, geometry_type: int = 0, single_root: bool = True) -> None:
+def write(path: str, features: Iterable[tuple[int, list[tuple[bool, np.ndarray]], dict]], columns: list[tuple[str, str]], node_size: int = 16, geometry_type: int = 0, single_root: bool = True) -> None:
     """Writes a file: features are (type, rings, properties by name), columns (name, type). For files of one
     writer; features keep their order, the index is packed in that order."""
     blobs, boxes = [], []
@@ -507,15 +507,15 @@ def write(path: str, features: list[tuple[int, list[tuple[bool, np.ndarray]], di
         boxes.append((*pts.min(0), *pts.max(0)))
     box = np.array(boxes, float).reshape(-1, 4)
     b = Builder()
-    fields = {HEADER_TYPE: ("B", geometry_type), HEADER_COUNT: ("Q", len(features)), HEADER_NODE: ("H", node_size)}
+    fields = {HEADER_TYPE: ("B", geometry_type), HEADER_COUNT: ("Q", len(blobs)), HEADER_NODE: ("H", node_size)}
     if len(box):
         fields[HEADER_ENVELOPE] = ("ref", lambda: b.vector(np.r_[box[:, :2].min(0), box[:, 2:].max(0)].astype("<f8")))
     if columns:
         fields[HEADER_COLUMNS] = ("ref", lambda: b.tables([lambda n=n, t=t: b.table({0: ("ref", lambda: b.vector(n.encode(), True)), 1: ("B", TYPES.index(t))}) for n, t in columns]))
     head = b.finish(b.table(fields))
     out = [MAGIC + b"\x00" + struct.pack("<I", len(head)) + head]
-    if node_size and features:
-        lv = levels(len(features), node_size, single_root)
+    if node_size and blobs:
+        lv = levels(len(blobs), node_size, single_root)
         nodes = np.zeros(lv[0][1], NODE)
         lo, hi = lv[0]
         for i, c in enumerate(("minx", "miny", "maxx", "maxy")):
