@@ -7,7 +7,8 @@ token isn't compatible, its next shorter prefix is tried; if none is left, the t
 back and its end is marked dead. Each place dies once at most, so time is linear, and the result equals
 that of the merge rules.
 
-Null and empty texts have no tokens. A special token's string within a text becomes its id, as the
+Null and empty texts have no tokens, very long ones take memory in proportion to themselves. Rows are encoded one
+by one, repeated ones alike; an empty table gives an empty result; other columns don't matter. A special token's string within a text becomes its id, as the
 tokenizer file asks. Vocabulary files stay where they are: the driver reads the file at the given path
 and broadcasts its content.
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import os
 import re
 import tempfile
 import uuid
@@ -46,6 +47,13 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `stored` wrote, once nothing reads them any more."""
+    for t in tables:
+        for f in {os.path.dirname(f) for f in t.inputFiles()}:
+            remove(t.sparkSession, f)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,13 +2,15 @@
 
 A text is the mean of the embeddings of its words and of the byte n-grams inside them, all hashed into
 one table; a softmax over that mean gives the languages. Table and softmax are trained by stochastic
-gradient descent in numpy on a bounded sample (`per_lang` texts of each language, whole documents and
-random windows of them); prediction reads whole texts. A temperature and a rejection threshold are
-calibrated on rows of the sample that training doesn't see.
+gradient descent in numpy on a bounded sample: `per_lang` texts of each language, however many languages there
+are, and of each text random windows of `windows` words, as short texts are the hard ones; prediction reads
+whole texts, very long ones too. A temperature and a rejection threshold are calibrated on rows of the sample
+that training doesn't see.
 
 Null or letterless texts get `und` and score 0. Rows with a null lang are not learned from. An empty
 table, or one without a learnable row, gives a model without languages, which answers `und`. Repeated
-rows are judged alike; extra columns are ignored.
+rows are judged alike; of languages with equal scores the first in the alphabet is given; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -108,9 +110,11 @@ class Settings:
     rate: float = 1.0
     least_steps: int = 300
     batch: int = 32
+    #: Words of the windows that are learned from: one of each length at a random place of each text.
     windows: tuple[int, ...] = (2, 8, 40, 160)
     precision: float = 0.98
     seed: int = 11
+    #: The bound of the training sample: texts of each language.
     per_lang: int = field(default=1000)
 
 

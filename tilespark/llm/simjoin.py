@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import BROADCAST_ROWS, chunked, components, frugal, lookup, small_batches, stored, text_buffer
+from tilespark.llm.common import BROADCAST_ROWS, chunked, components, discard, frugal, lookup, small_batches, stored, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, mix, words
 
 #: Odd multipliers of a shingle's words.
@@ -415,7 +415,9 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Threshold) -> DataFrame:
     unit = max(MANY_PAIRS, pairs.count() // 100_000)  # so there are 100,000 with more pairs at most
     many = lambda key: pairs.groupBy(key).agg(F.ceil(F.count("*") / unit).cast("int").alias("parts")).where("parts > 1")
     both = dealt_texts(dealt_texts(pairs, texts, many("b"), "b", "a"), texts, many("a"), "a", "b")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(frugal(check), "a long, b long"), "links")
+    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(frugal(check), "a long, b long"), "links")
+    discard(pairs, ids, texts)
+    return links
 
 
 def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:

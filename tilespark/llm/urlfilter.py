@@ -11,8 +11,9 @@ Pages without a rule get their host's verdict, allow where nothing is known.
 Links are the absolute and protocol-relative href targets of a page's html; relative ones stay on the host
 and count for nothing. Edges are summed by pair of hosts before anything is joined, ranks are pre-aggregated,
 and rounds go on until ranks settle, cut by tables in the shared folder. Null urls and urls without `://` have an empty host and
-path, match no rule and are allowed. Null html has no links. Repeated rows are judged alike. Without
-pages or seeds nothing is blocked.
+path, match no rule and are allowed. Null html has no links; very long html is read whole. Repeated rows are
+judged alike; of rules of equal length the one given last decides. Columns of pages called host, path, rule or
+verdict don't matter. Without pages or seeds nothing is blocked.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import ASCII_LOWER, ASCII_UPPER, stored
+from tilespark.llm.common import ASCII_LOWER, ASCII_UPPER, lookup, stored
 
 
 @dataclass(frozen=True)
@@ -97,15 +98,24 @@ def spread(seeds: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     # trust flows along links, distrust against them
     forth = shares.select(F.col("src").alias("host"), F.lit(1).alias("trusting"), F.col("dst").alias("to"), (s.damping * F.col("w") / F.col("out_w")).alias("f"))
     back = shares.select(F.col("dst").alias("host"), F.lit(0).alias("trusting"), F.col("src").alias("to"), (s.damping * F.col("w") / F.col("in_w")).alias("f"))
-    flow = stored(forth.union(back), "host-shares")
+    flow = forth.union(back)
+    # how many edges a rank flows along: hubs' edges stay where they are, and their ranks are broadcast
+    degree = flow.groupBy("host", "trusting").agg(F.count("*").alias("degree"))
+    flow, degree = stored(flow, "host-shares"), stored(degree, "host-degrees")
+    n_flow, n_hosts = flow.count(), degree.count()
     kinds = F.explode(F.array(F.struct(F.lit(1).alias("trusting"), F.col("trust").alias("rank")), F.struct(F.lit(0).alias("trusting"), F.col("distrust").alias("rank"))))
     start = stored(start.select("host", kinds.alias("k")).select("host", "k.*").where("rank > 0"), "host-seeds")
+    n_ranks = n_hosts + start.count()
     least = s.tolerance * (start.agg(F.sum("rank")).first()[0] or 0.0)
     state, change = start, None
     while change is None or change > least:
         before = state
         for _ in range(s.rounds):  # the plan of so many rounds at once
-            moved = state.join(flow, ["host", "trusting"]).select(F.col("to").alias("host"), "trusting", (F.col("rank") * F.col("f")).alias("rank"))
+            if n_ranks <= s.broadcast_rows:
+                moved = flow.join(F.broadcast(state), ["host", "trusting"])
+            else:
+                moved = lookup(flow, state.join(degree, ["host", "trusting"]), ["host", "trusting"], "degree", n_flow)
+            moved = moved.select(F.col("to").alias("host"), "trusting", (F.col("rank") * F.col("f")).alias("rank"))
             state = start.union(moved).groupBy("host", "trusting").agg(F.sum("rank").alias("rank"))
         state = stored(state, "host-ranks")
         both = state.union(before.withColumn("rank", -F.col("rank"))).groupBy("host", "trusting").agg(F.sum("rank").alias("d"))
