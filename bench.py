@@ -14,6 +14,7 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = HERE + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -24,7 +25,7 @@ HEADLINES = ("project_points", "quantize_points", "encode_point_commands", "tile
 def kernel_rates() -> dict[str, float]:
     """Of one core, on arrays in memory, as the baseline measures: its unit of work a second."""
     from tilespark.functions import kernels as k
-    from tilespark.functions import pbf
+    from tilespark.functions.layers import Assembler
 
     rng = np.random.default_rng(1)
 
@@ -53,14 +54,23 @@ def kernel_rates() -> dict[str, float]:
     box = tuple(np.full(20_000, v) for v in (0.2, 0.2, 0.8, 0.8))
     yes, no = np.ones(20_000, bool), np.zeros(5_000, bool)
     whole = k.Rings((lines.x * 4096).astype(np.int64), (lines.y * 4096).astype(np.int64), lines.ring, lines.feat, lines.ext)
-    geometry = rng.integers(0, 8192, 200_000)
-    values = {i: pbf.value("uint", i) for i in range(100)}
+    # layers of 100 points with two properties, as they reach a tile's task
+    per, count = 100, 1000
+    texts = [t for i in range(per) for t in ("spoint", f"u{i}")] * count
+    cmds = np.stack([np.full(per * count, 9), *(rng.integers(0, 8192, per * count) for _ in range(2))], 1)
+    rows = pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(per * count, 14, np.int32)), pa.array(np.repeat(np.arange(count), per)), pa.array(np.zeros(per * count, np.int64)), pa.array(np.zeros(per * count, np.int32)),
+            pa.array(np.ones(per * count, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * per * count + 1, 3, dtype=np.int32)), pa.array(cmds.ravel())),
+            pa.array([b""] * per * count, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * per * count + 1, 2, dtype=np.int32)), pa.array(texts)), pa.nulls(per * count, pa.int64()),
+        ],
+        names=["z", "x", "y", "ord", "kind", "cmds", "geom", "vals", "id"],
+    )
 
     def layers():
-        raw, size = pbf.varints(geometry)
-        ends, raw = np.r_[0, np.cumsum(size)][::2].tolist(), raw.tobytes()
-        for lo in range(0, 100_000, 100):
-            pbf.layer("l", 4096, ("name", "value"), values.values(), [pbf.feature(raw[ends[i] : ends[i + 1]], 1, bytes((0, i % 100, 1, i % 100))) for i in range(lo, lo + 100)])
+        a = Assembler([("l", 4096, ["name", "value"])])
+        n = sum(1 for lo in range(0, rows.num_rows, 10_000) for _ in a.feed(rows.slice(lo, 10_000))) + sum(1 for _ in a.finish())
+        assert n == count
 
     return {
         "project_coords_per_s": rate(project, 1_000_000),

@@ -111,7 +111,7 @@ def command_pieces(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class OpenLayer:
-    """A layer whose features are still coming."""
+    """A layer whose features are still coming. keys: numbers of its source's keys; values: layer fields."""
 
     def __init__(self, ord_: int):
         self.ord, self.keys, self.values, self.parts = ord_, {}, {}, []
@@ -120,11 +120,8 @@ class OpenLayer:
         known = getattr(self, kind)
         return np.array([known.setdefault(x, len(known)) for x in new], I)
 
-    def bytes(self, name: str, extent: int, names: list[str]) -> bytes:
-        parts = [b"\x78\x02", pbf.field(1, name.encode()), pbf.number(5, extent)]
-        parts += [pbf.field(3, names[k].encode()) for k in self.keys]
-        parts += [pbf.field(4, v) for v in self.values]
-        return pbf.field(3, b"".join(parts + self.parts))
+    def bytes(self, head: bytes, keys: list[bytes]) -> bytes:
+        return pbf.field(3, b"".join([head, *(keys[k] for k in self.keys), *self.values, *self.parts]))
 
 
 class Assembler:
@@ -133,8 +130,8 @@ class Assembler:
     that the tile is wanted. vals holds a text for each key of the layer, or null."""
 
     def __init__(self, layers: list[tuple[str, int, list[str]]]):
-        self.layers = layers
-        self.empty = [OpenLayer(i).bytes(name, extent, names) for i, (name, extent, names) in enumerate(layers)]
+        self.layers = [(b"\x78\x02" + pbf.field(1, name.encode()) + pbf.number(5, extent), [pbf.field(3, k.encode()) for k in names]) for name, extent, names in layers]
+        self.empty = [OpenLayer(i).bytes(*layer) for i, layer in enumerate(self.layers)]
         self.tile: tuple[int, int, int] | None = None
         self.done: dict[int, bytes] = {}
         self.open: OpenLayer | None = None
@@ -166,7 +163,7 @@ class Assembler:
         row = np.repeat(np.arange(b.num_rows), np.diff(per))
         there = flat.is_valid().to_numpy(zero_copy_only=False)
         coded = flat.filter(pa.array(there)).dictionary_encode()
-        messages = [value_message(t) for t in coded.dictionary.to_pylist()]
+        messages = [pbf.field(4, value_message(t)) for t in coded.dictionary.to_pylist()]
         key, row = (np.arange(len(flat)) - per[row])[there], row[there]
         value = coded.indices.to_numpy(zero_copy_only=False).astype(I)
         key_no, key_run, key_new = numbered(run[row], key)
