@@ -73,7 +73,7 @@ def cells(features: DataFrame, zooms: list[int], pad: Column | None = None) -> D
     """Features with the cells (z, cz, cx, cy) in which to look for tiles of zoom z: cells of the zoom cz at
     which the feature's box, widened by `pad` tiles, spans about SPAN. A feature that covers the world gets
     a few cells of a low zoom, so no feature makes more than some dozens of rows a zoom. Boxes are
-    widened by a cell on each side, as touching counts."""
+    widened by a millionth of a cell, as touching counts."""
     pad = F.lit(0.0) if pad is None else pad
     f = features.withColumn("z", F.explode(F.array(*[F.lit(z) for z in zooms])))
     x0, x1, y0, y1 = tm.project_x("minx"), tm.project_x("maxx"), tm.project_y("maxy"), tm.project_y("miny")
@@ -84,7 +84,7 @@ def cells(features: DataFrame, zooms: list[int], pad: Column | None = None) -> D
     m = tm.tiles_across("cz")
     wide = pad / tm.tiles_across("z")
     hold = lambda c: F.least(F.greatest(c, F.lit(0)), m - 1)
-    run = lambda a, b: F.sequence(hold(tm.tile_of(a - wide, "cz") - 1), hold(tm.tile_of(b + wide, "cz") + 1))
+    run = lambda a, b: F.sequence(hold(F.floor((a - wide) * m - 1e-6)), hold(F.floor((b + wide) * m + 1e-6)))
     ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
     f = f.where(ok).withColumn("cx", F.explode(run(x0, x1)))
     return f.withColumn("cy", F.explode(run(y0, y1)))
@@ -98,6 +98,13 @@ def cell_join(features: DataFrame, tiles: DataFrame, zooms: list[int], predicate
     return cells(features, zooms, pad).join(t, ["z", "cz", "cx", "cy"]).where(predicate).drop("cz", "cx", "cy")
 
 
+def held(tiles: DataFrame) -> DataFrame:
+    """A table of few tiles as a local one, so that it is made once however many sources it meets; a larger one as it
+    is."""
+    rows = tiles.select("z", "x", "y").limit(FEW_TILES + 1).collect()
+    return tiles.sparkSession.createDataFrame(rows, "z int, x long, y long") if len(rows) <= FEW_TILES else tiles
+
+
 def cover_join(features: DataFrame, tiles: DataFrame, buffer: int, extent: int, candidates: str = "tile", zooms: list[int] | None = None, few: bool | None = None) -> DataFrame:
     """Features with the tiles (z, x, y, their boxes) that they may appear in. How depends on the number of
     tiles, which is counted up to FEW_TILES unless told."""

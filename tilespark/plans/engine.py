@@ -83,6 +83,7 @@ class TileEngine:
     def counts(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
         """z, x, y, ord, n: how many features each layer of each tile has, empty layers included. Features that leave
         nothing in a tile don't count, so geometry is built, but not gathered."""
+        grid_tiles = grid.held(grid_tiles)
         ords = F.array(*[F.lit(i) for i in range(len(self.sources))])
         bare = grid_tiles.select("z", "x", "y", F.explode(ords).alias("ord"), F.lit(0).alias("one"))
         found = self.encoded(grid_tiles, few, zooms).select("z", "x", "y", "ord", F.lit(1).alias("one"))
@@ -94,6 +95,7 @@ class TileEngine:
 
     def tiles(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None) -> DataFrame:
         """z, x, y, pbf of each tile; a layer for each source, in their order."""
+        grid_tiles = grid.held(grid_tiles)
         return tiles.assembled(self.encoded(grid_tiles, few, zooms, around).unionByName(tiles.wanted(grid_tiles)), self.named())
 
     def tile(self, z: int, x: int, y: int) -> bytes:
