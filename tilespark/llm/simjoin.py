@@ -453,8 +453,11 @@ def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:
         return F.xxhash64("rep", F.lit(seed))
 
     def runs(rows: DataFrame, seed: int) -> DataFrame:
-        """Groups as runs of about RUN classes in a seeded order."""
-        return rows.withColumn("cell", F.pmod(place(seed + 100), F.ceil(F.col("k") / RUN))).withColumn("side", F.lit(2)).withColumn("place", place(seed))
+        """Groups as runs of about RUN classes of a seeded order. It is one order for all groups, and a run is a range
+        of it, so that two classes are neighbours in all groups that they share, or nearly so."""
+        bits = F.greatest(F.ceil(F.log2(F.col("k") / RUN)), F.lit(0)).cast("int")
+        cell = F.when(bits > 0, F.call_function("shiftrightunsigned", "place", F.lit(64) - bits)).otherwise(F.lit(0).cast("long"))
+        return rows.withColumn("place", place(seed)).withColumn("cell", cell).withColumn("side", F.lit(2))
 
     def block_pairs(rows: DataFrame) -> DataFrame:
         """Groups as pairs of blocks of about PAIR_BLOCK classes."""
