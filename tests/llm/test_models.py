@@ -91,3 +91,22 @@ def test_samples_of_any_number_of_languages(spark):
     again = common.sample_ids(docs.repartition(7), 2, "lang").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, common.sample_ids(docs, 2, "lang").collect()))
     assert U is not None
+
+
+def test_workers_drop_tables_of_other_operators(spark):
+    """What a function does to the module's tables happens in the worker's module, not in a copy."""
+    import pyarrow as pa
+
+    def build(batches):
+        common.worker_tables["one"] = lambda: None
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.worker_tables)] * b.num_rows)], names=["n"])
+
+    def look(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.worker_tables)] * b.num_rows)], names=["n"])
+
+    rows = spark.range(40).repartition(4)
+    assert {r["n"] for r in rows.mapInArrow(common.frugal(build, "one"), "n long").collect()} == {1}
+    assert {r["n"] for r in rows.mapInArrow(common.frugal(look, "one"), "n long").collect()} <= {0, 1}
+    assert {r["n"] for r in rows.mapInArrow(common.frugal(look, "two"), "n long").collect()} == {0}

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tilespark.llm.common import chunked, frugal, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, small_batches, text_buffer, worker_tables
 from tilespark.llm.units import WHITE, UnitCache, no_cycle_search
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -215,6 +215,7 @@ def loaded(content: str) -> Bpe:
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _loaded:
         _loaded[key] = Bpe(content)
+    worker_tables["bpe"] = _loaded.clear
     return _loaded[key]
 
 
@@ -232,7 +233,7 @@ def roundtrip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
         bpe = loaded(shared.value)
         for b in batches:
             sizes, ids_sha, text_sha, kept = [], [], [], []
-            for _, _, data, offs in chunked(*text_buffer(b.column("text"))):
+            for _, _, data, offs in chunked(*text_buffer(b.column("text")), 1 << 18):
                 raw = data.tobytes()
                 with no_cycle_search():
                     ids, at = bpe.encode_batch([raw[offs[i] : offs[i + 1]].decode("utf-8", "replace") for i in range(len(offs) - 1)])
@@ -254,4 +255,4 @@ def roundtrip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
 
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(frugal(code), schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(code, "bpe"), schema)

@@ -3,13 +3,14 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +69,34 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
-def frugal(work):
-    """The function of a mapInArrow, which gives memory back when its partition ends: Python workers live
-    through all stages of a job, beside whatever comes next."""
+#: Tables that a Python worker has built for an operator, by the operator's name, and how to drop them.
+worker_tables: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python process to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def drop_other_tables(name: str) -> None:
+    """In a worker: only the tables of the operator of this name stay."""
+    for other in [k for k in worker_tables if k != name]:
+        worker_tables.pop(other)()
+
+
+def frugal(work, name: str = ""):
+    """The function of a mapInArrow, for Python workers that live through all stages of a job: tables of
+    operators with another name are dropped when it begins, and memory is given back when its partition ends."""
 
     @functools.wraps(work)
     def run(batches):
+        drop_other_tables(name)
         yield from work(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -93,15 +113,17 @@ def held_out(doc_id: Column) -> Column:
 
 def sample_ids(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """At most n ids of df (columns doc_id and by), or n for each value of `by`, however many values there
-    are, in the order of a seeded hash. Narrow rows only. Rows of each value are first ranked by task, n of
-    them at most are ranked together, so a value with a third of all rows burdens no task."""
+    are, in the order of a seeded hash. Narrow rows only. Rows of each value are ranked in 64 parts, the first n
+    of these in 8, and those at last together, so a value with a third of all rows burdens no task."""
     key = F.xxhash64("doc_id", F.lit(7))
     if by is None:
         return df.orderBy(key, "doc_id").limit(n)
-    ranked = df.select("doc_id", by, key.alias("_key"), F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(64)).alias("_part"))
     order = [F.col("_key"), F.col("doc_id")]
-    own = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_k") <= n)
-    return own.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).select("doc_id", by)
+    left = df.select("doc_id", by, key.alias("_key"), F.xxhash64("doc_id", F.lit(8)).alias("_part"))
+    for parts in (64, 8, 1):
+        own = Window.partitionBy(by, F.pmod("_part", F.lit(parts))).orderBy(*order)
+        left = left.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= n).drop("_k")
+    return left.select("doc_id", by)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

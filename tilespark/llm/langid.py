@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import chunked, frugal, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, give_back, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 #: Everything but ASCII letters and bytes of longer UTF-8 sequences parts words.
@@ -198,7 +198,10 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> LanguageModel:
     ids = sample_ids(rows.select("doc_id", "lang"), s.per_lang, "lang").select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toPandas()
     got = got.sort_values(["doc_id", "lang", "text"], kind="stable")
-    return train(got["text"].tolist(), got["lang"].tolist(), s)
+    model = train(got["text"].tolist(), got["lang"].tolist(), s)
+    del got
+    give_back()
+    return model
 
 
 def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilespark.llm.bpe import byte_letters
-from tilespark.llm.common import chunked, frugal, lookup, remove, scratch, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, lookup, remove, scratch, small_batches, text_buffer, worker_tables
 from tilespark.llm.textvec import U, mix, powers
 from tilespark.llm.units import UnitCache, no_cycle_search
 
@@ -170,6 +170,7 @@ def loaded(content: str) -> LibraryEncoder:
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _loaded:
         _loaded[key] = LibraryEncoder(content)
+    worker_tables["tokens"] = _loaded.clear
     return _loaded[key]
 
 
@@ -295,7 +296,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, lay: Layout = Layout()) ->
                 )
 
     small_batches(spark)
-    made = docs.select("doc_id", "text").mapInArrow(frugal(encode), "is_doc boolean, doc_id long, n long, digest binary, digests array<binary>, payload binary")
+    made = docs.select("doc_id", "text").mapInArrow(frugal(encode, "tokens"), "is_doc boolean, doc_id long, n long, digest binary, digests array<binary>, payload binary")
     made.write.option("compression", "zstd").parquet(f"{path}/incoming")
     made = spark.read.schema(made.schema).parquet(f"{path}/incoming")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm import langid
-from tilespark.llm.common import chunked, frugal, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, frugal, give_back, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 
@@ -251,7 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), lang: lang
     got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"], kind="stable")
     texts, marks = got.pop("text").tolist(), [int(v == 1) for v in got["toxic"]]
     del got
-    return train(texts, marks, reader, s)
+    model = train(texts, marks, reader, s)
+    del texts
+    give_back()
+    return model
 
 
 def apply(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None) -> DataFrame:
