@@ -161,6 +161,7 @@ def prefix_ends(rows: DataFrame, plan: Plan, few: bool) -> DataFrame:
         end = stored(cells.withColumn("before", before).where("before < rest and before + t >= rest").select("path", F.col("b").alias("end"), "before"), "prefix-buckets")
         end = F.broadcast(end) if few else end
         left = left.withColumn("b", bucket).join(end, "path").where("b = end").select("path", (F.col("rest") - F.col("before")).alias("rest"), "n", "place")
+        left = stored(left, "leaf-places")  # a 256th of the rows before, and a plan of its own
     at = F.sum("place.t").over(Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     found = left.withColumn("at", F.coalesce(at, F.lit(0))).where("at < rest")
     return stored(found.groupBy("path").agg(F.max("n").alias("n"), F.max("place").alias("last")), "prefix-ends")
