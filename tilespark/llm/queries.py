@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import bpe, dedup, flac, langid, mixing, sharding, simjoin, spelling, tokenstore, toxicity, urlfilter, warc
+from tilespark.llm import bpe, convtrie, dedup, flac, langid, mixing, sharding, simjoin, spelling, tokenstore, toxicity, urlfilter, warc
 from tilespark.llm.common import scratch
 
 
@@ -85,6 +85,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_path").alias("leaf"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -99,10 +103,11 @@ QUERIES = {
     "op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_exact_dedup": op3_exact_dedup,
     "op4_flac": op4_flac, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store, "op10_bpe": op10_bpe,
-    "op12_warc": op12_warc, "op13_spelling_variants": op13_spelling_variants,
+    "op11_prefix_trie": op11_prefix_trie, "op12_warc": op12_warc, "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": convtrie.oracle(),
     "op12_warc": warc.oracle(),
     "op13_spelling_variants": spelling.oracle(),
     "op2_url_filter": urlfilter.oracle(RULES),
