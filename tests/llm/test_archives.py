@@ -80,7 +80,7 @@ def test_damage_raises(spark, tmp_path, harm):
     warc.write(spark.createDataFrame([(i, "u", f"page {i}", "x", 1) for i in range(6)], SCHEMA).coalesce(1), str(tmp_path / "w"))
     at = next(f for f in glob.glob(str(tmp_path / "w" / "part-*")) if b"WARC" in open(f, "rb").read())
     raw = open(at, "rb").read()
-    worse = {"cut": raw[:-9], "payload": raw.replace(b"page 3", b"page 4"), "length": raw.replace(b"Content-Length: 83", b"Content-Length: 82", 1)}[harm]
+    worse = {"cut": raw[:-9], "payload": raw.replace(b"page 3", b"page 4"), "length": raw.replace(b"Content-Length: 84", b"Content-Length: 83", 1)}[harm]
     assert worse != raw
     open(str(tmp_path / "worse.txt"), "wb").write(worse)
     with pytest.raises(ValueError):

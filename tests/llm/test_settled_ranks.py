@@ -29,3 +29,20 @@ def test_distrust_reaches_far_hosts(spark):
     pages += [(1000 + k, f"http://h{k}.org/", f'<a href="http://h{k - 1}.{"net" if k == 1 else "org"}/">') for k in range(1, 15)]
     got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
     assert [got[1000 + k] for k in (1, 8, 9, 14)] == ["block"] * 4
+
+
+def test_plans_stay_of_one_size(spark, monkeypatch):
+    """Without broadcasts each round is a plan of its own, however many rounds there are."""
+    sizes = []
+    stored = urlfilter.stored
+
+    def spy(df, name, *more):
+        if name == "host-ranks":
+            sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return stored(df, name, *more)
+
+    monkeypatch.setattr(urlfilter, "stored", spy)
+    pages = [(i, f"http://h0.net/es/{i}", "") for i in range(200)]
+    pages += [(1000 + k, f"http://h{k}.org/", f'<a href="http://h{k - 1}.{"net" if k == 1 else "org"}/">') for k in range(1, 20)]
+    urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, urlfilter.Settings(broadcast_rows=0, tolerance=1e-2)).count()
+    assert len(sizes) >= 16 and len(set(sizes[1:])) == 1 and sizes[1] < 40

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import ASCII_LOWER, ASCII_UPPER, lookup, stored
+from tilespark.llm.common import ASCII_LOWER, ASCII_UPPER, stored
 
 
 @dataclass(frozen=True)
@@ -108,16 +108,25 @@ def spread(seeds: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     n_ranks = n_hosts + start.count()
     least = s.tolerance * (start.agg(F.sum("rank")).first()[0] or 0.0)
     state, change = start, None
+    small = n_ranks <= s.broadcast_rows
+    # hubs don't change from round to round: which ranks are looked up where is settled before
+    heavy = stored(degree.where(F.col("degree") * 1000 > n_flow).select("host", "trusting"), "host-hubs")
+    flow_parts = [flow] if small else [flow.join(F.broadcast(heavy), ["host", "trusting"], how) for how in ("left_semi", "left_anti")]
+
+    def moved_from(ranks: DataFrame) -> DataFrame:
+        """What flows from hosts with these ranks: one use of the ranks for each part of the flow."""
+        if small:
+            return flow.join(F.broadcast(ranks), ["host", "trusting"])
+        hubs = F.broadcast(ranks.join(F.broadcast(heavy), ["host", "trusting"], "left_semi"))
+        return flow_parts[0].join(hubs, ["host", "trusting"]).unionByName(flow_parts[1].join(ranks, ["host", "trusting"]))
+
     while change is None or change > least:
         before = state
-        for _ in range(s.rounds):  # the plan of so many rounds at once
-            if n_ranks <= s.broadcast_rows:
-                moved = flow.join(F.broadcast(state), ["host", "trusting"])
-            else:
-                moved = lookup(flow, state.join(degree, ["host", "trusting"]), ["host", "trusting"], "degree", n_flow)
-            moved = moved.select(F.col("to").alias("host"), "trusting", (F.col("rank") * F.col("f")).alias("rank"))
+        for k in range(s.rounds):
+            moved = moved_from(state).select(F.col("to").alias("host"), "trusting", (F.col("rank") * F.col("f")).alias("rank"))
             state = start.union(moved).groupBy("host", "trusting").agg(F.sum("rank").alias("rank"))
-        state = stored(state, "host-ranks")
+            if not small or k == s.rounds - 1:  # rounds with broadcasts fit one plan, others are cut each time
+                state = stored(state, "host-ranks")
         both = state.union(before.withColumn("rank", -F.col("rank"))).groupBy("host", "trusting").agg(F.sum("rank").alias("d"))
         change = both.agg(F.sum(F.abs("d"))).first()[0] or 0.0
     return state.groupBy("host").agg(F.sum(F.when(F.col("trusting") == 1, F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("trusting") == 0, F.col("rank")).otherwise(0.0)).alias("distrust"))
