@@ -142,19 +142,6 @@ def clip(r: Rings, box: tuple[np.ndarray, ...], poly: np.ndarray) -> Rings:
     return clip_axis(r, miny[r.feat], maxy[r.feat], poly[r.feat], 1)
 
 
-def sq_distance(px, py, ax, ay, bx, by) -> np.ndarray:
-    dx, dy = bx - ax, by - ay
-    d2 = dx * dx + dy * dy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((px - ax) * dx + (py - ay) * dy) / d2
-    line = (dx != 0) | (dy != 0)
-    far, mid = line & (t > 1), line & (t > 0) & ~(t > 1)
-    x = np.where(far, bx, np.where(mid, ax + dx * t, ax))
-    y = np.where(far, by, np.where(mid, ay + dy * t, ay))
-    dx, dy = px - x, py - y
-    return dx * dx + dy * dy
-
-
 def tied_split(d: np.ndarray, first: int, last: int) -> int:
     """Which of several vertices at the same greatest distance splits a segment. Vertices are met in order;
     one that equals the greatest distance so far takes over if it is nearer to the middle than any that
@@ -211,7 +198,7 @@ def split_all(px: np.ndarray, py: np.ndarray, first: np.ndarray, last: np.ndarra
 
 def distances(x, y, ax, ay, bx, by, dx, dy, seg) -> np.ndarray:
     """Squared distances of vertices (x, y) from their segments (seg: numbers of segments; the rest by segment),
-    as sq_distance gives them; NaN counts as 0."""
+    the nearest point of the segment being an end or between; NaN counts as 0."""
     d2 = dx * dx + dy * dy
     x0, y0 = ax[seg], ay[seg]
     sx, sy = dx[seg], dy[seg]
@@ -355,20 +342,63 @@ def quantize(r: Rings, t: Tiles) -> Rings:
     return Rings(whole(x), whole(y), r.ring, r.feat, r.ext)
 
 
+def fit(r: Rings, box: tuple[np.ndarray, ...], poly: np.ndarray) -> Rings:
+    """Features cut to their boxes: those within pass uncut, those outside vanish."""
+    minx, miny, maxx, maxy = bounds(r, len(poly))
+    bx0, by0, bx1, by1 = box
+    out = (maxx < bx0) | (minx > bx1) | (maxy < by0) | (miny > by1)
+    within = (minx >= bx0) & (maxx <= bx1) & (miny >= by0) & (maxy <= by1)
+    if within.all():
+        return r
+    cutting = ~out & ~within
+    return merge(r.take(within[r.feat]), clip(r.take(cutting[r.feat]), box, poly))
+
+
+def thinned(r: Rings, box: tuple[np.ndarray, ...]) -> Rings:
+    """Rings without vertices that no cut to a box within these (by feature) needs. Of vertices in a row beyond the
+    same end in x, those between the first and the last add nothing to a cut along x. Of those beyond the same end
+    in y all that counts later is where they begin and end and how far they go in x. What a cut gives stays the
+    same, to the last bit and in the same order, degenerate rings too."""
+    for axis in (1, 0):
+        v, lo, hi = (r.y, box[1], box[3]) if axis else (r.x, box[0], box[2])
+        f = r.feat[r.of_vertex()]
+        side = (v > hi[f]).astype(np.int8) - (v < lo[f])
+        n = len(v)
+        if not side.any():
+            continue
+        first = np.zeros(n + 1, bool)
+        first[r.ring] = True
+        fresh = first[:-1].copy()
+        fresh[1:] |= side[1:] != side[:-1]
+        ends = np.r_[fresh[1:], True]
+        keep = (side == 0) | fresh | ends
+        if axis:
+            begin = np.flatnonzero(fresh)
+            run = np.cumsum(fresh) - 1
+            keep |= (r.x == np.minimum.reduceat(r.x, begin)[run]) | (r.x == np.maximum.reduceat(r.x, begin)[run])
+        if not keep.all():
+            r = Rings(r.x[keep], r.y[keep], np.r_[0, np.cumsum(sums(keep.astype(I), r.ring))], r.feat, r.ext)
+    return r
+
+
+def gather(r: Rings, rows: np.ndarray, features: int) -> Rings:
+    """The features of these numbers, in this order and as often as they are named; they are numbered anew."""
+    begin = np.searchsorted(r.feat, np.arange(features + 1))
+    count = np.diff(begin)[rows]
+    ends = np.cumsum(count)
+    at = np.repeat(begin[rows] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+    size = r.sizes[at]
+    ring = np.r_[0, np.cumsum(size)]
+    v = np.repeat(r.ring[at] - ring[:-1], size) + np.arange(int(ring[-1]))
+    return Rings(r.x[v], r.y[v], ring, np.repeat(np.arange(len(rows)), count), r.ext[at])
+
+
 def to_commands(r: Rings, poly: np.ndarray, t: Tiles, winding: str = "reference", drop_flat: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Lines and polygons in Mercator units to geometry commands of their tiles. Features that lie within
     the clip box pass uncut, those outside vanish (they get no commands)."""
     n = len(poly)
-    minx, miny, maxx, maxy = bounds(r, n)
-    bx0, by0, bx1, by1 = t.box
-    out = (maxx < bx0) | (minx > bx1) | (maxy < by0) | (miny > by1)
-    within = (minx >= bx0) & (maxx <= bx1) & (miny >= by0) & (maxy <= by1)
     several = np.bincount(r.feat, r.ext, n) > 1
-    if not within.all():
-        cutting = ~out & ~within
-        whole = r.take(within[r.feat])
-        part = clip(r.take(cutting[r.feat]), t.box, poly)
-        r = merge(whole, part)
+    r = fit(r, t.box, poly)
     r = fix_exteriors(r, simplify(fix_exteriors(r, r, several), t.sq_tol, drop_flat), several)
     return encode(wind(quantize(r, t), poly, winding), poly, n)
 

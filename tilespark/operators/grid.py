@@ -118,15 +118,18 @@ def cover_join(features: DataFrame, tiles: DataFrame, buffer: int, extent: int,
     return cell_join(features, boxed, zooms, predicate, F.lit(buffer / extent) if candidates == "buffered" else None)
 
 
-def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None, upto: str | None = None, only: str | None = None) -> DataFrame:
     """Features with the tiles of some zooms (of a box in degrees, or all) that they may appear in, without a
     table of tiles: each feature names the tiles that its box meets. Rows are those of the result, and a few
-    beside tiles' edges, which the exact predicate removes."""
+    beside tiles' edges, which the exact predicate removes. upto, only: a column with the last, or only, zoom of each
+    feature."""
     pad = F.lit(buffer / extent if candidates == "buffered" else 0.0) + F.lit(1e-6)
     ranges = [_column_range(z, box) for z in zooms]
     level = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), *(F.lit(v).cast("long").alias(c) for v, c in zip(r, ("x0", "y0", "x1", "y1"), strict=True))) for z, r in zip(zooms, ranges, strict=True)]))
     ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
     f = features.where(ok).withColumn("_l", level).withColumn("z", F.col("_l.z"))
+    if upto or only:
+        f = f.where(F.col("z") <= F.col(upto) if upto else F.col("z") == F.col(only))
     n = tm.tiles_across("z").cast("double")
 
     def run(low: Column, high: Column, first: str, last: str) -> Column:

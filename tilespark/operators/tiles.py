@@ -27,7 +27,7 @@ LAYERS = "z int, x bigint, y bigint, ord int, name string, extent int, keys arra
 TILES = "z int, x bigint, y bigint, pbf binary"
 
 
-def _flat(rings: pa.Array) -> kernels.Rings:
+def flat_rings(rings: pa.Array) -> kernels.Rings:
     """Arrow's nested lists as arrays, without copying coordinates."""
     rings = rings.combine_chunks() if isinstance(rings, pa.ChunkedArray) else rings
     outer = np.asarray(rings.offsets)
@@ -51,7 +51,7 @@ def commands_of(b: pa.RecordBatch, o: Options, behaviour: Behaviour) -> tuple[np
     tol = (tolerance / (n * extent)) ** 2 if tolerance > 0 else np.zeros(len(z))
     t = kernels.Tiles(z, x, y, np.full(len(z), float(extent)), box, tol)
     poly = (kind == g.POLYGON) | (kind == g.MULTIPOLYGON)
-    return kernels.to_commands(_flat(b.column("rings")), poly, t, behaviour.winding, behaviour.drop_flat_parts)
+    return kernels.to_commands(flat_rings(b.column("rings")), poly, t, behaviour.winding, behaviour.drop_flat_parts)
 
 
 def point_commands(rings: Column, o: Options) -> Column:

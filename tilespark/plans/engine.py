@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
-from tilespark.operators import grid, tiles
+from tilespark.operators import descent, grid, tiles
 from tilespark.options import Behaviour, Options, Source, resolve
 
 Box = tuple[float, float, float, float]
@@ -69,7 +69,8 @@ class TileEngine:
             near = around if around is None or not buffered else grid.widened(around, min(own or [0]), o.buffer / o.extent)
             f = self.prepared(s, near, not few)
             if grid_tiles is None:
-                pairs = grid.own_tiles(f, own, self.behaviour.candidates, o.buffer, o.extent, box)
+                list_tiles = grid.own_tiles if ft.only_points(self.features(s)) else descent.tiles_of
+                pairs = list_tiles(f, own, self.behaviour.candidates, o.buffer, o.extent, box)
             else:
                 pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, self.behaviour.candidates, own, few)
             rows = tiles.encoded(pairs, o, self.behaviour, ord_, ft.only_points(self.features(s)))

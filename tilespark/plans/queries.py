@@ -23,7 +23,7 @@ from tilespark.functions import kernels, pbf
 from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
 from tilespark.operators import grid, tiles
-from tilespark.operators.tiles import _flat
+from tilespark.operators.tiles import flat_rings
 from tilespark.options import Options, Source, resolve
 from tilespark.plans import fixtures as fx
 from tilespark.plans.engine import TileEngine, type_label
@@ -235,7 +235,7 @@ def by_kernel(df: DataFrame, work, keys: tuple[str, ...] = ("fid",)) -> DataFram
 
     def run(batches):
         for b in batches:
-            r = _flat(b.column("rings"))
+            r = flat_rings(b.column("rings"))
             out = work(r, b.num_rows)
             xy = pa.StructArray.from_arrays([pa.array(out.x.astype(float)), pa.array(out.y.astype(float))], ["x", "y"])
             pts = pa.ListArray.from_arrays(pa.array(out.ring.astype(np.int32)), xy)
@@ -370,7 +370,7 @@ def commands(df: DataFrame, poly: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            r = _flat(b.column("rings"))
+            r = flat_rings(b.column("rings"))
             whole = kernels.Rings(r.x.astype(np.int64), r.y.astype(np.int64), r.ring, r.feat, r.ext)
             values, at = kernels.encode(whole, np.full(b.num_rows, poly), b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("fid"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))], names=["fid", "c"])
