@@ -101,3 +101,14 @@ def test_filled_is_exact():
 def test_no_features(spark):
     f = ft.prepared(frame(spark, [(1, g.POLYGON, [])]).where(F.lit(False)))
     assert descent.tiles_of(f, [0, 9], "tile", 64, 4096).count() == 0
+
+
+def test_unknown_types_are_points(spark):
+    """Cut and simplified as lines, and written as one command over all vertices."""
+    from tilespark.functions import pbf
+
+    rows = [(1, 0, [(True, [(-100.0, 10.0), (0.0, 10.0), (100.0, -10.0)]), (True, [(20.0, 20.0), (30.0, 5.0)])]), (2, 9, [(True, [(10.0, 10.0)])]), (3, g.LINE, [(True, [(-100.0, 10.0), (100.0, -10.0)])])]
+    feats = pbf.decode(TileEngine(spark, Source("s", frame(spark, rows), Options(tolerance=0))).tile(0, 0, 0))[0]["features"]
+    first, line = feats[0], feats[-1]
+    assert first["type"] == 1 and first["commands"][0] == 1 + 8 * 5 and len(first["commands"]) == 11
+    assert line["type"] == 2 and len(feats) == 3 and feats[1]["type"] == 1 and feats[1]["commands"][0] == 9

@@ -28,8 +28,8 @@ def test_ranges_of_all_orders(spark):
         else:
             found.append([off, off + n])
     want = sorted((p, a, b - a) for p, x in islands.items() for a, b in x)
-    got = sorted(map(tuple, QUERIES["index_range_merge_all"](spark, D).select("path", "offset", "length").collect()))
-    assert got == want == from_sql("index_range_merge_all")
+    got = sorted(map(tuple, QUERIES["index_range_merge"](spark, D).select("path", "offset", "length").collect()))
+    assert got == want == from_sql("index_range_merge")
     assert 16 < len(got) < len(rows)  # some meet, some stay apart
     assert sum(a <= r["o_orderkey"] * 700 < a + n for r in rows for p, a, n in got if p == r["o_custkey"] % 16) == len(rows)
 
@@ -43,13 +43,13 @@ def test_levels_of_all_trees(spark):
             sizes.append(sizes[-1] // 16 + (sizes[-1] % 16 > 0))
         want += [(n, i, sum(sizes[i + 1 :]), sum(sizes[i:])) for i in range(len(sizes))]
     of_table = {n for n in keys[:-4]}
-    got = sorted(map(tuple, QUERIES["rtree_level_bounds_all"](spark, D).collect()))
-    assert got == sorted(w for w in want if w[0] in of_table) == from_sql("rtree_level_bounds_all")
+    got = sorted(map(tuple, QUERIES["rtree_level_bounds"](spark, D).collect()))
+    assert got == sorted(w for w in want if w[0] in of_table) == from_sql("rtree_level_bounds")
     large = level_bounds(spark.createDataFrame([(n,) for n in keys[-4:]], "p_partkey long"))
     assert sorted(map(tuple, large.collect())) == sorted(w for w in want if w[0] not in of_table)
 
 
-@pytest.mark.parametrize("name", ["multi_source_layers_all", "mvt_roundtrip_points_all"])
+@pytest.mark.parametrize("name", ["multi_source_layers", "mvt_roundtrip_points"])
 def test_every_tile_of_the_grid(spark, name):
     df = QUERIES[name](spark, D)
     con = pytest.importorskip("duckdb").connect()

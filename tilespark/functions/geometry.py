@@ -59,16 +59,6 @@ def clip_points(pts: Column, box: dict[str, Column]) -> Column:
     return F.filter(pts, lambda p: (p["x"] >= box["c_minx"]) & (p["x"] <= box["c_maxx"]) & (p["y"] >= box["c_miny"]) & (p["y"] <= box["c_maxy"]))
 
 
-def sq_segment_distance(px, py, ax, ay, bx, by) -> Column:
-    """Squared distance of a point from a segment; a segment without length is a point."""
-    px, py, ax, ay, bx, by = (tm._c(v) for v in (px, py, ax, ay, bx, by))
-    dx, dy = bx - ax, by - ay
-    t = F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy)
-    x = F.when(t > 1, bx).when(t > 0, ax + dx * t).otherwise(ax)
-    y = F.when(t > 1, by).when(t > 0, ay + dy * t).otherwise(ay)
-    return (px - x) * (px - x) + (py - y) * (py - y)
-
-
 def zigzag(n) -> Column:
     n = tm._c(n).cast("long")
     return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))

@@ -279,25 +279,31 @@ def wind(r: Rings, poly: np.ndarray, winding: str = "reference") -> Rings:
     return Rings(r.x[at], r.y[at], r.ring, r.feat, r.ext)
 
 
-def encode(r: Rings, poly: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(r: Rings, poly: np.ndarray, features: int, loose: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Geometry commands of all features (lines and polygons, by feature), one after another, and where
-    each feature's begin. A feature's cursor goes on from the last point written."""
-    p = poly[r.feat]
+    each feature's begin. A feature's cursor goes on from the last point written. loose: features whose vertices are
+    points, all in one command."""
+    q = np.zeros(len(r.feat), bool) if loose is None else loose[r.feat]
+    if q.any():  # rings of a loose feature are one
+        apart = np.r_[True, (r.feat[1:] != r.feat[:-1]) | ~q[1:]]
+        r = Rings(r.x, r.y, np.r_[r.ring[:-1][apart], r.ring[-1]], r.feat[apart], r.ext[apart])
+        q = q[apart]
+    p = poly[r.feat] & ~q
     size = r.sizes
     if len(r.x):
         first, last = np.minimum(r.ring[:-1], len(r.x) - 1), np.maximum(r.ring[1:] - 1, 0)
         closed = p & (size >= 3) & (r.x[first] == r.x[last]) & (r.y[first] == r.y[last])
         written = size - closed
-        keep = np.where(p, (size >= 3) & (written >= 3), size >= 2)
+        keep = np.where(p, (size >= 3) & (written >= 3), size >= 2 - q)
         vertex = np.repeat(keep, size)
         vertex[last[closed]] = False
         x, y = r.x[vertex], r.y[vertex]
         ring = np.r_[0, np.cumsum(written[keep])]
-        feat, p = r.feat[keep], p[keep]
+        feat, p, q = r.feat[keep], p[keep], q[keep]
     else:
-        x, y, ring, feat, p = r.x, r.y, np.zeros(1, I), r.feat[:0], p[:0]
+        x, y, ring, feat, p, q = r.x, r.y, np.zeros(1, I), r.feat[:0], p[:0], q[:0]
     count = np.diff(ring)
-    length = 2 * count + 2 + p
+    length = 2 * count + 2 + p - q
     at = np.r_[0, np.cumsum(length)]
     out = np.empty(int(at[-1]), I)
     if len(x):
@@ -310,11 +316,12 @@ def encode(r: Rings, poly: np.ndarray, features: int) -> tuple[np.ndarray, np.nd
         np.bitwise_xor(delta << 1, delta >> 63, out=delta)
         # commands stand before each ring's first and second point and after a polygon's last; all else are points
         number = np.zeros(len(out), bool)
-        number[at[:-1]] = number[at[:-1] + 3] = True
+        begin, second = at[:-1], (at[:-1] + 3)[~q]
+        number[begin] = number[second] = True
         number[at[1:][p] - 1] = True
         out[~number] = delta.ravel()
-        out[at[:-1]] = MOVE_TO | 1 << 3
-        out[at[:-1] + 3] = LINE_TO | count - 1 << 3
+        out[begin] = MOVE_TO | np.where(q, count, 1) << 3
+        out[second] = LINE_TO | (count - 1)[~q] << 3
         out[at[1:][p] - 1] = CLOSE_PATH | 1 << 3
     begins = at[np.searchsorted(feat, np.arange(features + 1))]
     return out, begins
@@ -393,14 +400,15 @@ def gather(r: Rings, rows: np.ndarray, features: int) -> Rings:
     return Rings(r.x[v], r.y[v], ring, np.repeat(np.arange(len(rows)), count), r.ext[at])
 
 
-def to_commands(r: Rings, poly: np.ndarray, t: Tiles, winding: str = "reference", drop_flat: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Lines and polygons in Mercator units to geometry commands of their tiles. Features that lie within
+def to_commands(r: Rings, poly: np.ndarray, t: Tiles, winding: str = "reference", drop_flat: bool = True, loose: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and polygons in Mercator units to geometry commands of their tiles; loose ones are cut and simplified as
+    lines, and written as points. Features that lie within
     the clip box pass uncut, those outside vanish (they get no commands)."""
     n = len(poly)
     several = np.bincount(r.feat, r.ext, n) > 1
     r = fit(r, t.box, poly)
     r = fix_exteriors(r, simplify(fix_exteriors(r, r, several), t.sq_tol, drop_flat), several)
-    return encode(wind(quantize(r, t), poly, winding), poly, n)
+    return encode(wind(quantize(r, t), poly, winding), poly, n, loose)
 
 
 def merge(a: Rings, b: Rings) -> Rings:

@@ -51,7 +51,8 @@ def commands_of(b: pa.RecordBatch, o: Options, behaviour: Behaviour) -> tuple[np
     tol = (tolerance / (n * extent)) ** 2 if tolerance > 0 else np.zeros(len(z))
     t = kernels.Tiles(z, x, y, np.full(len(z), float(extent)), box, tol)
     poly = (kind == g.POLYGON) | (kind == g.MULTIPOLYGON)
-    return kernels.to_commands(flat_rings(b.column("rings")), poly, t, behaviour.winding, behaviour.drop_flat_parts)
+    known = (kind >= g.POINT) & (kind <= g.MULTIPOLYGON)  # features of any other type are points in tiles
+    return kernels.to_commands(flat_rings(b.column("rings")), poly, t, behaviour.winding, behaviour.drop_flat_parts, ~known)
 
 
 def point_commands(rings: Column, o: Options) -> Column:

@@ -22,6 +22,15 @@ v as (select 0 as vtx,-1 as sx,-1 as sy union all select 1,1,-1 union all select
       union all select 3,-1,1 union all select 4,-1,-1)
 select fid,ring,ext,vtx,cx+sx*h as lon,cy+sy*h as lat from r cross join v"""
 
+#: Large triangles with a hole of half their size, from a corner of the world to another.
+TRIANGLES = """with c as (select c_custkey as fid, ((c_custkey*7919)%340000)/1e3-170 as x1, ((c_custkey*104729)%150000)/1e3-75 as y1,
+                  ((c_custkey*31337)%340000)/1e3-170 as x2, ((c_custkey*15485863)%150000)/1e3-75 as y2,
+                  ((c_custkey*1299709)%340000)/1e3-170 as x3, ((c_custkey*3571)%150000)/1e3-75 as y3 from customer),
+p as (select fid,0 as k,x1 as lon,y1 as lat from c union all select fid,1,x2,y2 from c union all select fid,2,x3,y3 from c union all select fid,3,x1,y1 from c),
+m as (select fid,(x1+x2+x3)/3e0 as mx,(y1+y2+y3)/3e0 as my from c)
+select fid,0 as ring,true as ext,k as vtx,cast(lon as double) as lon,cast(lat as double) as lat from p
+union all select p.fid,1,false,k,mx+(lon-mx)*5e-1,my+(lat-my)*5e-1 from p join m on p.fid=m.fid"""
+
 TILES = """with zz as (select 0 as z union all select 1 union all select 2 union all select 3),
 a as (select z, cast(power(2,z) as int) as n from zz),
 i as (select row_number() over (order by p_partkey)-1 as k from part where p_partkey<=64)

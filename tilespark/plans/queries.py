@@ -104,9 +104,10 @@ def tile_clip_bounds(spark, d):
     return fx.view(spark, d, fx.TILES).select("z", "x", "y", *[r9(b["c_" + c]).alias(c) for c in ft.BOX])
 
 
-@query("sq_tolerance_by_zoom", "select p_partkey as z, round(power(3e0/(power(2,p_partkey)*4096),2)*1e9,9) as tol from part where p_partkey<=24")
+@query("sq_tolerance_by_zoom", "select p_partkey as k, p_partkey%25 as z, round(power((p_size%9)/(power(2,p_partkey%25)*4096),2)*1e9,9) as tol from part")
 def sq_tolerance_by_zoom(spark, d):
-    return fx.table(spark, d, "part").where("p_partkey<=24").select(F.col("p_partkey").alias("z"), r9(tm.sq_tolerance(F.lit(3), "p_partkey", F.lit(4096)) * 1e9).alias("tol"))
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 25).alias("z"), (F.col("p_size") % 9).cast("double").alias("t"))
+    return p.select("k", "z", r9(tm.sq_tolerance("t", "z", F.lit(4096)) * 1e9).alias("tol"))
 
 
 @query("point_to_tile_z14", f"with {P} select fid, cast(floor({PX}*16384) as bigint) as x, cast(floor({PY}*16384) as bigint) as y from p")
@@ -298,11 +299,14 @@ def clip_lines_box(spark, d):
     return exploded(by_kernel(ft.from_vertices(fx.view(spark, d, LOCAL), g.LINE), cut))
 
 
-def simplify_sql(z: int) -> str:
-    tol = f"power(3e0*360/(power(2,{z})*4096),2)"
+#: The squared tolerance of 3 units of 4096, in tiles.
+TILE_TOL = "power(3e0/4096,2)"
+
+
+def splits(tol: str) -> str:
+    """CTEs from v (fid, vtx, x, y) to kept_vtx (fid, vtx): what simplification keeps."""
     dist = "(case when l2=0 then power(x-ax,2)+power(y-ay,2) when ((x-ax)*dx+(y-ay)*dy)/l2>1 then (x-ex)*(x-ex)+(y-ey)*(y-ey) when ((x-ax)*dx+(y-ay)*dy)/l2>0 then (x-(ax+dx*(((x-ax)*dx+(y-ay)*dy)/l2)))*(x-(ax+dx*(((x-ax)*dx+(y-ay)*dy)/l2)))+(y-(ay+dy*(((x-ax)*dx+(y-ay)*dy)/l2)))*(y-(ay+dy*(((x-ax)*dx+(y-ay)*dy)/l2))) else (x-ax)*(x-ax)+(y-ay)*(y-ay) end)"
-    return f"""with recursive {L}, v as (select fid, vtx, lon::double as x, lat::double as y from l),
-e as (select fid, max(vtx) as last from v group by fid),
+    return f"""e as (select fid, max(vtx) as last from v group by fid),
 s(fid, first, last, split, imp) as (
   select fid, 0, last, -1, 0e0 from e where last>1
   union all
@@ -311,8 +315,12 @@ s(fid, first, last, split, imp) as (
       select *, row_number() over (partition by fid, first, last order by d desc, abs(vtx-((first+last)>>1)), vtx) as k from (
         select fid, first, last, vtx, {dist} as d from (
           select s.fid, s.first, s.last, v.vtx, v.x, v.y, a.x as ax, a.y as ay, b.x as ex, b.y as ey, b.x-a.x as dx, b.y-a.y as dy, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) as l2
-          from s join v on v.fid=s.fid and v.vtx>s.first and v.vtx<s.last join v a on a.fid=s.fid and a.vtx=s.first join v b on b.fid=s.fid and b.vtx=s.last)) where d>0) where k=1) c)
-select fid, vtx from (select distinct fid, cast(split as int) as vtx from s where split>=0 and imp>{tol} union select fid, 0 from e union select fid, cast(last as int) from e)"""
+          from s join v on v.fid=s.fid and v.vtx>s.first and v.vtx<s.last join v a on a.fid=s.fid and a.vtx=s.first join v b on b.fid=s.fid and b.vtx=s.last)) where d>0) where k=1) c),
+kept_vtx as (select distinct fid, cast(split as int) as vtx from s where split>=0 and imp>{tol} union select fid, 0 from e union select fid, cast(last as int) from e)"""
+
+
+def simplify_sql(z: int) -> str:
+    return f"with recursive {L}, v as (select fid, vtx, lon::double as x, lat::double as y from l), {splits(f'power(3e0*360/(power(2,{z})*4096),2)')} select fid, vtx from kept_vtx"
 
 
 def simplify_lines(z: int):
@@ -481,7 +489,6 @@ MULTI = f"with {COUNTS} select z,x,y,names.layer, count(fid) as n from tb cross
 
 
 @query("multi_source_layers", MULTI)
-@query("multi_source_layers_all", MULTI)
 def multi_source_layers(spark, d):
     """Polygons only from zoom 4 on: their layer is there, and empty."""
     e = engine(spark, d, polys={"min_zoom": 4}, tolerance=0)
@@ -542,7 +549,6 @@ from m join b on m.fid=b.fid join tb on minx<=w2 and maxx>=w0 and miny<=w3 and m
 
 
 @query("mvt_roundtrip_points", ROUNDTRIP)
-@query("mvt_roundtrip_points_all", ROUNDTRIP)
 def mvt_roundtrip_points(spark, d):
     made = engine(spark, d, ("points",)).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
     return decoded(made, "z int, x long, y long, fid long, px long, py long, status string, priority string, cents long, cust long", lambda z, x, y, ls: [
@@ -550,29 +556,19 @@ def mvt_roundtrip_points(spark, d):
     ])
 
 
-@query("mvt_roundtrip_polys", f"""with {T}, {BOXES}, {FEATURE_BOXES['polys']}, k as (select b.fid, z, x, y from b join tb on minx>=w0 and maxx<=w2 and miny>=w1 and maxy<=w3 where z=2),
-q as (select k.z,k.x,k.y,g.fid,g.ring, cast(floor(4096*({PX}*4-k.x)+0.5) as bigint) as qx, cast(floor(4096*({PY}*4-k.y)+0.5) as bigint) as qy from g join k on g.fid=k.fid)
-select z,x,y,fid,count(distinct ring) as rings, cast(sum(qx) as bigint) as sx, cast(sum(qy) as bigint) as sy from q group by z,x,y,fid""")
-def mvt_roundtrip_polys(spark, d):
-    """Polygons that lie within a tile of zoom 2: rings and sums of coordinates as decoded. All tiles and all
-    polygons: mvt_polygon_paths."""
-    zooms = fx.view(spark, d, fx.TILES).where("z=2")
-    made = decoded(engine(spark, d, ("polys",), tolerance=0).tiles(zooms, few=True, zooms=[2]), "z int, x long, y long, fid long, rings long, sx long, sy long", lambda z, x, y, ls: [
-        (z, x, y, f["id"], len(f["paths"]), sum(p[0] for r in f["paths"] for p in r), sum(p[1] for r in f["paths"] for p in r)) for lay in ls for f in lay["features"]
-    ])
-    inside = grid.with_boxes(zooms, 64, 4096).join(polys(spark, d).select("fid", *ft.BOX), (F.col("minx") >= F.col("w_minx")) & (F.col("maxx") <= F.col("w_maxx")) & (F.col("miny") >= F.col("w_miny")) & (F.col("maxy") <= F.col("w_maxy")))
-    return made.join(inside.select("z", "x", "y", "fid"), ["z", "x", "y", "fid"], "left_semi")
-
-
 #: Polygons in units of their tile, cut to its box with the buffer, quantised, with the role and direction of each
 #: ring that is left; pid stands for a feature in a tile.
-CUT = f"""k as (select b.fid, z, x as tx, y as ty from b join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
-src as (select ((g.fid*4+z)*8+tx)*8+ty as fid, g.ring, g.vtx, {PX}*power(2,z)-tx as x, {PY}*power(2,z)-ty as y from g join k on g.fid=k.fid),
+def cut_sql(vertices: str, n: int = 8) -> str:
+    """From the CTEs vertices (fid, ring, vtx, ext, lon, lat), b (their boxes) and tb (tiles of up to n columns); fid of
+    a feature in a tile tells all of them."""
+    roles = f"fid//{8 * n * n}"
+    return f"""k as (select b.fid, z, x as tx, y as ty from b join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
+src as (select ((g.fid*8+z)*{n}+tx)*{n}+ty as fid, g.ring, g.vtx, {PX}*power(2,z)-tx as x, {PY}*power(2,z)-ty as y from {vertices} g join k on g.fid=k.fid),
 {slab('src', 'c1', -0.015625, 1.015625, 'x', True)}, {slab('c1', 'c2', -0.015625, 1.015625, 'y', True)},
 q as (select fid, ring, vtx, cast(floor(4096*x+0.5) as bigint) as x, cast(floor(4096*y+0.5) as bigint) as y, count(*) over (partition by fid,ring) as n from c2),
-parts as (select fid, ring, any_value(ext) as ext from g group by fid, ring), roles as (select fid, count(*) filter (ext)>1 as several from parts group by fid),
-kept as (select distinct q.fid, q.ring, parts.ext from q join parts on parts.fid=q.fid//256 and parts.ring=q.ring),
-role as (select k1.fid, k1.ring, case when r.several and count(*) filter (k1.ext) over (partition by k1.fid)>1 then k1.ext else k1.ring=min(k1.ring) over (partition by k1.fid) end as ext from kept k1 join roles r on r.fid=k1.fid//256),
+parts as (select fid, ring, any_value(ext) as ext from {vertices} group by fid, ring), roles as (select fid, count(*) filter (ext)>1 as several from parts group by fid),
+kept as (select distinct q.fid, q.ring, parts.ext from q join parts on parts.fid=q.{roles} and parts.ring=q.ring),
+role as (select k1.fid, k1.ring, case when r.several and count(*) filter (k1.ext) over (partition by k1.fid)>1 then k1.ext else k1.ring=min(k1.ring) over (partition by k1.fid) end as ext from kept k1 join roles r on r.fid=k1.{roles}),
 ends as (select fid, ring, max(n) as n, arg_max(x,vtx) as lx, arg_max(y,vtx) as ly, arg_min(x,vtx) as fx, arg_min(y,vtx) as fy from q group by fid, ring),
 areas as (select q.fid, q.ring, sum((q.x-coalesce(p.x,e.lx))*(q.y+coalesce(p.y,e.ly))) as area from q join ends e on e.fid=q.fid and e.ring=q.ring left join q p on p.fid=q.fid and p.ring=q.ring and p.vtx=q.vtx-1 group by q.fid, q.ring),
 turned as (select q.fid, q.ring, case when (a.area>0)<>r.ext then q.n-1-q.vtx else q.vtx end as vtx, q.x, q.y, q.n-case when q.n>=3 and e.fx=e.lx and e.fy=e.ly then 1 else 0 end as w
@@ -580,13 +576,70 @@ turned as (select q.fid, q.ring, case when (a.area>0)<>r.ext then q.n-1-q.vtx el
 out as (select *, dense_rank() over (partition by fid order by ring)-1 as k from turned where w>=3 and vtx<w)"""
 
 
-@query("mvt_polygon_paths", f"""with {T}, {BOXES}, {FEATURE_BOXES['polys']}, {CUT}
-select cast((fid//64)%4 as int) as z, (fid//8)%8 as x, fid%8 as y, fid//256 as fid, 3 as kind, cast(k as int) as ring, cast(vtx as int) as vtx, x as px, y as py from out""")
+def of_tile(n: int = 8, kind: int = 3) -> str:
+    return f"select cast((fid//{n * n})%8 as int) as z, (fid//{n})%{n} as x, fid%{n} as y, fid//{8 * n * n} as fid, {kind} as kind, cast(k as int) as ring, cast(vtx as int) as vtx, x as px, y as py from out"
+
+
+PATHS = "z int, x long, y long, fid long, kind int, ring int, vtx int, px long, py long"
+
+
+def paths(z, x, y, layers):
+    """Every vertex of every feature of a tile, in order; of polygons without the last one, which repeats the first."""
+    return [(z, x, y, f["id"], f["type"], k, i, *p) for lay in layers for f in lay["features"] for k, path in enumerate(f["paths"]) for i, p in enumerate(path[: -1 if f["type"] == 3 else None])]
+
+
+@query("mvt_polygon_paths", f"with {T}, {BOXES}, {FEATURE_BOXES['polys']}, {cut_sql('g')} {of_tile()}")
 def mvt_polygon_paths(spark, d):
     """Every vertex of every polygon in every tile of the grid, as decoded: clipped, wound and encoded, in order."""
     made = engine(spark, d, ("polys",), tolerance=0).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
-    return decoded(made, "z int, x long, y long, fid long, kind int, ring int, vtx int, px long, py long", lambda z, x, y, ls: [
-        (z, x, y, f["id"], f["type"], k, i, *p) for lay in ls for f in lay["features"] for k, path in enumerate(f["paths"]) for i, p in enumerate(path[:-1])
+    return decoded(made, PATHS, paths)
+
+
+TRIANGLE_BOXES = f"r as materialized ({fx.TRIANGLES}), b as (select fid, min(lon) as minx, min(lat) as miny, max(lon) as maxx, max(lat) as maxy from r group by fid)"
+DEEPER = fx.TILES.replace("select 3)", "select 3 union all select 4)")
+
+
+@query("pyramid_descent_polys", f"with t as ({DEEPER}), {BOXES}, {TRIANGLE_BOXES}, {cut_sql('r', 16)} {of_tile(16)}")
+def pyramid_descent_polys(spark, d):
+    """Every vertex of large triangles with holes in all tiles of zooms 0 to 4 that they meet, found by descent."""
+    made = ft.from_vertices(fx.view(spark, d, fx.TRIANGLES), g.POLYGON, "ring", "ext")
+    e = TileEngine(spark, Source("triangles", made, Options(tolerance=0), id_col="fid"))
+    return decoded(e.pyramid(0, 4, empty=False), PATHS, paths)
+
+
+@query("mvt_line_paths", f"""with recursive {T}, {BOXES}, {FEATURE_BOXES['lines']},
+k as (select b.fid, z, x as tx, y as ty from b join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
+src as (select ((l.fid*8+z)*8+tx)*8+ty as fid, 0 as ring, l.vtx, {PX}*power(2,z)-tx as x, {PY}*power(2,z)-ty as y from l join k on l.fid=k.fid),
+{slab('src', 'c1', -0.015625, 1.015625, 'x', False)}, {slab('c1', 'c2', -0.015625, 1.015625, 'y', False)},
+box as (select fid, ring, (max(x)-min(x))*(max(y)-min(y)) as area, count(*) over (partition by fid) as rings from c2 group by fid, ring),
+v as materialized (select c2.fid*1000+c2.ring as fid, vtx, x, y from c2 join box on box.fid=c2.fid and box.ring=c2.ring where rings=1 or area>={TILE_TOL}),
+{splits(TILE_TOL)},
+w as (select v.fid//1000 as fid, v.fid%1000 as ring, v.vtx, cast(floor(4096*v.x+0.5) as bigint) as x, cast(floor(4096*v.y+0.5) as bigint) as y from v join kept_vtx using (fid, vtx)),
+out as (select fid, dense_rank() over (partition by fid order by ring)-1 as k, row_number() over (partition by fid, ring order by vtx)-1 as vtx, x, y from w)
+{of_tile(8, 2)}""")
+def mvt_line_paths(spark, d):
+    """Every vertex of every line in every tile of the grid, as decoded: clipped, simplified by 3 units and encoded."""
+    made = engine(spark, d, ("lines",)).tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
+    return decoded(made, PATHS, paths)
+
+
+@query("mvt_three_layers", f"""with {T}, {BOXES}, {FEATURE_BOXES['points']}, {FEATURE_BOXES['polys'].replace('b as', 'b2 as')},
+pt as (select z,x,y,p.* from p join b on p.fid=b.fid join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
+vals as (select z,x,y, 's'||status as v from pt union select z,x,y,'s'||priority from pt union select z,x,y,'n'||cast(cust as varchar) from pt
+  union select z,x,y,case when price=floor(price) then 'n'||cast(cast(price as bigint) as varchar) else 'd'||cast(price as varchar) end from pt),
+a as (select z,x,y,count(*) as n, cast(sum(fid) as bigint) as fids from pt group by z,x,y), av as (select z,x,y,count(*) as v from vals group by z,x,y),
+s as (select z,x,y,count(distinct status) as v from pt group by z,x,y),
+c as (select z,x,y,count(*) as n, cast(sum(fid) as bigint) as fids from b2 join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1 where z>=2 group by z,x,y)
+select t.z,t.x,t.y,0 as ord,'points' as name,4096 as extent,coalesce(n,0) as n,coalesce(fids,0) as fids,case when n>0 then 'status,priority,price,cust' else '' end as keys,coalesce(v,0) as "values" from t left join a using (z,x,y) left join av using (z,x,y)
+union all select t.z,t.x,t.y,1,'polys',4096,coalesce(n,0),coalesce(fids,0),'',0 from t left join c using (z,x,y)
+union all select t.z,t.x,t.y,2,'coarse',512,coalesce(n,0),coalesce(fids,0),case when n>0 then 'status' else '' end,coalesce(v,0) from t left join a using (z,x,y) left join s using (z,x,y)""")
+def mvt_three_layers(spark, d):
+    """Layers of every tile of the grid as its bytes have them: order, names, extents, features, keys and how many
+    values; polygons begin at zoom 2, so their layers above are empty."""
+    p = points(spark, d)
+    e = TileEngine(spark, [Source("points", p, id_col="fid"), Source("polys", polys(spark, d), Options(min_zoom=2), id_col="fid"), Source("coarse", p, Options(extent=512), ("status",), id_col="fid")], Options(tolerance=0))
+    return decoded(e.tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), 'z int, x long, y long, ord int, name string, extent int, n long, fids long, keys string, `values` long', lambda z, x, y, ls: [
+        (z, x, y, i, lay["name"], lay["extent"], len(lay["features"]), sum(f["id"] for f in lay["features"]), ",".join(lay["keys"]), len(lay["values"])) for i, lay in enumerate(ls)
     ])
 
 
@@ -597,7 +650,6 @@ select path, min(off) as "offset", max(off+len)-min(off) as length from i group
 
 
 @query("index_range_merge", MERGE)
-@query("index_range_merge_all", MERGE)
 def index_range_merge(spark, d):
     """A range of every order; orders of other paths make the gaps."""
     return merged_orders(fx.table(spark, d, "orders"))
@@ -613,7 +665,6 @@ select n, level, cast(coalesce(sum(nodes) over (partition by n order by level de
 
 
 @query("rtree_level_bounds", LEVELS)
-@query("rtree_level_bounds_all", LEVELS)
 def rtree_level_bounds(spark, d):
     """Trees of as many features as each key of part says."""
     return level_bounds(fx.table(spark, d, "part").select("p_partkey"))
@@ -679,7 +730,3 @@ def streaming_tile_density(spark, d):
     from tilespark.streaming.density import density_of_files
 
     return density_of_files(spark, f"{d}/events.parquet")
-
-
-def describe() -> str:
-    return json.dumps({n: n in ORACLE for n in QUERIES})
