@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
-from tilespark.operators import descent, grid, tiles
+from tilespark.operators import assembly, descent, grid, tiles
 from tilespark.options import Behaviour, Options, Source, resolve
 
 Box = tuple[float, float, float, float]
+#: Tiles of more features are put together in two levels; sources of fewer bytes aren't counted for that.
+HOT, SMALL = 1_000_000, 64 << 20
 #: Fixed value: bounds where no source knows its own.
 WORLD = (-180.0, -85.0511, 180.0, 85.0511)
 
@@ -26,8 +28,8 @@ def type_label(dtype: str) -> str:
 class TileEngine:
     """Serves one tile, a list of tiles or a pyramid from one or more sources."""
 
-    def __init__(self, spark: SparkSession, sources: Source | list[Source], request: Options | None = None, behaviour: Behaviour = Behaviour()):
-        self.spark, self.request, self.behaviour = spark, request, behaviour
+    def __init__(self, spark: SparkSession, sources: Source | list[Source], request: Options | None = None, behaviour: Behaviour = Behaviour(), hot: int = HOT):
+        self.spark, self.request, self.behaviour, self.hot = spark, request, behaviour, hot
         self.sources = [sources] if isinstance(sources, Source) else list(sources)
         if len({s.name for s in self.sources}) < len(self.sources):
             raise ValueError("layer names must be unique")
@@ -54,10 +56,11 @@ class TileEngine:
         f = ft.prepared(f, s.columns, s.id_col)
         return f.repartition("fid") if deal and s.deal else f
 
-    def encoded(self, grid_tiles: DataFrame | None, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None, box: Box | None = None) -> DataFrame:
+    def encoded(self, grid_tiles: DataFrame | None, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None, box: Box | None = None, pick=lambda pairs: pairs) -> DataFrame:
         """Encoded features of all sources with their tiles (tiles.ENCODED). Without a table of tiles: all tiles of
         the zooms, or those that a box meets, in which there are features. around: a box in degrees with all these
-        tiles, if known. Sources outside their zooms aren't read at all where zooms are known."""
+        tiles, if known. Sources outside their zooms aren't read at all where zooms are known. pick: which features with their
+        tiles are encoded."""
         out = None
         for ord_, s in enumerate(self.sources):
             o = self.options(s)
@@ -73,7 +76,7 @@ class TileEngine:
                 pairs = list_tiles(f, own, self.behaviour.candidates, o.buffer, o.extent, box)
             else:
                 pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, self.behaviour.candidates, own, few)
-            rows = tiles.encoded(pairs, o, self.behaviour, ord_, ft.only_points(self.features(s)))
+            rows = tiles.encoded(pick(pairs), o, self.behaviour, ord_, ft.only_points(self.features(s)))
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], tiles.ENCODED)
 
@@ -81,6 +84,46 @@ class TileEngine:
         """Name, extent and keys of each layer."""
         return [(s.name, self.options(s).extent, [n for n, _ in ft.keys_of(self.features(s), s.columns)]) for s in self.sources]
 
+    def crowded(self, zooms: list[int]) -> DataFrame | None:
+        """The tiles of these zooms with more than `hot` candidates of a layer, by the boxes of features alone; None if
+        there are none. Tiles below one that isn't crowded aren't, so zooms are looked at from the top, below crowded
+        tiles only; each feature adds to few of these, so that they are few."""
+        found: list[tuple[int, int, int]] = []
+        for s in self.sources:
+            o = self.options(s)
+            f = ft.with_box(self.features(s))
+            size = int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            if (size <= SMALL and self.hot >= HOT) or f.count() <= self.hot:
+                continue
+            f, above, last = f.select("fid", *ft.BOX), None, 0
+            for z in sorted(z for z in zooms if o.min_zoom <= z <= o.max_zoom):
+                t = grid.own_tiles(f, [z], self.behaviour.candidates, o.buffer, o.extent)
+                if above is not None:
+                    up = lambda c: F.shiftright(c, z - last).alias(c)  # noqa: B023,E731
+                    t = t.select("z", "x", "y", up("x").alias("ax"), up("y").alias("ay")).join(F.broadcast(above.select(F.col("x").alias("ax"), F.col("y").alias("ay"))), ["ax", "ay"], "left_semi")
+                crowd = [tuple(r) for r in t.groupBy("z", "x", "y").count().where(F.col("count") > self.hot).select("z", "x", "y").collect()]
+                if not crowd:
+                    break
+                found += crowd
+                above, last = grid.tiles_frame(self.spark, crowd), z
+        return grid.tiles_frame(self.spark, sorted(set(found))) if found else None
+
+    def put_together(self, encoded, wanted: DataFrame | None, zooms: list[int]) -> DataFrame:
+        """Tiles of encoded features: encoded(pick) gives those of the pairs that are picked. wanted: tiles that are made
+        whether or not there are features in them."""
+        crowd = self.crowded(zooms)
+        if crowd is None:
+            rows = encoded(lambda pairs: pairs)
+            return tiles.assembled(rows if wanted is None else rows.unionByName(tiles.wanted(wanted)), self.named())
+        # a row for each million features of a zoom at most
+        split = lambda how: lambda df: df.join(F.broadcast(crowd), ["z", "x", "y"], how)
+        rows = encoded(split("left_anti"))
+        calm = tiles.assembled(rows if wanted is None else rows.unionByName(tiles.wanted(split("left_anti")(wanted))), self.named())
+        many = encoded(split("left_semi"))
+        if wanted is not None:  # crowded tiles that weren't asked for have no rows
+            many = many.join(F.broadcast(split("left_semi")(wanted.select(F.col("z").cast("int"), "x", "y"))), ["z", "x", "y"], "left_semi")
+        return calm.unionByName(assembly.assembled(many, self.named()))
+
     def counts(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None) -> DataFrame:
         """z, x, y, ord, n: how many features each layer of each tile has, empty layers included. Features that leave
         nothing in a tile don't count, so geometry is built, but not gathered."""
@@ -97,7 +140,8 @@ class TileEngine:
     def tiles(self, grid_tiles: DataFrame, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None) -> DataFrame:
         """z, x, y, pbf of each tile; a layer for each source, in their order."""
         grid_tiles = grid.held(grid_tiles)
-        return tiles.assembled(self.encoded(grid_tiles, few, zooms, around).unionByName(tiles.wanted(grid_tiles)), self.named())
+        levels = zooms if zooms is not None else sorted(r[0] for r in grid_tiles.select("z").distinct().collect())  # 31 at most
+        return self.put_together(lambda pick: self.encoded(grid_tiles, few, zooms, around, pick=pick), grid_tiles, levels)
 
     def tile(self, z: int, x: int, y: int) -> bytes:
         """One tile, now. Sources read what its box meets."""
@@ -113,9 +157,8 @@ class TileEngine:
         """All tiles of some zooms in one job; with empty=False those alone in which there are features, which is
         what deep zooms need: the work then follows the features and not the number of tiles."""
         zooms = list(range(min_zoom, max_zoom + 1))
-        every = grid.pyramid(self.spark, min_zoom, max_zoom, box)
-        rows = self.encoded(None, False, zooms, None if box is None else grid.around(zooms, box), box)
-        return tiles.assembled(rows.unionByName(tiles.wanted(every)) if empty else rows, self.named())
+        every = grid.pyramid(self.spark, min_zoom, max_zoom, box) if empty else None
+        return self.put_together(lambda pick: self.encoded(None, False, zooms, None if box is None else grid.around(zooms, box), box, pick), every, zooms)
 
     def tilejson_frame(self) -> DataFrame:
         """Metadata in one row: tilejson, bounds, minzoom, maxzoom, vector_layers. Bounds of files come from their

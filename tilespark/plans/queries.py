@@ -7,11 +7,6 @@ engines in the last one.
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +23,7 @@ from tilespark.options import Options, Source, resolve
 from tilespark.plans import fixtures as fx
 from tilespark.plans.engine import TileEngine, type_label
 from tilespark.sources import flatgeobuf, ranges
+from tilespark.sources.shared import local_scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -406,16 +402,19 @@ def encode_polygon_commands(spark, d):
     return commands(whole_polys(spark, d), True)
 
 
-# dictionaries: one layer of all orders, properties in the order status, priority, flag, cost, level
-PROPS = """o as (select o_orderkey as fid, nullif(o_orderstatus,'P') as status, o_orderpriority as priority, o_totalprice>2e5 as flag, cast(floor(o_totalprice/5e3) as double) as cost, -cast(o_custkey%50 as bigint) as level from orders),
+# dictionaries: orders as points in every tile of the grid, properties in the order status, priority, flag, cost, level
+PROPS = f"""{T}, {BOXES}, {FEATURE_BOXES['points']},
+o as (select o_orderkey as fid, nullif(o_orderstatus,'P') as status, o_orderpriority as priority, o_totalprice>2e5 as flag, cast(floor(o_totalprice/5e3) as double) as cost, -cast(o_custkey%50 as bigint) as level from orders),
 kv as (select fid, 0 as po, 'status' as k, case when status is not null then 'string' end as t, status as v from o
  union all select fid, 1, 'priority', 'string', priority from o
  union all select fid, 2, 'flag', 'bool', cast(flag as varchar) from o
  union all select fid, 3, 'cost', 'uint', cast(cast(cost as bigint) as varchar) from o
  union all select fid, 4, 'level', case when level>=0 then 'uint' else 'int' end, cast(level as varchar) from o),
 kv1 as (select * from kv where t is not null),
-ks as (select k, row_number() over (order by min(fid*8+po))-1 as i from kv1 group by k),
-vs as (select t, v, row_number() over (order by min(fid*8+po))-1 as i from kv1 group by t, v)"""
+at as (select z,x,y,b.fid from b join tb on minx<=w2 and maxx>=w0 and miny<=w3 and maxy>=w1),
+kt as (select z,x,y,kv1.* from kv1 join "at" on "at".fid=kv1.fid),
+ks as (select z, x, y, k, row_number() over (partition by z, x, y order by min(fid*8+po))-1 as i from kt group by z, x, y, k),
+vs as (select z, x, y, t, v, row_number() over (partition by z, x, y order by min(fid*8+po))-1 as i from kt group by z, x, y, t, v)""".replace("at as (select z", '"at" as (select z')
 
 
 def property_rows(spark, d) -> DataFrame:
@@ -430,33 +429,32 @@ def property_layer(spark, d) -> DataFrame:
     return o.select("fid", g.tags_of([(n, t) for n, t in o.dtypes if n != "fid"]).alias("props"))
 
 
-def one_layer(spark, d) -> DataFrame:
-    """All orders as one layer of one tile, encoded as tiles are and read from its bytes."""
-    o = property_rows(spark, d)
-    keys = [(n, t) for n, t in o.dtypes if n != "fid"]
-    at = [F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("ord")]
-    rows = o.select(*at, "fid", F.lit(1).alias("kind"), F.array(F.lit(9), F.lit(0), F.lit(0)).cast("array<bigint>").alias("cmds"), F.lit(b"").alias("geom"), g.value_texts(keys).alias("vals"), F.col("fid").alias("id"))
-    return tiles.layers_of(tiles.assembled(rows, [("orders", 4096, [n for n, _ in keys])]))
+def property_tiles(spark, d) -> DataFrame:
+    """The layers of all tiles of the grid, read from their bytes. Tiles of more than 2000 orders are put together in two
+    levels, those of zooms 0 and 1 on every table, others by the stream of a task."""
+    at = fx.view(spark, d, fx.POINTS).select("fid", "lon", "lat").join(property_rows(spark, d), "fid")
+    e = TileEngine(spark, Source("orders", ft.from_points(at, "fid", "lon", "lat"), id_col="fid"), Options(tolerance=0), hot=2000)
+    return tiles.layers_of(e.tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]))
 
 
 def value_text(v: str = "v"):
     return F.coalesce(f"{v}.s", F.col(f"{v}.i").cast("string"), F.col(f"{v}.b").cast("string"))
 
 
-@query("layer_keys", f"with {PROPS} select cast(i as int) as i, k from ks")
+@query("layer_keys", f"with {PROPS} select cast(z as int) as z, x, y, cast(i as int) as i, k from ks")
 def layer_keys(spark, d):
-    return one_layer(spark, d).select(F.posexplode("keys").alias("i", "k"))
+    return property_tiles(spark, d).select("z", "x", "y", F.posexplode("keys").alias("i", "k"))
 
 
-@query("layer_values", f"with {PROPS} select cast(i as int) as i, t, v from vs")
+@query("layer_values", f"with {PROPS} select cast(z as int) as z, x, y, cast(i as int) as i, t, v from vs")
 def layer_values(spark, d):
-    return one_layer(spark, d).select(F.posexplode("values").alias("i", "v")).select("i", "v.t", value_text().alias("v"))
+    return property_tiles(spark, d).select("z", "x", "y", F.posexplode("values").alias("i", "v")).select("z", "x", "y", "i", "v.t", value_text().alias("v"))
 
 
-@query("feature_tags", f"with {PROPS} select a.fid, string_agg(ks.i||','||vs.i, ',' order by a.po) as tags from kv1 a join ks using (k) join vs on a.t=vs.t and a.v=vs.v group by a.fid")
+@query("feature_tags", f"with {PROPS} select cast(a.z as int) as z, a.x, a.y, a.fid, string_agg(ks.i||','||vs.i, ',' order by a.po) as tags from kt a join ks on a.z=ks.z and a.x=ks.x and a.y=ks.y and a.k=ks.k join vs on a.z=vs.z and a.x=vs.x and a.y=vs.y and a.t=vs.t and a.v=vs.v group by a.z, a.x, a.y, a.fid")
 def feature_tags(spark, d):
-    z = one_layer(spark, d).select(F.explode(F.arrays_zip("features", "tags")).alias("e"))
-    return z.select(F.col("e.features.id").alias("fid"), F.array_join(F.col("e.tags").cast("array<string>"), ",").alias("tags"))
+    z = property_tiles(spark, d).select("z", "x", "y", F.explode(F.arrays_zip("features", "tags")).alias("e"))
+    return z.select("z", "x", "y", F.col("e.features.id").alias("fid"), F.array_join(F.col("e.tags").cast("array<string>"), ",").alias("tags"))
 
 
 @query("value_type_histogram", f"with {PROPS} select k, t, count(*) as n, count(distinct v) as distinct_values from kv1 group by k, t")
@@ -691,17 +689,9 @@ def flagship_tile_pyramid(spark, d):
     return e.pyramid(0, 4).select("z", "x", "y", F.octet_length("pbf").alias("bytes"), F.sha2("pbf", 256).alias("sha256"))
 
 
-def scratch_file(spark: SparkSession, name: str) -> str:
-    """A local path, in the shared folder where there is one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    at = at.removeprefix("file://").removeprefix("file:")
-    os.makedirs(at, exist_ok=True)
-    return os.path.join(at, f"{name}-{uuid.uuid4().hex}.fgb")
-
-
 def parts_file(spark, d) -> str:
     """Polygons written to a file with an index: by one writer, as the format is one stream."""
-    path = scratch_file(spark, "parts")
+    path = local_scratch(spark, "parts") + ".fgb"
     base = polys(spark, d).join(fx.table(spark, d, "part").select(F.col("p_partkey").alias("fid"), "p_brand", "p_size"), "fid").orderBy("fid")
     rows = ((r["geom_type"], [(q["ext"], np.array([(p["x"], p["y"]) for p in q["pts"]])) for q in r["rings"]], {"pk": r["fid"], "brand": r["p_brand"], "size": r["p_size"]}) for r in base.toLocalIterator())
     flatgeobuf.write(path, rows, [("pk", "long"), ("brand", "string"), ("size", "int")])

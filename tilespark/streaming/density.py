@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import tilemath as tm
+from tilespark.sources.shared import scratch
 
 
 def density(stream: DataFrame, z: int, ts: str = "ts", lon: str = "lon", lat: str = "lat", every: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -19,8 +17,7 @@ def density(stream: DataFrame, z: int, ts: str = "ts", lon: str = "lon", lat: st
 def density_of_files(spark: SparkSession, path: str, z: int = 3) -> DataFrame:
     """All events of a Parquet table, run as a stream to its end. Updates go to the shared folder; the last
     one of each window and tile counts."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="density-")
-    at = f"{base.rstrip('/')}/density-{uuid.uuid4().hex}"
+    at = scratch(spark, "density")
     schema = spark.read.parquet(path).schema
     # a glob that names the table itself, be it a file or a folder
     events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
