@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tilespark.functions import geometry as g
 
 BOX = ("minx", "miny", "maxx", "maxy")
-CORE = ("fid", "geom_type", "rings", *BOX)
+#: Where a feature's bytes are, for sources that know.
+PLACE = ("byte_at", "byte_end", "byte_file")
+CORE = ("fid", "geom_type", "rings", *BOX, *PLACE)
 #: What the builder of points says of the column geom_type.
 ONLY_POINTS = {"only": "points"}
 
@@ -21,7 +23,7 @@ def from_points(df: DataFrame, fid: str, lon: str, lat: str) -> DataFrame:
     """One point a row; other columns are properties."""
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     rings = F.array(F.struct(F.lit(True).alias("ext"), F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pts")))
-    rest = [c for c in df.columns if c not in (fid, lon, lat)]
+    rest = [c for c in df.columns if c not in (fid, lon, lat)]  # places among them
     return df.select(F.col(fid).cast("long").alias("fid"), F.lit(g.POINT).alias("geom_type", metadata=ONLY_POINTS), rings.alias("rings"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"), *rest)
 
 
@@ -65,7 +67,7 @@ def keys_of(df: DataFrame, columns: tuple[str, ...] | None) -> list[tuple[str, s
 
 def prepared(df: DataFrame, columns: tuple[str, ...] | None = None, id_col: str | None = None) -> DataFrame:
     """fid, geom_type, the box, Mercator rings, vals (texts of the properties) and id: all that tiles need, once
-    a feature."""
+    a feature; and its place, if that is known."""
     df = with_box(df)
     vals = g.value_texts(keys_of(df, columns))
-    return df.select("fid", "geom_type", *BOX, g.project(F.col("rings")).alias("rings"), vals.alias("vals"), (F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("id"))
+    return df.select("fid", "geom_type", *BOX, g.project(F.col("rings")).alias("rings"), vals.alias("vals"), (F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("id"), *[c for c in PLACE if c in df.columns])

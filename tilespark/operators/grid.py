@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import tilemath as tm
 from tilespark.operators.features import BOX
+from tilespark.sources.ranges import GAP, merge_ranges
 
 #: Up to so many tiles are broadcast and compared with every feature; more are joined by cells.
 FEW_TILES = 128
 #: A feature is dealt to cells of a zoom at which it spans about so many.
 SPAN = 4
+#: Bytes of a file in which features and merged ranges meet.
+BLOCK = 4096
 
 
 def tiles_frame(spark: SparkSession, tiles: list[tuple[int, int, int]]) -> DataFrame:
@@ -142,6 +145,26 @@ def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", b
     return with_boxes(f, buffer, extent).where(meets() if candidates == "tile" else meets_buffered())
 
 
+def by_layout(hits: DataFrame, features: DataFrame, buffer: int, extent: int, gap: int = GAP, block: int = BLOCK) -> DataFrame:
+    """What a reader of byte ranges passes on: hits (features with their tiles) and all that lies between them. The
+    byte ranges of a tile's hits are merged over gaps, and features whose bytes lie in a merged range belong to the
+    tile too, wherever they are; cutting decides. features have byte_at and byte_end; files are told apart by byte_file,
+    if there is such a column. Islands meet features in blocks of the file, so a feature meets few islands of a tile."""
+    file = F.col("byte_file") if "byte_file" in features.columns else F.lit("")
+    tile = F.concat_ws("/", "z", "x", "y", file)
+    found = merge_ranges(hits.select(tile.alias("tile"), F.col("byte_at").alias("offset"), (F.col("byte_end") - F.col("byte_at")).alias("length")), gap, "tile")
+    of = lambda c: F.floor(c / block).cast("long")
+    end = F.col("offset") + F.col("length")
+    isle = found.select("tile", "offset", end.alias("_end"), F.explode(F.sequence(of(F.col("offset")), of(end - 1))).alias("_block"))
+    # a feature stands in the block in which its bytes begin
+    placed = features.withColumn("_file", file).withColumn("_block", of(F.col("byte_at")))
+    inside = (F.col("byte_at") >= F.col("offset")) & (F.col("byte_end") <= F.col("_end"))
+    told = F.split("tile", "/", 4)
+    both = placed.join(isle.withColumn("_file", told[3]), ["_file", "_block"]).where(inside)
+    both = both.withColumns({c: told[i].cast("int" if c == "z" else "long") for i, c in enumerate("zxy")}).drop("_file", "_block", "_end", "offset", "tile")
+    return with_boxes(both, buffer, extent)
+
+
 def degrees_of(tiles: list[tuple[int, int, int]], pad: float = 0.0) -> tuple[float, float, float, float]:
     """The box in degrees around some tiles, each widened by `pad` tiles, and a little for rounding."""
 

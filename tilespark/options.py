@@ -51,7 +51,9 @@ class Behaviour:
 
     winding: `reference` turns exterior rings so that the sum over (xi - xj)(yi + yj) is positive, `mvt21` the
     other way, as the tile specification asks. candidates: `tile` takes features whose box meets the tile,
-    `buffered` those whose box meets the tile with its buffer. drop_flat_parts: parts of multi-part
+    `buffered` those whose box meets the tile with its buffer, `fgb_layout` those of `tile` and all whose bytes lie
+    between theirs in the file, or within 512 bytes, as a reader of byte ranges passes them on: sources need the
+    columns byte_at and byte_end. drop_flat_parts: parts of multi-part
     features whose box has less area than the tolerance's square vanish, straight ones too. strict_index:
     files without an index give no features.
     """
@@ -62,5 +64,5 @@ class Behaviour:
     strict_index: bool = False
 
     def __post_init__(self) -> None:
-        if self.winding not in ("reference", "mvt21") or self.candidates not in ("tile", "buffered"):
-            raise ValueError("winding is reference or mvt21, candidates is tile or buffered")
+        if self.winding not in ("reference", "mvt21") or self.candidates not in ("tile", "buffered", "fgb_layout"):
+            raise ValueError("winding is reference or mvt21, candidates is tile, buffered or fgb_layout")

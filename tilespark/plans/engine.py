@@ -69,13 +69,19 @@ class TileEngine:
                 continue
             buffered = self.behaviour.candidates == "buffered"
             # a tile's buffer widens the box by as much as a tile of the lowest zoom
-            near = around if around is None or not buffered else grid.widened(around, min(own or [0]), o.buffer / o.extent)
+            near = None if self.behaviour.candidates == "fgb_layout" else around if around is None or not buffered else grid.widened(around, min(own or [0]), o.buffer / o.extent)
             f = self.prepared(s, near, not few)
+            layout = self.behaviour.candidates == "fgb_layout"
+            if layout and not {"byte_at", "byte_end"} <= set(f.columns):
+                raise ValueError(f"{s.name}: candidates by layout need the columns byte_at and byte_end")
+            how = "buffered" if buffered else "tile"
             if grid_tiles is None:
-                list_tiles = grid.own_tiles if ft.only_points(self.features(s)) else descent.tiles_of
-                pairs = list_tiles(f, own, self.behaviour.candidates, o.buffer, o.extent, box)
+                list_tiles = grid.own_tiles if layout or ft.only_points(self.features(s)) else descent.tiles_of
+                pairs = list_tiles(f, own, how, o.buffer, o.extent, box)
             else:
-                pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, self.behaviour.candidates, own, few)
+                pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, how, own, few)
+            if layout:  # neighbours in the file may lie anywhere, so the source isn't narrowed to a box
+                pairs = grid.by_layout(pairs, f, o.buffer, o.extent)
             rows = tiles.encoded(pick(pairs), o, self.behaviour, ord_, ft.only_points(self.features(s)))
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], tiles.ENCODED)
@@ -97,7 +103,7 @@ class TileEngine:
                 continue
             f, above, last = f.select("fid", *ft.BOX), None, 0
             for z in sorted(z for z in zooms if o.min_zoom <= z <= o.max_zoom):
-                t = grid.own_tiles(f, [z], self.behaviour.candidates, o.buffer, o.extent)
+                t = grid.own_tiles(f, [z], "buffered" if self.behaviour.candidates == "buffered" else "tile", o.buffer, o.extent)
                 if above is not None:
                     up = lambda c: F.shiftright(c, z - last).alias(c)  # noqa: B023,E731
                     t = t.select("z", "x", "y", up("x").alias("ax"), up("y").alias("ay")).join(F.broadcast(above.select(F.col("x").alias("ax"), F.col("y").alias("ay"))), ["ax", "ay"], "left_semi")

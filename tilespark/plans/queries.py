@@ -19,7 +19,7 @@ from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
 from tilespark.operators import grid, tiles
 from tilespark.operators.tiles import flat_rings
-from tilespark.options import Options, Source, resolve
+from tilespark.options import Behaviour, Options, Source, resolve
 from tilespark.plans import fixtures as fx
 from tilespark.plans.engine import TileEngine, type_label
 from tilespark.sources import flatgeobuf, ranges
@@ -512,6 +512,29 @@ def zoom_gated_sources(spark, d):
     return fx.view(spark, d, fx.TILES).join(s, F.col("z").between(F.col("min_zoom"), F.col("max_zoom"))).groupBy("ordinal", "z").agg(F.count("*").alias("n"))
 
 
+#: Points in the order of their keys as a file has them: a feature has 60 bytes, and some more for its priority.
+PLACED = f"""select p.*, byte_end - size as byte_at, byte_end from (select p.*, 60+fid%7*9 as size, cast(sum(60+fid%7*9) over (order by fid) as bigint) as byte_end from ({fx.POINTS}) p) p"""
+
+
+@query("fgb_layout_candidates", f"""with {T}, {BOXES}, p as materialized ({PLACED}), m as (select p.*, {PX} as mx, {PY} as my from p),
+h as (select z,x,y,byte_at,byte_end from p join tb on lon<=w2 and lon>=w0 and lat<=w3 and lat>=w1),
+e as (select *, max(byte_end) over (partition by z,x,y order by byte_at rows between unbounded preceding and 1 preceding) as far from h),
+i as (select *, sum(case when far is null or byte_at>far+512 then 1 else 0 end) over (partition by z,x,y order by byte_at) as isle from e),
+s as (select z,x,y,isle,min(byte_at) as lo,max(byte_end) as hi from i group by z,x,y,isle)
+select cast(s.z as int) as z,s.x,s.y,m.fid, cast(floor(4096*(mx*power(2,s.z)-s.x)+0.5) as bigint) as px, cast(floor(4096*(my*power(2,s.z)-s.y)+0.5) as bigint) as py
+from s join m on m.byte_at>=s.lo and m.byte_end<=s.hi where mx*power(2,s.z) between s.x-0.015625 and s.x+1.015625 and my*power(2,s.z) between s.y-0.015625 and s.y+1.015625""")
+def fgb_layout_candidates(spark, d):
+    """Points of all tiles of the grid, those of buffers among them where bytes between the tile's own carry them along."""
+    # running sums by blocks of keys, so that no task meets all of them
+    p = fx.view(spark, d, fx.POINTS).withColumn("size", F.lit(60) + F.col("fid") % 7 * 9).withColumn("_b", F.floor(F.col("fid") / 4096))
+    w = Window.partitionBy("_b").orderBy("fid")
+    base = p.groupBy("_b").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    p = p.join(base.select("_b", "base"), "_b").withColumn("byte_end", F.col("base") + F.sum("size").over(w)).withColumn("byte_at", F.col("byte_end") - F.col("size"))
+    made = TileEngine(spark, Source("points", ft.from_points(p.drop("size", "_b", "base"), "fid", "lon", "lat"), id_col="fid"), Options(tolerance=0), Behaviour(candidates="fgb_layout"))
+    got = made.tiles(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3])
+    return decoded(got, "z int, x long, y long, fid long, px long, py long", lambda z, x, y, ls: [(z, x, y, f["id"], *f["paths"][0][0]) for f in ls[0]["features"]])
+
+
 @query("tilejson_bounds", f"""with {FEATURE_BOXES['points']}, {FEATURE_BOXES['polys'].replace('b as', 'b2 as')}, a as (select * from b union all select * from b2)
 select round(min(minx),9) as minx, round(min(miny),9) as miny, round(max(maxx),9) as maxx, round(max(maxy),9) as maxy, 0 as minzoom, 24 as maxzoom from a""")
 def tilejson_bounds(spark, d):

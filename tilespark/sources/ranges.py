@@ -9,16 +9,21 @@ import time
 import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilespark.sources.shared import stored
+
 #: Ranges at most so many bytes apart are read as one.
 GAP = 512
 
@@ -188,10 +193,40 @@ def merge(ranges: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]
     return out
 
 
+def islands(group: np.ndarray, offset: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where islands begin among ranges that are sorted by group (numbered upwards) and offset, and where each ends."""
+    fresh = np.r_[True, group[1:] != group[:-1]]
+    far = pd.Series(end).groupby(group).cummax().to_numpy()
+    begin = np.flatnonzero(fresh | np.r_[True, offset[1:] > far[:-1] + gap])
+    return begin, np.maximum.reduceat(end, begin) if len(begin) else end
+
+
 def merge_ranges(df: DataFrame, gap: int = GAP, by: str = "path") -> DataFrame:
-    """The same for a table of ranges (by, offset, length): gaps and islands. Files are independent."""
-    w = Window.partitionBy(by).orderBy("offset", "length")
-    end: Column = F.max(F.col("offset") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(end.isNull() | (F.col("offset") > end + gap), 1).otherwise(0)
-    isle = df.withColumn("fresh", fresh).withColumn("isle", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return isle.groupBy(by, "isle").agg(F.min("offset").alias("offset"), F.max(F.col("offset") + F.col("length")).alias("end")).select(by, "offset", (F.col("end") - F.col("offset")).alias("length"))
+    """The same for a table of ranges (by, offset, length): gaps and islands, where a single file may have all ranges.
+    Ranges are dealt in order of file and offset, and each task merges its own. How far the ranges of a file reach in
+    the tasks before, a row for each task and file, is carried in: what begins within that goes on the last
+    island that began before. Files are independent; ranges without an offset or a length are left out."""
+    kind = dict(df.dtypes)[by]
+
+    def merged(batches) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # numbers alone, of one task's share
+        if not rows.num_rows:
+            return
+        name = rows.column("by").combine_chunks()
+        coded = name.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        group = np.cumsum(np.r_[0, coded[1:] != coded[:-1]])
+        at, end = (rows.column(c).to_numpy() for c in ("offset", "end"))
+        begin, ends = islands(group, at, end, gap)
+        part = np.full(len(begin), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([name.take(pa.array(begin)), pa.array(part), pa.array(at[begin]), pa.array(ends)], names=["by", "part", "offset", "end"])
+
+    at, size = F.col("offset").cast("long"), F.col("length").cast("long")
+    dealt = df.where("offset is not null and length is not null").select(F.col(by).alias("by"), at.alias("offset"), (at + size).alias("end"))
+    own = stored(dealt.repartitionByRange("by", "offset", "end").sortWithinPartitions("by", "offset", "end").mapInArrow(merged, f"by {kind}, part int, offset long, end long"), "islands")
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    reach = own.groupBy("by", "part").agg(F.max("end").alias("end")).select(F.col("by").alias("b"), F.col("part").alias("p"), F.max("end").over(before).alias("reach"))
+    here = (F.col("by").eqNullSafe(F.col("b"))) & (F.col("part") == F.col("p"))
+    seen = own.join(reach, here).drop("b", "p").withColumn("fresh", F.col("reach").isNull() | (F.col("offset") > F.col("reach") + gap))
+    last = seen.groupBy("by", "part").agg(F.max(F.when(F.col("fresh"), F.col("offset"))).alias("last")).select(F.col("by").alias("b"), F.col("part").alias("p"), F.last("last", True).over(before).alias("open"))
+    owned = seen.join(last, here).withColumn("start", F.when(F.col("fresh"), F.col("offset")).otherwise(F.col("open")))
+    return owned.groupBy("by", "start").agg(F.max("end").alias("end")).select(F.col("by").alias(by), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"))
