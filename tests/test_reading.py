@@ -148,3 +148,63 @@ def test_pyramid_of_the_tiles_with_features(spark):
     part = {(r["z"], r["x"], r["y"]): bytes(r["pbf"]) for r in e.pyramid(2, 4, box).collect()}
     assert part and all(every[t] == raw for t, raw in part.items())
     assert e.pyramid(14, 14, empty=False).select(F.sum(F.lit(1))).first()[0] >= 40
+
+
+def test_a_tile_of_a_large_file_reads_little(spark, tmp_path):
+    """Of a file with a million features (a copied index over few distinct ones would do, too) only the nodes that are
+    met are read, and tasks are told two numbers each."""
+    import pickle
+    import struct
+
+    n, node = 1_000_000, 16
+    lv = fgb.levels(n, node)
+    fgb.write(str(tmp_path / "one.fgb"), [(g.POINT, [(True, np.array([[0.0, 0.0]]))], {"name": "x"})] * 2, [("name", "string")])
+    h = fgb.header_of(str(tmp_path / "one.fgb"))
+    raw = (tmp_path / "one.fgb").read_bytes()
+    size = (len(raw) - h.features_at) // 2
+    one = raw[h.features_at : h.features_at + size]
+    side = 1000
+    gx, gy = np.arange(n) // side * 0.3 - 150, np.arange(n) % side * 0.15 - 75
+    nodes = np.zeros(lv[0][1], fgb.NODE)
+    lo, hi = lv[0]
+    nodes["minx"][lo:hi] = nodes["maxx"][lo:hi] = gx
+    nodes["miny"][lo:hi] = nodes["maxy"][lo:hi] = gy
+    nodes["offset"][lo:hi] = np.arange(n) * size
+    for (clo, chi), (plo, phi) in zip(lv, lv[1:], strict=False):
+        first = clo + np.arange(phi - plo) * node
+        nodes["offset"][plo:phi] = first
+        for c, f in (("minx", np.minimum), ("miny", np.minimum), ("maxx", np.maximum), ("maxy", np.maximum)):
+            nodes[c][plo:phi] = f.reduceat(nodes[c][clo:chi], first - clo)
+    b = fgb.Builder()
+    head = b.finish(b.table({fgb.HEADER_TYPE: ("B", 1), fgb.HEADER_COUNT: ("Q", n), fgb.HEADER_NODE: ("H", node), fgb.HEADER_COLUMNS: ("ref", lambda: b.tables([lambda: b.table({0: ("ref", lambda: b.vector(b"name", True)), 1: ("B", 11)})]))}))
+    (tmp_path / "many.fgb").write_bytes(fgb.MAGIC + b"\0" + struct.pack("<I", len(head)) + head + nodes.tobytes() + one * n)
+    log = str(tmp_path / "log")
+    box = (10.0, 10.0, 10.5, 10.5)
+    df = fgb.read(spark, str(tmp_path / "many.fgb"), connector=Counting(log), layout=True).where(f"maxx >= {box[0]} and minx <= {box[2]} and maxy >= {box[1]} and miny <= {box[3]}")
+    want = np.flatnonzero((gx >= box[0]) & (gx <= box[2]) & (gy >= box[1]) & (gy <= box[3]))
+    got = {r["fid"]: r["byte_at"] for r in df.select("fid", "byte_at").collect()}
+    at = fgb.header_of(str(tmp_path / "many.fgb")).features_at
+    assert got == {int(i): at + int(i) * size for i in want} and len(want) > 3
+    assert counted(log) < 100_000
+    r = fgb.Reader(None, {"path": str(tmp_path / "many.fgb")})
+    parts = r.partitions()
+    assert len(parts) > 50 and max(len(pickle.dumps(p)) for p in parts) < 200
+
+
+def test_candidates_by_layout_of_a_file(spark, tmp_path):
+    """Features between a tile's own in the file come along, and show where they lie in the buffer."""
+    from tilespark.options import Behaviour
+
+    # beside the eastern edge of tile (1, 0, 0): within, in the buffer, within, far away
+    xs = [-10.0, 0.5, -20.0, 100.0]
+    fgb.write(str(tmp_path / "p.fgb"), [(g.POINT, [(True, np.array([[x, 40.0]]))], {"name": f"{x}"}) for x in xs], [("name", "string")])
+    names = lambda b: [f["properties"]["name"] for f in pbf.decode(TileEngine(spark, Source("p", str(tmp_path / "p.fgb"), Options(tolerance=0)), behaviour=b).tile(1, 0, 0))[0]["features"]]
+    assert names(Behaviour()) == ["-10.0", "-20.0"]
+    assert names(Behaviour(candidates="fgb_layout")) == ["-10.0", "0.5", "-20.0"]
+
+
+def test_scan_without_index_goes_by_steps(spark, tmp_path, monkeypatch):
+    points_file(tmp_path / "p.fgb", 300, 0)
+    r = fgb.Reader(None, {"path": str(tmp_path / "p.fgb")})
+    steps = [x[0] for x in r.scanned(ranges.LocalReader(), step=100)]
+    assert steps == list(range(300))

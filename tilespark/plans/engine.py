@@ -45,7 +45,7 @@ class TileEngine:
             if isinstance(df, str):
                 from tilespark.sources.flatgeobuf import read
 
-                df = read(self.spark, df, strict_index=self.behaviour.strict_index, **(s.reading or {}))
+                df = read(self.spark, df, strict_index=self.behaviour.strict_index, **({"layout": True} if self.behaviour.candidates == "fgb_layout" else {}), **(s.reading or {}))
             self._frames[s.name] = df
         return self._frames[s.name]
 
@@ -90,14 +90,16 @@ class TileEngine:
         """Name, extent and keys of each layer."""
         return [(s.name, self.options(s).extent, [n for n, _ in ft.keys_of(self.features(s), s.columns)]) for s in self.sources]
 
-    def crowded(self, zooms: list[int]) -> DataFrame | None:
+    def crowded(self, zooms: list[int], around: Box | None = None) -> DataFrame | None:
         """The tiles of these zooms with more than `hot` candidates of a layer, by the boxes of features alone; None if
         there are none. Tiles below one that isn't crowded aren't, so zooms are looked at from the top, below crowded
-        tiles only; each feature adds to few of these, so that they are few."""
+        tiles only; each feature adds to few of these, so that they are few. around: a box with all tiles in question."""
         found: list[tuple[int, int, int]] = []
         for s in self.sources:
             o = self.options(s)
-            f = ft.with_box(self.features(s))
+            if isinstance(s.data, str) and self.header(s).count <= self.hot:
+                continue
+            f = grid.within(ft.with_box(self.features(s)), around)
             size = int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
             if (size <= SMALL and self.hot >= HOT) or f.count() <= self.hot:
                 continue
@@ -114,10 +116,10 @@ class TileEngine:
                 above, last = grid.tiles_frame(self.spark, crowd), z
         return grid.tiles_frame(self.spark, sorted(set(found))) if found else None
 
-    def put_together(self, encoded, wanted: DataFrame | None, zooms: list[int]) -> DataFrame:
+    def put_together(self, encoded, wanted: DataFrame | None, zooms: list[int], around: Box | None = None) -> DataFrame:
         """Tiles of encoded features: encoded(pick) gives those of the pairs that are picked. wanted: tiles that are made
         whether or not there are features in them."""
-        crowd = self.crowded(zooms)
+        crowd = self.crowded(zooms, around)
         if crowd is None:
             rows = encoded(lambda pairs: pairs)
             return tiles.assembled(rows if wanted is None else rows.unionByName(tiles.wanted(wanted)), self.named())
@@ -147,7 +149,7 @@ class TileEngine:
         """z, x, y, pbf of each tile; a layer for each source, in their order."""
         grid_tiles = grid.held(grid_tiles)
         levels = zooms if zooms is not None else sorted(r[0] for r in grid_tiles.select("z").distinct().collect())  # 31 at most
-        return self.put_together(lambda pick: self.encoded(grid_tiles, few, zooms, around, pick=pick), grid_tiles, levels)
+        return self.put_together(lambda pick: self.encoded(grid_tiles, few, zooms, around, pick=pick), grid_tiles, levels, around)
 
     def tile(self, z: int, x: int, y: int) -> bytes:
         """One tile, now. Sources read what its box meets."""
@@ -164,7 +166,8 @@ class TileEngine:
         what deep zooms need: the work then follows the features and not the number of tiles."""
         zooms = list(range(min_zoom, max_zoom + 1))
         every = grid.pyramid(self.spark, min_zoom, max_zoom, box) if empty else None
-        return self.put_together(lambda pick: self.encoded(None, False, zooms, None if box is None else grid.around(zooms, box), box, pick), every, zooms)
+        around = None if box is None else grid.around(zooms, box)
+        return self.put_together(lambda pick: self.encoded(None, False, zooms, around, box, pick), every, zooms, around)
 
     def tilejson_frame(self) -> DataFrame:
         """Metadata in one row: tilejson, bounds, minzoom, maxzoom, vector_layers. Bounds of files come from their
@@ -183,13 +186,15 @@ class TileEngine:
         # a greatest zoom of 0 is reported as 24
         return agg.select(F.lit("3.0.0").alias("tilejson"), F.array(*bounds).alias("bounds"), F.lit(low).alias("minzoom"), F.lit(high or 24).alias("maxzoom"), F.lit(json.dumps(layers)).alias("vector_layers"))
 
-    def header_box(self, s: Source) -> Box | None:
-        """The box that a file's header gives, or None."""
-        if not isinstance(s.data, str):
-            return None
+    def header(self, s: Source):
+        """The header of a source that is a file."""
         from tilespark.sources.flatgeobuf import header_of
 
-        return header_of(s.data, s.reading or {}).box
+        return header_of(s.data, s.reading or {})
+
+    def header_box(self, s: Source) -> Box | None:
+        """The box that a file's header gives, or None."""
+        return self.header(s).box if isinstance(s.data, str) else None
 
     def tilejson(self) -> dict:
         if not self.sources:

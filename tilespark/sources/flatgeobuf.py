@@ -1,11 +1,13 @@
 """FlatGeobuf files: a Python data source that walks the packed R-tree for pushed-down boxes, and a writer.
 
-The header gives the schema, a walk over the index gives the byte ranges of the features whose boxes meet
-the filter; near ranges are read as one, and each partition decodes its own. Features come back with fid
-(their position in the file), geom_type, rings, their box from the index, and their properties.
-
-A file without an index is scanned whole (or gives nothing with strict_index). The last feature reaches to the
-end of the file. Malformed features end their range (PERMISSIVE) or raise (FAILFAST).
+The header gives the schema. The index is walked level by level, and only nodes whose parents meet the filter are
+read: the planner goes down to nodes of some thousands of features and deals these out by number, so what it reads
+and sends doesn't grow with features; tasks walk on from there. Near features are read as one range. Features
+come back with fid (their number in the index, which is their order in the file), geom_type, rings, their box from the
+index, and their properties; with the option layout also with the place of their bytes (byte_at, byte_end).
+
+A file without an index is scanned whole, a step at a time (or gives nothing with strict_index). A feature is as long
+as its size says, the last one too. Malformed features are left out (PERMISSIVE) or raise (FAILFAST).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from tilespark.functions import geometry as g
-from tilespark.sources.ranges import GAP, packed_options, reader_for
+from tilespark.sources.ranges import GAP, RangeReader, packed_options, reader_for
 
 #: Fixed values of the format: first bytes, column types in order, and fields of its tables.
 MAGIC = b"fgb\x03fgb"
@@ -104,9 +106,10 @@ class Header:
     features_at: int
     single_root: bool = True
 
-    def spark_schema(self) -> str:
+    def spark_schema(self, layout: bool = False) -> str:
+        place = ", byte_at bigint, byte_end bigint" if layout else ""
         props = "".join(f", `{n}` {SPARK.get(t, 'string')}" for n, t in self.columns)
-        return f"fid bigint, geom_type int, rings {g.RINGS}, minx double, miny double, maxx double, maxy double{props}"
+        return f"fid bigint, geom_type int, rings {g.RINGS}, minx double, miny double, maxx double, maxy double{place}{props}"
 
 
 #: Headers that this process has read, by path and options.
@@ -145,21 +148,51 @@ def read_header(path: str, single_root: bool = True, options: dict[str, str] | N
     return Header(t.scalar(HEADER_TYPE, "B", 0), columns, count, node, tuple(box[:4].tolist()) if box is not None and len(box) >= 4 else None, 12 + size, 12 + size + index, single_root)
 
 
-def search(nodes: np.ndarray, h: Header, box: tuple[float, float, float, float] | None) -> np.ndarray:
-    """Numbers of the leaves whose boxes meet the box, in order: level by level, all nodes at once."""
-    lv = levels(h.count, h.node_size, h.single_root)
-    at = np.arange(*lv[-1])
-    for depth in range(len(lv) - 1, -1, -1):
-        if box is not None and len(at):
-            n = nodes[at]
-            at = at[(n["minx"] <= box[2]) & (n["maxx"] >= box[0]) & (n["miny"] <= box[3]) & (n["maxy"] >= box[1])]
-        if depth:
-            lo, hi = lv[depth - 1]
+Box = tuple[float, float, float, float]
+
+
+@dataclass
+class Walk:
+    """A walk down the index of a file, by reads of the nodes that are met."""
+
+    reader: RangeReader
+    path: str
+    header: Header
+    box: Box | None
+
+    def nodes(self, at: np.ndarray) -> np.ndarray:
+        """Nodes by number (ascending): neighbours are read as one range."""
+        if not len(at):
+            return np.zeros(0, NODE)
+        cut = np.flatnonzero(np.diff(at) > 1 + GAP // NODE.itemsize) + 1
+        first, last = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]]
+        size = NODE.itemsize
+        raw = self.reader.read_ranges(self.path, [(self.header.index_at + size * int(a), size * int(z - a + 1)) for a, z in zip(first, last, strict=True)])
+        run = np.searchsorted(first, at, "right") - 1
+        base = np.r_[0, np.cumsum(last - first + 1)][:-1]
+        return np.frombuffer(b"".join(raw), NODE)[base[run] + at - first[run]]
+
+    def down(self, at: np.ndarray, level: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """From nodes of a level to those of a lower one that meet the box by all nodes above, and what is read of them
+        if that is the leaves' level."""
+        lv = levels(self.header.count, self.header.node_size, self.header.single_root)
+        while True:
+            leaves = level == to and to == 0
+            if level == to and not leaves:
+                return at, np.zeros(0, NODE)
+            n = self.nodes(at)
+            if leaves:
+                return at, n
+            if self.box is not None:
+                n = n[self.meet(n)]
+            lo, hi = lv[level - 1]
             # an inner node's children begin at node number `offset`
-            first = nodes["offset"][at].astype(np.int64)
-            at = (first[:, None] + np.arange(h.node_size)).ravel()
-            at = at[(at >= lo) & (at < hi)]
-    return np.sort(at - lv[0][0])
+            at = (n["offset"].astype(np.int64)[:, None] + np.arange(self.header.node_size)).ravel()
+            at, level = np.sort(at[(at >= lo) & (at < hi)]), level - 1
+
+    def meet(self, n: np.ndarray) -> np.ndarray:
+        b = self.box
+        return np.ones(len(n), bool) if b is None else (n["minx"] <= b[2]) & (n["maxx"] >= b[0]) & (n["miny"] <= b[3]) & (n["maxy"] >= b[1])
 
 
 def rings_of(geom: Table, kind: int, depth: int = 0) -> tuple[int, list[tuple[bool, np.ndarray]]]:
@@ -220,21 +253,17 @@ def rings_array(features: tuple[list[tuple[bool, np.ndarray]], ...]) -> pa.Array
 
 
 @dataclass
-class Run:
-    """A run of bytes: where, how long (-1: to the end), the number of the first feature there, the numbers
-    wanted and the boxes of all features of the run by the index (a row each; None: all, no boxes)."""
+class Part(InputPartition):
+    """Features below some nodes of a level (first and last number), or (level -1) all of a file without an index, or
+    (None) none."""
 
-    offset: int
-    length: int
-    first: int
-    wanted: np.ndarray | None = None
-    boxes: np.ndarray | None = None
+    level: int | None
+    first: int = 0
+    last: int = 0
 
 
-@dataclass
-class Part(InputPartition):
-    path: str
-    runs: list[Run]
+#: Features below the nodes of a partition; bytes that are read of a feature whose end isn't known, and at once.
+PART_FEATURES, GUESS, AT_ONCE = 16_384, 1024, 1 << 24
 
 
 class Reader(DataSourceReader):
@@ -243,9 +272,9 @@ class Reader(DataSourceReader):
         self.strict = options.get("strict_index", "false").lower() == "true"
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.single_root = options.get("single_root", "true").lower() == "true"
-        self.per_partition = int(options.get("partition_bytes", 32 << 20))
+        self.per_part = int(options.get("partition_features", PART_FEATURES))
         self.limit = int(options.get("max_features", 0))
-        self.names = [f.name for f in schema.fields]
+        self.layout = options.get("layout", "false").lower() == "true"
         self.options = options
         self.header = Header(**json.loads(options["header"])) if "header" in options else read_header(self.path, self.single_root, options)
         self.box = [-np.inf, -np.inf, np.inf, np.inf]
@@ -264,102 +293,135 @@ class Reader(DataSourceReader):
                     self.box[k] = min(self.box[k], v)
             yield f
 
+    def walk(self, r: RangeReader) -> Walk:
+        return Walk(r, self.path, self.header, None if np.isinf(self.box).all() else tuple(self.box))
+
     def partitions(self) -> list[Part]:
         h, r = self.header, reader_for(self.path, self.options)
         if not h.node_size or not h.count:
-            return [Part(self.path, [])] if self.strict or not h.count and h.node_size else [Part(self.path, [Run(h.features_at, -1, 0)])]
-        nodes = np.frombuffer(r.read(self.path, h.index_at, h.features_at - h.index_at), NODE)
-        leaves = nodes[levels(h.count, h.node_size, h.single_root)[0][0] :]
-        # the index may list features in another order than the file does
-        offsets = leaves["offset"].astype(np.int64)
-        by_place = np.argsort(offsets, kind="stable")
-        begins = offsets[by_place]
-        ends = np.r_[begins[1:], begins[-1] + 1]  # the last one reaches to the end of the file
-        rank = np.empty(len(by_place), np.int64)
-        rank[by_place] = np.arange(len(by_place))
-        everything = bool(np.isinf(self.box).all())
-        hit = np.sort(rank[search(nodes, h, None if everything else tuple(self.box))])
-        if self.limit:
-            hit = hit[: self.limit]
-        if not len(hit):
-            return [Part(self.path, [])]
-        # features near each other are one run; runs fill partitions of about per_partition bytes
-        fresh = np.r_[True, (begins[hit[1:]] > ends[hit[:-1]] + GAP) | (begins[hit[1:]] // self.per_partition != begins[hit[:-1]] // self.per_partition)]
-        parts: list[Part] = []
-        size = self.per_partition
-        for own in np.split(hit, np.flatnonzero(fresh)[1:]):
-            lo, hi = int(own[0]), int(own[-1])
-            length = int(ends[hi] - begins[lo]) if hi < len(begins) - 1 else -1
-            boxes = np.stack([leaves[c][by_place[lo : hi + 1]] for c in ("minx", "miny", "maxx", "maxy")], 1)
-            run = Run(h.features_at + int(begins[lo]), length, lo, own, boxes)
-            if size >= self.per_partition:
-                parts.append(Part(self.path, []))
-                size = 0
-            parts[-1].runs.append(run)
-            size += max(length, 0)
-        return parts
+            return [Part(None if self.strict or not h.count and h.node_size else -1)]
+        lv = levels(h.count, h.node_size, h.single_root)
+        level = 0  # that of nodes with at most per_part features
+        while level < len(lv) - 1 and h.node_size ** (level + 1) <= self.per_part:
+            level += 1
+        walk = self.walk(r)
+        at = np.arange(*lv[level]) if walk.box is None else walk.down(np.arange(*lv[-1]), len(lv) - 1, level)[0]
+        r.close()
+        if not len(at):
+            return [Part(None)]
+        if self.limit:  # the first ones in order: one task stops when it has them
+            return [Part(level, int(at[0]), int(at[-1]))]
+        # neighbours of at most per_part features are one partition
+        most = max(1, self.per_part // h.node_size**level)
+        fresh = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (at[1:] // most != at[:-1] // most)])
+        return [Part(level, int(at[i]), int(at[j - 1])) for i, j in zip(fresh, [*fresh[1:], len(at)], strict=True)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        r = reader_for(part.path, self.options)
+        if part.level is None:
+            return
+        r = reader_for(self.path, self.options)
         rows: list[tuple] = []
-        left = self.limit if self.limit and not self.header.node_size else -1  # with an index the plan has cut already
-        for runs in self.together(part.runs):
-            for run, raw in zip(runs, r.read_ranges(part.path, [(x.offset, x.length) for x in runs]), strict=True):
-                wanted = None if run.wanted is None else set(run.wanted.tolist())
-                last = None if run.wanted is None else int(run.wanted[-1])
-                at, fid = 0, run.first
-                while at + 4 <= len(raw) and (last is None or fid <= last) and left:
-                    size = struct.unpack_from("<I", raw, at)[0]
-                    if size == 0 or at + 4 + size > len(raw):
-                        break
-                    if wanted is None or fid in wanted:
-                        try:
-                            row = self.feature(raw[at + 4 : at + 4 + size], fid, run)
-                        except (ValueError, struct.error, UnicodeDecodeError, IndexError):
-                            if self.failfast:
-                                raise
-                            break
-                        if row is not None:
-                            rows.append(row)
-                            left -= 1
-                    at += 4 + size
-                    fid += 1
-                    if len(rows) >= 4096:
-                        yield self.batch(rows)
-                        rows = []
+        left = self.limit or -1
+        found = self.scanned(r) if part.level < 0 else self.indexed(r, part)
+        for fid, raw, at, box in found:
+            if not left:
+                break
+            row = self.feature(raw, fid, at, box)
+            if row is not None:
+                rows.append(row)
+                left -= 1
+            if len(rows) >= 4096:
+                yield self.batch(rows)
+                rows = []
         if rows:
             yield self.batch(rows)
         r.close()
 
-    def together(self, runs: list[Run], most: int = 1 << 24) -> Iterator[list[Run]]:
-        """Runs to fetch at once: of about `most` bytes in all."""
-        own: list[Run] = []
+    def scanned(self, r: RangeReader, step: int = AT_ONCE) -> Iterator[tuple]:
+        """All features of a file without an index, by steps of bytes."""
+        raw, at, pos, fid = b"", 0, self.header.features_at, 0
+        while True:
+            size = struct.unpack_from("<I", raw, at)[0] if at + 4 <= len(raw) else -1
+            if size < 0 or at + 4 + size > len(raw):
+                begin = pos + len(raw)
+                more = r.read(self.path, begin, max(step, size + 4))
+                if not more:
+                    return
+                pos, raw, at = pos + at, raw[at:] + more, 0
+                continue
+            if not size:
+                return
+            yield fid, raw[at + 4 : at + 4 + size], pos + at, None
+            at, fid = at + 4 + size, fid + 1
+
+    def indexed(self, r: RangeReader, part: Part) -> Iterator[tuple]:
+        """The features below a partition's nodes that meet the filter, in order."""
+        h, walk = self.header, self.walk(r)
+        at, leaves = walk.down(np.arange(part.first, part.last + 1), part.level, 0)
+        fid = at - levels(h.count, h.node_size, h.single_root)[0][0]
+        begins = leaves["offset"].astype(np.int64)
+        follows = np.r_[np.diff(at) == 1, False]
+        ends = np.where(follows, np.r_[begins[1:], 0], -1)
+        ends[ends <= begins] = -1  # not known: the next one wasn't read
+        hit = np.flatnonzero(walk.meet(leaves))
+        if not len(hit):
+            return
+        reach = np.where(ends[hit] < 0, begins[hit] + GUESS, ends[hit])
+        near = (begins[hit[1:]] >= begins[hit[:-1]]) & (begins[hit[1:]] <= reach[:-1] + GAP)
+        runs = np.split(np.arange(len(hit)), np.flatnonzero(~near) + 1)
+        for some in self.together([x for run in runs for x in self.bounded(run, begins[hit], reach)], begins[hit], reach):
+            got = r.read_ranges(self.path, [(h.features_at + int(begins[hit[x[0]]]), int(reach[x].max() - begins[hit[x[0]]])) for x in some])
+            for x, raw in zip(some, got, strict=True):
+                base = int(begins[hit[x[0]]])
+                for k in hit[x].tolist():
+                    p = int(begins[k]) - base
+                    size = struct.unpack_from("<I", raw, p)[0] if p + 4 <= len(raw) else 0
+                    if size and p + 4 + size > len(raw):  # longer than guessed
+                        raw += r.read(self.path, h.features_at + base + len(raw), p + 4 + size - len(raw))
+                    if not size or p + 4 + size > len(raw):
+                        break
+                    n = leaves[k]
+                    yield int(fid[k]), raw[p + 4 : p + 4 + size], h.features_at + base + p, (float(n["minx"]), float(n["miny"]), float(n["maxx"]), float(n["maxy"]))
+
+    def bounded(self, run: np.ndarray, begins: np.ndarray, reach: np.ndarray) -> Iterator[np.ndarray]:
+        """A run of near features in pieces of about AT_ONCE bytes."""
+        piece = (begins[run] - begins[run[0]]) // AT_ONCE
+        yield from np.split(run, np.flatnonzero(np.diff(piece)) + 1)
+
+    def together(self, runs: list[np.ndarray], begins: np.ndarray, reach: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Runs to fetch at once: of about AT_ONCE bytes in all."""
+        own: list[np.ndarray] = []
         size = 0
         for run in runs:
             own.append(run)
-            size += max(run.length, 0)
-            if size >= most:
+            size += int(reach[run].max() - begins[run[0]])
+            if size >= AT_ONCE:
                 yield own
                 own, size = [], 0
         if own:
             yield own
 
-    def feature(self, raw: bytes, fid: int, run: Run) -> tuple | None:
-        t = Table.root(raw)
-        p = t.place(0)
-        if not p:
+    def feature(self, raw: bytes, fid: int, at: int, box: Box | None) -> tuple | None:
+        """A feature's row; None if it has no geometry, or is malformed."""
+        try:
+            t = Table.root(raw)
+            p = t.place(0)
+            if not p:
+                return None
+            kind, rings = rings_of(Table(raw, t._follow(p)), self.header.geometry_type)
+            if not rings:
+                return None
+            if box is None:
+                pts = np.concatenate([q for _, q in rings])
+                box = (*np.nanmin(pts, 0).tolist(), *np.nanmax(pts, 0).tolist())
+            props = t.vector(1, "u1")
+            values = properties(props.tobytes() if props is not None else b"", self.header.columns)
+        except (ValueError, struct.error, UnicodeDecodeError, IndexError):
+            if self.failfast:
+                raise
             return None
-        kind, rings = rings_of(Table(raw, t._follow(p)), self.header.geometry_type)
-        if not rings:
-            return None
-        if run.boxes is not None:
-            box = run.boxes[fid - run.first].tolist()
-        else:
-            pts = np.concatenate([q for _, q in rings])
-            box = (*np.nanmin(pts, 0).tolist(), *np.nanmax(pts, 0).tolist())
-        props = t.vector(1, "u1")
-        values = properties(props.tobytes() if props is not None else b"", self.header.columns)
-        return (fid, kind, rings, *box, *values)
+        place = (at, at + 4 + len(raw)) if self.layout else ()
+        return (fid, kind, rings, *box, *place, *values)
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -385,7 +447,7 @@ class FlatGeobuf(DataSource):
         return "flatgeobuf"
 
     def schema(self) -> str:
-        return read_header(self.options["path"], self.options.get("single_root", "true").lower() == "true", dict(self.options)).spark_schema()
+        return read_header(self.options["path"], self.options.get("single_root", "true").lower() == "true", dict(self.options)).spark_schema(self.options.get("layout", "false").lower() == "true")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return Reader(schema, dict(self.options))
@@ -398,11 +460,11 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, strict_index: bool = False, **options) -> DataFrame:
     """A file as features. options: those of the reader of byte ranges (sources.ranges.packed_options), and
-    single_root, mode, partition_bytes, max_features. The header is read once, on the driver."""
+    single_root, mode, partition_features, max_features, layout. The header is read once, on the driver."""
     register(spark)
     h = header_of(path, options)
     packed = packed_options(path, options) | {"strict_index": str(strict_index).lower(), "header": json.dumps(asdict(h))}
-    return spark.read.format("flatgeobuf").schema(h.spark_schema()).options(**packed).load(path)
+    return spark.read.format("flatgeobuf").schema(h.spark_schema(packed.get("layout") == "true")).options(**packed).load(path)
 
 
 # ---- writing
