@@ -37,9 +37,11 @@ STEP = 5
 ROWS, VERTICES = 20_000, 400_000
 
 COLUMNS = ("fid", "geom_type", *BOX, "rings", "vals", "id", "z", "x", "y")
+MERCATOR = ("mx0", "my0", "mx1", "my1")
 SCHEMA = f"fid bigint, geom_type int, {', '.join(f'{c} double' for c in BOX)}, rings {g.RINGS}, vals array<string>, id bigint, z int, x bigint, y bigint, state int, mx0 double, my0 double, mx1 double, my1 double"
-#: What a row is: a tile that was asked for, a tile below which to look, or one that is filled with all below it.
-FOUND, OPEN, FILLED = 0, 1, 2
+#: What a row is: a tile that was asked for; one below which to look; one that is filled with all below it; and one
+#: that was found by looking, which is still to be compared with the feature's box.
+FOUND, OPEN, FILLED, BELOW = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,7 @@ class Search:
     border: float
     #: Tiles to look at, by zoom: first and last column, first and last row.
     ranges: dict[int, tuple[int, int, int, int]]
+    candidates: str = "tile"
 
     @property
     def last(self) -> int:
@@ -101,101 +104,146 @@ def children(r: kernels.Rings, z: int, x: np.ndarray, y: np.ndarray, poly: np.nd
     return kernels.gather(thin, left, len(row)), row[left], cx[left], cy[left], full[left]
 
 
-def descend(b: pa.RecordBatch, s: Search, down_to: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch that are OPEN, replaced by those below; others as they are. Depth first, ROWS and VERTICES
-    at a time."""
+def with_tiles(b: pa.RecordBatch, rows: np.ndarray, z: int | np.ndarray, x: np.ndarray, y: np.ndarray, state: int, rings: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of a batch with other tiles, and rings if they are others too."""
+    take, n = pa.array(rows), len(rows)
+    own = {"z": pa.array(np.broadcast_to(z, n).astype(np.int32)), "x": pa.array(x), "y": pa.array(y), "state": pa.array(np.full(n, state, np.int32))}
+    if rings is not None:
+        own["rings"] = rings
+    names = b.schema.names
+    return pa.RecordBatch.from_arrays([own[c] if c in own else b.column(c).take(take) for c in names], names=names)
+
+
+def descend(b: pa.RecordBatch, s: Search, steps: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that are OPEN, replaced by those below, so many zooms down; others as they are. Depth first,
+    ROWS and VERTICES at a time."""
     from tilespark.operators.tiles import flat_rings
 
     state = b.column("state").to_numpy()
-    yield b.filter(pa.array(state != OPEN))
+    if (state != OPEN).any():
+        yield b.filter(pa.array(state != OPEN))
     b = b.filter(pa.array(state == OPEN))
     if not b.num_rows:
         return
-    z = b.column("z").to_numpy()
-    kind = b.column("geom_type").to_numpy()
+    z, kind = b.column("z").to_numpy(), b.column("geom_type").to_numpy()
     poly = (kind == g.POLYGON) | (kind == g.MULTIPOLYGON)
     x, y = (b.column(c).to_numpy() for c in "xy")
     r = flat_rings(b.column("rings"))
-    own = np.stack([b.column(c).to_numpy() for c in ("mx0", "my0", "mx1", "my1")], 1)
-    plain = [b.column(c) for c in ("fid", "geom_type", *BOX)]
-
-    def out(rings: kernels.Rings, source: np.ndarray, z: int, x: np.ndarray, y: np.ndarray, state: int) -> pa.RecordBatch:
-        take = pa.array(source)
-        n = len(source)
-        cols = [*(c.take(take) for c in plain), nested(rings, n), b.column("vals").take(take), b.column("id").take(take), pa.array(np.full(n, z, np.int32)), pa.array(x), pa.array(y), pa.array(np.full(n, state, np.int32)), *(b.column(c).take(take) for c in ("mx0", "my0", "mx1", "my1"))]
-        return pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-
-    todo = [(kernels.gather(r, rows, b.num_rows), int(v), x[rows], y[rows], rows) for v in np.unique(z) for rows in [np.flatnonzero(z == v)]]
+    own = np.stack([b.column(c).to_numpy() for c in MERCATOR], 1)
+    todo = [(kernels.gather(r, rows, b.num_rows), int(v), int(v) + steps, x[rows], y[rows], rows) for v in np.unique(z) for rows in [np.flatnonzero(z == v)]]
     while todo:
-        rings, v, tx, ty, source = todo.pop()
+        rings, v, down_to, tx, ty, source = todo.pop()
         if len(source) > 1 and (len(source) > ROWS or len(rings.x) > VERTICES):
             half = len(source) // 2
-            for part in (slice(half, None), slice(0, half)):
-                at = np.arange(len(source))[part]
-                todo.append((kernels.gather(rings, at, len(source)), v, tx[at], ty[at], source[at]))
+            for at in (np.arange(half, len(source)), np.arange(half)):
+                todo.append((kernels.gather(rings, at, len(source)), v, down_to, tx[at], ty[at], source[at]))
             continue
         thin, row, cx, cy, full = children(rings, v, tx, ty, poly[source], own[source], s)
         below = source[row]
         v += 1
-        for keep, kind_ in ((full, FILLED), (~full, FOUND)):
+        for keep, kind_ in ((full, FILLED), (~full, BELOW)):
             if keep.any() and (kind_ == FILLED or v in s.zooms):
                 at = np.flatnonzero(keep)
-                yield out(kernels.gather(thin, at, len(row)), below[at], v, cx[at], cy[at], kind_)
+                yield with_tiles(b, below[at], v, cx[at], cy[at], kind_, nested(kernels.gather(thin, at, len(row)), len(at)))
         at = np.flatnonzero(~full)
         if v < s.last and len(at):
             rest = kernels.gather(thin, at, len(row))
             if v < down_to:
-                todo.append((rest, v, cx[at], cy[at], below[at]))
+                todo.append((rest, v, down_to, cx[at], cy[at], below[at]))
             else:
-                yield out(rest, below[at], v, cx[at], cy[at], OPEN)
-
-
-def beneath(s: Search) -> Column:
-    """All tiles of the zooms in, and below, a tile z, x, y."""
-
-    def at(z: int) -> Column:
-        d = F.lit(z) - F.col("z")
-        n = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(d, F.lit(0)))
-        x0, x1, y0, y1 = s.ranges[z]
-        xs = (F.greatest(F.col("x") * n, F.lit(x0)), F.least(F.col("x") * n + n - 1, F.lit(x1)))
-        ys = (F.greatest(F.col("y") * n, F.lit(y0)), F.least(F.col("y") * n + n - 1, F.lit(y1)))
-        some = F.flatten(F.transform(F.sequence(*xs), lambda a: F.transform(F.sequence(*ys), lambda b: F.struct(F.lit(z).alias("z"), a.alias("x"), b.alias("y")))))
-        return F.when((d >= 0) & (xs[0] <= xs[1]) & (ys[0] <= ys[1]), some).otherwise(F.array().cast("array<struct<z:int,x:bigint,y:bigint>>"))
-
-    return F.flatten(F.array(*[at(z) for z in s.zooms]))
+                yield with_tiles(b, below[at], v, cx[at], cy[at], OPEN, nested(rest, len(at)))
+
+
+def all_below(b: pa.RecordBatch, s: Search) -> Iterator[pa.RecordBatch]:
+    """All tiles of the zooms in, and below, FILLED rows, ROWS at a time."""
+    z, x, y = (b.column(c).to_numpy().astype(np.int64) for c in "zxy")
+    for v in s.zooms:
+        rows = np.flatnonzero(z <= v)
+        d = v - z[rows]
+        x0, x1, y0, y1 = s.ranges[v]
+        lo = np.maximum(x[rows] << d, x0), np.maximum(y[rows] << d, y0)
+        wide = np.maximum(np.minimum((x[rows] + 1 << d) - 1, x1) - lo[0] + 1, 0)
+        count = wide * np.maximum(np.minimum((y[rows] + 1 << d) - 1, y1) - lo[1] + 1, 0)
+        ends = np.cumsum(count)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, ROWS):
+            k = np.arange(first, min(first + ROWS, int(ends[-1])))
+            i = np.searchsorted(ends, k, "right")
+            k -= (ends - count)[i]
+            yield with_tiles(b, rows[i], v, lo[0][i] + k % wide[i], lo[1][i] + k // wide[i], BELOW)
+
+
+def candidates_of(b: pa.RecordBatch, s: Search) -> pa.RecordBatch:
+    """The rows whose feature's box meets the tile's (or its buffer's); touching counts."""
+    x, y = (b.column(c).to_numpy() for c in "xy")
+    n = (np.ones(len(x), np.int64) << b.column("z").to_numpy()).astype(float)
+    if s.candidates == "tile":
+        box = [b.column(c).to_numpy() for c in BOX]
+        lat = lambda v: np.degrees(np.arctan(np.sinh(np.pi - 2 * np.pi * v / n)))
+        own = (x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y))
+    else:
+        box, k = [b.column(c).to_numpy() for c in MERCATOR], s.border
+        own = ((x - k) / n, (y - k) / n, (x + 1 + k) / n, (y + 1 + k) / n)
+    keep = (box[0] <= own[2]) & (box[2] >= own[0]) & (box[1] <= own[3]) & (box[3] >= own[1])
+    return b.filter(pa.array(keep))
+
+
+def expand(b: pa.RecordBatch, s: Search) -> Iterator[pa.RecordBatch]:
+    """All tiles of a batch's rows, those below OPEN and FILLED ones too."""
+    for out in descend(b, s, s.last):
+        state = out.column("state").to_numpy()
+        plain, below, full = (out.filter(pa.array(state == k)) for k in (FOUND, BELOW, FILLED))
+        if plain.num_rows:
+            yield plain
+        for some in [below, *(all_below(full, s) if full.num_rows else ())]:
+            some = candidates_of(some, s)
+            if some.num_rows:
+                yield some
+
+
+def begun(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None, span: int = SPAN, step: int = STEP) -> tuple[DataFrame, Search]:
+    """Prepared features with tiles of some zooms (of a box in degrees, or all), as rows of SCHEMA of which `expand`
+    makes all tiles; where there are many zooms, a part of the way has been gone and its rows have been dealt."""
+    every = range(max(zooms) + 1)
+    found = [grid._column_range(z, box) for z in every]
+    s = Search(tuple(sorted(zooms)), buffer / extent, {z: (r[0], r[2], r[1], r[3]) for z, r in zip(every, found, strict=True)}, candidates)
+    own = dict(zip(MERCATOR, (tm.project_x("minx"), tm.project_y("maxy"), tm.project_x("maxx"), tm.project_y("miny")), strict=True))
+    ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
+    f = features.where(ok).withColumns(own)
+    wide = F.greatest(F.col("mx1") - F.col("mx0"), F.col("my1") - F.col("my0"), F.lit(2.0**-30))
+    # the deepest zoom at which the box spans so many tiles; points need no descent
+    start = F.when(g.is_point(F.col("geom_type")), F.lit(s.last)).otherwise(F.least(F.greatest(F.floor(F.log2(F.lit(float(span)) / wide)), F.lit(0)), F.lit(s.last)).cast("int"))
+    level = lambda z, state: F.struct(F.lit(z).alias("z"), F.lit(state).alias("state"), *(F.lit(v).cast("long").alias(c) for v, c in zip(s.ranges[z], ("x0", "x1", "y0", "y1"), strict=True)))
+    levels = F.array(*[level(z, FOUND) for z in s.zooms], *[level(z, OPEN) for z in every[:-1]])
+    f = f.withColumn("_start", start)
+    f = f.withColumn("_l", F.explode(F.filter(levels, lambda v: F.when(v["state"] == FOUND, v["z"] <= F.col("_start")).otherwise((v["z"] == F.col("_start"))))))
+    f = f.withColumns({"z": F.col("_l.z"), "state": F.col("_l.state")})
+    n = tm.tiles_across("z").cast("double")
+    wider = F.when((F.col("state") == OPEN) | F.lit(candidates == "buffered"), F.lit(s.border)).otherwise(F.lit(0.0))
+
+    def run(low: str, high: str, first: str, last: str) -> Column:
+        pad = wider + F.lit(1e-6)
+        a, b = F.greatest(F.floor(F.col(low) * n - pad), F.col(f"_l.{first}")), F.least(F.floor(F.col(high) * n + pad), F.col(f"_l.{last}"))
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+    f = f.withColumn("x", F.explode(run("mx0", "mx1", "x0", "x1"))).withColumn("y", F.explode(run("my0", "my1", "y0", "y1")))
+    exact = (F.col("state") == OPEN) | grid.sure(MERCATOR) | (grid.meets() if candidates == "tile" else grid.meets_buffered())
+    rows = grid.with_boxes(f, buffer, extent).where(exact).select(*COLUMNS, "state", *MERCATOR)
+    if s.last <= step:
+        return rows, s
+    below = rows.where(F.col("state") == OPEN).mapInArrow(going_down(s, step), SCHEMA).repartition("fid", "z", "x", "y")
+    return rows.where(F.col("state") == FOUND).unionByName(below), s
 
 
 def tiles_of(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None, span: int = SPAN, step: int = STEP) -> DataFrame:
     """Prepared features with the tiles of some zooms (of a box in degrees, or all) that they may appear in, as
     grid.own_tiles gives them, but for tiles that their geometry misses. Rings may lack vertices that the tile
     doesn't need."""
-    every = range(max(zooms) + 1)
-    found = [grid._column_range(z, box) for z in every]
-    s = Search(tuple(sorted(zooms)), buffer / extent, {z: (r[0], r[2], r[1], r[3]) for z, r in zip(every, found, strict=True)})
-    x0, x1, y0, y1 = tm.project_x("minx"), tm.project_x("maxx"), tm.project_y("maxy"), tm.project_y("miny")
-    ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
-    wide = F.greatest(x1 - x0, y1 - y0, F.lit(2.0**-30))
-    # the deepest zoom at which the box spans so many tiles; points need no descent
-    start = F.when(g.is_point(F.col("geom_type")), F.lit(s.last)).otherwise(F.least(F.greatest(F.floor(F.log2(F.lit(float(span)) / wide)), F.lit(0)), F.lit(s.last)).cast("int"))
-    f = features.where(ok).withColumn("_start", start)
-    listed = grid.own_tiles(f, list(s.zooms), candidates, buffer, extent, box, upto="_start").select(*COLUMNS)
-    if s.last == 0:
-        return grid.with_boxes(listed, buffer, extent)
-    # one row for each of the few tiles of the zoom at which descent begins
-    roots = grid.own_tiles(f.where(F.col("_start") < s.last), list(range(s.last)), "buffered", buffer, extent, box, only="_start").select(*COLUMNS)
-    roots = roots.withColumn("state", F.lit(OPEN)).withColumns({"mx0": x0, "my0": y0, "mx1": x1, "my1": y1})
-    if s.last > step:
-        roots = roots.mapInArrow(going_down(s, step), SCHEMA).repartition("fid", "z", "x", "y")
-    below = roots.mapInArrow(going_down(s, s.last), SCHEMA)
-    plain = F.array(F.struct("z", "x", "y"))
-    below = below.where(F.col("state") != OPEN).withColumn("_t", F.explode(F.when(F.col("state") == FILLED, beneath(s)).otherwise(plain)))
-    below = below.withColumns({c: F.col(f"_t.{c}") for c in "zxy"}).select(*COLUMNS)
-    exact = grid.meets() if candidates == "tile" else grid.meets_buffered()
-    return grid.with_boxes(listed.unionByName(below), buffer, extent).where(exact)
-
-
-def going_down(s: Search, steps: int):
-    """Down to so many zooms below each row's own."""
+    rows, s = begun(features, zooms, candidates, buffer, extent, box, span, step)
+    return grid.with_boxes(rows.mapInArrow(going_down(s, None), SCHEMA).select(*COLUMNS), buffer, extent)
+
+
+def going_down(s: Search, steps: int | None):
+    """So many zooms below each row's own, or to the end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -203,9 +251,7 @@ def going_down(s: Search, steps: int):
 
     def run(batches):
         for b in batches:
-            z = b.column("z").to_numpy()
-            for v in np.unique(z):
-                for out in descend(b.filter(pa.array(z == v)), s, int(v) + steps):
-                    yield out.cast(target)
+            for out in descend(b, s, steps) if steps is not None else expand(b, s):
+                yield out.cast(target)
 
     return run

@@ -63,6 +63,13 @@ def meets_buffered() -> Column:
     return tm.boxes_meet((tm.project_x("minx"), tm.project_y("maxy"), tm.project_x("maxx"), tm.project_y("miny")), ("c_minx", "c_miny", "c_maxx", "c_maxy"))
 
 
+def sure(box: tuple[str, ...]) -> Column:
+    """A box in Mercator units reaches into the tile by more than any rounding: it needn't be compared in degrees."""
+    n, eps = tm.tiles_across("z").cast("double"), 1e-6
+    x0, y0, x1, y1 = (F.col(c) * n for c in box)
+    return (x0 < F.col("x") + 1 - eps) & (x1 > F.col("x") + eps) & (y0 < F.col("y") + 1 - eps) & (y1 > F.col("y") + eps)
+
+
 def with_boxes(tiles: DataFrame, buffer: int, extent: int) -> DataFrame:
     return tiles.withColumns(tm.tile_box("z", "x", "y") | tm.clip_box("z", "x", "y", F.lit(buffer), F.lit(extent)))
 
@@ -121,28 +128,27 @@ def cover_join(features: DataFrame, tiles: DataFrame, buffer: int, extent: int,
     return cell_join(features, boxed, zooms, predicate, F.lit(buffer / extent) if candidates == "buffered" else None)
 
 
-def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None, upto: str | None = None, only: str | None = None) -> DataFrame:
+def own_tiles(features: DataFrame, zooms: list[int], candidates: str = "tile", buffer: int = 0, extent: int = 1, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Features with the tiles of some zooms (of a box in degrees, or all) that they may appear in, without a
     table of tiles: each feature names the tiles that its box meets. Rows are those of the result, and a few
-    beside tiles' edges, which the exact predicate removes. upto, only: a column with the last, or only, zoom of each
-    feature."""
+    beside tiles' edges, which the exact predicate removes."""
     pad = F.lit(buffer / extent if candidates == "buffered" else 0.0) + F.lit(1e-6)
     ranges = [_column_range(z, box) for z in zooms]
     level = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), *(F.lit(v).cast("long").alias(c) for v, c in zip(r, ("x0", "y0", "x1", "y1"), strict=True))) for z, r in zip(zooms, ranges, strict=True)]))
     ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))  # not so for features without a point
-    f = features.where(ok).withColumn("_l", level).withColumn("z", F.col("_l.z"))
-    if upto or only:
-        f = f.where(F.col("z") <= F.col(upto) if upto else F.col("z") == F.col(only))
+    own = {"_x0": tm.project_x("minx"), "_y0": tm.project_y("maxy"), "_x1": tm.project_x("maxx"), "_y1": tm.project_y("miny")}  # once a feature
+    f = features.where(ok).withColumns(own).withColumn("_l", level).withColumn("z", F.col("_l.z"))
     n = tm.tiles_across("z").cast("double")
 
-    def run(low: Column, high: Column, first: str, last: str) -> Column:
-        a = F.greatest(F.floor(low * n - pad), F.col(f"_l.{first}"))
-        b = F.least(F.floor(high * n + pad), F.col(f"_l.{last}"))
+    def run(low: str, high: str, first: str, last: str) -> Column:
+        a = F.greatest(F.floor(F.col(low) * n - pad), F.col(f"_l.{first}"))
+        b = F.least(F.floor(F.col(high) * n + pad), F.col(f"_l.{last}"))
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
-    f = f.withColumn("x", F.explode(run(tm.project_x("minx"), tm.project_x("maxx"), "x0", "x1")))
-    f = f.withColumn("y", F.explode(run(tm.project_y("maxy"), tm.project_y("miny"), "y0", "y1"))).drop("_l")
-    return with_boxes(f, buffer, extent).where(meets() if candidates == "tile" else meets_buffered())
+    f = f.withColumn("x", F.explode(run("_x0", "_x1", "x0", "x1")))
+    f = f.withColumn("y", F.explode(run("_y0", "_y1", "y0", "y1"))).drop("_l")
+    exact = meets() if candidates == "tile" else meets_buffered()
+    return with_boxes(f, buffer, extent).where(sure(tuple(own)) | exact).drop(*own)
 
 
 def by_layout(hits: DataFrame, features: DataFrame, buffer: int, extent: int, gap: int = GAP, block: int = BLOCK) -> DataFrame:

@@ -18,6 +18,8 @@ from tilespark.functions import geometry as g
 from tilespark.functions import kernels, pbf
 from tilespark.functions import tilemath as tm
 from tilespark.functions.layers import Assembler
+from tilespark.operators import descent
+from tilespark.operators.features import BOX
 from tilespark.options import Behaviour, Options
 
 #: Encoded features: geometry is commands (points) or their varints (lines and polygons); vals holds a text for
@@ -63,20 +65,27 @@ def point_commands(rings: Column, o: Options) -> Column:
     return g.encode_points(q)
 
 
-def encoded(pairs: DataFrame, o: Options, b: Behaviour = Behaviour(), ord_: int = 0, points_only: bool = False) -> DataFrame:
+def encoded(pairs: DataFrame, o: Options, b: Behaviour = Behaviour(), ord_: int = 0, points_only: bool = False, search=None) -> DataFrame:
     """pairs (prepared features with their tile z, x, y) -> ENCODED; features that leave nothing in the tile are
-    dropped. Points alone need no Python here."""
+    dropped. Points alone need no Python here. search: pairs are rows of descent.begun, whose tiles are still to be
+    found by it."""
     kind = F.col("geom_type")
     none = F.array().cast("array<bigint>")
     if points_only:
-        made = pairs.withColumn("cmds", point_commands(F.col("rings"), o)).where(F.size("cmds") > 0)
+        # one point a feature: plain arithmetic
+        p = F.col("rings")[0]["pts"][0]
+        x, y = p["x"], p["y"]
+        box = tm.clip_box("z", "x", "y", F.lit(o.buffer), F.lit(o.extent))
+        within = (x >= box["c_minx"]) & (x <= box["c_maxx"]) & (y >= box["c_miny"]) & (y <= box["c_maxy"])
+        at = [g.zigzag(tm.quantize(v, "z", t, F.lit(o.extent))) for v, t in ((x, "x"), (y, "y"))]
+        made = pairs.where(within).withColumn("cmds", F.array(F.lit(g.MOVE_TO | 1 << 3).cast("long"), *at))
         return made.select("z", "x", "y", F.lit(ord_).alias("ord"), "fid", F.lit(g.TILE_POINT).alias("kind"), "cmds", F.lit(b"").alias("geom"), "vals", "id")
     points = F.when(g.is_point(kind), point_commands(F.col("rings"), o)).otherwise(none)
     rings = F.when(g.is_point(kind), F.array().cast(g.RINGS)).otherwise(F.col("rings"))
-    rows = pairs.select("z", "x", "y", "fid", "geom_type", g.tile_type(kind).alias("kind"), points.alias("cmds"), rings.alias("rings"), "vals", "id")
+    rows = pairs.select("z", "x", "y", "fid", "geom_type", g.tile_type(kind).alias("kind"), points.alias("cmds"), rings.alias("rings"), "vals", "id", *((*BOX, "state", *descent.MERCATOR) if search else ()))
 
     def encode(batches):
-        for batch in batches:
+        for batch in (x for y in batches for x in descent.expand(y, search)) if search else batches:
             values, at = commands_of(batch, o, b)
             raw, size = pbf.varints(values)
             ends = np.r_[0, np.cumsum(size)][at]

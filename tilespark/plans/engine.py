@@ -56,7 +56,7 @@ class TileEngine:
         f = ft.prepared(f, s.columns, s.id_col)
         return f.repartition("fid") if deal and s.deal else f
 
-    def encoded(self, grid_tiles: DataFrame | None, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None, box: Box | None = None, pick=lambda pairs: pairs) -> DataFrame:
+    def encoded(self, grid_tiles: DataFrame | None, few: bool | None = None, zooms: list[int] | None = None, around: Box | None = None, box: Box | None = None, pick=None) -> DataFrame:
         """Encoded features of all sources with their tiles (tiles.ENCODED). Without a table of tiles: all tiles of
         the zooms, or those that a box meets, in which there are features. around: a box in degrees with all these
         tiles, if known. Sources outside their zooms aren't read at all where zooms are known. pick: which features with their
@@ -75,14 +75,18 @@ class TileEngine:
             if layout and not {"byte_at", "byte_end"} <= set(f.columns):
                 raise ValueError(f"{s.name}: candidates by layout need the columns byte_at and byte_end")
             how = "buffered" if buffered else "tile"
-            if grid_tiles is None:
-                list_tiles = grid.own_tiles if layout or ft.only_points(self.features(s)) else descent.tiles_of
-                pairs = list_tiles(f, own, how, o.buffer, o.extent, box)
+            search = None
+            if grid_tiles is None and (layout or ft.only_points(self.features(s))):
+                pairs = grid.own_tiles(f, own, how, o.buffer, o.extent, box)
+            elif grid_tiles is None and pick:  # tiles are named before they are picked
+                pairs = descent.tiles_of(f, own, how, o.buffer, o.extent, box)
+            elif grid_tiles is None:
+                pairs, search = descent.begun(f, own, how, o.buffer, o.extent, box)
             else:
                 pairs = grid.cover_join(f, grid_tiles.where(F.col("z").between(o.min_zoom, o.max_zoom)), o.buffer, o.extent, how, own, few)
             if layout:  # neighbours in the file may lie anywhere, so the source isn't narrowed to a box
                 pairs = grid.by_layout(pairs, f, o.buffer, o.extent)
-            rows = tiles.encoded(pick(pairs), o, self.behaviour, ord_, ft.only_points(self.features(s)))
+            rows = tiles.encoded(pick(pairs) if pick else pairs, o, self.behaviour, ord_, ft.only_points(self.features(s)), search)
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], tiles.ENCODED)
 
@@ -121,7 +125,7 @@ class TileEngine:
         whether or not there are features in them."""
         crowd = self.crowded(zooms, around)
         if crowd is None:
-            rows = encoded(lambda pairs: pairs)
+            rows = encoded(None)
             return tiles.assembled(rows if wanted is None else rows.unionByName(tiles.wanted(wanted)), self.named())
         # a row for each million features of a zoom at most
         split = lambda how: lambda df: df.join(F.broadcast(crowd), ["z", "x", "y"], how)
