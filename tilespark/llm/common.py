@@ -160,7 +160,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     def beside_minimum(e: DataFrame, most: int) -> DataFrame:
         """The edges (u, v) with the least of u and its neighbours (m)."""
         m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
-        return e.join(F.broadcast(m), "u") if most <= BROADCAST_ROWS else lookup(e, m, ["u"], "degree", most)
+        return e.join(F.broadcast(m), "u") if most <= BROADCAST_ROWS else lookup(e, stored(m, f"{name}-minima"), ["u"], "degree", most)
 
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stored(e, name)
@@ -170,6 +170,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = beside_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        if 2 * state[0] > BROADCAST_ROWS:
+            large = stored(large, f"{name}-large")  # it is named several times below
         small = beside_minimum(large, 2 * state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         e = stored(small, name)

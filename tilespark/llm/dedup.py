@@ -50,20 +50,31 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with _at, the place of each row: file and row number."""
-    at = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("_at")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "_at"]
+def located(docs: DataFrame, at: str = "_at") -> DataFrame:
+    """docs with the place of each row, file and row number, in the column at, which replaces one of this name."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != at.lower()]
+
+    def placed(df: DataFrame) -> DataFrame:
+        hidden = df.metadataColumn("_metadata")  # the files', whatever columns there are
+        return df.select(*kept, F.concat_ws("#", hidden["file_path"], hidden["row_index"]).alias(at))
+
     log = logging.getLogger("DataFrameQueryContextLogger")
     quiet, log.disabled = log.disabled, True  # that a table has no files is no error here
     try:
-        return docs.select(*kept, at)
+        return placed(docs)
     except AnalysisException:
-        return stored(docs, "dedup-rows").select(*kept, at)
+        return placed(stored(docs, "located-rows"))
     finally:
         log.disabled = quiet
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A name like this one that no column has."""
+    while any(c.lower() == name.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def digests(rows: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, key, sha (SHA-256 of the normalised text), locator, from rows with doc_id, text and _at."""
 
@@ -161,9 +172,10 @@ def judge(docs: DataFrame, files_at_once: int = 1000, key_bytes: int = KEY_BYTES
 
 def deduplicate(docs: DataFrame, files_at_once: int = 1000, key_bytes: int = KEY_BYTES) -> DataFrame:
     """One row of each text stays: the one that the state points to. Rows are told by their place, so ids may
-    repeat or be null."""
-    rows = located(docs)
-    seen = judged(rows.select("doc_id", "text", "_at"), key_bytes, files_at_once)
-    dropped = stored(seen.where("n is not null and locator <> keep.locator").select(F.col("locator").alias("_at")), "dedup-dropped")
-    left = rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS // 4 else dropped, "_at", "left_anti")
+    repeat or be null; all columns stay as they are."""
+    at = free_name("_at", docs.columns)
+    rows = located(docs, at)
+    seen = judged(rows.select("doc_id", "text", F.col(at).alias("_at")), key_bytes, files_at_once)
+    dropped = stored(seen.where("n is not null and locator <> keep.locator").select(F.col("locator").alias(at)), "dedup-dropped")
+    left = rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS // 4 else dropped, at, "left_anti")
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -18,8 +18,8 @@ never collected.
 A path is its levels' values with `/` between them; `/` and `\` in a value are preceded by `\`, a null level is
 `?`, a value `?` is `\?`, so different values never share a node. Null or empty texts count one token. A
 document is taken whole as long as the tokens before it are fewer than the budget, so a leaf exceeds it by less
-than one document. Ties of the hash are broken by the id; rows that repeat an id and a number of tokens in a leaf
-are taken together, as one document. An empty table or budget gives an empty mix. Columns of docs may have any
+than one document. Ties of the hash are broken by the id, and those of rows that repeat an id and a number of
+tokens by a hash of the row's file and place in it. An empty table or budget gives an empty mix. Columns of docs may have any
 names; those called _path, _tokens or _epoch give way to the results.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilespark.llm.common import lookup, stored
+from tilespark.llm.dedup import located
 
 
 @dataclass
@@ -129,7 +130,8 @@ def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "te
     depth, p = len(plan.levels), free_prefix(docs.columns)
     own = [c for c in docs.columns if c.lower() not in ("_path", "_tokens", "_epoch")]
     path, tok, epochs, rest, place, ends, n = (f"{p}_{x}" for x in ("path", "tokens", "epochs", "rest", "place", "ends", "n"))
-    rows = docs.withColumn(path, path_of(plan, depth)).withColumn(tok, tokens(F.col(text_col)))
+    row = f"{p}_row"
+    rows = located(docs, row).withColumn(row, F.xxhash64(row)).withColumn(path, path_of(plan, depth)).withColumn(tok, tokens(F.col(text_col)))
     sums = stored(rows.groupBy(*[path_of(plan, d).alias(f"p{d}") for d in range(1, depth + 1)]).agg(F.sum(tok).alias("tokens"), F.count("*").alias("n")), "leaf-tokens")
     size = sums.select(F.col(f"p{depth}").alias("path"), "n")
     # whole epochs, and the rest that a prefix of one more epoch gives
@@ -138,8 +140,8 @@ def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "te
     total = int(goal.agg(F.sum(n)).first()[0] or 0)
     few = goal.count() <= BROADCAST_PATHS
     beside = lambda t, leaves: t.join(F.broadcast(leaves), path) if few else lookup(t, leaves, [path], n, total)
-    # the order of a leaf: a hash of 63 bits, seeded by the epoch, then id and tokens
-    order = F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), epochs, F.col(id_col), F.col(tok)), 1).alias("h"), F.col(id_col).alias("id"), F.col(tok).alias("t"))
+    # the order of a leaf: a hash of 63 bits, seeded by the epoch, then id, tokens and row
+    order = F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), epochs, F.col(id_col), F.col(tok)), 1).alias("h"), F.col(id_col).alias("id"), F.col(tok).alias("t"), F.col(row).alias("row"))
     rows = beside(rows, goal).withColumn(place, order)
     last = prefix_ends(rows.where(F.col(rest) > 0).select(F.col(path).alias("path"), F.col(rest).alias("rest"), F.col(n).alias("n"), F.col(place).alias("place")), plan, few)
     last = last.select(F.col("path").alias(path), F.col("last").alias(ends), F.col("n").alias(n))
@@ -150,7 +152,7 @@ def mix(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "te
 
 
 def prefix_ends(rows: DataFrame, plan: Plan, few: bool) -> DataFrame:
-    """rows (path, rest: the prefix's tokens, n: rows of the leaf, place: struct of h, id, t) -> path, n, last: the
+    """rows (path, rest: the prefix's tokens, n: rows of the leaf, place: struct of h, id, t, row) -> path, n, last: the
     place of the row with which each leaf's prefix ends."""
     left = stored(rows, "leaf-places")
     for k in range(1, plan.rounds + 1):

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tilespark.llm import langid
 from tilespark.llm.common import chunked, frugal, give_back, held_out, sample_ids, small_batches, text_buffer
@@ -257,24 +258,34 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), lang: lang
     return model
 
 
-def apply(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (doc_id if none are given) with score and predicted; a column of docs
-    called score or predicted gives way."""
-    keep = [c for c in (columns or ["doc_id"]) if c not in ("score", "predicted")]
+def scored(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
+    """The columns of docs of these names as c0, c1, ..., with score and predicted: no name of docs can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    wanted = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
+    places = [docs.columns.index(c) for c in columns]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
+    own = [f"c{i}" for i in places]
+    kept = plain.select(*own) if text in own else plain.select(*own, text)
+    fields = [StructField(f"c{k}", plain.schema[c].dataType) for k, c in enumerate(own)]
 
     def judge(batches):
         m = shared.value
         for b in batches:
-            z = np.concatenate([np.zeros(0), *(m.score(d, o) for _, _, d, o in chunked(*text_buffer(b.column("text"))))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(z), pa.array((z >= m.settings.cut).astype(np.int32))], names=[*keep, "score", "predicted"])
+            z = np.concatenate([np.zeros(0), *(m.score(d, o) for _, _, d, o in chunked(*text_buffer(b.column(text))))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(z), pa.array((z >= m.settings.cut).astype(np.int32))], names=[*(f"c{k}" for k in range(len(own))), "score", "predicted"])
 
     small_batches(docs.sparkSession)
-    return kept.mapInArrow(frugal(judge), ", ".join([*wanted, "score double", "predicted int"]))
+    return kept.mapInArrow(frugal(judge), StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+
+
+def apply(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None) -> DataFrame:
+    """The given columns of docs (doc_id if none are given) with score and predicted; a column of docs called score or
+    predicted, in any case, gives way."""
+    keep = [c for c in (columns or ["doc_id"]) if c.lower() not in ("score", "predicted")]
+    return scored(docs, model, keep).toDF(*keep, "score", "predicted")
 
 
 def reject(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the documents that the classifier finds toxic."""
-    return apply(docs, fit(docs, labels, s), docs.columns).where("predicted = 0").select(*docs.columns)
+    """docs without the documents that the classifier finds toxic; all columns stay as they are, whatever their names."""
+    kept = scored(docs, fit(docs, labels, s), docs.columns).where("predicted = 0").drop("score", "predicted")
+    return kept.toDF(*docs.columns)
