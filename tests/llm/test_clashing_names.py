@@ -4,7 +4,7 @@ import random
 
 from tilespark.llm import dedup, toxicity
 
-SCHEMA = "doc_id long, text string, Score double, predicted int, `a.b` string, _metadata string, _AT string"
+SCHEMA = "doc_id long, text string, lang string, Score double, predicted int, `a.b` string, _metadata string, _AT string"
 
 
 def docs(spark):
@@ -13,7 +13,7 @@ def docs(spark):
     for i in range(400):
         bad = i % 4 == 0
         words = [rng.choice(["rotten", "vile", "nasty"] if bad and k % 3 == 0 else ["calm", "river", "stone", "light"]) for k in range(30)]
-        rows.append((i, " ".join(words), -7.0 - i, 99 + i, f"ab{i}", f"m{i}", f"at{i}"))
+        rows.append((i, " ".join(words), "en", -7.0 - i, 99 + i, f"ab{i}", f"m{i}", f"at{i}"))
     return rows, spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
 
 
