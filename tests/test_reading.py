@@ -208,3 +208,13 @@ def test_scan_without_index_goes_by_steps(spark, tmp_path, monkeypatch):
     r = fgb.Reader(None, {"path": str(tmp_path / "p.fgb")})
     steps = [x[0] for x in r.scanned(ranges.LocalReader(), step=100)]
     assert steps == list(range(300))
+
+
+def test_queries_of_one_source_dont_narrow_each_other(spark, tmp_path):
+    xy = points_file(tmp_path / "p.fgb", 500)
+    e = TileEngine(spark, Source("p", str(tmp_path / "p.fgb"), Options(tolerance=0)))
+    one = e.tile(4, 3, 5)
+    whole = {(r["z"], r["x"], r["y"]): bytes(r["pbf"]) for r in e.pyramid(4, 4).collect()}
+    assert whole[4, 3, 5] == one and sum(len(pbf.decode(b)[0]["features"]) for b in whole.values()) >= 500
+    df = fgb.read(spark, str(tmp_path / "p.fgb"))
+    assert df.where("minx <= 0").count() == (xy[:, 0] <= 0).sum() and df.count() == 500 and df.select("fid").distinct().count() == 500

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Options:
@@ -27,6 +30,15 @@ def resolve(source: Options | None, request: Options | None = None) -> Options:
     return (source or Options()).over(request or Options()).over(DEFAULTS)
 
 
+def resolved(sources: DataFrame, request: Options | None = None) -> DataFrame:
+    """The same for a table of sources, with a column for each option (in the order of the fields) in place of those
+    that it has; null is not set."""
+    kinds = {"tolerance": "double"}
+    fall = (request or Options()).over(DEFAULTS)
+    own = [F.coalesce(*([F.col(f.name)] if f.name in sources.columns else []), F.lit(getattr(fall, f.name))).cast(kinds.get(f.name, "int")).alias(f.name) for f in fields(Options)]
+    return sources.select(*[c for c in sources.columns if c not in {f.name for f in fields(Options)}], *own)
+
+
 @dataclass(frozen=True)
 class Source:
     """A layer: its name, and a DataFrame of features or the path of a file. Names are unique in a tile."""

@@ -33,21 +33,19 @@ class TileEngine:
         self.sources = [sources] if isinstance(sources, Source) else list(sources)
         if len({s.name for s in self.sources}) < len(self.sources):
             raise ValueError("layer names must be unique")
-        self._frames: dict[str, DataFrame] = {}
 
     def options(self, s: Source) -> Options:
         return resolve(s.options, self.request)
 
     def features(self, s: Source) -> DataFrame:
-        """A source's features; files are read through the flatgeobuf reader, with the source's connector."""
-        if s.name not in self._frames:
-            df = s.data
-            if isinstance(df, str):
-                from tilespark.sources.flatgeobuf import read
+        """A source's features; files are read through the flatgeobuf reader, with the source's connector, each time by a
+        DataFrame of its own."""
+        if not isinstance(s.data, str):
+            return s.data
+        from tilespark.sources.flatgeobuf import read
 
-                df = read(self.spark, df, strict_index=self.behaviour.strict_index, **({"layout": True} if self.behaviour.candidates == "fgb_layout" else {}), **(s.reading or {}))
-            self._frames[s.name] = df
-        return self._frames[s.name]
+        layout = {"layout": True} if self.behaviour.candidates == "fgb_layout" else {}
+        return read(self.spark, s.data, strict_index=self.behaviour.strict_index, **layout, **(s.reading or {}))
 
     def prepared(self, s: Source, box: Box | None, deal: bool) -> DataFrame:
         """A source's features in or around a box, ready for tiles. The box reaches the source's index. deal: all
@@ -210,5 +208,4 @@ class TileEngine:
         """Forgets what was read, headers too; the engine can be used again."""
         from tilespark.sources.flatgeobuf import forget
 
-        self._frames.clear()
         forget()

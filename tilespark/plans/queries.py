@@ -1,8 +1,8 @@
 """The catalogue: one query for each operator of the engine, and the same in SQL where SQL can say it.
 
 Queries over features, vertices and ranges take whole tables, and all tiles of the grid of zooms 0 to 3 where it
-isn't said otherwise; sq_tolerance_by_zoom and the option queries are tables of constants. Doubles are rounded to 9 places, as transcendental functions differ between
-engines in the last one.
+isn't said otherwise. Doubles are rounded to 9 places, as transcendental functions differ between engines in the
+last one.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tilespark.functions import tilemath as tm
 from tilespark.operators import features as ft
 from tilespark.operators import grid, tiles
 from tilespark.operators.tiles import flat_rings
-from tilespark.options import Behaviour, Options, Source, resolve
+from tilespark.options import Behaviour, Options, Source, resolved
 from tilespark.plans import fixtures as fx
 from tilespark.plans.engine import TileEngine, type_label
 from tilespark.sources import flatgeobuf, ranges
@@ -493,23 +493,24 @@ def multi_source_layers(spark, d):
     return counted(e.counts(fx.view(spark, d, fx.TILES), few=False, zooms=[0, 1, 2, 3]), ["points", "polys"])
 
 
-CASCADE = """src(ordinal, extent, buffer, tolerance, min_zoom, max_zoom) as (values (0, null, null, 5, null, null), (1, 512, 0, null, 3, 9), (2, null, 128, 0, 2, null))"""
+#: A source for each part, with options that are set, null or 0.
+SOURCES = """select p_partkey as ordinal, case when p_size%3>0 then 512*(p_size%4+1) end as extent, case when p_size%5>0 then p_size%5*16-16 end as buffer,
+ case when p_size%4>0 then cast(p_size%4-1 as double) end as tolerance, case when p_partkey%3>0 then p_size%6 end as max_zoom, case when p_size%2>0 then p_size%7 end as min_zoom from part"""
 
 
-def source_table(spark) -> DataFrame:
-    rows = [(0, Options(tolerance=5)), (1, Options(extent=512, buffer=0, min_zoom=3, max_zoom=9)), (2, Options(buffer=128, tolerance=0, min_zoom=2))]
-    return spark.createDataFrame([(i, o.extent, o.buffer, float(o.tolerance), o.min_zoom, o.max_zoom) for i, o in ((i, resolve(o, Options(tolerance=10, max_zoom=12))) for i, o in rows)], "ordinal int, extent int, buffer int, tolerance double, min_zoom int, max_zoom int")
+def source_table(spark, d) -> DataFrame:
+    return resolved(fx.view(spark, d, SOURCES), Options(tolerance=7, max_zoom=4))
 
 
-@query("option_cascade", f"with {CASCADE} select ordinal, coalesce(extent,4096) as extent, coalesce(buffer,64) as buffer, cast(coalesce(tolerance,10) as double) as tolerance, coalesce(min_zoom,0) as min_zoom, coalesce(max_zoom,12) as max_zoom from src")
+@query("option_cascade", f"with src as ({SOURCES}) select ordinal, cast(coalesce(extent,4096) as int) as extent, cast(coalesce(buffer,64) as int) as buffer, cast(coalesce(tolerance,7) as double) as tolerance, cast(coalesce(max_zoom,4) as int) as max_zoom, cast(coalesce(min_zoom,0) as int) as min_zoom from src")
 def option_cascade(spark, d):
-    return source_table(spark)
+    return source_table(spark, d)
 
 
-@query("zoom_gated_sources", f"with {CASCADE}, {T} select ordinal, z, count(*) as n from src join t on z between coalesce(min_zoom,0) and coalesce(max_zoom,12) group by ordinal, z")
+@query("zoom_gated_sources", f"with src as ({SOURCES}), {T} select ordinal, z, count(*) as n from src join t on z between coalesce(min_zoom,0) and coalesce(max_zoom,4) group by ordinal, z")
 def zoom_gated_sources(spark, d):
-    s = F.broadcast(source_table(spark))  # a row a source
-    return fx.view(spark, d, fx.TILES).join(s, F.col("z").between(F.col("min_zoom"), F.col("max_zoom"))).groupBy("ordinal", "z").agg(F.count("*").alias("n"))
+    tiles_of_zoom = fx.view(spark, d, fx.TILES).groupBy("z").agg(F.count("*").alias("n"))  # a row a zoom
+    return source_table(spark, d).join(F.broadcast(tiles_of_zoom), F.col("z").between(F.col("min_zoom"), F.col("max_zoom"))).select("ordinal", "z", "n")
 
 
 #: Points in the order of their keys as a file has them: a feature has 60 bytes, and some more for its priority.
@@ -542,10 +543,19 @@ def tilejson_bounds(spark, d):
     return j.select(*[r9(F.col("bounds")[i]).alias(c) for i, c in enumerate(ft.BOX)], "minzoom", "maxzoom")
 
 
-@query("tilejson_fields", "select * from (values ('points','cust','Number'), ('points','price','Number'), ('points','priority','String'), ('points','status','String')) t(layer, field, kind)")
+@query("tilejson_fields", f"""with {P} select 'points' as layer, f as field, kind, n from (
+select 'status' as f, 'String' as kind, count(status) as n from p union all select 'priority', 'String', count(priority) from p union all select 'price', 'Number', count(price) from p union all select 'cust', 'Number', count(cust) from p)""")
 def tilejson_fields(spark, d):
-    rows = [(n, c, type_label(t)) for n in ("points", "polys") for c, t in ft.property_columns(LAYERS[n](spark, d), None)]
-    return spark.createDataFrame(rows, "layer string, field string, kind string")
+    """Fields of all layers as metadata names them, and in how many features each is set."""
+    out = None
+    for n in ("points", "polys"):
+        df = LAYERS[n](spark, d)
+        fields = ft.property_columns(df, None)
+        if fields:
+            counts = df.agg(*[F.count(c).alias(c) for c, _ in fields])
+            rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(type_label(t)).alias("kind"), F.col(c).alias("n")) for c, t in fields])).alias("f")).select(F.lit(n).alias("layer"), "f.*")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def decoded(tiles_df: DataFrame, schema: str, rows_of) -> DataFrame:
@@ -713,11 +723,11 @@ def flagship_tile_pyramid(spark, d):
 
 
 def parts_file(spark, d) -> str:
-    """Polygons written to a file with an index: by one writer, as the format is one stream."""
+    """Polygons written to a file with an index, by all tasks."""
     path = local_scratch(spark, "parts") + ".fgb"
-    base = polys(spark, d).join(fx.table(spark, d, "part").select(F.col("p_partkey").alias("fid"), "p_brand", "p_size"), "fid").orderBy("fid")
-    rows = ((r["geom_type"], [(q["ext"], np.array([(p["x"], p["y"]) for p in q["pts"]])) for q in r["rings"]], {"pk": r["fid"], "brand": r["p_brand"], "size": r["p_size"]}) for r in base.toLocalIterator())
-    flatgeobuf.write(path, rows, [("pk", "long"), ("brand", "string"), ("size", "int")])
+    base = polys(spark, d).join(fx.table(spark, d, "part").select(F.col("p_partkey").alias("fid"), "p_brand", "p_size"), "fid")
+    named = base.select("geom_type", "rings", *ft.BOX, F.col("fid").alias("pk"), F.col("p_brand").alias("brand"), F.col("p_size").cast("int").alias("size"))
+    flatgeobuf.write_frame(named, path, [("pk", "long"), ("brand", "string"), ("size", "int")])
     return path
 
 

@@ -21,6 +21,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -460,11 +461,14 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, strict_index: bool = False, **options) -> DataFrame:
     """A file as features. options: those of the reader of byte ranges (sources.ranges.packed_options), and
-    single_root, mode, partition_features, max_features, layout. The header is read once, on the driver."""
+    single_root, mode, partition_features, max_features, layout. The header is read once, on the driver. A query that
+    meets the file twice under different filters needs a DataFrame for each."""
     register(spark)
     h = header_of(path, options)
     packed = packed_options(path, options) | {"strict_index": str(strict_index).lower(), "header": json.dumps(asdict(h))}
-    return spark.read.format("flatgeobuf").schema(h.spark_schema(packed.get("layout") == "true")).options(**packed).load(path)
+    df = spark.read.format("flatgeobuf").schema(h.spark_schema(packed.get("layout") == "true")).options(**packed).load(path)
+    # Spark keeps what a filter has left of a source for later queries on the same DataFrame, so each has a filter
+    return df.where(F.col("maxx") >= F.lit(float("-inf")))
 
 
 # ---- writing
@@ -545,37 +549,160 @@ def _geometry(b: Builder, kind: int, rings: list[tuple[bool, np.ndarray]], root:
     return b.table(fields)
 
 
+def blob(kind: int, rings: list[tuple[bool, np.ndarray]], props: dict, columns: list[tuple[str, str]]) -> bytes:
+    """A feature with its size before it."""
+    raw = b""
+    for k, (name, t) in enumerate(columns):
+        v = props.get(name)
+        if v is not None:
+            body = struct.pack("<" + FORMATS[t], v) if t in FORMATS else None
+            if body is None:
+                v = v if isinstance(v, bytes) else v.encode()
+                body = struct.pack("<I", len(v)) + v
+            raw += struct.pack("<H", k) + body
+    b = Builder()
+    fields: dict[int, tuple[str, object]] = {0: ("ref", lambda: _geometry(b, kind, rings))}
+    if raw:
+        fields[1] = ("ref", lambda: b.vector(raw))
+    body = b.finish(b.table(fields))
+    return struct.pack("<I", len(body)) + body
+
+
+def head_bytes(count: int, box: np.ndarray | None, columns: list[tuple[str, str]], node_size: int, geometry_type: int) -> bytes:
+    b = Builder()
+    fields: dict[int, tuple[str, object]] = {HEADER_TYPE: ("B", geometry_type), HEADER_COUNT: ("Q", count), HEADER_NODE: ("H", node_size)}
+    if box is not None:
+        fields[HEADER_ENVELOPE] = ("ref", lambda: b.vector(box.astype("<f8")))
+    if columns:
+        fields[HEADER_COLUMNS] = ("ref", lambda: b.tables([lambda n=n, t=t: b.table({0: ("ref", lambda: b.vector(n.encode(), True)), 1: ("B", TYPES.index(t))}) for n, t in columns]))
+    head = b.finish(b.table(fields))
+    return MAGIC + b"\x00" + struct.pack("<I", len(head)) + head
+
+
+def hilbert(x: np.ndarray, y: np.ndarray, bits: int = 16) -> np.ndarray:
+    """The place of points of a square grid on the Hilbert curve."""
+    x, y, d = x.astype(np.int64), y.astype(np.int64), np.zeros(len(x), np.int64)
+    for k in range(bits - 1, -1, -1):
+        right, up = x >> k & 1, y >> k & 1
+        d += (3 * right ^ up) << 2 * k
+        turn = up == 0
+        flip = turn & (right == 1)
+        x, y = np.where(flip, (1 << bits) - 1 - x, x), np.where(flip, (1 << bits) - 1 - y, y)
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+    return d
+
+
+def at_places(path: str, rows: Iterator[tuple[int, bytes]]) -> int:
+    """Writes bytes at their places of a file that is there; what is written twice is the same."""
+    n, fd = 0, os.open(path, os.O_WRONLY)
+    try:
+        for at, raw in rows:
+            os.pwrite(fd, raw, at)
+            n += 1
+    finally:
+        os.close(fd)
+    return n
+
+
+def write_frame(features: DataFrame, path: str, columns: list[tuple[str, str]], node_size: int = 16, geometry_type: int = 0, partitions: int | None = None) -> None:
+    """Writes features (geom_type, rings, their box if known, and properties: name and type of columns) to one file on a
+    file system that all executors share. Tasks encode features; these are dealt and sorted along the Hilbert curve
+    through the middles of their boxes. A row for each partition tells the driver how many features and bytes it has, so
+    that the places of all bytes are known; tasks then write features and index nodes there, each level of the index
+    being aggregated from the one below. A lost task writes the same bytes again. Features without a vertex are left
+    out."""
+    from tilespark.operators.features import BOX, with_box
+    from tilespark.sources.shared import stored
+
+    spark = features.sparkSession
+    f = with_box(features).where("minx <= maxx and miny <= maxy").select("geom_type", "rings", *BOX, *(n for n, _ in columns))
+    whole = f.agg(*((F.min if c.startswith("min") else F.max)(c) for c in BOX)).first()
+    box = None if whole[0] is None else np.array(whole, float)
+
+    def encode(batches):
+        for b in batches:
+            bx = np.stack([b.column(c).to_numpy() for c in BOX], 1)
+            wide = np.maximum(box[2:] - box[:2], 1e-300)
+            cell = np.clip(((bx[:, :2] + bx[:, 2:]) / 2 - box[:2]) / wide * 65535, 0, 65535)
+            blobs = []
+            for r in b.select(["geom_type", "rings", *(n for n, _ in columns)]).to_pylist():
+                rings = [(q["ext"], np.array([(p["x"], p["y"]) for p in q["pts"]], float).reshape(-1, 2)) for q in r["rings"]]
+                blobs.append(blob(r["geom_type"], rings, r, columns))
+            yield pa.RecordBatch.from_arrays([pa.array(hilbert(cell[:, 0], cell[:, 1])), *(b.column(c) for c in BOX), pa.array(blobs, pa.binary())], names=["h", *BOX, "raw"])
+
+    boxes = ", ".join(f"{c} double" for c in BOX)
+    made = stored(f.mapInArrow(encode, f"h long, {boxes}, raw binary"), "features")
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        n = at = 0
+        for b in batches:
+            size = np.diff(np.frombuffer(b.column("raw").cast(pa.large_binary()).buffers()[1], np.int64)[b.column("raw").offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0, np.int64)
+            ends = at + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, TaskContext.get().partitionId(), np.int32)), pa.array(n + np.arange(b.num_rows)), pa.array(ends - size), pa.array(size), *(b.column(c) for c in (*BOX, "raw"))], names=["part", "n", "at", "size", *BOX, "raw"])
+            n, at = n + b.num_rows, at + int(size.sum())
+
+    order = ["h", *BOX, "raw"]
+    dealt = made.repartitionByRange(partitions or spark.sparkContext.defaultParallelism, *order[:5]).sortWithinPartitions(*order)
+    rows = stored(dealt.mapInArrow(number, f"part int, n long, at long, size long, {boxes}, raw binary"), "sorted-features")
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy("part").collect()
+    count, total = sum(p["n"] for p in parts), sum(p["size"] for p in parts)
+    head = head_bytes(count, box, columns, node_size, geometry_type)
+    lv = levels(count, node_size) if node_size and count else []
+    index_at, features_at = len(head), len(head) + (NODE.itemsize * lv[0][1] if lv else 0)
+    with open(path, "wb") as out:
+        out.write(head)
+        out.truncate(features_at + total)
+    bases, n, at = [], 0, 0
+    for p in parts:
+        bases.append((p["part"], n, at))
+        n, at = n + p["n"], at + p["size"]
+    if not count:
+        return
+    base = spark.createDataFrame(bases, "part int, first long, begin long")  # a row for each partition
+    rows = rows.join(F.broadcast(base), "part").select((F.col("n") + F.col("first")).alias("n"), (F.col("at") + F.col("begin")).alias("at"), *BOX, "raw")
+
+    def put(batches):
+        for b in batches:
+            done = at_places(path, ((features_at + a, r.as_buffer()) for a, r in zip(b.column("at").to_pylist(), b.column("raw"), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
+
+    def put_nodes(first: int):
+        def run(batches):
+            for b in batches:
+                nodes = np.zeros(b.num_rows, NODE)
+                for c in NODE.names:
+                    nodes[c] = b.column(c).to_numpy()
+                where = (index_at + NODE.itemsize * (first + b.column("n").to_numpy())).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([at_places(path, zip(where, (x.tobytes() for x in nodes), strict=True))], pa.int64())], names=["done"])
+
+        return run
+
+    def finished(df: DataFrame, what, want: int) -> None:
+        got = df.mapInArrow(what, "done long").agg(F.sum("done")).first()[0]
+        if got != want:
+            raise OSError(f"{path}: {got} of {want} pieces were written")
+
+    finished(rows.select("at", "raw"), put, count)
+    level = rows.select("n", *BOX, F.col("at").alias("offset"))
+    for k, (lo, hi) in enumerate(lv):
+        if k:  # nodes over the level below; `offset` is the number of the first child
+            up = level.groupBy(F.floor(F.col("n") / node_size).cast("long").alias("n")).agg(*((F.min if c.startswith("min") else F.max)(c).alias(c) for c in BOX))
+            level = stored(up.withColumn("offset", F.col("n") * node_size + lv[k - 1][0]), "index-level")
+        finished(level.select("n", *NODE.names), put_nodes(lo), hi - lo)
+
+
 def write(path: str, features: Iterable[tuple[int, list[tuple[bool, np.ndarray]], dict]], columns: list[tuple[str, str]], node_size: int = 16, geometry_type: int = 0, single_root: bool = True) -> None:
     """Writes a file: features are (type, rings, properties by name), columns (name, type). For files of one
     writer; features keep their order, the index is packed in that order."""
     blobs, boxes = [], []
     for kind, rings, props in features:
-        raw = b""
-        for k, (name, t) in enumerate(columns):
-            v = props.get(name)
-            if v is not None:
-                body = struct.pack("<" + FORMATS[t], v) if t in FORMATS else None
-                if body is None:
-                    v = v if isinstance(v, bytes) else v.encode()
-                    body = struct.pack("<I", len(v)) + v
-                raw += struct.pack("<H", k) + body
-        b = Builder()
-        fields: dict[int, tuple[str, object]] = {0: ("ref", lambda b=b, k=kind, r=rings: _geometry(b, k, r))}
-        if raw:
-            fields[1] = ("ref", lambda b=b, raw=raw: b.vector(raw))
-        body = b.finish(b.table(fields))
-        blobs.append(struct.pack("<I", len(body)) + body)
+        blobs.append(blob(kind, rings, props, columns))
         pts = np.concatenate([r for _, r in rings])
         boxes.append((*pts.min(0), *pts.max(0)))
     box = np.array(boxes, float).reshape(-1, 4)
-    b = Builder()
-    fields = {HEADER_TYPE: ("B", geometry_type), HEADER_COUNT: ("Q", len(blobs)), HEADER_NODE: ("H", node_size)}
-    if len(box):
-        fields[HEADER_ENVELOPE] = ("ref", lambda: b.vector(np.r_[box[:, :2].min(0), box[:, 2:].max(0)].astype("<f8")))
-    if columns:
-        fields[HEADER_COLUMNS] = ("ref", lambda: b.tables([lambda n=n, t=t: b.table({0: ("ref", lambda: b.vector(n.encode(), True)), 1: ("B", TYPES.index(t))}) for n, t in columns]))
-    head = b.finish(b.table(fields))
-    out = [MAGIC + b"\x00" + struct.pack("<I", len(head)) + head]
+    out = [head_bytes(len(blobs), np.r_[box[:, :2].min(0), box[:, 2:].max(0)] if len(box) else None, columns, node_size, geometry_type)]
     if node_size and blobs:
         lv = levels(len(blobs), node_size, single_root)
         nodes = np.zeros(lv[0][1], NODE)
