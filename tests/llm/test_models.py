@@ -1,5 +1,6 @@
 """Scores of the classifiers against plain loops over words and n-grams, and how samples are drawn."""
 
+import os
 import random
 import re
 
@@ -110,3 +111,28 @@ def test_workers_drop_tables_of_other_operators(spark):
     assert {r["n"] for r in rows.mapInArrow(common.frugal(build, "one"), "n long").collect()} == {1}
     assert {r["n"] for r in rows.mapInArrow(common.frugal(look, "one"), "n long").collect()} <= {0, 1}
     assert {r["n"] for r in rows.mapInArrow(common.frugal(look, "two"), "n long").collect()} == {0}
+
+
+def test_training_takes_place_in_a_task(spark):
+    """The model is the one of the same rows at hand, however they are dealt; without rows it is that of none."""
+    rows = spark.range(50).select("id", F.col("id").cast("string").alias("text"))
+
+    def add(table):
+        return os.getpid(), table.num_rows, sum(table.column("id").to_pylist())
+
+    for dealt in (rows.repartition(7), rows):
+        pid, n, total = common.fitted(dealt, add)
+        assert pid != os.getpid() and (n, total) == (50, 1225)
+    assert common.fitted(rows.where("id < 0"), add)[1:] == (0, 0)
+
+
+def test_very_long_texts_are_learned_whole():
+    """What is only at the end of a long text is learned from the whole text; its example has one number a bucket at most."""
+    s = langid.Settings(buckets=1 << 10)
+    long = "ma " * 300_000 + "tail " * 100_000
+    buckets, shares = langid.examples([long, ""], s)[0]
+    assert len(buckets) == len(s.windows) + 1 and len(buckets[-1]) <= s.buckets and abs(shares[-1].sum() - 1) < 1e-4
+    end = whole_hash(b"tail") & (s.buckets - 1)
+    assert end in buckets[-1] and all(len(b) == 0 for b in langid.examples([""], s)[0][0])
+    model = langid.train([long, "ma " * 5] * 5, ["x", "y"] * 5, s)
+    assert model.predict(*langid.encode(["tail tail"]))[0] == ["x"]

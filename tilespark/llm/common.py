@@ -7,16 +7,19 @@ import ctypes
 import functools
 import gc
 import os
+import pickle
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Upper and lower case of the ASCII letters, for lower-casing that leaves all other letters alone.
@@ -25,10 +28,12 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset,
-    as in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may do
+    without: there it is a new local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = getattr(spark.sparkContext, "_tilespark_shared", None) or tempfile.mkdtemp(prefix="tilespark-")
         spark.sparkContext._tilespark_shared = at
     return at.rstrip("/")
@@ -126,6 +131,17 @@ def sample_ids(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
     return left.select("doc_id", by)
 
 
+def fitted(sample: DataFrame, train: Callable[[pa.Table], Any]) -> Any:
+    """What train makes of a bounded sample. Its rows meet in one task, not on the driver, which gets the model alone."""
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in sample.schema])
+
+    def work(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(list(batches), schema)))])], names=["model"])
+
+    rows = sample.repartition(1).mapInArrow(frugal(work), "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else train(schema.empty_table())
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a column, one after another, and where each begins; null is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -2,10 +2,11 @@
 
 A text is the mean of the embeddings of its words and of the byte n-grams inside them, all hashed into
 one table; a softmax over that mean gives the languages. Table and softmax are trained by stochastic
-gradient descent in numpy on a bounded sample: `per_lang` texts of each language, however many languages there
-are, and of each text random windows of `windows` words, as short texts are the hard ones; prediction reads
-whole texts, very long ones too. A temperature and a rejection threshold are calibrated on rows of the sample
-that training doesn't see.
+gradient descent in numpy, in one task, on a bounded sample: `per_lang` texts of each language, however many
+languages there are. Each text is learned whole, and by random windows of `windows` words, as short texts are the hard
+ones. Executors turn these into bucket shares, at most one number a bucket, so very long texts are no burden.
+Prediction reads whole texts. A temperature and a rejection threshold are calibrated on windows and texts of the
+sample that training doesn't see.
 
 Null or letterless texts get `und` and score 0. Rows with a null lang are not learned from. An empty
 table, or one without a learnable row, gives a model without languages, which answers `und`. Repeated
@@ -15,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import chunked, frugal, give_back, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, fitted, frugal, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 #: Everything but ASCII letters and bytes of longer UTF-8 sequences parts words.
@@ -110,7 +112,7 @@ class Settings:
     rate: float = 1.0
     least_steps: int = 300
     batch: int = 32
-    #: Words of the windows that are learned from: one of each length at a random place of each text.
+    #: Words of the windows that are learned from beside the whole text: one of each length at a random place.
     windows: tuple[int, ...] = (2, 8, 40, 160)
     precision: float = 0.98
     seed: int = 11
@@ -123,30 +125,49 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
 
 
+def examples(texts: list[str], s: Settings) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Of each text its windows, then the whole text: the buckets of each, and the share of features that fall there."""
+    out = []
+    for t in texts:
+        raw = t.encode("utf-8", "replace")
+        start, end, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        rng = np.random.default_rng([s.seed, zlib.crc32(raw)])
+        cuts = []
+        for size in s.windows:
+            at = int(rng.integers(0, max(1, len(start) - size + 1)))
+            cuts.append(raw[start[at] : end[min(at + size, len(end)) - 1]] if len(start) else b"")
+        cuts.append(raw)
+        offs = np.r_[0, np.cumsum([len(c) for c in cuts])].astype(np.int64)
+        n = len(cuts)
+        parts = features(np.frombuffer(b"".join(cuts), np.uint8), offs, s.buckets, s.orders)
+        keys, counts = np.unique(np.concatenate([doc * s.buckets + idx for idx, doc in parts]), return_counts=True)
+        edge = np.searchsorted(keys, np.arange(n + 1) * s.buckets)
+        bucket = (keys % s.buckets).astype(np.int32)
+        pairs = list(zip(edge[:-1], edge[1:], strict=True))
+        out.append(([bucket[i:j] for i, j in pairs], [(counts[i:j] / max(1, counts[i:j].sum())).astype(np.float32) for i, j in pairs]))
+    return out
+
+
 def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> LanguageModel:
     """Fits on texts and their languages; a fifth of the texts, by position, calibrates only."""
+    return learned(examples(texts, s), langs, s)
+
+
+def learned(given: list[tuple[list[np.ndarray], list[np.ndarray]]], langs: list[str], s: Settings) -> LanguageModel:
+    """The same from the examples of each text."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((s.buckets, 0), np.float32), np.zeros(0), s.orders)
     rng = np.random.default_rng(s.seed)
     y_of = {k: i for i, k in enumerate(names)}
-    examples: list[tuple[str, int, bool]] = []
-    for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-        w = t.split()
-        for size in s.windows:
-            at = int(rng.integers(0, max(1, len(w) - size + 1)))
-            examples.append((" ".join(w[at : at + size]), y_of[lang], i % 5 == 4))
-    order = rng.permutation(len(examples))
-    examples = [examples[i] for i in order]
-    data, offs = encode([e[0] for e in examples])
-    y = np.array([e[1] for e in examples])
-    calib = np.array([e[2] for e in examples])
-    n = len(examples)
-    parts = features(data, offs, s.buckets, s.orders)
-    idx, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    by = np.argsort(doc, kind="stable")
-    idx, doc = idx[by], doc[by]
-    begin = np.searchsorted(doc, np.arange(n + 1))
+    each = [len(b) for b, _ in given]
+    n = sum(each)
+    y = np.repeat([y_of[k] for k in langs], each)
+    calib = np.repeat(np.arange(len(given)) % 5 == 4, each)
+    found = [b for buckets, _ in given for b in buckets]
+    begin = np.r_[0, np.cumsum([len(b) for b in found])].astype(np.int64)
+    idx, share = np.concatenate(found), np.concatenate([w for _, weights in given for w in weights])
+    del found
     table = (rng.standard_normal((s.buckets, s.dim)) / s.dim).astype(np.float32)
     w_out, bias = np.zeros((s.dim, len(names))), np.zeros(len(names))
     learn = np.flatnonzero(~calib & (begin[1:] > begin[:-1]))
@@ -158,25 +179,26 @@ def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> Langu
             b = learn[lo : lo + s.batch]
             lens = begin[b + 1] - begin[b]
             at = np.repeat(np.arange(len(b)), lens)
-            f = idx[np.repeat(begin[b] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum()))]
-            h = segment_sum(table[f], at, len(b)) / lens[:, None]
+            rows = np.repeat(begin[b] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum()))
+            f, w = idx[rows], share[rows]
+            h = segment_sum(table[f] * w[:, None], at, len(b))
             z = h @ w_out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(b)), y[b]] -= 1
             rate = s.rate * (1 - step / steps)
             step += 1
-            dh = p @ w_out.T / lens[:, None]
+            dh = p @ w_out.T
             w_out -= rate * h.T @ p
             bias -= 0.1 * rate * p.mean(0)
             u, inv = np.unique(f, return_inverse=True)
-            grad = np.stack([np.bincount(inv, dh[at, k], len(u)) for k in range(s.dim)], 1)
+            grad = np.stack([np.bincount(inv, dh[at, k] * w, len(u)) for k in range(s.dim)], 1)
             table[u] -= (rate * grad).astype(np.float32)
     model = LanguageModel(names, (table @ w_out).astype(np.float32), bias, s.orders)
     held = np.flatnonzero(calib & (begin[1:] > begin[:-1]))
     if len(held):
-        hd, ho = encode([examples[i][0] for i in held])
-        z, yy = model.logits(hd, ho), y[held]
+        z = np.stack([share[begin[i] : begin[i + 1]] @ model.table[idx[begin[i] : begin[i + 1]]] for i in held]) + bias
+        yy = y[held]
 
         def loss(t: float) -> float:
             q = z / t
@@ -184,7 +206,8 @@ def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> Langu
             return float(np.mean(np.log(np.exp(q).sum(1)) - q[np.arange(len(yy)), yy]))
 
         model.temperature = min(np.geomspace(0.05, 10, 60), key=loss)
-        p = model.probabilities(hd, ho)
+        p = np.exp(z / model.temperature - (z / model.temperature).max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
         conf, right = p.max(1), p.argmax(1) == yy
         o = np.argsort(-conf)
         good = np.flatnonzero(np.cumsum(right[o]) / np.arange(1, len(o) + 1) >= s.precision)
@@ -196,12 +219,23 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> LanguageModel:
     """Learns from text and lang of rows that aren't held out, `per_lang` of each language at most."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ids = sample_ids(rows.select("doc_id", "lang"), s.per_lang, "lang").select("doc_id").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toPandas()
-    got = got.sort_values(["doc_id", "lang", "text"], kind="stable")
-    model = train(got["text"].tolist(), got["lang"].tolist(), s)
-    del got
-    give_back()
-    return model
+
+    def cut(batches):
+        for b in batches:
+            made = [examples([t], s)[0] for t in b.column("text").to_pylist()]
+            found = [pa.array([[list(x) for x in m[k]] for m in made], pa.list_(pa.list_(kind))) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
+            order = pa.array([zlib.crc32(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), order, *found], names=["doc_id", "lang", "text_crc32", "buckets", "shares"])
+
+    def work(table: pa.Table) -> LanguageModel:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "lang", "text_crc32")])
+        cols = [[[np.asarray(x.values) for x in v] for v in table.column(c)] for c in ("buckets", "shares")]
+        return learned(list(zip(*cols, strict=True)), table.column("lang").to_pylist(), s)
+
+    small_batches(docs.sparkSession)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    picked = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
+    return fitted(picked.mapInArrow(frugal(cut), f"doc_id {kind}, lang string, text_crc32 long, buckets array<array<int>>, shares array<array<float>>"), work)
 
 
 def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -2,11 +2,11 @@
 
 A word is the sum of hashed embeddings of the word and of its beginnings; filters of widths 1, 2 and 3
 slide over the words of the whole text, each keeps its maximum, and a logistic layer weighs the maxima.
-Trained in numpy on a bounded sample (`positives` and `negatives` labelled rows at most). The decision
+Trained in numpy, in one task, on the whole texts of a bounded sample (`positives` and `negatives` labelled rows at most). The decision
 threshold is calibrated for each language that a small word model reads from the text itself: it is the
 language's own in so far as calibration texts tell (`trust` of a kind weigh as much as all languages together),
 else the general one; scores are shifted so that each language's threshold falls on `cut`. That word model
-learns from windows of 20 and 100 words of 400 texts of each language.
+learns from 400 texts of each language, whole and by windows of 20 and 100 words.
 
 Null and empty texts are scored as texts without words; very long ones are scored whole. Without labelled rows
 of both kinds, the score is 0 for all. Repeated ids are scored by row; a document with several labels is toxic if
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tilespark.llm import langid
-from tilespark.llm.common import chunked, frugal, give_back, held_out, sample_ids, small_batches, text_buffer
+from tilespark.llm.common import chunked, fitted, frugal, held_out, sample_ids, small_batches, text_buffer
 from tilespark.llm.textvec import LOWER, Hasher, U, words
 
 
@@ -249,13 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), lang: lang
     marks = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = sample_ids(known.where("toxic = 1"), s.positives).union(sample_ids(known.where("toxic <> 1"), s.negatives))
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    texts, marks = got.pop("text").tolist(), [int(v == 1) for v in got["toxic"]]
-    del got
-    model = train(texts, marks, reader, s)
-    del texts
-    give_back()
-    return model
+
+    def work(table: pa.Table) -> ToxicityModel:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        return train(table.column("text").to_pylist(), [int(v == 1) for v in table.column("toxic").to_pylist()], reader, s)
+
+    small_batches(docs.sparkSession)
+    return fitted(rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), work)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
