@@ -136,7 +136,9 @@ def fitted(sample: DataFrame, train: Callable[[pa.Table], Any]) -> Any:
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in sample.schema])
 
     def work(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(list(batches), schema)))])], names=["model"])
+        got = list(batches)
+        table = pa.Table.from_batches(got) if got else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table))])], names=["model"])
 
     rows = sample.repartition(1).mapInArrow(frugal(work), "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else train(schema.empty_table())
