@@ -13,7 +13,7 @@ from tilespark.functions import geometry as g
 from tilespark.functions import pbf
 from tilespark.operators import grid
 from tilespark.sources import flatgeobuf as fgb
-from tilespark.sources import ranges
+from tilespark.sources import filesystems, ranges
 
 
 def points_file(path, n=4000, node_size=16):
@@ -25,7 +25,7 @@ def points_file(path, n=4000, node_size=16):
 
 
 def Counting(log):  # noqa: N802 - a class of its own each time, so that it travels to the tasks
-    class Counting(ranges.LocalReader):
+    class Counting(filesystems.FileSystemReader):
         """Writes down how much it reads."""
 
         def read(self, path, offset, length):
@@ -75,9 +75,8 @@ def test_registered_schemes_and_unknown_ones(spark, tmp_path):
     assert fgb.read(spark, f"told://{tmp_path}/p.fgb").count() == 50 and counted(log) > 0
     with pytest.raises(ValueError, match="no reader"):
         ranges.reader_for("nowhere://x/y")
-    if not pytest.importorskip("importlib.util").find_spec("boto3"):
-        with pytest.raises(ValueError, match="boto3"):
-            ranges.reader_for("s3://b/k")
+    with pytest.raises(ValueError, match="bucket and key"):
+        ranges.reader_for("s3://b/k", {"region": "eu-north-1"}).read("s3://b", 0, 1)
 
 
 def Store(top):  # noqa: N802
@@ -206,7 +205,7 @@ def test_candidates_by_layout_of_a_file(spark, tmp_path):
 def test_scan_without_index_goes_by_steps(spark, tmp_path, monkeypatch):
     points_file(tmp_path / "p.fgb", 300, 0)
     r = fgb.Reader(None, {"path": str(tmp_path / "p.fgb")})
-    steps = [x[0] for x in r.scanned(ranges.LocalReader(), step=100)]
+    steps = [x[0] for x in r.scanned(filesystems.FileSystemReader(), step=100)]
     assert steps == list(range(300))
 
 

@@ -143,6 +143,7 @@ def read_header(path: str, single_root: bool = True, options: dict[str, str] | N
     size = struct.unpack_from("<I", head, 8)[0]
     t = Table.root(r.read(path, 12, size))
     box = t.vector(HEADER_ENVELOPE, "<f8")
+    r.close()
     columns = [(c.text(0), TYPES[c.scalar(1, "B", 0)]) for c in t.tables(HEADER_COLUMNS)]
     count, node = t.scalar(HEADER_COUNT, "Q", 0), t.scalar(HEADER_NODE, "H", 16)
     index = NODE.itemsize * levels(count, node, single_root)[0][1] if node and count else 0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import time
 import urllib.error
 import urllib.request
@@ -52,16 +51,6 @@ def header(offset: int, length: int) -> str:
     return f"bytes={offset}-{'' if length < 0 else offset + length - 1}"
 
 
-class LocalReader(RangeReader):
-    def read(self, path: str, offset: int, length: int) -> bytes:
-        with open(path.removeprefix("file://"), "rb") as f:
-            f.seek(offset)
-            return f.read(length)
-
-    def size(self, path: str) -> int:
-        return os.path.getsize(path.removeprefix("file://"))
-
-
 @dataclass
 class HttpReader(RangeReader):
     """Range requests with retries: server errors, 429 and failed connections are tried again after 0.2, 0.4,
@@ -96,7 +85,7 @@ class HttpReader(RangeReader):
 
 def s3_location(path: str) -> tuple[str, str]:
     """Bucket and key of s3://bucket/key or bucket/key."""
-    bucket, _, key = path.removeprefix("s3://").removeprefix("s3a://").partition("/")
+    bucket, _, key = path.removeprefix("s3://").removeprefix("s3a://").removeprefix("s3n://").partition("/")
     if not bucket or not key:
         raise ValueError(f"not a bucket and key: {path!r}")
     return bucket, key
@@ -151,9 +140,11 @@ def packed_options(path: str, options: dict[str, Any]) -> dict[str, str]:
 
 
 def reader_for(path: str, options: dict[str, str] | None = None) -> RangeReader:
-    """The reader of a path, by its scheme: local files, http(s), s3 or s3a (with the options region, endpoint and
-    path_style, where the boto3 package is installed), registered schemes; or the connector of the options
-    (see packed_options). Options of http: headers, timeout, concurrency, retries, backoff."""
+    """The reader of a path, by its scheme: http(s), registered schemes, or what the library's file systems know
+    (local files, s3 with its options, hdfs, gs: see filesystems); or the connector of the options (see packed_options).
+    Options of http: headers, timeout, concurrency, retries, backoff; of file systems: concurrency, open_files."""
+    from tilespark.sources.filesystems import FileSystemReader
+
     o = options or {}
     scheme = scheme_of(path)
     if "connector" in o:
@@ -164,22 +155,10 @@ def reader_for(path: str, options: dict[str, str] | None = None) -> RangeReader:
     if scheme in ("http", "https"):
         kinds = {"timeout": float, "concurrency": int, "retries": int, "backoff": float}
         return HttpReader(headers=json.loads(o.get("headers", "{}")), **{k: f(o[k]) for k, f in kinds.items() if k in o})
-    if scheme in ("s3", "s3a"):
-        return S3Reader(s3_client(o), **({"concurrency": int(o["concurrency"])} if "concurrency" in o else {}))
-    if scheme not in ("", "file"):
+    if scheme not in ("", "file", "s3", "s3a", "s3n", "hdfs", "viewfs", "gs", "gcs"):
         raise ValueError(f"no reader for {scheme}:// paths: bring a connector or register one")
-    return LocalReader()
-
-
-def s3_client(o: dict[str, str]) -> object:
-    """A client of the boto3 package, if that is installed."""
-    try:
-        import boto3
-        from botocore.config import Config
-    except ImportError:
-        raise ValueError("reading s3:// needs boto3, or a connector: S3Reader with a client of your own") from None
-    style = Config(s3={"addressing_style": "path"}) if o.get("path_style") == "true" else None
-    return boto3.client("s3", region_name=o.get("region"), endpoint_url=o.get("endpoint"), config=style)
+    usual = {"concurrency": 10 if scheme.startswith("s3") else 1}
+    return FileSystemReader(o, **usual | {k: int(o[k]) for k in ("concurrency", "open_files") if k in o})
 
 
 def merge(ranges: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]]:
