@@ -168,9 +168,51 @@ def chunked(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 20) -> Iterato
 BROADCAST_ROWS = 300_000
 
 
+#: Edges that a task holds while it contracts its own.
+HELD_EDGES = 500_000
+
+
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the edges (a, b): every node, and the smallest node that it reaches by them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[one], root[two]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u > v) with the components of `edges` (u, v): each task gives, for runs of HELD_EDGES of its own, an
+    edge from every node to the smallest that it reaches there. These are no more than before, and fewer rounds away."""
+
+    def work(batches):
+        def run() -> pa.RecordBatch:
+            nodes, low = smallest_reached(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[nodes > low]), pa.array(low[nodes > low])], names=["u", "v"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("u", "v")])
+            n += b.num_rows
+            if n >= HELD_EDGES:
+                yield run()
+                held, n = [], 0
+        if n:
+            yield run()
+
+    return edges.select("u", "v").mapInArrow(frugal(work), "u long, v long")
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, component), component being the smallest
-    node. Alternates large-star and small-star rounds; each round's edges are written to the shared
+    node. Tasks contract the edges that they hold, twice with a shuffle between, so that few rounds are left; then
+    large-star and small-star steps alternate, each a plan of its own that reads its edges from the shared
     folder. Minima are pre-aggregated; they are broadcast while edges are few, and beyond that the minima of
     hubs are broadcast and their edges stay where they are, so no task meets all edges of a hub. Nodes
     without an edge to another node aren't returned."""
@@ -180,18 +222,21 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
         return e.join(F.broadcast(m), "u") if most <= BROADCAST_ROWS else lookup(e, stored(m, f"{name}-minima"), ["u"], "degree", most)
 
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = stored(e, name)
+    def each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        """(u, v) of each row for each pair of its columns, in one reading of rows."""
+        return rows.select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))).alias("e")).select("e.u", "e.v")
+
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    for _ in range(2):
+        e = stored(contracted(e).distinct(), name)
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     for _ in range(most_rounds):
         if not state[0]:
             break
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = each(e, ("u", "v"), ("v", "u"))
         large = beside_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        if 2 * state[0] > BROADCAST_ROWS:
-            large = stored(large, f"{name}-large")  # it is named several times below
-        small = beside_minimum(large, 2 * state[0])
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        large = stored(large, f"{name}-large")
+        small = each(beside_minimum(large, 2 * state[0]), ("v", "m"), ("u", "m")).where("u > v").distinct()
         e = stored(small, name)
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == tuple(state):
@@ -199,8 +244,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         state = new
     else:
         raise RuntimeError("components did not settle")
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return each(e, ("u", "v"), ("v", "v")).distinct().toDF("node", "component")
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
