@@ -19,9 +19,9 @@ in a group costs comparisons, so larger corpora favour deletions. A set whose pa
 next band is indexed there, too.
 
 Documents with equal word sequences (by 128 bits of SHA-256) are one class, so copies are never compared.
-Among classes with a signature in common, first each is compared with the smallest id of its group and
-with its neighbours there; once components are known, remaining pairs of different components are
-compared. Links are verified on the words themselves. Groups are streamed in sorted order, never
+Among classes with a signature in common, first each meets its neighbours in the group and, in larger groups,
+the one with the smallest id; once components are known, remaining pairs of different components
+meet. Pairs of larger groups meet by parity sketches, which exclude no link, and links are verified on the words themselves. Groups are streamed in sorted order, never
 gathered, and those of many members are dealt as runs or as pairs of blocks of bounded size, so no
 task meets a whole large group.
 
@@ -289,7 +289,8 @@ def signatures(docs: DataFrame, made: Signatures) -> DataFrame:
 def sketches(docs: DataFrame, ids: DataFrame, t: Threshold) -> DataFrame:
     """rep, sketch of the documents with these ids (column rep): bit j of a sketch is the parity of the number
     of shingles that hash to j. Two sketches of a width differ in no more bits than the sets in
-    elements, so pairs that differ in more bits than a link allows need no comparison."""
+    elements, so pairs that differ in more bits than a link allows need no comparison. Widths are powers of 2: the
+    exclusive or of a sketch's halves is the set's sketch of half the width."""
 
     def draw(batches):
         for b in batches:
@@ -308,6 +309,20 @@ def sketches(docs: DataFrame, ids: DataFrame, t: Threshold) -> DataFrame:
     return known.mapInArrow(frugal(draw), "rep long, sketch array<bigint>")
 
 
+def allowed(pairs: DataFrame, drawn: DataFrame, t: Threshold) -> DataFrame:
+    """Those of the pairs (a, b, and their sizes na, nb) that sketches (drawn: rep, sketch) allow to link, as (a, b)."""
+    one, two = (drawn.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    width = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(c: str) -> Column:
+        part = lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, width), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(c, j)))
+        return F.when(F.size(c) == width, F.col(c)).otherwise(F.transform(F.sequence(F.lit(0), width - 1), part))
+
+    apart = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    may = apart * (t.den + t.num) <= (t.den - t.num) * (F.col("na").cast("long") + F.col("nb"))
+    return pairs.join(two, "b").join(one, "a").where(may).select("a", "b")
+
+
 def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
     """Pairs (a, b) of classes that may link, of those that stand up to `reach` places apart in a cell. rows:
     sig, cell, side, place, rep, n, c, and sketch or not. Classes of one component (c) or too different in size
@@ -315,17 +330,25 @@ def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
     sketched = "sketch" in rows.columns
 
     def alike(col: pa.ListArray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Whether sketches allow a link; sketches of different widths don't tell."""
+        """Whether sketches allow a link, the wider of two folded to the width of the other."""
         offs = col.offsets.to_numpy()
         values = col.values.to_numpy(zero_copy_only=False).view(U)
         width = np.diff(offs)
         ok = np.ones(len(i), bool)
-        for w in np.unique(width[i]):
-            both = np.flatnonzero((width[i] == w) & (width[j] == w))
-            for lo in range(0, len(both), max(1, (1 << 17) // max(1, int(w)))):
-                k = both[lo : lo + max(1, (1 << 17) // max(1, int(w)))]
-                x = values[offs[i[k]][:, None] + np.arange(w)] ^ values[offs[j[k]][:, None] + np.arange(w)]
-                ok[k] = np.bitwise_count(x).sum(1) <= most[k]
+
+        def folded(at: np.ndarray, w: int) -> np.ndarray:
+            out = values[offs[at][:, None] + np.arange(w)]
+            for lo in range(w, int(width[at].max()), w):
+                wide = np.flatnonzero(width[at] > lo)
+                out[wide] ^= values[offs[at[wide]][:, None] + lo + np.arange(w)]
+            return out
+
+        narrow = np.minimum(width[i], width[j])
+        for w in np.unique(narrow).tolist():
+            of = np.flatnonzero(narrow == w)
+            for lo in range(0, len(of), max(1, (1 << 17) // w)):
+                k = of[lo : lo + max(1, (1 << 17) // w)]
+                ok[k] = np.bitwise_count(folded(i[k], w) ^ folded(j[k], w)).sum(1) <= most[k]
         return ok
 
     def pair(batches):
@@ -466,23 +489,29 @@ def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
         return of.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("side", side).withColumn("place", F.col("own"))
 
-    # Each class is compared with the head of its groups and with its neighbours in them; groups of up to
-    # NEAR + 1 are done then. In the larger ones, classes that are still apart meet more neighbours, in other
-    # orders, so that a large group of near copies soon is one component; all that is apart after that
-    # is compared by sketches, and on the words where these allow a link.
-    stars = members.where("head <> rep").where(near(F.col("head_n"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    tried = stored(stars.union(meet(runs(members.withColumn("c", F.col("rep")), 0), t, NEAR)).distinct(), "tried-pairs")
+    # Each class meets its neighbours in its groups; groups of up to NEAR + 1 are done then. In larger ones it meets
+    # their head, too, and classes that are still apart meet more neighbours, in other orders, so that a large
+    # group of near copies soon is one component; all that is apart after that meets in pairs of blocks. In larger
+    # groups, those who meet are compared by sketches, and on the words only where these allow a link: those who share
+    # no more than a passage don't bring their texts together. Small groups are mostly of copies, which share many
+    # signatures: sketches carried with each of these would outweigh the texts.
+    large = members.where(F.col("k") > NEAR + 1)
+    drawn = stored(sketches(docs, large, t), "sketches")
+    if (drawn.agg(F.sum(F.size("sketch") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        drawn = F.broadcast(drawn)
+    stars = large.where("head <> rep").where(near(F.col("head_n"), F.col("n")))
+    stars = allowed(stars.select(F.col("head").alias("a"), F.col("rep").alias("b"), F.col("head_n").alias("na"), F.col("n").alias("nb")).distinct(), drawn, t)
+    within = meet(runs(members.where(F.col("k") <= NEAR + 1).withColumn("c", F.col("rep")), 0), t, NEAR)
+    near_by = meet(runs(large.withColumn("c", F.col("rep")).join(drawn, "rep"), 0), t, NEAR)
+    tried = stored(stars.union(within).union(near_by).distinct(), "tried-pairs")
     links = verified(tried, docs, t)
     comp = stored(components(links), "components-0")
 
     def still_open(comp: DataFrame) -> DataFrame:
         known = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
-        now = members.where(F.col("k") > NEAR + 1).join(known, members["rep"] == known["node"], "left").select("sig", "rep", "n", "k", F.coalesce("component", "rep").alias("c"))
+        now = large.join(known, large["rep"] == known["node"], "left").select("sig", "rep", "n", "k", F.coalesce("component", "rep").alias("c"))
         apart = stored(now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m"), "open-groups")
-        now = stored(lookup(now, apart, ["sig"], "m", n_members), "open-members")
-        drawn = stored(sketches(docs, now, t), "sketches")
-        light = (drawn.agg(F.sum(F.size("sketch") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES
-        return stored(now.join(F.broadcast(drawn) if light else drawn, "rep"), "open-sketches")
+        return stored(lookup(now, apart, ["sig"], "m", n_members).join(drawn, "rep"), "open-sketches")
 
     now = still_open(comp)
     for seed, reach in enumerate(REACH, 1):
