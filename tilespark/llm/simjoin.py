@@ -63,6 +63,8 @@ HELD_SHINGLES = 1_000_000
 BROADCAST_BYTES = 1 << 24
 #: Sets of a batch with one signature from which on the group counts as met.
 CROWD = 16
+#: First groups of a class that tell in which of the groups that two classes share their pair is made.
+FIRST_GROUPS = 32
 
 
 @dataclass(frozen=True)
@@ -325,9 +327,11 @@ def allowed(pairs: DataFrame, drawn: DataFrame, t: Threshold) -> DataFrame:
 
 def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
     """Pairs (a, b) of classes that may link, of those that stand up to `reach` places apart in a cell. rows:
-    sig, cell, side, place, rep, n, c, and sketch or not. Classes of one component (c) or too different in size
-    aren't paired, nor those of one side (but side 2), nor those whose sketches exclude a link."""
-    sketched = "sketch" in rows.columns
+    sig, cell, side, place, rep, n, c, and sketch and first or not. Classes of one component (c) or too different in size
+    aren't paired, nor those of one side (but side 2), nor those whose sketches exclude a link. With `first` (of
+    `first_groups`) a pair is made in the first group that both have in these lists, and in every group if there is
+    none."""
+    sketched, listed = "sketch" in rows.columns, "first" in rows.columns
 
     def alike(col: pa.ListArray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Whether sketches allow a link, the wider of two folded to the width of the other."""
@@ -351,6 +355,19 @@ def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
                 ok[k] = np.bitwise_count(folded(i[k], w) ^ folded(j[k], w)).sum(1) <= most[k]
         return ok
 
+    def elsewhere(col: pa.ListArray, i: np.ndarray, j: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Whether another group is the first of those that the two classes have in their lists."""
+        offs, width = col.offsets.to_numpy(), np.diff(col.offsets.to_numpy())
+        lists = np.zeros((len(width), FIRST_GROUPS), np.int64)
+        there = np.arange(FIRST_GROUPS) < width[:, None]
+        lists[there] = col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]]
+        out = np.zeros(len(i), bool)
+        for lo in range(0, len(i), 1 << 12):
+            x, y = i[lo : lo + (1 << 12)], j[lo : lo + (1 << 12)]
+            both = ((lists[x][:, :, None] == lists[y][:, None, :]) & there[x][:, :, None] & there[y][:, None, :]).any(2)
+            out[lo : lo + (1 << 12)] = both.any(1) & (lists[x, both.argmax(1)] != sig[x])
+        return out
+
     def pair(batches):
         before = None
         for b in batches:
@@ -373,6 +390,9 @@ def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 ok = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (large * t.num <= small * t.den)
                 i, j = i[ok], j[ok]
+                if listed and len(i):
+                    ok = ~elsewhere(now.column("first").chunk(0), i, j, sig)
+                    i, j = i[ok], j[ok]
                 if sketched and len(i):
                     ok = alike(now.column("sketch").chunk(0), i, j, t.differences(n[i], n[j]))
                     i, j = i[ok], j[ok]
@@ -383,11 +403,19 @@ def meet(rows: DataFrame, t: Threshold, reach: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             before = now.slice(max(0, len(sig) - reach))
 
-    kept = [c for c in ("sig", "cell", "side", "rep", "n", "c", "sketch") if c in rows.columns]
+    kept = [c for c in ("sig", "cell", "side", "rep", "n", "c", "sketch", "first") if c in rows.columns]
     dealt = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "place", "rep").select(*kept)
     return dealt.mapInArrow(frugal(pair), "a long, b long").distinct()
 
 
+def first_groups(members: DataFrame) -> DataFrame:
+    """members (sig, rep, k: size of the group sig) with `first`: FIRST_GROUPS groups of the class at most, smallest first,
+    as those whose classes are most likely to meet there. The least of two classes' common groups is in both lists if
+    any common one is, so both agree on it."""
+    order = F.array_sort(F.collect_list(F.struct("k", "sig")))
+    return members.join(members.groupBy("rep").agg(F.slice(order, 1, FIRST_GROUPS)["sig"].alias("first")), "rep")
+
+
 def dealt_texts(rows: DataFrame, texts: DataFrame, many: DataFrame, key: str, other: str) -> DataFrame:
     """rows (pairs) with the text of `key` as t<key>. many (key, parts): classes with very many pairs; their
     text is copied, so that their pairs don't meet in one task."""
@@ -495,7 +523,7 @@ def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:
     # groups, those who meet are compared by sketches, and on the words only where these allow a link: those who share
     # no more than a passage don't bring their texts together. Small groups are mostly of copies, which share many
     # signatures: sketches carried with each of these would outweigh the texts.
-    large = members.where(F.col("k") > NEAR + 1)
+    large = stored(first_groups(members.where(F.col("k") > NEAR + 1)), "large-groups")
     drawn = stored(sketches(docs, large, t), "sketches")
     if (drawn.agg(F.sum(F.size("sketch") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         drawn = F.broadcast(drawn)
@@ -509,7 +537,7 @@ def distinct_classes(docs: DataFrame, t: Threshold) -> DataFrame:
 
     def still_open(comp: DataFrame) -> DataFrame:
         known = F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp
-        now = large.join(known, large["rep"] == known["node"], "left").select("sig", "rep", "n", "k", F.coalesce("component", "rep").alias("c"))
+        now = large.join(known, large["rep"] == known["node"], "left").select("sig", "rep", "n", "k", "first", F.coalesce("component", "rep").alias("c"))
         apart = stored(now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m"), "open-groups")
         return stored(lookup(now, apart, ["sig"], "m", n_members).join(drawn, "rep"), "open-sketches")
 
