@@ -35,7 +35,7 @@ UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 #: Bounds of the caches of a worker: pieces and units of text, and slots for compatible pairs.
-MOST_PIECES, MOST_UNITS, FITS_BITS = 100_000, 250_000, 19
+MOST_PIECES, MOST_UNITS, FITS_BITS = 50_000, 120_000, 19
 FITS_MASK = (1 << FITS_BITS) - 1
 
 
